@@ -42,7 +42,7 @@ def extract_int(c: Column | str, pattern: str, group: int = 1) -> Column:
 
 def parse_text_date(c: Column | str, fmt: str = TEXT_DATE_FORMAT) -> Column:
     """Trimmed text -> date; unparseable text gives null."""
-    return F.try_to_date(F.trim(_c(c)), F.lit(fmt))
+    return F.try_to_date(F.trim(_c(c)), fmt)
 
 
 def year_of_text(c: Column | str, fmt: str = TEXT_DATE_FORMAT, default: int | None = None) -> Column:

@@ -23,7 +23,7 @@ UNKNOWN = "Unknown"
 DECADE_FLOOR = 1950
 DECADE_OPEN_FROM = 2020
 MULTI_LABEL, SINGLE_LABEL = "Multi-Country", "Single-Country"
-MISSING_LABEL, PRESENT_LABEL = "Netflix_Original", "Licensed"
+MISSING_LABEL, PRESENT_LABEL = "Original", "Licensed"
 PERIOD_YEAR, BEFORE_LABEL, AFTER_LABEL = 2015, "Before 2015", "After 2015"
 
 

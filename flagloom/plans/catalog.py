@@ -9,8 +9,8 @@ date, ``o_orderstatus`` F = movie, O = TV show, P = neither, and
 ``QUERIES[name](spark, sf_dir) -> DataFrame`` and ``ORACLE[name]`` is the same
 result as DuckDB SQL over views of the same Parquet files. Column names match
 exactly; integer counts are BIGINT on both sides; doubles that are compared
-are rounded, and the SQL rounds through DECIMAL so that ties go the way
-Spark's HALF_UP rounding sends them.
+are rounded, and the SQL rounds the same decimal text Spark rounds, so ties
+go the same way.
 """
 
 from __future__ import annotations
@@ -56,8 +56,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rnd(expr: str, digits: int) -> str:
-    """DuckDB rounding that agrees with Spark's HALF_UP ``round`` on doubles."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    """DuckDB rounding that agrees with Spark's ``round`` on doubles.
+
+    Spark rounds HALF_UP on the double's shortest decimal text, so the oracle
+    rounds that same text (DuckDB prints doubles shortest-round-trip too).
+    """
+    return f"CAST(round(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
 # Fixed parameters of the stand-in queries.
@@ -163,3 +167,693 @@ def schema_listing(spark, sf_dir):
 @query("preview_rows", "SELECT * FROM part ORDER BY p_partkey LIMIT 20")
 def preview_rows(spark, sf_dir):
     return io.preview(table(spark, sf_dir, "part"), 20, order_by=["p_partkey"])
+
+
+# --------------------------------------------------------------------------
+# Projections and column management (PRJ-*)
+# --------------------------------------------------------------------------
+
+@query("projection_basic", """
+SELECT o_orderkey, o_totalprice AS total_price, o_orderpriority,
+       CAST(floor(o_totalprice) AS BIGINT) AS price_floor, 'orders' AS source,
+       TRY_CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS prio_num
+FROM orders
+""")
+def projection_basic(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = columns.add_columns(o, {
+        "price_floor": F.floor("o_totalprice"),
+        "source": F.lit("orders"),
+        "prio_num": "try_cast(substring(o_orderpriority, 1, 1) AS INT)",
+    })
+    o = columns.drop_columns(o, ["o_orderstatus", "no_such_column"])
+    return columns.rename(o, {"o_totalprice": "total_price"})
+
+
+@query("select_present_cols", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part")
+def select_present_cols(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    keep = columns.present(part, ["p_partkey", "p_brand", "no_such_column", "p_size", "gone"])
+    return columns.select_matching(part, r"^p_[a-z]+$", exclude_prefixes=("p_name", "p_type", "p_brand"),
+                                   keep=keep)
+
+
+@query("safe_names", r"""
+SELECT DISTINCT value,
+  regexp_replace(regexp_replace(replace(trim(value), '&', 'and'), '[ /-]', '_', 'g'), '[.'',]', '', 'g') AS name
+FROM (SELECT o_orderpriority || ' & ' || o_orderstatus || '''s.' AS value FROM orders)
+""")
+def safe_names(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    v = F.concat("o_orderpriority", F.lit(" & "), "o_orderstatus", F.lit("'s."))
+    return o.select(v.alias("value")).distinct().withColumn("name", safe_name_col("value"))
+
+
+# --------------------------------------------------------------------------
+# Filters and predicates (FLT-*)
+# --------------------------------------------------------------------------
+
+def _ts(s: str):
+    return F.lit(s).cast("timestamp_ntz")
+
+
+@query("filter_equality_range", """
+SELECT o_orderkey, o_custkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS yr FROM orders
+WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '2000-01-01'
+""")
+def filter_equality_range(spark, sf_dir):
+    """Equality + closed year range, written on the raw date column so both
+    predicates reach the Parquet scan as pushed filters."""
+    o = table(spark, sf_dir, "orders")
+    cond = ((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= _ts("1996-01-01"))
+            & (F.col("o_orderdate") < _ts("2000-01-01")))
+    return o.where(cond).select("o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("yr"))
+
+
+MAKER_SQL = ("CASE p_type WHEN 'PROMO' THEN NULL WHEN 'SMALL' THEN ' N/A ' "
+             "WHEN 'ECONOMY' THEN 'Not Found' ELSE p_type END")
+
+
+def _maker(part):
+    t = F.col("p_type")
+    return (F.when(t == "PROMO", F.lit(None)).when(t == "SMALL", F.lit(" N/A "))
+             .when(t == "ECONOMY", F.lit("Not Found")).otherwise(t))
+
+
+@query("missing_predicate", f"""
+SELECT CASE WHEN maker IS NULL OR lower(trim(maker)) IN ('', 'not found', 'not_found', 'n/a')
+            THEN 'Original' ELSE 'Licensed' END AS origin, count(*) AS n
+FROM (SELECT {MAKER_SQL} AS maker FROM part) GROUP BY 1
+""")
+def missing_predicate(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    p = part.select(derive.missing_class(_maker(part)).alias("origin"))
+    return agg.count_by(p, ["origin"])
+
+
+@query("boolean_like", """
+WITH p AS (SELECT p_name, p_brand,
+  CASE WHEN p_size < 10 THEN ' TRUE ' WHEN p_size < 20 THEN 'false' ELSE 'x' END AS txt_flag,
+  CAST(p_size AS VARCHAR) AS size_text, p_size > 25 AS big, p_size FROM part)
+SELECT 'p_name' AS "column", coalesce(bool_or(lower(trim(p_name)) IN ('true', 'false')), false) AS is_boolean_like FROM p
+UNION ALL SELECT 'p_brand', coalesce(bool_or(lower(trim(p_brand)) IN ('true', 'false')), false) FROM p
+UNION ALL SELECT 'txt_flag', coalesce(bool_or(lower(trim(txt_flag)) IN ('true', 'false')), false) FROM p
+UNION ALL SELECT 'size_text', coalesce(bool_or(lower(trim(size_text)) IN ('true', 'false')), false) FROM p
+UNION ALL SELECT 'big', true
+UNION ALL SELECT 'p_size', false
+""")
+def boolean_like(spark, sf_dir):
+    s = F.col("p_size")
+    p = table(spark, sf_dir, "part").select(
+        "p_name", "p_brand",
+        F.when(s < 10, F.lit(" TRUE ")).when(s < 20, F.lit("false")).otherwise(F.lit("x")).alias("txt_flag"),
+        s.cast("string").alias("size_text"), (s > 25).alias("big"), "p_size")
+    return clean.boolean_like_columns(p)
+
+
+# --------------------------------------------------------------------------
+# Missing values, mapping, casts (CLN-*)
+# --------------------------------------------------------------------------
+
+@query("fill_string", """
+SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'Not found') AS o_orderstatus,
+       coalesce(nullif(o_orderpriority, '5-LOW'), 'Not found') AS o_orderpriority,
+       nullif(o_custkey, 7) AS o_custkey
+FROM orders
+""")
+def fill_string(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus"),
+        F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("o_orderpriority"),
+        F.nullif(F.col("o_custkey"), F.lit(7)).alias("o_custkey"))
+    return clean.fill_strings(o)
+
+
+@query("fill_map", """
+SELECT o_orderkey, coalesce(nullif(CAST(year(o_orderdate) AS INTEGER), 1998), 2000) AS year_added,
+       coalesce(nullif(o_orderpriority, '5-LOW'), 'none') AS prio
+FROM orders
+""")
+def fill_map(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.nullif(F.year("o_orderdate"), F.lit(1998)).alias("year_added"),
+        F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("prio"))
+    return clean.fill_values(o, {"year_added": 2000, "prio": "none"})
+
+
+@query("fill_zero", """
+SELECT p_partkey, coalesce(nullif(p_size, 7), 0) AS p_size,
+       coalesce(CAST(CASE WHEN p_size = 8 THEN NULL ELSE p_size > 40 END AS INTEGER), 0) AS big
+FROM part
+""")
+def fill_zero(spark, sf_dir):
+    s = F.col("p_size")
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", F.nullif(s, F.lit(7)).alias("p_size"),
+        F.when(s == 8, F.lit(None)).otherwise(s > 40).alias("big"))
+    return clean.fill_zero(p, ["p_size", "big"])
+
+
+@query("value_map", """
+SELECT o_orderkey,
+  CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' ELSE o_orderpriority END AS o_orderpriority
+FROM orders
+""")
+def value_map(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    o = clean.replace_values(o, {"F": "finished", "O": "open"}, subset=["o_orderstatus"])
+    return clean.replace_values(o, {"1-URGENT": "urgent"})
+
+
+@query("bool_to_int", """
+WITH p AS (SELECT p_partkey,
+  CASE p_size % 5 WHEN 0 THEN 'true' WHEN 1 THEN ' FALSE ' WHEN 2 THEN '7' WHEN 3 THEN 'x' ELSE NULL END AS txt,
+  p_size > 25 AS b, p_size % 2 AS i FROM part)
+SELECT p_partkey,
+  CASE WHEN lower(trim(txt)) = 'true' THEN 1 WHEN lower(trim(txt)) = 'false' THEN 0
+       ELSE TRY_CAST(lower(trim(txt)) AS INTEGER) END AS txt,
+  CAST(b AS INTEGER) AS b, CAST(i AS INTEGER) AS i
+FROM p
+""")
+def bool_to_int(spark, sf_dir):
+    s = F.col("p_size")
+    m = s % 5
+    txt = (F.when(m == 0, F.lit("true")).when(m == 1, F.lit(" FALSE ")).when(m == 2, F.lit("7"))
+            .when(m == 3, F.lit("x")))
+    p = table(spark, sf_dir, "part").select("p_partkey", txt.alias("txt"), (s > 25).alias("b"),
+                                            (s % 2).alias("i"))
+    return clean.bool_to_int(p, ["txt", "b", "i"])
+
+
+@query("casts", """
+SELECT o_orderkey AS key_double_src, TRY_CAST(o_orderpriority AS INTEGER) AS prio_raw,
+       TRY_CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS prio_code,
+       CAST(o_custkey AS INTEGER) AS o_custkey, CAST(o_orderkey AS DOUBLE) AS key_double
+FROM orders
+""")
+def casts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("key_double_src"), F.col("o_orderpriority").alias("prio_raw"),
+        F.substring("o_orderpriority", 1, 1).alias("prio_code"), "o_custkey",
+        F.col("o_orderkey").alias("key_double"))
+    return clean.cast_columns(o, {"prio_raw": "int", "prio_code": "int", "o_custkey": "int",
+                                  "key_double": "double"})
+
+
+SEGMENT_VARIANTS_SQL = ("CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN upper(c_mktsegment) "
+                        "ELSE ' ' || c_mktsegment || ' ' END")
+
+
+def _segment_variants(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k, s = F.col("c_custkey") % 3, F.col("c_mktsegment")
+    v = F.when(k == 0, F.lower(s)).when(k == 1, F.upper(s)).otherwise(F.concat(F.lit(" "), s, F.lit(" ")))
+    return c.select(v.alias("segment"))
+
+
+@query("distinct_names", f"""
+SELECT DISTINCT upper(substr(trim(v), 1, 1)) || lower(substr(trim(v), 2)) AS name
+FROM (SELECT {SEGMENT_VARIANTS_SQL} AS v FROM customer)
+""")
+def distinct_names(spark, sf_dir):
+    return clean.normalize_values(_segment_variants(spark, sf_dir), "segment")
+
+
+@query("distinct_names_counts", f"""
+SELECT count(v) AS raw_count, count(DISTINCT upper(substr(trim(v), 1, 1)) || lower(substr(trim(v), 2))) AS unique_count
+FROM (SELECT {SEGMENT_VARIANTS_SQL} AS v FROM customer)
+""")
+def distinct_names_counts(spark, sf_dir):
+    return clean.normalize_report(_segment_variants(spark, sf_dir), "segment")
+
+
+# --------------------------------------------------------------------------
+# Scalar functions (FN-*)
+# --------------------------------------------------------------------------
+
+@query("split_first_token", """
+SELECT p_partkey, trim(string_split(p_name, ' ')[1]) AS first_tag,
+  CASE trim(string_split(p_name, ' ')[1]) WHEN 'small' THEN 'tiny' WHEN 'large' THEN 'big'
+       ELSE trim(string_split(p_name, ' ')[1]) END AS canonical,
+  list_contains(string_split(p_name, ' '), 'gear') AS has_gear,
+  list_contains([p_type], 'PROMO') AS is_promo
+FROM part
+""")
+def split_first_token(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    p = p.withColumn("first_tag", first_token("p_name", TAG_SEP))
+    p = encode.canonicalize(p, "p_name", TAG_SEP, {"small": "tiny", "large": "big"}, out="canonical")
+    return p.select("p_partkey", "first_tag", "canonical",
+                    F.array_contains(F.split("p_name", TAG_SEP), "gear").alias("has_gear"),
+                    F.array_contains(F.array("p_type"), "PROMO").alias("is_promo"))
+
+
+@query("explode_counts", """
+SELECT tag AS value, count(*) AS n
+FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS tag FROM part)
+WHERE tag <> '' GROUP BY tag
+""")
+def explode_counts(spark, sf_dir):
+    return encode.vocabulary(table(spark, sf_dir, "part"), "p_name", sep=TAG_SEP)
+
+
+@query("regex_number", r"""
+SELECT p_partkey,
+  CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN TRY_CAST(regexp_extract(p_brand, '#(\d+)', 1) AS INTEGER) END AS brand_no,
+  CASE WHEN p_type = 'LARGE' THEN TRY_CAST(regexp_extract(p_size || ' Seasons', '(\d+)\s*Season', 1) AS INTEGER) END AS seasons
+FROM part
+""")
+def regex_number(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    p = p.withColumn("season_text", F.concat(F.col("p_size").cast("string"), F.lit(" Seasons")))
+    p = derive.extract_number(p, "p_brand", r"#(\d+)", "brand_no", when=F.col("p_type").isin("SMALL", "MEDIUM"))
+    p = derive.extract_number(p, "season_text", derive.SEASONS_PATTERN, "seasons",
+                              when=F.col("p_type") == "LARGE")
+    return p.select("p_partkey", "brand_no", "seasons")
+
+
+@query("regex_number_pages", r"""
+SELECT page_id, TRY_CAST(regexp_extract(url, '/(\d+)', 1) AS INTEGER) AS url_num FROM pages
+""")
+def regex_number_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", extract_int("url", r"/(\d+)").alias("url_num"))
+
+
+TEXT_DATE_SQL = ("CASE o_orderstatus WHEN 'P' THEN 'Not found' "
+                 "WHEN 'O' THEN ' ' || strftime(o_orderdate, '%B %-d, %Y') "
+                 "ELSE strftime(o_orderdate, '%B %-d, %Y') END")
+
+
+@query("text_dates", f"""
+WITH t AS (SELECT o_orderkey, {TEXT_DATE_SQL} AS txt FROM orders)
+SELECT o_orderkey, txt, CAST(try_strptime(trim(txt), '%B %-d, %Y') AS DATE) AS parsed,
+       CAST(coalesce(year(try_strptime(trim(txt), '%B %-d, %Y')), 2000) AS INTEGER) AS year_added
+FROM t
+""")
+def text_dates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    s, d = F.col("o_orderstatus"), F.date_format("o_orderdate", "MMMM d, yyyy")
+    txt = F.when(s == "P", F.lit("Not found")).when(s == "O", F.concat(F.lit(" "), d)).otherwise(d)
+    o = o.select("o_orderkey", txt.alias("txt"))
+    return o.withColumns({"parsed": parse_text_date("txt"),
+                          "year_added": derive.year_with_default("txt", "MMMM d, yyyy", 2000)})
+
+
+@query("null_tests_round", f"""
+SELECT o_orderkey,
+  CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 300000 THEN 'mid' ELSE 'high' END AS bucket,
+  nullif(o_orderstatus, 'P') IS NULL AS no_status,
+  {rnd('CAST(o_custkey AS DOUBLE) / (o_orderkey + 1) * 100', 2)} AS cust_share
+FROM orders
+""")
+def null_tests_round(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    p = F.col("o_totalprice")
+    return o.select(
+        "o_orderkey",
+        F.when(p < 100000, F.lit("low")).when(p < 300000, F.lit("mid")).otherwise(F.lit("high")).alias("bucket"),
+        F.nullif(F.col("o_orderstatus"), F.lit("P")).isNull().alias("no_status"),
+        pct(F.col("o_custkey"), F.col("o_orderkey") + 1, 2).alias("cust_share"))
+
+
+SHARE_SQL = f"""
+WITH c AS (SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY o_orderpriority)
+SELECT o_orderpriority, count, {rnd('count / (SELECT sum(count) FROM c) * 100', 3)} AS percentage FROM c
+"""
+
+
+@query("share_of_total", SHARE_SQL)
+def share_of_total(spark, sf_dir):
+    return agg.share_of_total(table(spark, sf_dir, "orders"), ["o_orderpriority"], digits=3)
+
+
+@query("formatted_share", f"""
+WITH s AS ({SHARE_SQL})
+SELECT o_orderpriority, count, percentage, printf('%.1f%%', {rnd('percentage', 1)}) AS label,
+       format('{{:,}}', count) AS count_text
+FROM s
+""")
+def formatted_share(spark, sf_dir):
+    s = agg.share_of_total(table(spark, sf_dir, "orders"), ["o_orderpriority"], digits=3)
+    return s.withColumns({"label": format_pct("percentage", 1), "count_text": format_thousands("count")})
+
+
+# --------------------------------------------------------------------------
+# Encoding (ENC-*)
+# --------------------------------------------------------------------------
+
+STATUS_KIND = {"movie": "F", "tv_show": "O"}
+
+
+@query("indicator_flags", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS movie,
+       CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS tv_show
+FROM orders
+""")
+def indicator_flags(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return encode.indicator(o, "o_orderstatus", STATUS_KIND).drop("o_orderstatus")
+
+
+MULTI_HOT_TAGS = ["small", "red", "gear", "widget", "hot"]
+
+
+def _tag_sql(tag: str) -> str:
+    return f"coalesce(list_contains(string_split(p_name, ' '), '{tag}'), false)"
+
+
+@query("multi_hot_tags", "SELECT p_partkey, " + ", ".join(
+    f"{_tag_sql(t)} AS {t}" for t in MULTI_HOT_TAGS) + " FROM part")
+def multi_hot_tags(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return encode.multi_hot(p, "p_name", MULTI_HOT_TAGS, sep=TAG_SEP, drop_source=True)
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+def _prio_name(v: str) -> str:
+    return v.replace("-", "_").replace(" ", "_")
+
+
+@query("one_hot_bool", "SELECT o_orderkey, " + ", ".join(
+    f"coalesce(o_orderpriority = '{v}', false) AS \"{_prio_name(v)}\"" for v in PRIORITIES) + " FROM orders")
+def one_hot_bool(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return encode.one_hot(o, "o_orderpriority", as_type="boolean", drop_source=True)
+
+
+@query("one_hot_int", "SELECT p_partkey, " + ", ".join(
+    f"CAST(coalesce(p_type = '{v}', false) AS INTEGER) AS {v}" for v in PART_TYPES) + " FROM part")
+def one_hot_int(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return encode.one_hot(p, "p_type", as_type="int", drop_source=True)
+
+
+@query("decode_flags", "SELECT o_orderkey, CASE " + " ".join(
+    f"WHEN o_orderpriority = '{v}' THEN '{v}'" for v in PRIORITIES[:-1]) + " ELSE 'Not_Found' END AS priority FROM orders")
+def decode_flags(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    wide = encode.one_hot(o, "o_orderpriority", vocab=PRIORITIES[:-1], as_type="int", drop_source=True)
+    flags = {_prio_name(v): v for v in PRIORITIES[:-1]}
+    return encode.decode_one_hot(wide, flags, "priority", default="Not_Found").select("o_orderkey", "priority")
+
+
+FLAG_COUNT_TAGS = ["small", "red", "ring", "widget", "hot", "gear"]
+
+
+@query("flag_count", f"""
+WITH p AS (SELECT p_partkey, {' + '.join(f'CAST({_tag_sql(t)} AS INTEGER)' for t in FLAG_COUNT_TAGS)} AS n_tags FROM part)
+SELECT p_partkey, n_tags,
+  CASE WHEN n_tags > 1 THEN 'Multi-Country' WHEN n_tags = 1 THEN 'Single-Country' ELSE 'Unknown' END AS tag_class
+FROM p
+""")
+def flag_count(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    wide = encode.multi_hot(p, "p_name", FLAG_COUNT_TAGS, sep=TAG_SEP, drop_source=True)
+    wide = encode.row_flag_count(wide, FLAG_COUNT_TAGS, "n_tags")
+    return wide.select("p_partkey", "n_tags", derive.count_class("n_tags").alias("tag_class"))
+
+
+# --------------------------------------------------------------------------
+# Derived features (DRV-*)
+# --------------------------------------------------------------------------
+
+LENGTH_SQL = """CASE WHEN p_type = 'SMALL' THEN
+    CASE WHEN p_size * 3 < 30 THEN 'Short' WHEN p_size * 3 BETWEEN 30 AND 90 THEN 'Medium' ELSE 'Long' END
+  WHEN p_type = 'LARGE' THEN
+    CASE WHEN nullif(p_size % 5, 0) = 1 THEN 'One_Season' WHEN nullif(p_size % 5, 0) BETWEEN 2 AND 3 THEN 'Multi_Season'
+         ELSE 'Long_Running' END
+  ELSE 'Unknown' END"""
+
+
+def _length_frame(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return derive.length_class(
+        p, "length_class", movie_flag=F.col("p_type") == "SMALL", minutes=F.col("p_size") * 3,
+        tv_flag=F.col("p_type") == "LARGE", seasons=F.nullif(F.col("p_size") % 5, F.lit(0)))
+
+
+@query("length_class", f"SELECT p_partkey, {LENGTH_SQL} AS length_class FROM part")
+def length_class(spark, sf_dir):
+    return _length_frame(spark, sf_dir).select("p_partkey", "length_class")
+
+
+@query("length_class_counts", f"SELECT {LENGTH_SQL} AS length_class, count(*) AS n FROM part GROUP BY 1")
+def length_class_counts(spark, sf_dir):
+    return agg.count_by(_length_frame(spark, sf_dir), ["length_class"])
+
+
+DECADE_YEAR_SQL = "CAST(year(o_orderdate) + 25 - (o_orderkey % 6) * 15 AS INTEGER)"
+
+
+@query("decade_class", f"""
+WITH o AS (SELECT o_orderkey, {DECADE_YEAR_SQL} AS yr FROM orders)
+SELECT o_orderkey, yr,
+  CASE WHEN yr >= 2020 THEN '2020s' WHEN yr >= 1950 THEN CAST(CAST(floor(yr / 10) * 10 AS INTEGER) AS VARCHAR) || 's'
+       ELSE 'Unknown' END AS decade
+FROM o
+""")
+def decade_class(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    yr = (F.year("o_orderdate") + 25 - (F.col("o_orderkey") % 6) * 15).cast("int")
+    return o.select("o_orderkey", yr.alias("yr")).withColumn("decade", derive.decade_label("yr"))
+
+
+@query("period_split", """
+SELECT CASE WHEN year(o_orderdate) < 1998 THEN 'Before 1998' ELSE 'After 1998' END AS production_period,
+       count(*) AS total_titles
+FROM orders GROUP BY 1
+""")
+def period_split(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    p = o.select(derive.period_label(F.year("o_orderdate"), 1998, "Before 1998", "After 1998")
+                 .alias("production_period"))
+    return agg.count_by(p, ["production_period"], "total_titles")
+
+
+@query("label_cast", "SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS DOUBLE) AS label FROM orders")
+def label_cast(spark, sf_dir):
+    o = encode.indicator(table(spark, sf_dir, "orders"), "o_orderstatus", STATUS_KIND)
+    return o.select("o_orderkey", derive.label_from_flag("movie").alias("label"))
+
+
+# --------------------------------------------------------------------------
+# Distinct and de-duplication (DDP-*)
+# --------------------------------------------------------------------------
+
+@query("distinct_projection", "SELECT DISTINCT lang, source FROM documents")
+def distinct_projection(spark, sf_dir):
+    return dedupe.distinct_rows(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@query("dup_report", """
+SELECT count(*) AS total_rows, (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS distinct_rows,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicate_rows
+FROM documents
+""")
+def dup_report(spark, sf_dir):
+    return dedupe.dup_report(table(spark, sf_dir, "documents"), ["text", "lang"])
+
+
+@query("dedupe_documents", """
+SELECT doc_id, text, lang, source, n_chars FROM documents
+QUALIFY row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) = 1
+""")
+def dedupe_documents(spark, sf_dir):
+    return dedupe.dedupe(table(spark, sf_dir, "documents"), ["text", "lang"], ["doc_id"])
+
+
+# --------------------------------------------------------------------------
+# Aggregation (AGG-*)
+# --------------------------------------------------------------------------
+
+@query("total_rows", "SELECT count(*) AS n FROM orders")
+def total_rows(spark, sf_dir):
+    return agg.count_rows(table(spark, sf_dir, "orders"))
+
+
+@query("count_by_group", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2
+""")
+def count_by_group(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("yr"), "o_orderpriority")
+    return agg.count_by(o, ["yr", "o_orderpriority"])
+
+
+@query("value_counts", """
+SELECT event_type, count(*) AS count FROM (SELECT nullif(event_type, 'error') AS event_type FROM events)
+WHERE event_type IS NOT NULL GROUP BY 1
+""")
+def value_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.nullif(F.col("event_type"), F.lit("error")).alias("event_type"))
+    return agg.value_counts(e, "event_type")
+
+
+ALL_TAGS = ADJECTIVES + NOUNS
+
+
+def _tag_flags(spark, sf_dir, tags=ALL_TAGS, extra=()):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", *extra)
+    return encode.multi_hot(p, "p_name", tags, sep=TAG_SEP)
+
+
+def _flag_totals_sql(where: str = "") -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{t}' AS flag, CAST(coalesce(sum(CAST({_tag_sql(t)} AS INTEGER)), 0) AS BIGINT) AS total FROM part {where}"
+        for t in ALL_TAGS)
+
+
+@query("flag_totals", _flag_totals_sql())
+def flag_totals(spark, sf_dir):
+    return agg.flag_totals(_tag_flags(spark, sf_dir), ALL_TAGS)
+
+
+@query("flag_totals_filtered", _flag_totals_sql("WHERE p_type = 'PROMO'"))
+def flag_totals_filtered(spark, sf_dir):
+    return agg.flag_totals(_tag_flags(spark, sf_dir), ALL_TAGS, where=F.col("p_type") == "PROMO")
+
+
+MEASURES_SQL = """
+SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS Movie_Count,
+       CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS TVShow_Count
+FROM orders GROUP BY o_orderpriority
+"""
+
+
+def _measures(spark, sf_dir):
+    o = encode.indicator(table(spark, sf_dir, "orders"), "o_orderstatus", STATUS_KIND)
+    return agg.group_sums(o, ["o_orderpriority"], {"Movie_Count": "movie", "TVShow_Count": "tv_show"})
+
+
+@query("measures_per_group", MEASURES_SQL)
+def measures_per_group(spark, sf_dir):
+    return _measures(spark, sf_dir)
+
+
+@query("melted_measures", f"""
+WITH m AS ({MEASURES_SQL})
+SELECT o_orderpriority, 'Movie_Count' AS Content_Type, Movie_Count AS Count FROM m
+UNION ALL SELECT o_orderpriority, 'TVShow_Count', TVShow_Count FROM m
+""")
+def melted_measures(spark, sf_dir):
+    return reshape.melt(_measures(spark, sf_dir), ["o_orderpriority"], ["Movie_Count", "TVShow_Count"],
+                        "Content_Type", "Count")
+
+
+@query("group_means", f"""
+SELECT p_type, {rnd('avg(p_size)', 4)} AS avg_p_size, {rnd('avg(p_retailprice)', 4)} AS avg_p_retailprice
+FROM part GROUP BY p_type
+""")
+def group_means(spark, sf_dir):
+    return agg.group_means(table(spark, sf_dir, "part"), ["p_type"], ["p_size", "p_retailprice"], digits=4)
+
+
+@query("group_means_embeddings", f"""
+SELECT label, {rnd('avg(embedding[1])', 4)} AS avg_e0, {rnd('avg(embedding[2])', 4)} AS avg_e1,
+       {rnd('avg(embedding[3])', 4)} AS avg_e2
+FROM embeddings GROUP BY label
+""")
+def group_means_embeddings(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    e = e.select("label", *[F.get("embedding", i).alias(f"e{i}") for i in range(3)])
+    return agg.group_means(e, ["label"], ["e0", "e1", "e2"], digits=4)
+
+
+@query("min_max", """
+SELECT CAST(min(year(o_orderdate)) AS INTEGER) AS start_year, CAST(max(year(o_orderdate)) AS INTEGER) AS end_year
+FROM orders
+""")
+def min_max(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("yr"))
+    return agg.min_max(o, "yr", "start_year", "end_year")
+
+
+TWO_WAY_TAGS = ADJECTIVES + ["purple"]
+
+
+@query("two_way_pct_by_flag", f"""
+WITH tags AS (SELECT * FROM (VALUES {', '.join(f"('{t}')" for t in TWO_WAY_TAGS)}) AS t(tag)),
+x AS (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS tag,
+             CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END AS m, CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END AS t
+      FROM part),
+a AS (SELECT tag, CAST(sum(m) AS BIGINT) AS movie_count, CAST(sum(t) AS BIGINT) AS tvshow_count FROM x GROUP BY tag)
+SELECT tags.tag, movie_count, tvshow_count,
+  {rnd('CAST(movie_count AS DOUBLE) / nullif(movie_count + tvshow_count, 0) * 100', 1)} AS movie_percentage,
+  {rnd('CAST(tvshow_count AS DOUBLE) / nullif(movie_count + tvshow_count, 0) * 100', 1)} AS tvshow_percentage
+FROM tags LEFT JOIN a ON tags.tag = a.tag
+""")
+def two_way_pct_by_flag(spark, sf_dir):
+    """Per tag: 'movie' and 'tv' rows carrying it and their shares; one scan
+    (the union-of-filtered-aggregates shape scans once per tag)."""
+    p = _tag_flags(spark, sf_dir, TWO_WAY_TAGS)
+    p = encode.indicator(p, "p_type", {"movie": "ECONOMY", "tv_show": "PROMO"})
+    return agg.two_way_pct_by_flag(p, TWO_WAY_TAGS, "movie", "tv_show", key="tag",
+                                   a_count="movie_count", b_count="tvshow_count",
+                                   a_pct="movie_percentage", b_pct="tvshow_percentage", digits=1)
+
+
+# --------------------------------------------------------------------------
+# Sort, top-k, windows (SRT-*, WIN-*)
+# --------------------------------------------------------------------------
+
+@query("sorted_counts", "SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1")
+def sorted_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("yr"))
+    return rank.sort_by(agg.count_by(o, ["yr"]), ["yr"])
+
+
+@query("top5_tags", """
+SELECT tag, count(*) AS total FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS tag FROM part)
+WHERE tag <> '' GROUP BY tag ORDER BY total DESC, tag LIMIT 5
+""")
+def top5_tags(spark, sf_dir):
+    totals = encode.vocabulary(table(spark, sf_dir, "part"), "p_name", sep=TAG_SEP, value="tag", count="total")
+    return rank.top_k(totals, ["-total", "tag"], 5)
+
+
+def _top3_sql(joined: bool) -> str:
+    means = "\nUNION ALL ".join(
+        f"SELECT p_type, '{t}' AS feature, avg(CAST({_tag_sql(t)} AS INTEGER)) AS value FROM part GROUP BY p_type"
+        for t in ADJECTIVES)
+    ranked = (f"WITH m AS ({means}), r AS (SELECT p_type, feature, value, "
+              "CAST(row_number() OVER (PARTITION BY p_type ORDER BY value DESC, feature) AS INTEGER) AS rank FROM m) ")
+    if joined:
+        return ranked + "SELECT p_type, string_agg(feature, ', ' ORDER BY rank) AS top_features FROM r WHERE rank <= 3 GROUP BY p_type"
+    return ranked + f"SELECT p_type, rank, feature, {rnd('value', 4)} AS value FROM r WHERE rank <= 3"
+
+
+def _adjective_means(spark, sf_dir):
+    return agg.group_means(_tag_flags(spark, sf_dir, ADJECTIVES), ["p_type"], ADJECTIVES)
+
+
+@query("top3_features_per_group", _top3_sql(False))
+def top3_features_per_group(spark, sf_dir):
+    top = rank.top_n_measures(_adjective_means(spark, sf_dir), ["p_type"], [f"avg_{a}" for a in ADJECTIVES],
+                              n=3, strip_prefix="avg_")
+    return top.withColumn("value", F.round("value", 4))
+
+
+@query("top3_features_joined", _top3_sql(True))
+def top3_features_joined(spark, sf_dir):
+    return rank.top_n_measures(_adjective_means(spark, sf_dir), ["p_type"], [f"avg_{a}" for a in ADJECTIVES],
+                               n=3, joined="top_features", strip_prefix="avg_")
+
+
+# --------------------------------------------------------------------------
+# Set operations (SET-1)
+# --------------------------------------------------------------------------
+
+@query("union_all_reports", """
+SELECT 'orders' AS source, o_orderstatus AS key, count(*) AS n FROM orders GROUP BY o_orderstatus
+UNION ALL
+SELECT 'customer' AS source, c_mktsegment AS key, count(*) AS n FROM customer GROUP BY c_mktsegment
+""")
+def union_all_reports(spark, sf_dir):
+    a = agg.count_by(table(spark, sf_dir, "orders"), ["o_orderstatus"]).select(
+        F.lit("orders").alias("source"), F.col("o_orderstatus").alias("key"), "n")
+    b = agg.count_by(table(spark, sf_dir, "customer"), ["c_mktsegment"]).select(
+        F.lit("customer").alias("source"), F.col("c_mktsegment").alias("key"), "n")
+    return union_all([a, b])
