@@ -857,3 +857,196 @@ def union_all_reports(spark, sf_dir):
     b = agg.count_by(table(spark, sf_dir, "customer"), ["c_mktsegment"]).select(
         F.lit("customer").alias("source"), F.col("c_mktsegment").alias("key"), "n")
     return union_all([a, b])
+
+
+# --------------------------------------------------------------------------
+# Machine learning (ML-*) and metrics (ML-12..15)
+# --------------------------------------------------------------------------
+
+from flagloom.operators import metrics, ml  # noqa: E402
+
+MODEL_FEATURES = ["p_size", "p_retailprice", *NOUNS]
+SEED = 42
+
+
+def _model_frame(spark, sf_dir):
+    """part with numeric features: size, price and one 0/1 column per noun tag."""
+    p = _tag_flags(spark, sf_dir, NOUNS, extra=("p_retailprice",))
+    return clean.bool_to_int(p, NOUNS).drop("p_name")
+
+
+def _clustered(spark, sf_dir, k):
+    p = ml.assemble(_model_frame(spark, sf_dir), MODEL_FEATURES, "features")
+    model = ml.fit_kmeans(p, k=k, seed=SEED, key="p_partkey")
+    return ml.assign_clusters(model, p).withColumn("cluster", F.col("cluster").cast("double"))
+
+
+@query("feature_vectors", """
+SELECT p_partkey, [CAST(p_size AS DOUBLE), p_retailprice,
+                   CAST(CAST(coalesce(list_contains(string_split(p_name, ' '), 'gear'), false) AS INTEGER) AS DOUBLE)] AS features
+FROM part
+""")
+def feature_vectors(spark, sf_dir):
+    p = clean.bool_to_int(_tag_flags(spark, sf_dir, ["gear"], extra=("p_retailprice",)), ["gear"])
+    v = ml.assemble(p, ["p_size", "p_retailprice", "gear"], "vec")
+    return v.select("p_partkey", ml.vector_values("vec").alias("features"))
+
+
+@query("kmeans_assign")
+def kmeans_assign(spark, sf_dir):
+    """Embeddings clustered with k=4, seed 42 (rows-only: assignments depend
+    on the fit; invariants are tested)."""
+    e = ml.array_features(table(spark, sf_dir, "embeddings"), "embedding")
+    model = ml.fit_kmeans(e, k=4, seed=SEED, key="vec_id")
+    return ml.assign_clusters(model, e).select("vec_id", "cluster")
+
+
+@query("kmeans_sizes")
+def kmeans_sizes(spark, sf_dir):
+    e = ml.array_features(table(spark, sf_dir, "embeddings"), "embedding")
+    model = ml.fit_kmeans(e, k=3, seed=SEED, key="vec_id")
+    return agg.count_by(ml.assign_clusters(model, e), ["cluster"], "count")
+
+
+@query("cluster_profile")
+def cluster_profile(spark, sf_dir):
+    """Mean of every feature per KMeans cluster (ML-5)."""
+    return agg.group_means(_clustered(spark, sf_dir, 4), ["cluster"], MODEL_FEATURES, digits=4)
+
+
+PROFILE_MEANS = {"minutes": "p_size * 4", "seasons": "p_size % 4", "year": "1990 + p_partkey % 31"}
+
+
+@query("cluster_description", """
+WITH f AS (SELECT p_brand, p_size * 4 AS minutes, p_size % 4 AS seasons, 1990 + p_partkey % 31 AS year, """
+       + ", ".join(f"CAST({_tag_sql(t)} AS INTEGER) AS {t}" for t in NOUNS) + """ FROM part),
+prof AS (SELECT p_brand, avg(minutes) AS avg_minutes, avg(seasons) AS avg_seasons, avg(year) AS avg_year, """
+       + ", ".join(f"avg({t}) AS avg_{t}" for t in NOUNS) + """ FROM f GROUP BY p_brand),
+m AS (""" + "\nUNION ALL ".join(f"SELECT p_brand, '{t}' AS feature, avg_{t} AS value FROM prof" for t in NOUNS) + """),
+top AS (SELECT p_brand, string_agg(feature, ', ' ORDER BY rn) AS top_features FROM (
+          SELECT p_brand, feature, row_number() OVER (PARTITION BY p_brand ORDER BY value DESC, feature) AS rn FROM m)
+        WHERE rn <= 3 GROUP BY p_brand)
+SELECT prof.p_brand,
+  CASE WHEN avg_minutes > 90 THEN 'full-length' WHEN avg_seasons > 1 THEN 'multi-season' ELSE 'short-or-single' END AS length_note,
+  CASE WHEN avg_year > 2005 THEN 'recent' ELSE 'older' END AS era_note, top.top_features
+FROM prof LEFT JOIN top ON prof.p_brand = top.p_brand
+""")
+def cluster_description(spark, sf_dir):
+    """Rule-based description of each group's mean profile (ML-6); groups are
+    brands so the answer is deterministic and checkable."""
+    p = clean.bool_to_int(_tag_flags(spark, sf_dir, NOUNS, extra=("p_brand",)), NOUNS)
+    p = p.withColumns({k: F.expr(v) for k, v in PROFILE_MEANS.items()})
+    profile = agg.group_means(p, ["p_brand"], ["minutes", "seasons", "year", *NOUNS])
+    return ml.describe_clusters(profile, "p_brand", "avg_minutes", "avg_seasons", "avg_year",
+                                [f"avg_{t}" for t in NOUNS], year_cut=2005)
+
+
+@query("hash_split", """
+WITH b AS (SELECT o_orderkey, CAST(('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS bucket
+           FROM orders)
+SELECT o_orderkey, bucket, CASE WHEN bucket < 80 THEN 'train' ELSE 'test' END AS split FROM b
+""")
+def hash_split(spark, sf_dir):
+    return ml.hash_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.8, SEED)
+
+
+@query("rf_cluster_label")
+def rf_cluster_label(spark, sf_dir):
+    """Forest pipeline (assembler + 20 trees, seed 42) predicting the KMeans
+    cluster; trained on the hash-split train rows, scored on the test rows."""
+    train, test = ml.split_frames(_clustered(spark, sf_dir, 4), "p_partkey", 0.8, SEED)
+    model = ml.fit_forest_pipeline(train, MODEL_FEATURES, "cluster", trees=20, seed=SEED, key="p_partkey")
+    return model.transform(test).select("p_partkey", "cluster", "prediction")
+
+
+@query("rf_fit_all")
+def rf_fit_all(spark, sf_dir):
+    """Forest with default size fitted and scored on all rows (k=3 clusters)."""
+    data = _clustered(spark, sf_dir, 3)
+    model = ml.fit_forest(data, "cluster", "features", seed=SEED, key="p_partkey")
+    return model.transform(data).select("p_partkey", "cluster", "prediction")
+
+
+def _binary_frame(spark, sf_dir):
+    p = encode.indicator(_model_frame(spark, sf_dir), "p_type", {"movie": "ECONOMY"})
+    p = p.withColumn("label", derive.label_from_flag("movie"))
+    # the label's source column (p_type / movie) is not among the features
+    return ml.assemble(p, MODEL_FEATURES, "features")
+
+
+def _rf_binary_predictions(spark, sf_dir):
+    train, test = ml.split_frames(_binary_frame(spark, sf_dir), "p_partkey", 0.8, SEED)
+    model = ml.fit_forest(train, "label", "features", trees=50, seed=SEED, key="p_partkey")
+    return model.transform(test).select("p_partkey", "label", "prediction")
+
+
+@query("rf_binary")
+def rf_binary(spark, sf_dir):
+    return _rf_binary_predictions(spark, sf_dir)
+
+
+@query("rf_metrics")
+def rf_metrics(spark, sf_dir):
+    return metrics.classification_metrics(_rf_binary_predictions(spark, sf_dir), digits=6)
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    train, _ = ml.split_frames(_clustered(spark, sf_dir, 4), "p_partkey", 0.8, SEED)
+    model = ml.fit_forest_pipeline(train, MODEL_FEATURES, "cluster", trees=20, seed=SEED, key="p_partkey")
+    return ml.feature_importances(spark, model, MODEL_FEATURES, digits=4)
+
+
+# Rule-based predictions, so the metrics have an exact oracle.
+PRED_SQL = ("WITH s AS (SELECT CAST(list_position([" + ", ".join(f"'{t}'" for t in PART_TYPES)
+            + "], p_type) - 1 AS DOUBLE) AS label, p_size FROM part), "
+            "r AS (SELECT label, CASE WHEN p_size % 4 = 0 THEN CAST((CAST(label AS INTEGER) + 1) % 6 AS DOUBLE) "
+            "ELSE label END AS pr FROM s), "
+            "p AS (SELECT label, CASE WHEN pr = 5 THEN 0.0 ELSE pr END AS prediction FROM r)")
+
+PER_CLASS_SQL = PRED_SQL + """,
+conf AS (SELECT label, prediction, count(*) AS n FROM p GROUP BY label, prediction),
+cls AS (SELECT c, sum(tp) AS tp, sum(predicted) AS predicted, sum(support) AS support FROM (
+    SELECT label AS c, n AS support, 0 AS predicted, CASE WHEN label = prediction THEN n ELSE 0 END AS tp FROM conf
+    UNION ALL SELECT prediction AS c, 0 AS support, n AS predicted, 0 AS tp FROM conf) GROUP BY c),
+pc AS (SELECT c, tp, predicted, support, coalesce(tp / nullif(predicted, 0), 0.0) AS precision,
+              coalesce(tp / nullif(support, 0), 0.0) AS recall FROM cls),
+pf AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM pc)"""
+
+
+def _rule_predictions(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    label = (F.array_position(F.array(*[F.lit(t) for t in PART_TYPES]), F.col("p_type")) - 1).cast("double")
+    pr = F.when(F.col("p_size") % 4 == 0, ((label.cast("int") + 1) % 6).cast("double")).otherwise(label)
+    return p.select(label.alias("label"), pr.alias("pr")).select(
+        "label", F.when(F.col("pr") == 5, F.lit(0.0)).otherwise(F.col("pr")).alias("prediction"))
+
+
+@query("class_metrics", PER_CLASS_SQL + f"""
+SELECT {rnd('sum(tp) / sum(support)', 6)} AS accuracy,
+       {rnd('sum(precision * support) / sum(support)', 6)} AS weighted_precision,
+       {rnd('sum(recall * support) / sum(support)', 6)} AS weighted_recall,
+       {rnd('sum(f1 * support) / sum(support)', 6)} AS weighted_f1
+FROM pf
+""")
+def class_metrics(spark, sf_dir):
+    return metrics.classification_metrics(_rule_predictions(spark, sf_dir), digits=6)
+
+
+@query("confusion_counts", PRED_SQL + " SELECT label, prediction, count(*) AS n FROM p GROUP BY label, prediction")
+def confusion_counts(spark, sf_dir):
+    return metrics.confusion_counts(_rule_predictions(spark, sf_dir))
+
+
+@query("class_report", PER_CLASS_SQL + f"""
+SELECT CAST(CAST(c AS INTEGER) AS VARCHAR) AS class, {rnd('precision', 6)} AS precision, {rnd('recall', 6)} AS recall,
+       {rnd('f1', 6)} AS f1, CAST(support AS BIGINT) AS support FROM pf
+UNION ALL SELECT 'accuracy', NULL, NULL, {rnd('sum(tp) / sum(support)', 6)}, CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'macro avg', {rnd('avg(precision)', 6)}, {rnd('avg(recall)', 6)}, {rnd('avg(f1)', 6)},
+                 CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'weighted avg', {rnd('sum(precision * support) / sum(support)', 6)},
+                 {rnd('sum(recall * support) / sum(support)', 6)}, {rnd('sum(f1 * support) / sum(support)', 6)},
+                 CAST(sum(support) AS BIGINT) FROM pf
+""")
+def class_report(spark, sf_dir):
+    return metrics.class_report(_rule_predictions(spark, sf_dir), digits=6)
