@@ -34,11 +34,17 @@ def dedupe(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataF
     task, not one reducer holding a third of the data.
     """
     desc = [o.startswith("-") for o in order_by]
+    types = dict(df.dtypes)
     if any(desc) and not all(desc):
         raise ValueError("order_by must be all ascending or all descending")
     order_cols = [o.lstrip("-") for o in order_by]
     rest = [c for c in df.columns if c not in order_cols and c not in keys]
     packed = F.struct(*[F.col(c) for c in order_cols + rest])
     pick = F.max if all(desc) and desc else F.min
-    out = df.groupBy(*keys).agg(pick(packed).alias("_keep"))
+    # A 64-bit hash of the text keys leads the grouping key: sorts then decide
+    # on the hash prefix instead of comparing long texts (near-copies share
+    # long prefixes). The keys themselves stay in the group, so it is exact.
+    text_keys = [k for k in keys if types[k] == "string"]
+    lead = [F.xxhash64(*text_keys).alias("_h")] if text_keys else []
+    out = df.groupBy(*lead, *keys).agg(pick(packed).alias("_keep"))
     return out.select(*[F.col(k) if k in keys else F.col(f"_keep.{k}").alias(k) for k in df.columns])

@@ -40,21 +40,26 @@ def confusion_matrix(df: DataFrame, classes, label: str = "label",
 def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction",
               klass: str = "class") -> DataFrame:
     """(class, tp, predicted, support, precision, recall, f1) for every class
-    seen as a label or as a prediction."""
-    conf = confusion_counts(df, label, prediction, "_n")
+    seen as a label or as a prediction.
+
+    Each scored row contributes to two classes (its label: support and maybe a
+    true positive; its prediction: predicted), so one explode + one partial /
+    final aggregate gives every count; at most ``classes`` rows per map task
+    reach the shuffle.
+    """
+    l, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     contrib = F.explode(F.array(
-        F.struct(F.col(label).cast("double").alias("c"), F.col("_n").alias("support"),
-                 F.lit(0).cast("long").alias("predicted"),
-                 F.when(F.col(label) == F.col(prediction), F.col("_n")).otherwise(F.lit(0)).cast("long").alias("tp")),
-        F.struct(F.col(prediction).cast("double").alias("c"), F.lit(0).cast("long").alias("support"),
-                 F.col("_n").alias("predicted"), F.lit(0).cast("long").alias("tp")),
+        F.struct(l.alias("c"), one.alias("support"), zero.alias("predicted"),
+                 F.when(l == p, one).otherwise(zero).alias("tp")),
+        F.struct(p.alias("c"), zero.alias("support"), one.alias("predicted"), zero.alias("tp")),
     ))
-    counts = (conf.select(contrib.alias("x")).select("x.*").groupBy("c")
-                  .agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"),
-                       F.sum("support").alias("support")))
-    p = _safe_div(F.col("tp"), F.col("predicted"))
-    r = _safe_div(F.col("tp"), F.col("support"))
-    out = counts.withColumns({"precision": p, "recall": r})
+    counts = (df.select(contrib.alias("x")).select("x.*").groupBy("c")
+                .agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"),
+                     F.sum("support").alias("support")))
+    prec = _safe_div(F.col("tp"), F.col("predicted"))
+    rec = _safe_div(F.col("tp"), F.col("support"))
+    out = counts.withColumns({"precision": prec, "recall": rec})
     out = out.withColumn("f1", _safe_div(2 * F.col("precision") * F.col("recall"),
                                          F.col("precision") + F.col("recall")))
     return out.withColumnRenamed("c", klass)
