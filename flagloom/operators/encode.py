@@ -87,6 +87,38 @@ def vocabulary_list(df: DataFrame, col: str, sep: str | None = None, trim: bool
     return [r[0] for r in rows]
 
 
+def vocabulary_lists(df: DataFrame, sources: Mapping[str, tuple[str, str | None]],
+                     max_values: int = DEFAULT_MAX_VALUES, trim: bool = True) -> dict[str, list[str]]:
+    """Several vocabularies in ONE scan: ``{name: (column, sep or None)}``.
+
+    Values of all columns are tagged with their source and de-duplicated in one
+    aggregate; a per-source ``row_number() <= max_values + 1`` (a window group
+    limit, applied map-side before the shuffle) bounds what reaches the driver.
+    """
+    def tag(name: str):
+        return lambda v: F.struct(F.lit(name).alias("src"), v.alias("value"))
+
+    arrays = []
+    for name, (col, sep) in sources.items():
+        vals = F.array(F.col(col)) if sep is None else F.array_distinct(split_tokens(col, sep, trim=trim))
+        # a null cell must not null the whole concatenation (and the row's other values)
+        vals = F.coalesce(vals, F.array().cast("array<string>"))
+        arrays.append(F.transform(vals, tag(name)))
+    tagged = df.select(F.explode(F.concat(*arrays)).alias("x")).select("x.*")
+    distinct = tagged.where(F.col("value").isNotNull()).distinct()
+    from flagloom.operators.rank import top_n_per_group  # local: rank imports reshape only
+    capped = top_n_per_group(distinct, ["src"], ["value"], max_values + 1)
+    out: dict[str, list[str]] = {name: [] for name in sources}
+    for r in capped.collect():
+        out[r["src"]].append(r["value"])
+    for name, vals in out.items():
+        if len(vals) > max_values:
+            raise ValueError(f"{name!r} has more than {max_values} distinct values; "
+                             "pass a vocabulary or raise max_values")
+        vals.sort()
+    return out
+
+
 def one_hot(df: DataFrame, col: str, vocab: Sequence[str] | None = None,
             max_values: int = DEFAULT_MAX_VALUES, as_type: str = "boolean",
             prefix: str = "", keep_commas: bool = True,

@@ -1050,3 +1050,157 @@ UNION ALL SELECT 'weighted avg', {rnd('sum(precision * support) / sum(support)',
 """)
 def class_report(spark, sf_dir):
     return metrics.class_report(_rule_predictions(spark, sf_dir), digits=6)
+
+
+# --------------------------------------------------------------------------
+# The composed catalog paths on a raw catalog derived from ``part``
+# --------------------------------------------------------------------------
+
+from flagloom.plans import pipeline  # noqa: E402
+
+COUNTRY_MAP = {"United States": "USA", "United Kingdom": "UK"}
+CATALOG_SPEC = pipeline.CatalogSpec(country_map=COUNTRY_MAP)
+
+RAW_CATALOG_SQL = r"""
+raw AS (SELECT 's' || CAST(p_partkey AS VARCHAR) AS show_id,
+  CASE WHEN p_type IN ('ECONOMY', 'MEDIUM', 'SMALL') THEN 'Movie' WHEN p_type IN ('PROMO', 'LARGE') THEN 'TV Show' END AS type,
+  p_name AS title,
+  CASE p_size % 7 WHEN 0 THEN NULL WHEN 1 THEN ' N/A ' WHEN 2 THEN '' ELSE p_brand END AS director,
+  CASE p_partkey % 5 WHEN 0 THEN 'United States, India' WHEN 1 THEN 'India' WHEN 2 THEN NULL
+       WHEN 3 THEN 'United Kingdom, France, United States' ELSE 'France,India , France' END AS country,
+  CASE WHEN p_partkey % 9 = 0 THEN 'Not found'
+       ELSE strftime(DATE '2015-01-01' + CAST(p_partkey % 2500 AS INTEGER), '%B %-d, %Y') END AS date_added,
+  CASE WHEN p_partkey % 13 = 0 THEN 'unknown' ELSE CAST(1940 + (p_partkey * 7) % 85 AS VARCHAR) END AS release_year,
+  CASE p_size % 6 WHEN 0 THEN 'TV-MA' WHEN 1 THEN 'PG-13' WHEN 2 THEN 'R' WHEN 3 THEN 'TV-Y7-FV' WHEN 4 THEN NULL
+       ELSE '84 min' END AS rating,
+  CASE WHEN p_size = 13 THEN 'unknown'
+       WHEN p_type IN ('ECONOMY', 'MEDIUM', 'SMALL') THEN CAST(p_size * 4 AS VARCHAR) || ' min'
+       WHEN p_type IN ('PROMO', 'LARGE') THEN CAST(p_size % 5 AS VARCHAR) || CASE WHEN p_size % 5 = 1 THEN ' Season' ELSE ' Seasons' END
+  END AS duration,
+  replace(p_name, ' ', ', ') AS listed_in
+FROM part),
+dd AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY title, release_year ORDER BY show_id) = 1)"""
+
+COUNTRIES_SQL = ("list_distinct(list_filter(list_transform(string_split(country, ','), lambda x: CASE trim(x) "
+                 + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COUNTRY_MAP.items())
+                 + " ELSE trim(x) END), lambda x: x <> ''))")
+GENRES_SQL = "list_distinct(list_filter(list_transform(string_split(listed_in, ','), lambda x: trim(x)), lambda x: x <> ''))"
+
+
+def raw_catalog(spark, sf_dir):
+    """A raw, messy catalog computed from ``part`` (one title per part)."""
+    p = table(spark, sf_dir, "part")
+    key, size, ptype = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
+    movie, tv = ptype.isin("ECONOMY", "MEDIUM", "SMALL"), ptype.isin("PROMO", "LARGE")
+    d7, k5 = size % 7, key % 5
+    added = F.date_format(F.date_add(F.lit("2015-01-01").cast("date"), (key % 2500).cast("int")), "MMMM d, yyyy")
+    r6 = size % 6
+    s5 = (size % 5).cast("string")
+    return p.select(
+        F.concat(F.lit("s"), key.cast("string")).alias("show_id"),
+        F.when(movie, F.lit("Movie")).when(tv, F.lit("TV Show")).alias("type"),
+        F.col("p_name").alias("title"),
+        F.when(d7 == 0, F.lit(None)).when(d7 == 1, F.lit(" N/A ")).when(d7 == 2, F.lit(""))
+         .otherwise(F.col("p_brand")).alias("director"),
+        F.when(k5 == 0, F.lit("United States, India")).when(k5 == 1, F.lit("India"))
+         .when(k5 == 2, F.lit(None)).when(k5 == 3, F.lit("United Kingdom, France, United States"))
+         .otherwise(F.lit("France,India , France")).alias("country"),
+        F.when(key % 9 == 0, F.lit("Not found")).otherwise(added).alias("date_added"),
+        F.when(key % 13 == 0, F.lit("unknown"))
+         .otherwise((F.lit(1940) + (key * 7) % 85).cast("string")).alias("release_year"),
+        F.when(r6 == 0, F.lit("TV-MA")).when(r6 == 1, F.lit("PG-13")).when(r6 == 2, F.lit("R"))
+         .when(r6 == 3, F.lit("TV-Y7-FV")).when(r6 == 4, F.lit(None)).otherwise(F.lit("84 min")).alias("rating"),
+        F.when(size == 13, F.lit("unknown"))
+         .when(movie, F.concat((size * 4).cast("string"), F.lit(" min")))
+         .when(tv, F.concat(s5, F.when(size % 5 == 1, F.lit(" Season")).otherwise(F.lit(" Seasons"))))
+         .alias("duration"),
+        F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")).alias("listed_in"),
+    )
+
+
+def _catalog_features(spark, sf_dir):
+    enc = pipeline.encode_catalog(raw_catalog(spark, sf_dir), CATALOG_SPEC)
+    feat = pipeline.feature_catalog(enc, CATALOG_SPEC)
+    return enc, encode.row_flag_count(feat, list(enc.genre_flags), "n_genres")
+
+
+@query("catalog_features", rf"""
+WITH {RAW_CATALOG_SQL},
+f AS (SELECT show_id, CASE WHEN type = 'Movie' THEN 1 ELSE 0 END AS movie,
+             CASE WHEN type = 'TV Show' THEN 1 ELSE 0 END AS tv_show, coalesce(rating, 'Not_Found') AS rating,
+             director, release_year, duration,
+             CAST(coalesce(len({COUNTRIES_SQL}), 0) AS INTEGER) AS country_count,
+             CAST(coalesce(len({GENRES_SQL}), 0) AS INTEGER) AS n_genres FROM dd),
+g AS (SELECT *, CASE WHEN movie = 1 THEN TRY_CAST(regexp_extract(duration, '(\d+)\s*min', 1) AS INTEGER) END AS duration_min,
+             CASE WHEN tv_show = 1 THEN TRY_CAST(regexp_extract(duration, '(\d+)\s*Season', 1) AS INTEGER) END AS seasons_num,
+             TRY_CAST(release_year AS INTEGER) AS ry FROM f)
+SELECT show_id, movie, tv_show, rating, duration_min, seasons_num,
+  CASE WHEN movie = 1 THEN CASE WHEN duration_min IS NULL THEN 'Long' WHEN duration_min <= 29 THEN 'Short'
+                                WHEN duration_min BETWEEN 30 AND 90 THEN 'Medium' ELSE 'Long' END
+       WHEN tv_show = 1 THEN CASE WHEN seasons_num IS NULL THEN 'Long_Running' WHEN seasons_num = 1 THEN 'One_Season'
+                                  WHEN seasons_num BETWEEN 2 AND 3 THEN 'Multi_Season' ELSE 'Long_Running' END
+       ELSE 'Unknown' END AS content_length_category,
+  CASE WHEN director IS NULL OR lower(trim(director)) IN ('', 'not found', 'not_found', 'n/a') THEN 'Original'
+       ELSE 'Licensed' END AS content_origin,
+  CASE WHEN ry >= 2020 THEN '2020s' WHEN ry >= 1950 THEN CAST(CAST(floor(ry / 10) * 10 AS INTEGER) AS VARCHAR) || 's'
+       ELSE 'Unknown' END AS release_decade,
+  country_count,
+  CASE WHEN country_count > 1 THEN 'Multi-Country' WHEN country_count = 1 THEN 'Single-Country' ELSE 'Unknown' END
+    AS multi_country_production,
+  n_genres
+FROM g
+""")
+def catalog_features(spark, sf_dir):
+    """Stages 1 + 2 end to end: raw catalog -> flags -> de-duplicated features."""
+    _, feat = _catalog_features(spark, sf_dir)
+    return feat.select("show_id", "movie", "tv_show", *pipeline.FEATURE_COLUMNS, "n_genres")
+
+
+@query("catalog_top_genre_per_country", f"""
+WITH {RAW_CATALOG_SQL},
+c1 AS (SELECT unnest({COUNTRIES_SQL}) AS country, listed_in FROM dd),
+c2 AS (SELECT country, unnest({GENRES_SQL}) AS genre FROM c1),
+cnt AS (SELECT country, genre, count(*) AS count FROM c2 GROUP BY country, genre)
+SELECT country, genre, count FROM cnt QUALIFY row_number() OVER (PARTITION BY country ORDER BY count DESC, genre) = 1
+""")
+def catalog_top_genre_per_country(spark, sf_dir):
+    enc, feat = _catalog_features(spark, sf_dir)
+    return pipeline.top_genre_per_country(feat, enc.country_flags, enc.genre_flags)
+
+
+@query("catalog_type_share_by_country", f"""
+WITH {RAW_CATALOG_SQL},
+c1 AS (SELECT unnest({COUNTRIES_SQL}) AS country, CASE WHEN type = 'Movie' THEN 1 ELSE 0 END AS m,
+              CASE WHEN type = 'TV Show' THEN 1 ELSE 0 END AS t FROM dd),
+a AS (SELECT country, CAST(sum(m) AS BIGINT) AS movie_count, CAST(sum(t) AS BIGINT) AS tvshow_count FROM c1 GROUP BY country)
+SELECT country, movie_count, tvshow_count,
+  {rnd('CAST(movie_count AS DOUBLE) / nullif(movie_count + tvshow_count, 0) * 100', 1)} AS movie_percentage,
+  {rnd('CAST(tvshow_count AS DOUBLE) / nullif(movie_count + tvshow_count, 0) * 100', 1)} AS tvshow_percentage
+FROM a
+""")
+def catalog_type_share_by_country(spark, sf_dir):
+    enc, feat = _catalog_features(spark, sf_dir)
+    return pipeline.type_share_by_country(feat, enc.country_flags)
+
+
+@query("catalog_rating_share", f"""
+WITH {RAW_CATALOG_SQL},
+c AS (SELECT coalesce(rating, 'Not_Found') AS rating, count(*) AS count FROM dd GROUP BY 1)
+SELECT rating, count, {rnd('count / (SELECT sum(count) FROM c) * 100', 3)} AS percentage FROM c
+""")
+def catalog_rating_share(spark, sf_dir):
+    _, feat = _catalog_features(spark, sf_dir)
+    return pipeline.rating_share(feat)
+
+
+@query("catalog_clusters")
+def catalog_clusters(spark, sf_dir):
+    """Stage 3 + KMeans (k=4, seed 42) on the catalog features: cluster sizes."""
+    enc, feat = _catalog_features(spark, sf_dir)
+    cols = [MOVIE_COL, TV_COL, *enc.genre_flags, "duration_min", "seasons_num", "country_count", "release_year"]
+    x = pipeline.model_input(feat, cols, CATALOG_SPEC)
+    model = ml.fit_kmeans(x, k=4, seed=SEED, key="show_id")
+    return agg.count_by(ml.assign_clusters(model, x), ["cluster"], "count")
+
+
+MOVIE_COL, TV_COL = pipeline.MOVIE_FLAG, pipeline.TV_FLAG
