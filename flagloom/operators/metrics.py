@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flagloom.operators.setops import union_all
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -84,21 +83,33 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
                  digits: int | None = None) -> DataFrame:
     """Per-class precision, recall, F1 and support, then the accuracy, macro
-    average and weighted average rows (classes seen as label or prediction)."""
-    pc = per_class(df, label, prediction)  # the four branches reuse one exchange
-    cls = pc.select(F.col("class").cast("int").cast("string").alias("class"),
-                    "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
-    n = F.sum("support")
-    acc = pc.agg(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), _safe_div(F.sum("tp"), n).alias("f1"),
-                 n.cast("long").alias("support"))
-    macro = pc.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
-                   F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), n.cast("long").alias("support"))
-    weighted = pc.agg(F.lit("weighted avg").alias("class"),
-                      *[_safe_div(F.sum(F.col(m) * F.col("support")), n).alias(m)
-                        for m in ("precision", "recall", "f1")],
-                      n.cast("long").alias("support"))
-    out = union_all([cls, acc, macro, weighted])
+    average and weighted average rows (classes seen as label or prediction).
+
+    One ``rollup`` over the per-class counts gives both the class rows and the
+    grand total the summary rows are made of, so the predictions are scanned
+    once.
+    """
+    pc = per_class(df, label, prediction)
+    w = {m: F.sum(F.col(m) * F.col("support")) for m in ("precision", "recall", "f1")}
+    r = pc.rollup("class").agg(
+        F.grouping("class").alias("_g"),
+        *[F.max(m).alias(m) for m in ("precision", "recall", "f1")],
+        *[F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")],
+        *[v.alias(f"w_{m}") for m, v in w.items()],
+        F.sum("tp").alias("tp"), F.sum("support").cast("long").alias("support"))
+    n = F.col("support")
+
+    def row(name, p, rc, f):
+        return F.struct(name.alias("class"), p.cast("double").alias("precision"),
+                        rc.cast("double").alias("recall"), f.cast("double").alias("f1"), n.alias("support"))
+
+    per = row(F.col("class").cast("int").cast("string"), F.col("precision"), F.col("recall"), F.col("f1"))
+    summary = F.array(
+        row(F.lit("accuracy"), F.lit(None), F.lit(None), _safe_div(F.col("tp"), n)),
+        row(F.lit("macro avg"), F.col("macro_precision"), F.col("macro_recall"), F.col("macro_f1")),
+        row(F.lit("weighted avg"), *[_safe_div(F.col(f"w_{m}"), n) for m in ("precision", "recall", "f1")]),
+    )
+    out = r.select(F.explode(F.when(F.col("_g") == 0, F.array(per)).otherwise(summary)).alias("x")).select("x.*")
     if digits is not None:
         out = out.withColumns({m: F.round(m, digits) for m in ("precision", "recall", "f1")})
     return out

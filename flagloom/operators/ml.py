@@ -140,14 +140,12 @@ def describe_clusters(profile: DataFrame, key: str, minutes: str, seasons: str,
     year > ``year_cut`` -> 'recent' else 'older'; plus the ``n`` largest of the
     named feature means.
     """
-    notes = profile.select(
-        key,
-        F.when(F.col(minutes) > long_minutes, F.lit("full-length"))
-         .when(F.col(seasons) > multi_seasons, F.lit("multi-season"))
-         .otherwise(F.lit("short-or-single")).alias("length_note"),
-        F.when(F.col(year) > year_cut, F.lit("recent")).otherwise(F.lit("older")).alias("era_note"),
-    )
-    top = top_n_measures(profile, [key], list(features), n=n, joined="top_features",
-                         strip_prefix=strip_prefix)
-    # both sides hold one row per cluster (k rows), so this join is bounded.
-    return notes.join(top, on=key, how="left")
+    noted = profile.withColumns({
+        "length_note": F.when(F.col(minutes) > long_minutes, F.lit("full-length"))
+                        .when(F.col(seasons) > multi_seasons, F.lit("multi-season"))
+                        .otherwise(F.lit("short-or-single")),
+        "era_note": F.when(F.col(year) > year_cut, F.lit("recent")).otherwise(F.lit("older")),
+    })
+    # notes ride along as ids through the unpivot, so one pass, no join back
+    return top_n_measures(noted, [key, "length_note", "era_note"], list(features), n=n,
+                          joined="top_features", strip_prefix=strip_prefix)

@@ -55,10 +55,12 @@ def top_n_measures(df: DataFrame, ids: Sequence[str], measures: Sequence[str], n
                    ids, measures, key, value)
     if strip_prefix:
         long = long.withColumn(key, F.regexp_replace(F.col(key), "^" + strip_prefix, ""))
-    ranked = top_n_per_group(long.where(F.col(value).isNotNull()), ids, [f"-{value}", key], n,
-                             rank_col="rank")
     if not joined:
-        return ranked
-    ordered = F.array_sort(F.collect_list(F.struct("rank", key)))
+        return top_n_per_group(long.where(F.col(value).isNotNull()), ids, [f"-{value}", key], n,
+                               rank_col="rank")
+    # joined form keeps every id, even one whose measures are all null
+    ranked = top_n_per_group(long, ids, [f"-{value}", key], n, rank_col="rank")
+    kept = F.when(F.col(value).isNotNull(), F.struct("rank", key))
+    ordered = F.array_sort(F.collect_list(kept))
     return ranked.groupBy(*ids).agg(
         F.array_join(F.transform(ordered, lambda s: s[key]), sep).alias(joined))
