@@ -51,14 +51,18 @@ def replace_values(df: DataFrame, mapping: Mapping[str, str], subset: Sequence[s
 
 
 def map_values_table(df: DataFrame, col: str, mapping: DataFrame, key: str, value: str,
-                     out: str | None = None) -> DataFrame:
+                     out: str | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Value mapping from a table (for maps too large to inline as literals).
 
-    A left join; AQE turns it into a broadcast join at run time when the
-    mapping table is small, and keeps a shuffle join when it is not.
+    The mapping's size is checked first (a bounded ``limit(n+1).count()``):
+    up to ``max_broadcast_rows`` rows it is broadcast, so a hot value in
+    ``df`` never meets a shuffle; beyond that it is a shuffle join, where
+    AQE's skew-join handling splits a hot value's partition.
     """
-    m = mapping.select(F.col(key).alias("_mk"), F.col(value).alias("_mv"))
-    joined = df.join(m, F.col(col) == F.col("_mk"), "left")
+    # one value per key (the smallest, so a duplicated key maps deterministically)
+    m = mapping.groupBy(F.col(key).alias("_mk")).agg(F.min(value).alias("_mv"))
+    small = mapping.select(key).limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    joined = df.join(F.broadcast(m) if small else m, F.col(col) == F.col("_mk"), "left")
     return joined.withColumn(out or col, F.coalesce(F.col("_mv"), F.col(col))).drop("_mk", "_mv")
 
 

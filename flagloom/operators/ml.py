@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from flagloom.operators.rank import top_n_measures
 from flagloom.sources.io import small_table
 
-FIT_PARTITIONS = 8
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features",
@@ -46,14 +45,18 @@ def vector_values(c: str | Column) -> Column:
     return vector_to_array(F.col(c) if isinstance(c, str) else c)
 
 
-def _fit_input(df: DataFrame, key: str | None, partitions: int) -> DataFrame:
+def _fit_input(df: DataFrame, key: str | None, partitions: int | None) -> DataFrame:
+    """Fixed layout (hash of the key into the session's shuffle partition
+    count, sorted inside) so a fit is repeatable, then persisted for the
+    iterations. The count follows the cluster's setting, not a constant."""
     if key is not None:
-        df = df.repartition(partitions, key).sortWithinPartitions(key)
+        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, key).sortWithinPartitions(key)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_kmeans(df: DataFrame, k: int, seed: int, features: str = "features", prediction: str = "cluster",
-               key: str | None = None, partitions: int = FIT_PARTITIONS, max_iter: int = 20):
+               key: str | None = None, partitions: int | None = None, max_iter: int = 20):
     data = _fit_input(df.select(*([key] if key else []), features), key, partitions)
     try:
         return KMeans(featuresCol=features, predictionCol=prediction, k=k, seed=seed,
@@ -97,7 +100,7 @@ def forest(label: str, features: str = "features", trees: int = 20, seed: int =
 
 
 def fit_forest(df: DataFrame, label: str, features: str = "features", trees: int = 20, seed: int = 42,
-               key: str | None = None, partitions: int = FIT_PARTITIONS, max_depth: int = 5):
+               key: str | None = None, partitions: int | None = None, max_depth: int = 5):
     data = _fit_input(df.select(*([key] if key else []), label, features), key, partitions)
     try:
         return forest(label, features, trees, seed, max_depth=max_depth).fit(data)
@@ -106,7 +109,7 @@ def fit_forest(df: DataFrame, label: str, features: str = "features", trees: int
 
 
 def fit_forest_pipeline(df: DataFrame, feature_cols: Sequence[str], label: str, trees: int = 20,
-                        seed: int = 42, key: str | None = None, partitions: int = FIT_PARTITIONS,
+                        seed: int = 42, key: str | None = None, partitions: int | None = None,
                         vector: str = "rf_features"):
     """Assembler + forest as one Pipeline, fitted on ``df``."""
     cols = list(dict.fromkeys([*([key] if key else []), label, *feature_cols]))
