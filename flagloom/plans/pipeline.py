@@ -118,12 +118,18 @@ FEATURE_COLUMNS = ["rating", "duration_min", "seasons_num", "content_length_cate
 
 
 def feature_catalog(enc: Encoded, spec: CatalogSpec = CatalogSpec(), dedupe_keys: Sequence[str] | None = None,
-                    movie_null: str | None = None, tv_null: str | None = None) -> DataFrame:
-    """Stage 2: one row per (title, release year), flags as 0/1, features."""
+                    movie_null: str | None = None, tv_null: str | None = None,
+                    deduplicate: bool = True) -> DataFrame:
+    """Stage 2: one row per (title, release year), flags as 0/1, features.
+
+    ``deduplicate=False`` keeps every row (the row-wise part of the stage,
+    e.g. for a stream, where de-duplication is a downstream batch step).
+    """
     s = spec
     df = enc.df
-    keys = list(dedupe_keys or [s.title_col, s.release_col])
-    df = dedupe.dedupe(df, keys, [s.id_col])
+    if deduplicate:
+        keys = list(dedupe_keys or [s.title_col, s.release_col])
+        df = dedupe.dedupe(df, keys, [s.id_col])
     df = clean.bool_to_int(df, [*enc.genre_flags, *enc.rating_flags])
     df = encode.decode_one_hot(df, enc.rating_flags, "rating", default=RATING_DEFAULT)
     movie, tv = F.col(MOVIE_FLAG) == 1, F.col(TV_FLAG) == 1
