@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 # Fixed value: the long-form text date layout of the catalog ("August 4, 2017").
 TEXT_DATE_FORMAT = "MMMM d, yyyy"
 
+# Text that can possibly cast to an integer: optional sign and digits, padded
+# by the characters Spark's cast trims (control characters, space, DEL).
+INT_TEXT = r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$"
+INTEGRAL_TYPES = ("tinyint", "smallint", "int", "integer", "bigint", "long", "byte", "short")
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -35,9 +40,22 @@ def first_token(c: Column | str, sep: str = " ") -> Column:
     return F.trim(F.get(F.split(_c(c), _regex_literal(sep)), 0))
 
 
+def try_int(c: Column | str, to: str = "int") -> Column:
+    """``try_cast(c as to)`` for text, without its slow path.
+
+    A failing ``try_cast`` from text costs ~10x a successful one, which
+    dominates a scan where most values are not numbers. Only text that can
+    possibly be an integer reaches the cast (it still turns overflow into
+    null); everything else is null straight away. Same results as
+    ``try_cast`` (checked in tests), far cheaper on non-numbers.
+    """
+    c = _c(c)
+    return F.when(c.rlike(INT_TEXT), c.try_cast(to))
+
+
 def extract_int(c: Column | str, pattern: str, group: int = 1) -> Column:
     """Regex group as int; a miss (``''``) or overflow gives null, never an error."""
-    return F.regexp_extract(_c(c), pattern, group).try_cast("int")
+    return try_int(F.regexp_extract(_c(c), pattern, group))
 
 
 def parse_text_date(c: Column | str, fmt: str = TEXT_DATE_FORMAT) -> Column:
@@ -85,4 +103,4 @@ def as_flag_int(c: Column | str, dtype: str) -> Column:
     s = F.lower(F.trim(c.cast("string")))
     return (F.when(s == "true", F.lit(1))
              .when(s == "false", F.lit(0))
-             .otherwise(s.try_cast("int")))
+             .otherwise(try_int(s)))

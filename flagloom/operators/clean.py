@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flagloom.functions.predicates import norm_text
-from flagloom.functions.scalars import as_flag_int, capitalize
+from flagloom.functions.scalars import INTEGRAL_TYPES, as_flag_int, capitalize, try_int
 
 # Fixed value: the token written into missing text cells by the catalog clean-up.
 NOT_FOUND = "Not found"
@@ -93,8 +93,18 @@ def boolean_like_columns(df: DataFrame, key: str = "column", value: str = "is_bo
 
 
 def cast_columns(df: DataFrame, types: Mapping[str, str], safe: bool = True) -> DataFrame:
-    """Cast many columns in one projection; ``safe`` turns failures into null."""
-    return df.withColumns({c: (F.col(c).try_cast(t) if safe else F.col(c).cast(t)) for c, t in types.items()})
+    """Cast many columns in one projection; ``safe`` turns failures into null
+    (text -> integer goes through the cheap ``try_int`` guard)."""
+    src = dict(df.dtypes)
+
+    def one(c: str, t: str):
+        if not safe:
+            return F.col(c).cast(t)
+        if src.get(c) == "string" and t.lower() in INTEGRAL_TYPES:
+            return try_int(c, t)
+        return F.col(c).try_cast(t)
+
+    return df.withColumns({c: one(c, t) for c, t in types.items()})
 
 
 def normalize_values(df: DataFrame, col: str, out: str = "name") -> DataFrame:

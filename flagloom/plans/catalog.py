@@ -51,8 +51,18 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return io.read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The driver table as a DataFrame. The handle (file listing + footer
+    schema, not data) is reused per session, as a metastore table would be,
+    so queries do not re-list the same files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = io.read_table(spark, path)
+    return _TABLES[key]
 
 
 def rnd(expr: str, digits: int) -> str:
@@ -1228,8 +1238,8 @@ def stream_catalog_features(spark, sf_dir):
     back. Same features as ``catalog_features`` without the de-duplication."""
     raw = raw_catalog(spark, sf_dir)
     spec = streaming.fixed_vocabularies(CATALOG_SPEC, raw)
-    src = io.write_table(raw, scratch_path(spark, "stream-src"), fmt="csv", max_records_per_file=500)
-    stream = streaming.read_catalog_stream(spark, src, RAW_CATALOG_SCHEMA, max_files_per_trigger=2)
+    src = io.write_table(raw, scratch_path(spark, "stream-src"), fmt="csv", max_records_per_file=5000)
+    stream = streaming.read_catalog_stream(spark, src, RAW_CATALOG_SCHEMA, max_files_per_trigger=1000)
     enc, feat = streaming.encode_stream(stream, spec)
     feat = encode.row_flag_count(feat, list(enc.genre_flags), "n_genres")
     sink = scratch_path(spark, "stream-sink")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flagloom.functions.names import safe_name
-from flagloom.functions.scalars import TEXT_DATE_FORMAT, split_tokens
+from flagloom.functions.scalars import TEXT_DATE_FORMAT, split_tokens, try_int
 from flagloom.operators import aggregate as agg
 from flagloom.operators import clean, dedupe, derive, encode, rank, reshape
 from flagloom.sources import io
@@ -140,7 +140,7 @@ def feature_catalog(enc: Encoded, spec: CatalogSpec = CatalogSpec(), dedupe_keys
     df = encode.row_flag_count(df, list(enc.country_flags), "country_count")
     return df.withColumns({
         "content_origin": derive.missing_class(s.director_col),
-        "release_decade": derive.decade_label(F.col(s.release_col).try_cast("int")),
+        "release_decade": derive.decade_label(try_int(s.release_col)),
         "multi_country_production": derive.count_class("country_count"),
     })
 
@@ -155,7 +155,7 @@ def model_input(feat: DataFrame, feature_cols: Sequence[str], spec: CatalogSpec
     s = spec
     df = feat.withColumns({
         "year_added": derive.year_with_default(s.date_col, s.date_format, default_year),
-        s.release_col: F.coalesce(F.col(s.release_col).try_cast("int"), F.lit(default_year)),
+        s.release_col: F.coalesce(try_int(s.release_col), F.lit(default_year)),
     })
     df = clean.fill_zero(df, list(feature_cols))
     return ml.assemble(df, list(feature_cols), out)

@@ -321,3 +321,14 @@ def test_union_all_by_name(spark):
     a = spark.createDataFrame([(1, "x")], "n long, k string")
     b = spark.createDataFrame([("y", 2)], "k string, n long")
     assert sorted(tuple(r) for r in union_all([a, b]).collect()) == [(1, "x"), (2, "y")]
+
+
+def test_try_int_equals_try_cast(spark, ansi):
+    from flagloom.functions import try_int
+    vals = ["1", "+3", "-2", " 7 ", "\t8\n", "1.0", "1.5", "1.", ".5", "1e3", "0x10", "", "x", " ",
+            "99999999999", "2147483647", "2147483648", "-2147483648", "-2147483649", "007", "1 2",
+            "١٢", "\xa05", "\x0b9", "\x7f5", "\x015\x1f", "1_000", "+", "-", "+-1", None]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    for t in ("int", "bigint", "smallint"):
+        got = df.select(try_int("v", t).alias("a"), F.col("v").try_cast(t).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got), t
