@@ -23,6 +23,7 @@ def _safe_div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 
 
+
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction",
                      count: str = "n") -> DataFrame:
     """(label, prediction, n) for every observed pair."""
@@ -30,10 +31,25 @@ def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "pre
 
 
 def confusion_matrix(df: DataFrame, classes, label: str = "label",
-                     prediction: str = "prediction") -> DataFrame:
-    """Wide matrix: one row per label, one column per predicted class."""
-    return (df.groupBy(label).pivot(prediction, list(classes)).count().na.fill(0)
-              .orderBy(label))
+                     prediction: str = "prediction", prefix: str = "pred_") -> DataFrame:
+    """Wide matrix: one row per label, one column ``pred_<class>`` per
+    predicted class.
+
+    ``classes`` is given (a bounded list), so the pivot needs no extra job to
+    discover its values; counts are a partial + final aggregate.
+    """
+    wide = df.groupBy(label).pivot(prediction, list(classes)).count().na.fill(0)
+    names = {str(c): prefix + (str(int(c)) if float(c).is_integer() else str(c).replace(".", "_"))
+             for c in classes}
+    return wide.select(label, *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _div0(a: str, b: str) -> str:
+    return f"coalesce(try_divide(CAST({a} AS DOUBLE), {b}), 0D)"
 
 
 def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -44,39 +60,34 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
     Each scored row contributes to two classes (its label: support and maybe a
     true positive; its prediction: predicted), so one explode + one partial /
     final aggregate gives every count; at most ``classes`` rows per map task
-    reach the shuffle.
+    reach the shuffle. (Written as SQL expressions: the same plan, built with
+    a few driver calls instead of thousands.)
     """
-    l, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    contrib = F.explode(F.array(
-        F.struct(l.alias("c"), one.alias("support"), zero.alias("predicted"),
-                 F.when(l == p, one).otherwise(zero).alias("tp")),
-        F.struct(p.alias("c"), zero.alias("support"), one.alias("predicted"), zero.alias("tp")),
-    ))
-    counts = (df.select(contrib.alias("x")).select("x.*").groupBy("c")
-                .agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"),
-                     F.sum("support").alias("support")))
-    prec = _safe_div(F.col("tp"), F.col("predicted"))
-    rec = _safe_div(F.col("tp"), F.col("support"))
-    out = counts.withColumns({"precision": prec, "recall": rec})
-    out = out.withColumn("f1", _safe_div(2 * F.col("precision") * F.col("recall"),
-                                         F.col("precision") + F.col("recall")))
-    return out.withColumnRenamed("c", klass)
+    l, p = f"CAST({_q(label)} AS DOUBLE)", f"CAST({_q(prediction)} AS DOUBLE)"
+    contrib = (f"explode(array(named_struct('c', {l}, 'support', 1L, 'predicted', 0L, "
+               f"'tp', IF({l} = {p}, 1L, 0L)), "
+               f"named_struct('c', {p}, 'support', 0L, 'predicted', 1L, 'tp', 0L))) AS x")
+    counts = (df.selectExpr(contrib).selectExpr("x.*").groupBy("c")
+                .agg(F.expr("sum(tp) AS tp"), F.expr("sum(predicted) AS predicted"),
+                     F.expr("sum(support) AS support")))
+    pr = counts.selectExpr("c", "tp", "predicted", "support", f"{_div0('tp', 'predicted')} AS precision",
+                           f"{_div0('tp', 'support')} AS recall")
+    return pr.selectExpr(f"c AS {_q(klass)}", "tp", "predicted", "support", "precision", "recall",
+                         f"{_div0('2 * precision * recall', 'precision + recall')} AS f1")
 
 
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
                            digits: int | None = None) -> DataFrame:
     """One row: accuracy, weighted precision / recall / F1."""
     pc = per_class(df, label, prediction)
-    n = F.sum("support")
-    out = pc.agg(
-        _safe_div(F.sum("tp"), n).alias("accuracy"),
-        _safe_div(F.sum(F.col("precision") * F.col("support")), n).alias("weighted_precision"),
-        _safe_div(F.sum(F.col("recall") * F.col("support")), n).alias("weighted_recall"),
-        _safe_div(F.sum(F.col("f1") * F.col("support")), n).alias("weighted_f1"),
+    out = pc.selectExpr(
+        f"{_div0('sum(tp)', 'sum(support)')} AS accuracy",
+        f"{_div0('sum(precision * support)', 'sum(support)')} AS weighted_precision",
+        f"{_div0('sum(recall * support)', 'sum(support)')} AS weighted_recall",
+        f"{_div0('sum(f1 * support)', 'sum(support)')} AS weighted_f1",
     )
     if digits is not None:
-        out = out.select(*[F.round(c, digits).alias(c) for c in out.columns])
+        out = out.selectExpr(*[f"round({c}, {digits}) AS {c}" for c in out.columns])
     return out
 
 

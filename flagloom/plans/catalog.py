@@ -1048,6 +1048,14 @@ def confusion_counts(spark, sf_dir):
     return metrics.confusion_counts(_rule_predictions(spark, sf_dir))
 
 
+@query("confusion_matrix", PRED_SQL + " SELECT label, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE prediction = {c}.0) AS BIGINT) AS pred_{c}" for c in range(6))
+    + " FROM p GROUP BY label")
+def confusion_matrix(spark, sf_dir):
+    """Wide confusion matrix: one row per label, one column per class (ML-14)."""
+    return metrics.confusion_matrix(_rule_predictions(spark, sf_dir), [float(c) for c in range(6)])
+
+
 @query("class_report", PER_CLASS_SQL + f"""
 SELECT CAST(CAST(c AS INTEGER) AS VARCHAR) AS class, {rnd('precision', 6)} AS precision, {rnd('recall', 6)} AS recall,
        {rnd('f1', 6)} AS f1, CAST(support AS BIGINT) AS support FROM pf

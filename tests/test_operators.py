@@ -332,3 +332,24 @@ def test_try_int_equals_try_cast(spark, ansi):
     for t in ("int", "bigint", "smallint"):
         got = df.select(try_int("v", t).alias("a"), F.col("v").try_cast(t).alias("b")).collect()
         assert all(r["a"] == r["b"] for r in got), t
+
+
+def test_hot_key_third_of_rows(spark):
+    """One key holds a third of the rows: results stay whole and exact, and the
+    plans combine map-side before the shuffle."""
+    n = 30_000
+    df = spark.range(n).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"),
+        (F.col("id") % 7).alias("v"))
+    out = dedupe.dedupe(df.repartition(8), ["k"], ["id"])
+    assert out.count() == 1 + (n - n // 3)
+    assert out.where("k = 'hot'").first()["id"] == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan
+    counts = agg.count_by(df, ["k"])
+    assert counts.where("k = 'hot'").first()["n"] == n // 3
+    assert "partial_count" in counts._jdf.queryExecution().executedPlan().toString()
+    top = rank.top_n_per_group(df, ["k"], ["-v", "id"], 2)
+    assert top.where("k = 'hot'").count() == 2
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
