@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the naming rule (they decide the flag column names):
-#   trim the value; "&" becomes "and"; space, "-" and "/" become "_";
+#   trim spaces at both ends; "&" becomes "and"; space, "-" and "/" become "_";
 #   "." and "'" are removed; "," is removed too unless keep_commas=True.
 AMPERSAND_WORD = "and"
 UNDERSCORE_CHARS = " -/"
@@ -29,7 +29,7 @@ def _dropped(keep_commas: bool) -> str:
 
 def safe_name(value: str, keep_commas: bool = False) -> str:
     """Driver-side form of the naming rule."""
-    s = value.strip().replace("&", AMPERSAND_WORD)
+    s = value.strip(" ").replace("&", AMPERSAND_WORD)  # spaces only, as Spark's trim
     s = re.sub("[" + re.escape(UNDERSCORE_CHARS) + "]", "_", s)
     return re.sub("[" + re.escape(_dropped(keep_commas)) + "]", "", s)
 
