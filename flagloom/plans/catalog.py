@@ -1254,3 +1254,55 @@ def stream_catalog_features(spark, sf_dir):
     streaming.run_to_parquet(feat.select("show_id", "movie", "tv_show", *pipeline.FEATURE_COLUMNS, "n_genres"),
                              sink).awaitTermination()
     return io.read_table(spark, sink)
+
+
+# --------------------------------------------------------------------------
+# The same operators on the largest driver table (work grows with the data)
+# --------------------------------------------------------------------------
+
+LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("lineitem_profile", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM lineitem" for c in LINEITEM_COLS))
+def lineitem_profile(spark, sf_dir):
+    """Null count of every lineitem column in one scan (AGG-4)."""
+    return agg.profile_columns(table(spark, sf_dir, "lineitem"))
+
+
+@query("lineitem_status_share", f"""
+WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS count FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, l_linestatus, count, {rnd('count / (SELECT sum(count) FROM c) * 100', 3)} AS percentage FROM c
+""")
+def lineitem_status_share(spark, sf_dir):
+    """Share of all line items per (return flag, line status) (AGG-9)."""
+    return agg.share_of_total(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], digits=3)
+
+
+@query("lineitem_top_parts_per_supplier", """
+WITH c AS (SELECT l_suppkey, l_partkey, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS qty
+           FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, l_partkey, n, qty FROM c
+QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY qty DESC, l_partkey) <= 3
+""")
+def lineitem_top_parts_per_supplier(spark, sf_dir):
+    """Three parts with the largest shipped quantity per supplier (AGG-2,
+    WIN-1/2): partial aggregate, then a window group limit map-side."""
+    li = table(spark, sf_dir, "lineitem")
+    per = li.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"))
+    return rank.top_n_per_group(per, ["l_suppkey"], ["-qty", "l_partkey"], 3)
+
+
+@query("lineitem_first_line_per_order", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, l_partkey NULLS FIRST,
+                                                   l_quantity NULLS FIRST, l_returnflag NULLS FIRST) = 1
+""")
+def lineitem_first_line_per_order(spark, sf_dir):
+    """One row per order, the lowest line number (DDP-3 on a numeric key).
+    Line numbers repeat inside an order in this data, so the operator's
+    tie-break (the remaining columns in order) decides, as the SQL states."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+                                                 "l_returnflag")
+    return dedupe.dedupe(li, ["l_orderkey"], ["l_linenumber"])
