@@ -41,8 +41,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting is always used when present. Only when nothing is
-    configured (a bare local test session) is a private folder created and
-    registered, so ``checkpoint()`` and scratch writes work the same way.
+    configured in a local-mode session (tests) is a private folder created
+    and registered; on a cluster a missing setting is an error, never a
+    machine-local folder.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -50,6 +51,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
+        if not sc.master.startswith("local"):
+            # a driver-local folder is invisible to executors on a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                               "distributed file system) before running flagloom jobs")
         root = tempfile.mkdtemp(prefix="flagloom-ckpt-")
         sc.setCheckpointDir(root)
     elif not sc.getCheckpointDir():
