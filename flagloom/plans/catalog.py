@@ -21,9 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flagloom.functions.names import safe_name_col
-from flagloom.functions.predicates import is_missing
 from flagloom.functions.scalars import (
-    as_flag_int,
     extract_int,
     first_token,
     format_pct,
@@ -32,9 +30,12 @@ from flagloom.functions.scalars import (
     pct,
     split_tokens,
 )
+from flagloom import streaming
 from flagloom.operators import aggregate as agg
-from flagloom.operators import clean, columns, dedupe, derive, encode, rank, reshape
+from flagloom.operators import clean, columns, dedupe, derive, encode, metrics, ml, rank, reshape
 from flagloom.operators.setops import union_all
+from flagloom.plans import pipeline
+from flagloom.session import scratch_path
 from flagloom.sources import io
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -128,7 +129,7 @@ PART_SCHEMA = ("p_partkey bigint, p_name string, p_brand string, p_type string,
 def csv_roundtrip(spark, sf_dir):
     """Write ``part`` as CSV under the shared checkpoint folder, read it back
     with an explicit schema (no inference pass)."""
-    path = io.write_table(table(spark, sf_dir, "part"), io_scratch(spark, "csv"), fmt="csv",
+    path = io.write_table(table(spark, sf_dir, "part"), scratch_path(spark, "csv"), fmt="csv",
                           max_records_per_file=1_000_000)
     return io.read_table(spark, path, fmt="csv", schema=PART_SCHEMA)
 
@@ -137,16 +138,11 @@ def csv_roundtrip(spark, sf_dir):
 def sink_manifest(spark, sf_dir):
     """Files of a written set with their sizes and row counts (rows-only check:
     file names are unique per run)."""
-    path = io.write_table(table(spark, sf_dir, "part"), io_scratch(spark, "manifest"),
+    path = io.write_table(table(spark, sf_dir, "part"), scratch_path(spark, "manifest"),
                           max_records_per_file=500)
     return io.sink_manifest(spark, path)
 
 
-def io_scratch(spark, name):
-    from flagloom.session import scratch_path
-    return scratch_path(spark, name)
-
-
 @query("column_profile", """
 WITH p AS (SELECT p_partkey, p_name, p_brand, nullif(p_type, 'PROMO') AS p_type,
                   nullif(p_size, 7) AS p_size, p_retailprice FROM part)
@@ -873,7 +869,6 @@ def union_all_reports(spark, sf_dir):
 # Machine learning (ML-*) and metrics (ML-12..15)
 # --------------------------------------------------------------------------
 
-from flagloom.operators import metrics, ml  # noqa: E402
 
 MODEL_FEATURES = ["p_size", "p_retailprice", *NOUNS]
 SEED = 42
@@ -1074,7 +1069,6 @@ def class_report(spark, sf_dir):
 # The composed catalog paths on a raw catalog derived from ``part``
 # --------------------------------------------------------------------------
 
-from flagloom.plans import pipeline  # noqa: E402
 
 COUNTRY_MAP = {"United States": "USA", "United Kingdom": "UK"}
 CATALOG_SPEC = pipeline.CatalogSpec(country_map=COUNTRY_MAP)
@@ -1232,8 +1226,6 @@ MOVIE_COL, TV_COL = pipeline.MOVIE_FLAG, pipeline.TV_FLAG
 # Streaming: the row-wise stages on files arriving in a directory
 # --------------------------------------------------------------------------
 
-from flagloom import streaming  # noqa: E402
-from flagloom.session import scratch_path  # noqa: E402
 
 RAW_CATALOG_SCHEMA = ("show_id string, type string, title string, director string, country string, "
                       "date_added string, release_year string, rating string, duration string, listed_in string")
