@@ -72,23 +72,23 @@ def test_bool_to_int_all_types(spark, flags_mixed, ansi):
     assert dict(out.dtypes)["c"] == "int"
 
 
-def test_boolean_like_columns_one_scan(spark, flags_mixed):
+def test_boolean_like_columns_one_scan(spark, flags_mixed, ansi):
     out = {r["column"]: r["is_boolean_like"] for r in clean.boolean_like_columns(flags_mixed).collect()}
     assert out == {"id": False, "a": True, "b": False, "c": True}
 
 
-def test_fill_zero_casts_booleans_first(spark, flags_mixed):
+def test_fill_zero_casts_booleans_first(spark, flags_mixed, ansi):
     out = clean.fill_zero(flags_mixed, ["a", "b"])
     got = by_id(out, "a", "b")
     assert got[3] == (0, 0) and got[6] == (0, 0) and got[1] == (1, 1)
 
 
-def test_fill_strings_only_touches_strings(spark, flags_mixed):
+def test_fill_strings_only_touches_strings(spark, flags_mixed, ansi):
     got = by_id(clean.fill_strings(flags_mixed), "a", "c")
     assert got[6] == (None, "Not found")
 
 
-def test_replace_values_ignores_booleans(spark, flags_mixed):
+def test_replace_values_ignores_booleans(spark, flags_mixed, ansi):
     out = clean.replace_values(flags_mixed, {"false": "0"})
     assert by_id(out, "a", "c")[2] == (False, "0")
 
@@ -100,7 +100,7 @@ def test_is_missing_tokens(spark, ansi):
     assert got == [True, True, True, True, True, True, False]
 
 
-def test_normalize_values_case_blind(spark):
+def test_normalize_values_case_blind(spark, ansi):
     df = spark.createDataFrame([("India",), ("india",), (" INDIA ",), ("usa",)], "c string")
     assert sorted(r[0] for r in clean.normalize_values(df, "c").collect()) == ["India", "Usa"]
     r = clean.normalize_report(df, "c").first()
@@ -113,7 +113,7 @@ def test_capitalize_matches_python(spark):
     assert [r[0] for r in df.select(capitalize("v")).collect()] == [v.capitalize() for v in vals]
 
 
-def test_map_values_table(spark):
+def test_map_values_table(spark, ansi):
     df = spark.createDataFrame([(1, "United"), (2, "India"), (3, None)], "id long, c string")
     m = spark.createDataFrame([("United", "USA")], "k string, v string")
     got = by_id(clean.map_values_table(df, "c", m, "k", "v"), "c")
@@ -122,7 +122,7 @@ def test_map_values_table(spark):
 
 # -- encoding ---------------------------------------------------------------
 
-def test_multi_hot_trims_and_handles_null(spark, tags):
+def test_multi_hot_trims_and_handles_null(spark, tags, ansi):
     out = encode.multi_hot(tags, "tags", ["a", "b", "c"], sep=",")
     got = by_id(out, "a", "b", "c")
     assert got[1] == (False, False, False)
@@ -144,32 +144,32 @@ def test_vocabulary_and_cap(spark, tags):
         encode.vocabulary_list(tags, "tags", sep=",", max_values=2)
 
 
-def test_one_hot_int_sorted_vocab(spark):
+def test_one_hot_int_sorted_vocab(spark, ansi):
     df = spark.createDataFrame([(1, "PG-13"), (2, "TV-MA"), (3, None)], "id long, r string")
     out = encode.one_hot(df, "r", as_type="int")
     assert out.columns == ["id", "r", "PG_13", "TV_MA"]
     assert by_id(out, "PG_13", "TV_MA") == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
 
 
-def test_canonicalize_first_token(spark):
+def test_canonicalize_first_token(spark, ansi):
     df = spark.createDataFrame([(1, "United Kingdom, France"), (2, " India"), (3, None)], "id long, c string")
     out = encode.canonicalize(df, "c", ",", {"United Kingdom": "UK"})
     assert by_id(out, "c") == {1: ("UK",), 2: ("India",), 3: (None,)}
 
 
-def test_decode_one_hot_priority_and_default(spark, flags_mixed):
+def test_decode_one_hot_priority_and_default(spark, flags_mixed, ansi):
     out = encode.decode_one_hot(flags_mixed, {"a": "A", "b": "B", "c": "C"}, "label", default="none")
     got = by_id(out, "label")
     assert got[1] == ("A",) and got[3] == ("none",) and got[5] == ("none",) and got[6] == ("none",)
 
 
-def test_row_flag_count_null_modes(spark, flags_mixed):
+def test_row_flag_count_null_modes(spark, flags_mixed, ansi):
     zero = by_id(encode.row_flag_count(flags_mixed, ["a", "b"], "n"), "n")
     strict = by_id(encode.row_flag_count(flags_mixed, ["a", "b"], "n", null_as_zero=False), "n")
     assert zero[1] == (2,) and zero[3] == (0,) and strict[3] == (None,) and strict[2] == (0,)
 
 
-def test_indicator(spark):
+def test_indicator(spark, ansi):
     df = spark.createDataFrame([(1, "Movie"), (2, "TV Show"), (3, None)], "id long, type string")
     out = encode.indicator(df, "type", {"movie": "Movie", "tv_show": "TV Show"})
     assert by_id(out, "movie", "tv_show") == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
@@ -183,7 +183,7 @@ def test_extract_int_is_ansi_safe(spark, ansi):
     assert got == {1: (90,), 2: (None,), 3: (None,), 4: (None,)}
 
 
-def test_length_class_branches(spark):
+def test_length_class_branches(spark, ansi):
     rows = [(1, 1, 0, 29, None), (2, 1, 0, 30, None), (3, 1, 0, 90, None), (4, 1, 0, 91, None),
             (5, 1, 0, None, None), (6, 0, 1, None, 1), (7, 0, 1, None, 3), (8, 0, 1, None, 4),
             (9, 0, 1, None, None), (10, 0, 0, None, None)]
@@ -197,7 +197,7 @@ def test_length_class_branches(spark):
     assert by_id(out2, "k")[5] == ("Unknown",)
 
 
-def test_decade_and_period_labels(spark):
+def test_decade_and_period_labels(spark, ansi):
     df = spark.createDataFrame([(1, 1949), (2, 1950), (3, 1999), (4, 2019), (5, 2020), (6, 2031), (7, None)],
                                "id long, y int")
     got = by_id(df.select("id", derive.decade_label("y").alias("d"), derive.period_label("y").alias("p")), "d", "p")
@@ -205,7 +205,7 @@ def test_decade_and_period_labels(spark):
     assert got[7][1] == "After 2015" and got[1][1] == "Before 2015"
 
 
-def test_count_class(spark):
+def test_count_class(spark, ansi):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, None)], "id long, n int")
     got = by_id(df.select("id", derive.count_class("n").alias("c")), "c")
     assert [got[i][0] for i in (1, 2, 3, 4)] == ["Unknown", "Single-Country", "Multi-Country", "Unknown"]
@@ -220,7 +220,7 @@ def test_text_date_default_year(spark, ansi):
 
 # -- dedupe -------------------------------------------------------------------
 
-def test_dedupe_defined_survivor(spark):
+def test_dedupe_defined_survivor(spark, ansi):
     rows = [(3, "t", 2001, "x"), (1, "t", 2001, "y"), (2, "t", 2002, "z"), (4, None, 2001, "w"), (5, None, 2001, "v")]
     df = spark.createDataFrame(rows, "id long, title string, year int, extra string")
     out = dedupe.dedupe(df, ["title", "year"], ["id"])
@@ -230,7 +230,7 @@ def test_dedupe_defined_survivor(spark):
     assert sorted(r["id"] for r in out_desc.collect()) == [2, 3, 5]
 
 
-def test_dup_report_counts_null_tuples(spark):
+def test_dup_report_counts_null_tuples(spark, ansi):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), (None, None)], "t string, y int")
     r = dedupe.dup_report(df, ["t", "y"]).first()
     assert (r["total_rows"], r["distinct_rows"], r["duplicate_rows"]) == (4, 3, 1)
@@ -239,12 +239,12 @@ def test_dup_report_counts_null_tuples(spark):
 
 # -- aggregation ----------------------------------------------------------------
 
-def test_profile_columns(spark, flags_mixed):
+def test_profile_columns(spark, flags_mixed, ansi):
     got = {r["column"]: r["n_null"] for r in agg.profile_columns(flags_mixed).collect()}
     assert got == {"id": 0, "a": 2, "b": 2, "c": 1}
 
 
-def test_flag_totals_mixed_types(spark, flags_mixed):
+def test_flag_totals_mixed_types(spark, flags_mixed, ansi):
     got = {r["flag"]: r["total"] for r in agg.flag_totals(flags_mixed, ["a", "b", "c"]).collect()}
     assert got == {"a": 2, "b": 2, "c": 8}
 
@@ -257,7 +257,7 @@ def test_share_of_total_has_no_driver_round_trip(spark):
     assert "Subquery" in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_two_way_pct_keeps_absent_keys(spark):
+def test_two_way_pct_keeps_absent_keys(spark, ansi):
     rows = [(1, 0, 1, 0), (1, 0, 1, 1), (0, 1, 1, 0), (0, 0, 1, 0)]
     df = spark.createDataFrame(rows, "movie int, tv int, us int, fr int").withColumn("de", F.lit(0))
     out = agg.two_way_pct_by_flag(df, ["us", "fr", "de"], "movie", "tv", key="country", digits=1)
@@ -274,7 +274,7 @@ def test_value_counts_drops_nulls_and_orders(spark):
 
 # -- reshape / rank -------------------------------------------------------------
 
-def test_unpivot_flags_mixed_types_and_cooccurrence(spark, flags_mixed):
+def test_unpivot_flags_mixed_types_and_cooccurrence(spark, flags_mixed, ansi):
     long = reshape.unpivot_flags(flags_mixed, ["id"], ["a", "b", "c"], key="k", value="v")
     assert sorted((r["id"], r["k"]) for r in long.collect()) == [
         (1, "a"), (1, "b"), (1, "c"), (4, "a"), (4, "b")]
