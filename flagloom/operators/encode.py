@@ -45,10 +45,13 @@ def multi_hot(df: DataFrame, col: str, vocab: Sequence[str], sep: str = ",", tri
     """One flag per vocabulary term: does the delimited cell contain it?
 
     Elements are trimmed (``trim=False`` keeps the leading spaces a plain
-    ``split(',')`` leaves). A null cell holds no terms, so all its flags are
-    false / 0.
+    ``split(',')`` leaves). An ``array<string>`` column is used as is. A null
+    cell holds no terms, so all its flags are false / 0.
     """
-    tokens = split_tokens(col, sep, trim=trim) if trim else F.split(F.col(col), sep)
+    if dict(df.dtypes)[col].startswith("array"):
+        tokens = F.col(col)
+    else:
+        tokens = split_tokens(col, sep, trim=trim) if trim else F.split(F.col(col), sep)
     flag_names = _flag_names(df, vocab, names, prefix, keep_commas=False)
     flags = {n: _cast_flag(F.coalesce(F.array_contains(tokens, F.lit(v)), F.lit(False)), as_type)
              for n, v in zip(flag_names, vocab)}
@@ -89,7 +92,8 @@ def vocabulary_list(df: DataFrame, col: str, sep: str | None = None, trim: bool
 
 def vocabulary_lists(df: DataFrame, sources: Mapping[str, tuple[str, str | None]],
                      max_values: int = DEFAULT_MAX_VALUES, trim: bool = True) -> dict[str, list[str]]:
-    """Several vocabularies in ONE scan: ``{name: (column, sep or None)}``.
+    """Several vocabularies in ONE scan: ``{name: (column, sep or None)}``
+    (``sep=None`` for a single-valued column; array columns are used as is).
 
     Values of all columns are tagged with their source and de-duplicated in one
     aggregate; a per-source ``row_number() <= max_values + 1`` (a window group
@@ -98,9 +102,15 @@ def vocabulary_lists(df: DataFrame, sources: Mapping[str, tuple[str, str | None]
     def tag(name: str):
         return lambda v: F.struct(F.lit(name).alias("src"), v.alias("value"))
 
+    types = dict(df.dtypes)
     arrays = []
     for name, (col, sep) in sources.items():
-        vals = F.array(F.col(col)) if sep is None else F.array_distinct(split_tokens(col, sep, trim=trim))
+        if types[col].startswith("array"):
+            vals = F.array_distinct(F.col(col))
+        elif sep is None:
+            vals = F.array(F.col(col))
+        else:
+            vals = F.array_distinct(split_tokens(col, sep, trim=trim))
         # a null cell must not null the whole concatenation (and the row's other values)
         vals = F.coalesce(vals, F.array().cast("array<string>"))
         arrays.append(F.transform(vals, tag(name)))

@@ -81,12 +81,12 @@ def encode_catalog(raw: DataFrame, spec: CatalogSpec = CatalogSpec()) -> Encoded
     s = spec
     df = encode.indicator(raw, s.type_col, {MOVIE_FLAG: MOVIE, TV_FLAG: TV_SHOW})
 
-    # countries: split on the real separator, map whole names, re-join
+    # countries: split on the real separator, map whole names (kept as an array)
     m = F.create_map(*[F.lit(x) for kv in s.country_map.items() for x in kv]) if s.country_map else None
     toks = split_tokens(s.country_col, s.country_sep)
     if m is not None:
         toks = F.transform(toks, lambda t: F.coalesce(F.element_at(m, t), t))
-    df = df.withColumn("_countries", F.array_join(F.array_distinct(toks), "\u0001"))
+    df = df.withColumn("_countries", F.array_distinct(toks))
 
     wanted = {}
     if s.genre_vocab is None:
@@ -94,7 +94,7 @@ def encode_catalog(raw: DataFrame, spec: CatalogSpec = CatalogSpec()) -> Encoded
     if s.rating_vocab is None:
         wanted["rating"] = (s.rating_col, None)
     if s.country_vocab is None:
-        wanted["country"] = ("_countries", "\u0001")
+        wanted["country"] = ("_countries", None)
     found = encode.vocabulary_lists(df, wanted, max_values=s.max_values) if wanted else {}
     genre_vocab = list(s.genre_vocab) if s.genre_vocab is not None else found["genre"]
     rating_vocab = list(s.rating_vocab) if s.rating_vocab is not None else found["rating"]
@@ -107,7 +107,7 @@ def encode_catalog(raw: DataFrame, spec: CatalogSpec = CatalogSpec()) -> Encoded
                           names={v: n for n, v in genres.items()})
     df = encode.one_hot(df, s.rating_col, vocab=rating_vocab, as_type="boolean",
                         names={v: n for n, v in ratings.items()})
-    df = encode.multi_hot(df, "_countries", country_vocab, sep="\u0001", as_type="int",
+    df = encode.multi_hot(df, "_countries", country_vocab, as_type="int",
                           names={v: n for n, v in countries.items()})
     df = df.drop(s.type_col, s.rating_col, s.country_col, s.genre_col, "_countries")
     return Encoded(df, genres, ratings, countries)
