@@ -35,10 +35,23 @@ def value_counts(df: DataFrame, col: str, name: str = "count") -> DataFrame:
 
 
 def profile_columns(df: DataFrame, long: bool = True, key: str = "column",
-                    value: str = "n_null") -> DataFrame:
-    """Null count of every column in one scan; long form (column, n_null)."""
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    return wide.unpivot([], df.columns, key, value) if long else wide
+                    value: str = "n_null", with_types: bool = False) -> DataFrame:
+    """Null count of every column in one scan; long form (column, n_null).
+
+    ``with_types`` adds each column's position and type from the schema (a
+    literal lookup, bounded by the width), so one table answers "what is in
+    this table" for names, types and missing values together.
+    """
+    wide = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
+    if not long:
+        return wide
+    out = wide.unpivot([], df.columns, key, value)
+    if with_types:
+        fields = df.schema.fields
+        ordinal = F.create_map(*[F.lit(x) for i, f in enumerate(fields) for x in (f.name, i)])
+        dtype = F.create_map(*[F.lit(x) for f in fields for x in (f.name, f.dataType.simpleString())])
+        out = out.select(ordinal[F.col(key)].alias("ordinal"), key, dtype[F.col(key)].alias("type"), value)
+    return out
 
 
 def flag_totals(df: DataFrame, flags: Sequence[str], where=None, long: bool = True,

@@ -161,13 +161,17 @@ def column_profile(spark, sf_dir):
     return agg.profile_columns(part)
 
 
-@query("schema_listing", """
-SELECT * FROM (VALUES (0, 'p_partkey', 'bigint'), (1, 'p_name', 'string'), (2, 'p_brand', 'string'),
-  (3, 'p_type', 'string'), (4, 'p_size', 'int'), (5, 'p_retailprice', 'double'))
-  AS t(ordinal, "column", "type")
-""")
+SCHEMA_ROWS = [(0, "p_partkey", "bigint"), (1, "p_name", "string"), (2, "p_brand", "string"),
+               (3, "p_type", "string"), (4, "p_size", "int"), (5, "p_retailprice", "double")]
+
+
+@query("schema_listing", "\nUNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{c}' AS \"column\", '{t}' AS \"type\", count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM part"
+    for i, c, t in SCHEMA_ROWS))
 def schema_listing(spark, sf_dir):
-    return io.schema_table(spark, table(spark, sf_dir, "part"))
+    """Names, positions and types of ``part`` with each column's null count:
+    the schema listing folded into the one-scan column profile (SRC-3)."""
+    return agg.profile_columns(table(spark, sf_dir, "part"), with_types=True)
 
 
 @query("preview_rows", "SELECT * FROM part ORDER BY p_partkey LIMIT 20")
