@@ -49,13 +49,17 @@ def multi_hot(df: DataFrame, col: str, vocab: Sequence[str], sep: str = ",", tri
     cell holds no terms, so all its flags are false / 0.
     """
     if dict(df.dtypes)[col].startswith("array"):
-        tokens = F.col(col)
+        base, tokens = df, F.col(col)
     else:
-        tokens = split_tokens(col, sep, trim=trim) if trim else F.split(F.col(col), sep)
+        # tokenise once per row into a helper column; every flag then tests
+        # membership in that array (the optimizer does not inline a non-cheap
+        # expression into many uses, so the split runs once, not once per flag)
+        toks = split_tokens(col, sep, trim=trim) if trim else F.split(F.col(col), sep)
+        base, tokens = df.withColumn("_tokens", toks), F.col("_tokens")
     flag_names = _flag_names(df, vocab, names, prefix, keep_commas=False)
     flags = {n: _cast_flag(F.coalesce(F.array_contains(tokens, F.lit(v)), F.lit(False)), as_type)
              for n, v in zip(flag_names, vocab)}
-    out = df.withColumns(flags)
+    out = base.withColumns(flags).drop("_tokens")
     return out.drop(col) if drop_source else out
 
 
