@@ -353,3 +353,22 @@ def test_hot_key_third_of_rows(spark):
     top = rank.top_n_per_group(df, ["k"], ["-v", "id"], 2)
     assert top.where("k = 'hot'").count() == 2
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_n_large_n_salted_two_phase(spark):
+    n_rows = 9_000
+    df = spark.range(n_rows).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.lit("cold")).alias("g"),
+        (F.col("id") * 7919 % 10007).alias("v"), "id")
+    rows = [tuple(r) for r in df.collect()]
+    expected = []
+    for g in ("hot", "cold"):
+        grp = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:1500]
+        expected += [(*r, i + 1) for i, r in enumerate(grp)]
+    auto = rank.top_n_per_group(df, ["g"], ["-v", "id"], 1500, rank_col="r")      # n > threshold: salted
+    forced = rank.top_n_per_group(df, ["g"], ["-v", "id"], 1500, rank_col="r", salt_buckets=16)
+    for out in (auto, forced):
+        assert sorted(tuple(r) for r in out.collect()) == sorted(expected)
+        assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
+    small = rank.top_n_per_group(df, ["g"], ["-v", "id"], 5, rank_col="r")            # map-side group limit
+    assert "_salt" not in small._jdf.queryExecution().optimizedPlan().toString()
