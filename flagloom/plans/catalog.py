@@ -805,6 +805,28 @@ def two_way_pct_by_flag(spark, sf_dir):
                                    a_pct="movie_percentage", b_pct="tvshow_percentage", digits=1)
 
 
+def _in_list(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query("tag_cooccurrence", f"""
+WITH t AS (SELECT list_filter(string_split(p_name, ' '), lambda x: x IN ({_in_list(ADJECTIVES)})) AS l,
+                  list_filter(string_split(p_name, ' '), lambda x: x IN ({_in_list(NOUNS)})) AS r FROM part),
+a AS (SELECT unnest(list_distinct(l)) AS adjective, r FROM t),
+b AS (SELECT adjective, unnest(list_distinct(r)) AS noun FROM a)
+SELECT adjective, noun, count(*) AS n FROM b GROUP BY adjective, noun
+""")
+def tag_cooccurrence(spark, sf_dir):
+    """(adjective, noun) pairs carried by the same part, counted: the array
+    form of the co-occurrence table (RSH-3); pairs only ever form inside a row."""
+    toks = split_tokens("p_name", TAG_SEP)
+    p = table(spark, sf_dir, "part").select(
+        F.filter(toks, lambda x: x.isin(ADJECTIVES)).alias("adj"),
+        F.filter(toks, lambda x: x.isin(NOUNS)).alias("nouns"))
+    pairs = reshape.cooccurrence_arrays(p, "adj", "nouns", "adjective", "noun")
+    return agg.count_by(pairs, ["adjective", "noun"])
+
+
 # --------------------------------------------------------------------------
 # Sort, top-k, windows (SRT-*, WIN-*)
 # --------------------------------------------------------------------------
