@@ -37,27 +37,35 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; ``None`` on Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Connect sessions have no driver-side context
+        return None
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present. Only when nothing is
+    The cluster's setting is always used when present (read through
+    ``spark.conf``, so Connect sessions work too). Only when nothing is
     configured in a local-mode session (tests) is a private folder created
     and registered; on a cluster a missing setting is an error, never a
     machine-local folder.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and sc is not None:
+        root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        current = sc.getCheckpointDir()
-        if current:
-            return current
-        if not sc.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             # a driver-local folder is invisible to executors on a cluster
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
                                "distributed file system) before running flagloom jobs")
         root = tempfile.mkdtemp(prefix="flagloom-ckpt-")
         sc.setCheckpointDir(root)
-    elif not sc.getCheckpointDir():
+    elif sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
