@@ -92,6 +92,17 @@ def boolean_like_columns(df: DataFrame, key: str = "column", value: str = "is_bo
     return wide.unpivot([], [c for c, _ in types], key, value)
 
 
+def convert_boolean_like(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Detect boolean-like columns (one scan) and convert exactly those to
+    0/1 ints; returns the converted frame and the converted column names.
+
+    Only the per-column yes/no answers reach the driver (bounded by the
+    width); the conversion itself is one projection.
+    """
+    found = [r[0] for r in boolean_like_columns(df, "c", "b").where("b").select("c").collect()]
+    return bool_to_int(df, found), found
+
+
 def cast_columns(df: DataFrame, types: Mapping[str, str], safe: bool = True) -> DataFrame:
     """Cast many columns in one projection; ``safe`` turns failures into null
     (text -> integer goes through the cheap ``try_int`` guard)."""

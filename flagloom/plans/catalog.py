@@ -281,6 +281,24 @@ def boolean_like(spark, sf_dir):
     return clean.boolean_like_columns(p)
 
 
+@query("boolean_like_convert", """
+SELECT p_name, p_brand,
+  CASE WHEN p_size < 10 THEN 1 WHEN p_size < 20 THEN 0 ELSE NULL END AS txt_flag,
+  CAST(p_size AS VARCHAR) AS size_text, CAST(p_size > 25 AS INTEGER) AS big, p_size
+FROM part
+""")
+def boolean_like_convert(spark, sf_dir):
+    """Detect the boolean-like columns, then turn exactly those into 0/1
+    (FLT-7 then CLN-6, as one operator)."""
+    s = F.col("p_size")
+    p = table(spark, sf_dir, "part").select(
+        "p_name", "p_brand",
+        F.when(s < 10, F.lit(" TRUE ")).when(s < 20, F.lit("false")).otherwise(F.lit("x")).alias("txt_flag"),
+        s.cast("string").alias("size_text"), (s > 25).alias("big"), "p_size")
+    converted, _ = clean.convert_boolean_like(p)
+    return converted
+
+
 # --------------------------------------------------------------------------
 # Missing values, mapping, casts (CLN-*)
 # --------------------------------------------------------------------------
@@ -837,6 +855,21 @@ def sorted_counts(spark, sf_dir):
     return rank.sort_by(agg.count_by(o, ["yr"]), ["yr"])
 
 
+@query("yearly_trend", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS release_year, count(*) AS total_titles FROM orders
+WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '2000-01-01'
+GROUP BY 1 ORDER BY 1
+""")
+def yearly_trend(spark, sf_dir):
+    """Titles per year inside a closed year range, in year order (FLT-2,
+    AGG-2, SRT-1); the range is written on the date column so it is pushed
+    into the scan."""
+    o = table(spark, sf_dir, "orders")
+    o = o.where((F.col("o_orderdate") >= _ts("1996-01-01")) & (F.col("o_orderdate") < _ts("2000-01-01")))
+    counts = agg.count_by(o.select(F.year("o_orderdate").alias("release_year")), ["release_year"], "total_titles")
+    return rank.sort_by(counts, ["release_year"])
+
+
 @query("top5_tags", """
 SELECT tag, count(*) AS total FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS tag FROM part)
 WHERE tag <> '' GROUP BY tag ORDER BY total DESC, tag LIMIT 5

@@ -372,3 +372,12 @@ def test_top_n_large_n_salted_two_phase(spark):
         assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
     small = rank.top_n_per_group(df, ["g"], ["-v", "id"], 5, rank_col="r")            # map-side group limit
     assert "_salt" not in small._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_convert_boolean_like_only_touches_detected_columns(spark, flags_mixed, ansi):
+    out, found = clean.convert_boolean_like(flags_mixed)
+    assert found == ["a", "c"]
+    types = dict(out.dtypes)
+    assert types["a"] == "int" and types["c"] == "int" and types["b"] == "int" and types["id"] == "bigint"
+    got = by_id(out, "a", "c")
+    assert got[1] == (1, 1) and got[2] == (0, 0) and got[3] == (None, 7)
