@@ -488,6 +488,21 @@ def text_dates(spark, sf_dir):
                           "year_added": derive.year_with_default("txt", "MMMM d, yyyy", 2000)})
 
 
+@query("growth_by_added_year", f"""
+WITH t AS (SELECT {TEXT_DATE_SQL} AS txt FROM orders)
+SELECT CAST(year(try_strptime(trim(txt), '%B %-d, %Y')) AS INTEGER) AS year_added, count(*) AS content_count
+FROM t GROUP BY 1
+""")
+def growth_by_added_year(spark, sf_dir):
+    """Titles per year of the added date parsed from text; unreadable dates
+    form their own (null) year, nothing is dropped (FN-8..10, AGG-2)."""
+    o = table(spark, sf_dir, "orders")
+    s, d = F.col("o_orderstatus"), F.date_format("o_orderdate", "MMMM d, yyyy")
+    txt = F.when(s == "P", F.lit("Not found")).when(s == "O", F.concat(F.lit(" "), d)).otherwise(d)
+    years = o.select(F.year(parse_text_date(txt)).alias("year_added"))
+    return rank.sort_by(agg.count_by(years, ["year_added"], "content_count"), ["year_added"])
+
+
 @query("null_tests_round", f"""
 SELECT o_orderkey,
   CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 300000 THEN 'mid' ELSE 'high' END AS bucket,
@@ -589,6 +604,15 @@ def decode_flags(spark, sf_dir):
     return encode.decode_one_hot(wide, flags, "priority", default="Not_Found").select("o_orderkey", "priority")
 
 
+@query("decoded_value_counts", "SELECT CASE " + " ".join(
+    f"WHEN o_orderpriority = '{v}' THEN '{v}'" for v in PRIORITIES[:-1])
+    + " ELSE 'Not_Found' END AS priority, count(*) AS count FROM orders GROUP BY 1")
+def decoded_value_counts(spark, sf_dir):
+    """Label rebuilt from its flags, then titles per label, most frequent
+    first (ENC-7, AGG-3)."""
+    return agg.value_counts(decode_flags(spark, sf_dir), "priority")
+
+
 FLAG_COUNT_TAGS = ["small", "red", "ring", "widget", "hot", "gear"]
 
 
@@ -879,6 +903,14 @@ def top5_tags(spark, sf_dir):
     return rank.top_k(totals, ["-total", "tag"], 5)
 
 
+@query("top5_flag_totals", "WITH f AS (" + _flag_totals_sql() + ") SELECT flag, total FROM f ORDER BY total DESC, flag LIMIT 5")
+def top5_flag_totals(spark, sf_dir):
+    """The five most common flags: one-pass totals, long form, then a top-k
+    with a name tie-break (AGG-5, RSH-4, SRT-4)."""
+    totals = agg.flag_totals(_tag_flags(spark, sf_dir), ALL_TAGS)
+    return rank.top_k(totals, ["-total", "flag"], 5)
+
+
 def _top3_sql(joined: bool) -> str:
     means = "\nUNION ALL ".join(
         f"SELECT p_type, '{t}' AS feature, avg(CAST({_tag_sql(t)} AS INTEGER)) AS value FROM part GROUP BY p_type"
