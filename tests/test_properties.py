@@ -46,3 +46,38 @@ def test_is_missing_definition(spark, values):
     got = [r[0] for r in _frame(spark, values).orderBy("i").select(is_missing("v")).collect()]
     tokens = {"", "not found", "not_found", "n/a"}
     assert got == [v.strip(" ").lower() in tokens for v in values]
+
+
+ROWS = st.lists(st.tuples(st.sampled_from(["a", "b", "hot", None]), st.sampled_from([1, 2, None]),
+                          st.integers(-5, 5)), min_size=1, max_size=60)
+
+
+def _keyed(spark, rows):
+    # unique ids so the survivor / ranking is fully defined
+    return spark.createDataFrame([(i, k1, k2, v) for i, (k1, k2, v) in enumerate(rows)],
+                                 "id long, k1 string, k2 int, v int")
+
+
+@SETTINGS
+@given(rows=ROWS)
+def test_dedupe_matches_brute_force(spark, rows):
+    from flagloom.operators import dedupe
+    got = sorted(tuple(r) for r in dedupe.dedupe(_keyed(spark, rows), ["k1", "k2"], ["id"]).collect())
+    best = {}
+    for i, (k1, k2, v) in enumerate(rows):
+        best.setdefault((k1, k2), (i, k1, k2, v))
+    assert got == sorted(best.values())
+
+
+@SETTINGS
+@given(rows=ROWS, n=st.integers(1, 4), salt=st.sampled_from([None, 3]))
+def test_top_n_per_group_matches_brute_force(spark, rows, n, salt):
+    from flagloom.operators import rank
+    df = _keyed(spark, rows)
+    out = rank.top_n_per_group(df, ["k1"], ["-v", "id"], n, rank_col="r", salt_buckets=salt)
+    got = sorted(((r["k1"] or ""), r["id"], r["r"]) for r in out.collect())
+    expected = []
+    for g in {k1 for k1, _, _ in rows}:
+        grp = sorted(((-v, i) for i, (k1, _, v) in enumerate(rows) if k1 == g))[:n]
+        expected += [((g or ""), i, pos + 1) for pos, (_, i) in enumerate(grp)]
+    assert got == sorted(expected)
