@@ -81,3 +81,48 @@ def test_top_n_per_group_matches_brute_force(spark, rows, n, salt):
         grp = sorted(((-v, i) for i, (k1, _, v) in enumerate(rows) if k1 == g))[:n]
         expected += [((g or ""), i, pos + 1) for pos, (_, i) in enumerate(grp)]
     assert got == sorted(expected)
+
+
+FLAG_ROWS = st.lists(st.tuples(st.sampled_from([0, 1, None]), st.sampled_from([0, 1, None]),
+                               st.sampled_from([0, 1, None]), st.sampled_from([0, 1])), min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(rows=FLAG_ROWS)
+def test_two_way_pct_matches_brute_force(spark, rows):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from flagloom.operators import aggregate as agg
+    df = spark.createDataFrame(rows, "a int, b int, f1 int, f2 int").withColumn("f3", F.lit(0))
+    out = {r["key"]: tuple(r)[1:] for r in
+           agg.two_way_pct_by_flag(df, ["f1", "f2", "f3"], "a", "b", digits=1).collect()}
+
+    def pct(x, tot):
+        if tot == 0:
+            return None
+        return float(Decimal(repr(x / tot * 100)).quantize(Decimal("0.1"), rounding=ROUND_HALF_UP))
+
+    for k, col in (("f1", 2), ("f2", 3), ("f3", None)):
+        sel = [r for r in rows if col is not None and r[col] == 1]
+        if not sel:
+            assert out[k] == (None, None, None, None)
+            continue
+        sa = sum(r[0] for r in sel if r[0] is not None) if any(r[0] is not None for r in sel) else None
+        sb = sum(r[1] for r in sel if r[1] is not None) if any(r[1] is not None for r in sel) else None
+        tot = (sa + sb) if sa is not None and sb is not None else None
+        exp = (sa, sb, None if tot is None else pct(sa, tot), None if tot is None else pct(sb, tot))
+        assert out[k] == exp, (k, out[k], exp)
+
+
+@SETTINGS
+@given(years=st.lists(st.one_of(st.none(), st.integers(1900, 2040)), min_size=1, max_size=40))
+def test_decade_label_matches_definition(spark, years):
+    from flagloom.operators import derive
+    df = spark.createDataFrame([(i, y) for i, y in enumerate(years)], "i long, y int")
+    got = [r[0] for r in df.orderBy("i").select(derive.decade_label("y")).collect()]
+
+    def label(y):
+        if y is None or y < 1950:
+            return "Unknown"
+        return "2020s" if y >= 2020 else f"{y // 10 * 10}s"
+    assert got == [label(y) for y in years]
