@@ -126,3 +126,34 @@ def test_decade_label_matches_definition(spark, years):
             return "Unknown"
         return "2020s" if y >= 2020 else f"{y // 10 * 10}s"
     assert got == [label(y) for y in years]
+
+
+@SETTINGS
+@given(pairs=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4)), min_size=1, max_size=50))
+def test_metrics_match_spark_evaluator(spark, pairs):
+    import math
+
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from flagloom.operators import metrics
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "label double, prediction double")
+    ours = metrics.classification_metrics(df).first()
+    for name, col in (("accuracy", "accuracy"), ("weightedPrecision", "weighted_precision"),
+                      ("weightedRecall", "weighted_recall"), ("f1", "weighted_f1")):
+        ref = MulticlassClassificationEvaluator(metricName=name).evaluate(df)
+        assert math.isclose(ours[col], ref, rel_tol=1e-9, abs_tol=1e-12), (name, ours[col], ref)
+
+
+@SETTINGS
+@given(keys=st.lists(st.sampled_from(["x", "y", "z", None]), min_size=1, max_size=60))
+def test_share_of_total_matches_brute_force(spark, keys):
+    from collections import Counter
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from flagloom.operators import aggregate as agg
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = {r["k"]: (r["count"], r["percentage"]) for r in agg.share_of_total(df, ["k"], digits=3).collect()}
+    c = Counter(keys)
+    exp = {k: (n, float(Decimal(repr(n / len(keys) * 100)).quantize(Decimal("0.001"), rounding=ROUND_HALF_UP)))
+           for k, n in c.items()}
+    assert got == exp
