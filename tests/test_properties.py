@@ -157,3 +157,37 @@ def test_share_of_total_matches_brute_force(spark, keys):
     exp = {k: (n, float(Decimal(repr(n / len(keys) * 100)).quantize(Decimal("0.001"), rounding=ROUND_HALF_UP)))
            for k, n in c.items()}
     assert got == exp
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["Movie", "TV Show", None]), st.one_of(st.none(), st.integers(0, 200)),
+                               st.one_of(st.none(), st.integers(0, 6))), min_size=1, max_size=40))
+def test_length_class_matches_definition(spark, rows):
+    from flagloom.operators import derive
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, t string, m int, s int")
+    out = derive.length_class(df, "k", F.col("t") == "Movie", "m", F.col("t") == "TV Show", "s")
+    got = [r["k"] for r in out.orderBy("i").collect()]
+
+    def label(t, m, s):
+        if t == "Movie":
+            return "Long" if m is None else "Short" if m <= 29 else "Medium" if m <= 90 else "Long"
+        if t == "TV Show":
+            return ("Long_Running" if s is None else "One_Season" if s == 1 else
+                    "Multi_Season" if 2 <= s <= 3 else "Long_Running")
+        return "Unknown"
+    assert got == [label(*r) for r in rows]
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(*[st.sampled_from([0, 1, None])] * 4), min_size=1, max_size=30))
+def test_cooccurrence_matches_brute_force(spark, rows):
+    from collections import Counter
+
+    from flagloom.operators import reshape
+    df = spark.createDataFrame(rows, "l1 int, l2 int, r1 int, r2 int")
+    pairs = reshape.cooccurrence(df, ["l1", "l2"], ["r1", "r2"], "l", "r")
+    got = Counter((p["l"], p["r"]) for p in pairs.collect())
+    exp = Counter((ln, rn) for row in rows
+                  for ln, lv in zip(("l1", "l2"), row[:2]) if lv == 1
+                  for rn, rv in zip(("r1", "r2"), row[2:]) if rv == 1)
+    assert got == exp
