@@ -191,3 +191,30 @@ def test_cooccurrence_matches_brute_force(spark, rows):
                   for ln, lv in zip(("l1", "l2"), row[:2]) if lv == 1
                   for rn, rv in zip(("r1", "r2"), row[2:]) if rv == 1)
     assert got == exp
+
+
+CELL = st.one_of(st.none(), st.lists(st.sampled_from(["a", "b", "c d", " a", "b ", ""]), max_size=4).map(",".join))
+
+
+@SETTINGS
+@given(cells=st.lists(CELL, min_size=1, max_size=30))
+def test_multi_hot_matches_python(spark, cells):
+    from flagloom.operators import encode
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i long, t string")
+    vocab = ["a", "b", "c d"]
+    out = encode.multi_hot(df, "t", vocab, sep=",", names={"a": "fa", "b": "fb", "c d": "fc"}).orderBy("i")
+    got = [(r["fa"], r["fb"], r["fc"]) for r in out.collect()]
+
+    def flags(c):
+        toks = set() if c is None else {t.strip(" ") for t in c.split(",")} - {""}
+        return tuple(v in toks for v in vocab)
+    assert got == [flags(c) for c in cells]
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["x", "y", None]), st.sampled_from([1, 2, None])), min_size=1, max_size=40))
+def test_dup_report_matches_python(spark, rows):
+    from flagloom.operators import dedupe
+    df = spark.createDataFrame(rows, "t string, y int")
+    r = dedupe.dup_report(df, ["t", "y"]).first()
+    assert (r["total_rows"], r["distinct_rows"], r["duplicate_rows"]) == (len(rows), len(set(rows)), len(rows) - len(set(rows)))
