@@ -218,3 +218,36 @@ def test_dup_report_matches_python(spark, rows):
     df = spark.createDataFrame(rows, "t string, y int")
     r = dedupe.dup_report(df, ["t", "y"]).first()
     assert (r["total_rows"], r["distinct_rows"], r["duplicate_rows"]) == (len(rows), len(set(rows)), len(rows) - len(set(rows)))
+
+
+@SETTINGS
+@given(keys=st.lists(st.integers(-10**12, 10**12), min_size=1, max_size=50, unique=True), seed=st.integers(0, 99))
+def test_hash_bucket_matches_python_md5(spark, keys, seed):
+    import hashlib
+
+    from flagloom.operators import ml
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r["k"]: r["bucket"] for r in ml.hash_split(df, "k", 0.8, seed).collect()}
+    exp = {k: int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:8], 16) % 100 for k in keys}
+    assert got == exp
+
+
+@SETTINGS
+@given(days=st.lists(st.one_of(st.none(), st.integers(0, 20000)), min_size=1, max_size=30),
+       pad=st.sampled_from(["", " ", "  "]))
+def test_text_date_year_matches_python(spark, days, pad):
+    import datetime as dt
+
+    from flagloom.operators import derive
+    base = dt.date(1970, 1, 1)
+    texts = [None if d is None else pad + (base + dt.timedelta(days=d)).strftime("%B %-d, %Y") for d in days]
+    texts = [t if i % 5 else "Not found" for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = [r[0] for r in df.orderBy("i").select(derive.year_with_default("t", "MMMM d, yyyy", 2000)).collect()]
+
+    def year(t):
+        try:
+            return dt.datetime.strptime(t.strip(" "), "%B %d, %Y").year
+        except (TypeError, ValueError, AttributeError):
+            return 2000
+    assert got == [year(t) for t in texts]
