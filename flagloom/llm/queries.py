@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm import simhash
+from flagloom.llm import simhash, substring
 from flagloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,35 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every document after repeated 50-word windows are cut."""
+    return (substring.drop_repeats(read(spark, sf_dir, "documents"), window=50)
+            .select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+#: Windows as joined texts; chr(31) is no separator, so words are cut by the contract's pattern.
+_OP7 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM w WHERE len(words) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM s),
+m AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+bad AS (SELECT doc_id, i FROM h JOIN m USING (h) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM bad, (SELECT unnest(generate_series(0, 49)) AS k)),
+g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+e AS (SELECT w.doc_id, words, coalesce(ps, []) AS ps FROM w LEFT JOIN g USING (doc_id)),
+p AS (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS p FROM w),
+k AS (SELECT p.doc_id, string_agg(words[p.p], ' ' ORDER BY p.p) AS kept
+      FROM p ANTI JOIN gone ON gone.doc_id = p.doc_id AND gone.p = p.p GROUP BY p.doc_id)
+SELECT e.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM e LEFT JOIN k ON k.doc_id = e.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_substring_dedup": _OP7,
+}
