@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm import simhash, substring
+from flagloom.llm import ordermin, simhash, substring
 from flagloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every document and of its edited text."""
+    return ordermin.order_minhash(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 #: Windows as joined texts; chr(31) is no separator, so words are cut by the contract's pattern.
