@@ -7,17 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm import ordermin, simhash, substring
+from flagloom.llm import crf, ordermin, quality, simhash, substring
 from flagloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a fifth of the ids is held out of the fit."""
+    docs = read(spark, sf_dir, "documents").withColumn(
+        "held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    # a null id has no checksum: such rows are not learned from and count as held out
+    docs = docs.withColumn("held_out", F.coalesce("held_out", F.lit(True)))
+    model = crf.fit(docs.where("NOT held_out"))
+    return crf.identify(docs, model, keep=("doc_id", "held_out"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (3-word shingles, 3 bits)."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.grades_of_labels(read(spark, sf_dir, "labels")))
+    return quality.grade(docs, model).select("doc_id", "expected_grade", "tail_prob", "accepted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every document after repeated 50-word windows are cut."""
     return (substring.drop_repeats(read(spark, sf_dir, "documents"), window=50)
@@ -30,7 +47,9 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_order_minhash": op10_order_minhash,
 }
