@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flagloom.llm.common import Words, mix, slices, windows_hash
 
@@ -186,7 +187,7 @@ def grade(docs: DataFrame, model: Model | None, text_col: str = "text", target:
         return docs.select("*", F.lit(None).cast("double").alias("expected_grade"),
                            F.lit(None).cast("double").alias("tail_prob"), F.lit(True).alias("accepted"))
     names = docs.columns
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in (("expected_grade", "double"), ("tail_prob", "double"), ("accepted", "boolean")):
         schema = schema.add(name, kind)
 
