@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm import crf, ordermin, quality, simhash, substring
+from flagloom.llm import crf, ordermin, quality, simhash, substring, warc
 from flagloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives and the splittable reader."""
+    return warc.round_trip(read(spark, sf_dir, "pages"), least_bytes=1000)
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash of every document and of its edited text."""
     return ordermin.order_minhash(read(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_warc": op8_warc,
     "op10_order_minhash": op10_order_minhash,
 }
 
@@ -72,6 +78,17 @@ SELECT e.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT)
 FROM e LEFT JOIN k ON k.doc_id = e.doc_id
 """
 
+_OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS n, sha1(html) AS sha FROM p),
+m AS (SELECT sha, n, max(page_id) AS holder FROM d WHERE n >= 1000 GROUP BY sha, n)
+SELECT d.page_id, d.n AS payload_bytes, d.sha AS payload_digest,
+       CASE WHEN m.holder IS NOT NULL AND m.holder IS DISTINCT FROM d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m.holder IS DISTINCT FROM d.page_id THEN m.holder END AS refers_to
+FROM d LEFT JOIN m ON m.sha = d.sha AND m.n = d.n
+"""
+
 ORACLE: dict[str, str] = {
     "op7_substring_dedup": _OP7,
+    "op8_warc": _OP8,
 }
