@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from flagloom.session import scratch_path
 
 #: Rows above this many bytes of text are handled in slices of a batch, so a
-#: task holds one slice (or one whole long text) at a time.
-SLICE_BYTES = 4 << 20
+#: task holds the arrays of one slice (or one whole long text) at a time.
+SLICE_BYTES = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

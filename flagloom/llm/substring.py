@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from flagloom.llm.common import Words, shuffle_partitions, slices, windows_hash, mix
 
-_FLUSH = 4 << 20
+_FLUSH = 2 << 20
 _LAST = np.iinfo(np.int64).max
 _PACKED = T.StructType([T.StructField("bucket", T.IntegerType())]
                        + [T.StructField(c, T.BinaryType()) for c in ("key", "more", "pos", "docs", "runs")])
@@ -50,21 +50,22 @@ class _Packer:
     """Gathers (hash, document, position) entries and emits one row per bucket and flush."""
 
     def __init__(self, buckets: int, wide: bool):
-        self.buckets, self.wide, self.size = buckets, wide, 0
+        self.buckets, self.wide, self.size, self.docs = buckets, wide, 0, 0
         self.parts: list[tuple] = []
 
-    def add(self, key: np.ndarray, more: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bool:
-        """``doc`` is an (n, 2) array of (tag, id), equal rows adjacent."""
+    def add(self, key: np.ndarray, more: np.ndarray, who: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bool:
+        """``who`` is an (n, 2) array of (tag, id); ``doc`` says which each entry is of, in order."""
         if len(key):
-            self.parts.append((key, more, doc, pos))
+            self.parts.append((key, more, who, doc.astype(np.uint32) + np.uint32(self.docs), pos.astype(np.uint32)))
             self.size += len(key)
+            self.docs += len(who)
         return self.size >= _FLUSH
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        key, more, doc, pos = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts, self.size = [], 0
+        key, more, who, doc, pos = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.size, self.docs = [], 0, 0
         at = ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(
             np.uint16 if self.buckets <= 65536 else np.uint32)
         order = np.argsort(at, kind="stable")
@@ -74,13 +75,14 @@ class _Packer:
             if end > begin:
                 pick = order[begin:end]
                 begin = end
-                who = doc[pick]
-                new = np.flatnonzero(np.append(True, (who[1:] != who[:-1]).any(axis=1)))
+                of = doc[pick]
+                new = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                docs = who[of[new]]
                 runs = np.diff(np.append(new, len(pick))).astype(np.uint32)
                 k = key[pick]
                 rows.append((bucket, (k if self.wide else k.astype(np.uint32)).tobytes(),
                              more[pick].tobytes() if self.wide else b"",
-                             _planes(pos[pick]), _planes(who[new] if self.wide else who[new, 0]), _planes(runs)))
+                             _planes(pos[pick]), _planes(docs if self.wide else docs[:, 0].copy()), _planes(runs)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))],
             _PACKED.names)
@@ -132,7 +134,7 @@ def _probes(window: int, buckets: int):
             pos = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
             start = words.first[doc] + pos
             key = mix(windows_hash(words.hashes(), start, start + block))
-            if pack.add(key, np.zeros(len(key), np.uint8), who[doc], pos.astype(np.uint32)):
+            if pack.add(key, np.zeros(len(key), np.uint8), who, doc, pos):
                 yield from pack.flush()
         yield from pack.flush()
 
@@ -179,7 +181,7 @@ def _windows(window: int, buckets: int):
             base = words.hashes()
             key = mix(windows_hash(base, start, start + window))
             more = mix(windows_hash(words.hashes(1), start, start + window, 1)).astype(np.uint32)
-            if pack.add(key, more, who[doc], (start - words.first[doc]).astype(np.uint32)):
+            if pack.add(key, more, who, doc, start - words.first[doc]):
                 yield from pack.flush()
         yield from pack.flush()
 
