@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm import crf, ordermin, quality, simhash, substring, warc
+from flagloom.llm import crf, kmtree, ordermin, quality, simhash, substring, warc
 from flagloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"), least_bytes=1000)
 
 
+def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors found for every hundredth vector id."""
+    return kmtree.search(read(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash of every document and of its edited text."""
     return ordermin.order_minhash(read(spark, sf_dir, "documents"))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_warc": op8_warc,
+    "op9_kmeans_tree": op9_kmeans_tree,
     "op10_order_minhash": op10_order_minhash,
 }
 
