@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm import crf, kmtree, ordermin, quality, simhash, substring, warc
+from flagloom.llm import crf, kmtree, mixing, ordermin, quality, simhash, substring, warc
 from flagloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and pass of the mixture at 90 % of the greatest entropy, four passes at most."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(docs).select("doc_id", "source", "mix_pass", "mix_order", "mix_weight")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; a fifth of the ids is held out of the fit."""
     docs = read(spark, sf_dir, "documents").withColumn(
@@ -57,6 +63,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_source_mixing": op1_source_mixing,
     "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_quality_classifier": op5_quality_classifier,
