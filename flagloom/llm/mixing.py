@@ -92,8 +92,8 @@ def mixing_weights(shares: DataFrame, max_repeats: float = 4.0, entropy: float |
 
 def plan_blocks(docs: DataFrame, weights: DataFrame, seed: int, source_col: str) -> DataFrame:
     """``(_source, _block, _pass, _order)``: the blocks each pass takes. A pass
-    is a permutation of the source's blocks; a block is taken if the words of
-    the blocks before it stay under what is left of the budget."""
+    is a permutation of the source's blocks; a block is taken if the middle of it
+    lies within what is left of the budget."""
     blocks = (docs.select(F.col(source_col).alias("_source"), F.col("_block"), F.col("_words"))
               .groupBy("_source", "_block").agg(F.sum("_words").alias("_words")))
     goal = weights.select(F.col("source").alias("_goal_source"), "tokens", "budget")
@@ -113,7 +113,7 @@ def plan_blocks(docs: DataFrame, weights: DataFrame, seed: int, source_col: str)
               .rowsBetween(Window.unboundedPreceding, -1))
     part = (part.withColumn("_before", F.coalesce(F.sum("_words").over(within), F.lit(0)))
             .join(sliced, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_sl")))
-            .where(F.col("_before") + F.col("_ahead") < F.col("_left")))
+            .where(F.col("_before") + F.col("_ahead") + F.col("_words") / 2 <= F.col("_left")))
     return whole.unionByName(part.select("_source", "_block", "_pass", "_order"))
 
 
