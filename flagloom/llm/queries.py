@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm import crf, kmtree, mixing, ordermin, quality, simhash, substring, warc
+from flagloom.llm import crf, kmtree, mixing, ordermin, quality, simhash, substring, toolcalls, warc
 from flagloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,52 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", "mix_pass", "mix_order", "mix_weight")
 
 
+#: Tools of the exchanges that are read off the conversations.
+TOOL_SCHEMAS = [("search", "query", "string", True), ("search", "limit", "integer", False),
+                ("summarise", "text", "string", True), ("summarise", "ratio", "number", True),
+                ("translate", "text", "string", True), ("translate", "formal", "boolean", False)]
+
+
+def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results read off a conversations table, which has none of its own.
+
+    Every assistant turn calls a tool with its whole text as an argument; the
+    user turn after it is the result. Arithmetic on the ids puts in each fault the operator
+    must find: a parent that may not exist, a wrong type, a missing or an
+    unknown parameter, broken JSON, an unknown tool, a result of another id.
+    """
+    c = conversations.select("conv_id", "turn", "role", "text")
+    mark = (F.col("conv_id") * 7 + F.col("turn") * 3) % 20
+    n = F.col("conv_id") % 4
+    label = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
+    name = F.when(n == 0, "summarise").when(n == 1, "translate").when(n == 2, "search").otherwise("browse")
+    tool = F.when(F.col("conv_id") % 12 == 3, name).otherwise(F.when(n == 3, "search").otherwise(name))
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+    value = F.when(F.col("text").isNull(), F.lit("null")).otherwise(quoted)
+    main = F.when(tool == "search", F.lit("query")).otherwise(F.lit("text"))
+    side = (F.when(tool == "search", F.concat(F.lit('"limit":'), F.col("turn").cast("string")))
+            .when(tool == "summarise", F.concat(F.lit('"ratio":0.'), (F.col("turn") + 1).cast("string")))
+            .otherwise(F.lit('"formal":true')))
+    side = F.when(mark == 1, F.lit('"limit":"ten"')).when(mark == 2, F.lit('"depth":2')).otherwise(side)
+    body = F.when(mark == 3, side).otherwise(F.concat(side, F.lit(', "'), main, F.lit('" : '), value))
+    arguments = F.when(mark == 4, F.concat(F.lit("{"), body)).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+    calls = c.where(F.col("role") == "assistant").select(
+        "conv_id", label(F.col("turn")).alias("call_id"), F.col("turn").alias("seq"), tool.alias("tool"),
+        arguments.alias("arguments"),
+        F.when((F.col("turn") > 2) & ((F.col("conv_id") + F.col("turn")) % 5 != 0), label(F.col("turn") - 2)).alias("parent_id"))
+    results = c.where((F.col("role") == "user") & (F.col("turn") > 0)).select(
+        "conv_id", F.when(mark == 5, F.concat(label(F.col("turn") - 1), F.lit("x")))
+        .otherwise(label(F.col("turn") - 1)).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return calls, results
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every exchange of the conversations, linked, ordered, checked and as canonical JSON."""
+    calls, results = tool_traffic(read(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(TOOL_SCHEMAS, "tool string, param string, type string, required boolean")
+    return toolcalls.link_tool_calls(calls, results, schemas)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; a fifth of the ids is held out of the fit."""
     docs = read(spark, sf_dir, "documents").withColumn(
@@ -64,6 +110,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_tool_calls": op2_tool_calls,
     "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_quality_classifier": op5_quality_classifier,
