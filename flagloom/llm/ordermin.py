@@ -42,7 +42,7 @@ def _kmer_hashes(points: np.ndarray, k: int) -> np.ndarray:
 
 
 def signature(points: np.ndarray, k: int = 6, picks: int = 2, sketches: int = 32) -> np.ndarray:
-    """``sketches`` 64-bit tuple hashes of one text given as code points.
+    """``sketches`` 32-bit tuple hashes of one text given as code points.
 
     A text shorter than ``k`` is one k-mer, the empty text too; a text with
     fewer than ``picks`` k-mers uses them all. Equal hashes go to the earlier.
@@ -89,7 +89,7 @@ def signature(points: np.ndarray, k: int = 6, picks: int = 2, sketches: int = 32
     code = np.arange(1, sketches + 1, dtype=np.uint64)
     for j in range(few):
         code = mix(code * _SPACING + numbered[chosen[:, j]])
-    return code
+    return (code >> np.uint64(32)).astype(np.uint32)
 
 
 _MADE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -107,11 +107,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean(a == b))
 
 
-def _hex(sig: np.ndarray) -> str:
-    return sig.astype(">u8").tobytes().hex()
+def _packed(sig: np.ndarray) -> bytes:
+    return sig.astype(">u4").tobytes()
 
 
-_RESULT = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+_RESULT = ("n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
            "near_edited double, near_next double")
 
 
@@ -131,7 +131,7 @@ class _Pairing:
         n = len(points)
         edited = text[:n - n // 3] + after[0][:n // 3]
         new = sig if edited == text else signature(_points(edited), *self.how)
-        return (n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), _hex(sig), _hex(new),
+        return (n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest(), _packed(sig), _packed(new),
                 likeness(sig, new), likeness(sig, after[2]))
 
 
@@ -170,7 +170,7 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(cols, types)], ["part", "edge", "_id", *names, "_text"])
 
-        types = [pa.int32(), pa.string(), None, pa.int64(), pa.string(), pa.string(), pa.string(),
+        types = [pa.int32(), pa.string(), None, pa.int64(), pa.binary(), pa.binary(), pa.binary(),
                  pa.float64(), pa.float64(), pa.string()]
         for batch in batches:
             types[2] = batch.schema.field("_id").type
@@ -202,9 +202,11 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                      for a, b in zip(batch.column("tail").to_pylist(), batch.column("next").to_pylist())]
             ids = pa.array([a["_id"] for a in batch.column("tail").to_pylist()], batch.column("tail").type.field("_id").type)
             cols = list(zip(*found)) if found else [()] * 6
-            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), t) for c, t in zip(cols, types))], ["_id", *names])
 
     last = closed.mapInArrow(close, f"_id {kind.simpleString()}, {_RESULT}")
+    kinds = dict(x.split() for x in _RESULT.split(", "))
     return (done.where("edge IS NULL").select("_id", *names).unionByName(last)
-            .withColumnRenamed("_id", id_col))
+            .select(F.col("_id").alias(id_col), *(F.lower(F.hex(c)).alias(c) if kinds[c] == "binary" else c
+                                                  for c in names)))
