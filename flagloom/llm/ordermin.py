@@ -139,8 +139,8 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   k: int = 6, picks: int = 2, sketches: int = 32) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
-    Rows are taken by descending id (null ids last, rows of one id by text);
-    the row after the last is the first. The edited text is the own text with
+    Rows are taken by descending id (null ids last, rows of one id by their
+    text's hash); the row after the last is the first. The edited text is the own text with
     its last third of code points (rounded down) replaced by the first as many
     of the next row's text, or all of them. Returns ``id_col``, ``n_chars``,
     ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``
@@ -155,9 +155,10 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     how = _Pairing(k, picks, sketches)
-    order = [F.col("_id").desc_nulls_last(), F.col("_text")]
+    # the ranges' sample of keys goes to the driver, so a key has the text's hash, not the text
+    order = [F.col("_id").desc_nulls_last(), F.xxhash64("_text")]
     rows = (docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-            .repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order))
+            .repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "_text"))
     kind = rows.schema["_id"].dataType
     walked = f"part int, edge string, _id {kind.simpleString()}, {_RESULT}, _text string"
     names = [x.split()[0] for x in _RESULT.split(", ")]
