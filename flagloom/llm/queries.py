@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm import crf, kmtree, mixing, ordermin, quality, simhash, substring, toolcalls, warc
+from flagloom.llm import crf, kmtree, mixing, ordermin, pieces, quality, simhash, substring, toolcalls, warc
 from flagloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model).select("doc_id", "expected_grade", "tail_prob", "accepted")
 
 
+#: The public tokenizer of the production query; pass another path to ``pieces.load_model``.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding gives the text back."""
+    return pieces.encode(read(spark, sf_dir, "documents"), pieces.load_model(PIECE_MODEL))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every document after repeated 50-word windows are cut."""
     return (substring.drop_repeats(read(spark, sf_dir, "documents"), window=50)
@@ -114,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_warc": op8_warc,
     "op9_kmeans_tree": op9_kmeans_tree,
