@@ -188,38 +188,70 @@ def _windows(window: int, buckets: int):
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Windows whose words also start in a document with a smaller id, by document."""
-    key, more, number, pos, who = _unpack(table, wide=True)
-    order = np.lexsort((more, key))
-    starts = _group_starts(key[order], more[order])
-    ident = who[number[order], 1]
-    least = np.repeat(np.minimum.reduceat(ident, starts), np.diff(np.append(starts, len(order))))
-    pick = order[ident > least]
-    tag, at = who[number[pick], 0], pos[pick]
-    order = np.argsort(tag, kind="stable")
-    tag, at = tag[order], at[order]
-    starts = _group_starts(tag) if len(tag) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(tag)) if len(tag) else starts
-    return pa.table({"_tag": pa.array(tag[starts], pa.int64()),
-                     "_starts": pa.array([at[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())})
-
-
-def _cut(window: int, keep: list[str]):
+def _repeated(parts: int):
+    """Windows whose words also start in a document with a smaller id, packed
+    for the ``parts`` parts that the documents' tags are dealt to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, more, number, pos, who = _unpack(table, wide=True)
+        order = np.lexsort((more, key))
+        starts = _group_starts(key[order], more[order])
+        ident = who[number[order], 1]
+        least = np.repeat(np.minimum.reduceat(ident, starts), np.diff(np.append(starts, len(order))))
+        pick = order[ident > least]
+        tag, at = who[number[pick], 0], pos[pick]
+        part = tag % parts
+        order = np.lexsort((at, tag, part))
+        part, tag, at = part[order], tag[order], at[order]
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+        rows = []
+        for a, b in zip(cuts, cuts[1:]):
+            new = _group_starts(tag[a:b])
+            runs = np.diff(np.append(new, b - a)).astype(np.uint32)
+            rows.append((int(part[a]), _planes(tag[a:b][new]), _planes(runs), _planes(at[a:b])))
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 4, _GONE_TYPES)], _GONE)
+
+    return run
+
+
+_GONE = ["part", "tags", "runs", "starts"]
+_GONE_TYPES = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _gathered(window: int):
+    """One row per document: the removed stretches of words as (first, end) pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(_GONE[1:]).to_pylist()
+        runs = np.concatenate([_unplanes(r["runs"], "u4") for r in rows])
+        tag = np.repeat(np.concatenate([_unplanes(r["tags"], "i8") for r in rows]), runs)
+        at = np.concatenate([_unplanes(r["starts"], "u4") for r in rows]).astype(np.int64)
+        order = np.lexsort((at, tag))
+        tag, at = tag[order], at[order]
+        docs = _group_starts(tag)
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + window)
+        first = np.flatnonzero(fresh)
+        pairs = np.stack([at[first], at[np.append(first[1:], len(at)) - 1] + window], axis=1).astype(np.uint32)
+        cuts = np.append(np.searchsorted(first, docs), len(first))
+        return pa.table({"_tag": tag[docs], "_gone": pa.array([pairs[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
+                                                              pa.binary())})
+
+    return run
+
+
+def _cut(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             words = Words(batch.column("_text"))
             total, removed, kept = [], [], []
-            for i, found in enumerate(batch.column("_starts").to_pylist()):
+            for i, found in enumerate(batch.column("_gone").to_pylist()):
                 a, b = words.first[i], words.first[i + 1]
                 n = int(b - a)
                 stay = np.ones(n, bool)
                 if found:
-                    at = np.concatenate([np.frombuffer(x, np.uint32) for x in found]).astype(np.int64)
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    stay = np.cumsum(edge[:n]) == 0
+                    for first, end in np.frombuffer(found, np.uint32).reshape(-1, 2).tolist():
+                        stay[first:end] = False
                 data = words.text(i)
                 shift = words.offsets[i]
                 text = b" ".join([data[s:e] for s, e in zip((words.start[a:b][stay] - shift).tolist(),
@@ -263,13 +295,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = rows.repartition(n, "_tag")
     repeats = (placed.join(hits, "_tag").select("_id", "_tag", "_text", "_rest", "_hits")
                .mapInArrow(_windows(window, buckets), _PACKED)
-               .groupBy("bucket").applyInArrow(_repeated, "_tag long, _starts binary")
-               .groupBy("_tag").agg(F.collect_list("_starts").alias("_starts")))
+               .groupBy("bucket").applyInArrow(_repeated(n), "part int, tags binary, runs binary, starts binary")
+               .groupBy("part").applyInArrow(_gathered(window), "_tag long, _gone binary"))
     keep = ["_id", "_text", "_rest"]
     schema = rows.select(*keep).schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
-    return placed.join(repeats, "_tag", "left").select(*keep, "_starts").mapInArrow(_cut(window, keep), schema)
+    return placed.join(repeats, "_tag", "left").select(*keep, "_gone").mapInArrow(_cut(keep), schema)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
