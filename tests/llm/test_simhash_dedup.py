@@ -1,0 +1,116 @@
+"""SimHash near-duplicates against all-pairs brute force."""
+
+import random
+
+import pytest
+import xxhash
+
+from flagloom.llm import simhash
+from flagloom.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, component_id string"
+
+
+def brute_print(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
+    words, cur = [], b""
+    for b in low:
+        if b in (0x20, 9, 10, 11, 12, 13):
+            if cur:
+                words.append(cur)
+            cur = b""
+        else:
+            cur += bytes([b])
+    if cur:
+        words.append(cur)
+    if not words:
+        return 0
+    k = min(3, len(words))
+    hs = [xxhash.xxh64_intdigest(b" ".join(words[i:i + k]), 42) for i in range(len(words) - k + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def roots(nodes, linked):
+    up = {n: n for n in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def brute(rows):
+    prints = [(i, brute_print(t)) for i, t in rows]
+    distinct = sorted({p for _, p in prints})
+    links = [(a, b) for x, a in enumerate(distinct) for b in distinct[x + 1:] if (a ^ b).bit_count() <= 3]
+    root = roots(distinct, links)
+    ids = {}
+    for i, p in prints:
+        if i is not None:
+            ids[root[p]] = min(i, ids.get(root[p], i))
+    return sorted(((i, f"{p:016x}", ids.get(root[p])) for i, p in prints), key=str)
+
+
+def near_copies():
+    rng = random.Random(5)
+    words = [f"w{i}é" for i in range(60)]
+    rows, n = [(None, "no id here at all"), (1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one two"), (5, "one two")], 10
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 200]))]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 3])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((n, rng.choice([" ", "\n", "  "]).join(copy).upper() if n % 5 == 0 else " ".join(copy)))
+            n += 1
+    rows.append((n, "word " * 30000))
+    return rows
+
+
+def test_components_match_brute_force(spark):
+    rows = near_copies()
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
+    got = simhash.near_duplicates(df)
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("bits", [1, 3, 5])
+def test_pigeonring_finds_every_pair(spark, bits):
+    rng = random.Random(bits)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    for p in list(prints):
+        for d in range(1, bits + 2):
+            prints.append(p ^ sum(1 << b for b in rng.sample(range(64), d)))
+    signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
+    want = {(a, b) for x, a in enumerate(signed) for b in signed[x + 1:]
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
+    df = spark.createDataFrame([(p,) for p in signed] + [(None,)], "simhash long")
+    assert {tuple(r) for r in simhash.near_pairs(df, bits).collect()} == want
+
+
+def test_keep_one_of_each_group(spark):
+    rows = near_copies()
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    want = sorted({c for _, _, c in brute(rows)} - {None})
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    ids = [r["doc_id"] for r in got.collect()]
+    assert sorted(i for i in ids if i is not None) == want and ids.count(None) == 1
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert simhash.near_duplicates(df).count() == 0
+    assert simhash.keep_one(df).count() == 0
+
+
+def test_long_chains_and_hubs_have_one_root(spark):
+    links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7), (5000, 5000)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1100)}}
