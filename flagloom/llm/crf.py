@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flagloom.llm.common import Words, mix, slices, windows_hash
 
@@ -280,8 +281,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
 def label_spans(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with ``spans``: runs of equally labelled words as
     (``first_word``, ``n_words``, ``lang``, ``score``: mean probability). A text without words has none."""
-    span = "array<struct<first_word: long, n_words: long, lang: string, score: double>>"
-    schema = docs.select(*keep).schema.add("spans", span)
+    span = T.StructType().add("first_word", "long").add("n_words", "long").add("lang", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("spans", T.ArrayType(span))
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()),
                                ("lang", pa.string()), ("score", pa.float64())]))
 
