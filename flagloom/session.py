@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -48,30 +47,38 @@ def _context(spark: SparkSession):
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present (read through
-    ``spark.conf``, so Connect sessions work too). Only when nothing is
-    configured in a local-mode session (tests) is a private folder created
-    and registered; on a cluster a missing setting is an error, never a
-    machine-local folder.
+    Read through ``spark.conf``, so Connect sessions work too. A missing setting
+    is an error: a folder of one machine is invisible to the others. A
+    single-machine caller (tests, bench) sets one with
+    :func:`use_local_checkpoints`.
     """
     sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and sc is not None:
         root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if sc is None or not sc.master.startswith("local"):
-            # a driver-local folder is invisible to executors on a cluster
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
-                               "distributed file system) before running flagloom jobs")
-        root = tempfile.mkdtemp(prefix="flagloom-ckpt-")
-        sc.setCheckpointDir(root)
-    elif sc is not None and not sc.getCheckpointDir():
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                           "distributed file system) before running flagloom jobs")
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def use_local_checkpoints(spark: SparkSession) -> None:
+    """Where ``spark.checkpoint.dir`` is unset in a local-mode session, set it
+    beside the session's warehouse. Does nothing otherwise."""
+    sc = _context(spark)
+    if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        return
+    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique sub-folder of the shared checkpoint root."""
+    """A fresh, unique sub-folder of the shared checkpoint root.
+
+    Whoever owns that root cleans it: results may still be read from the folder
+    after the query that made it returns."""
     root = checkpoint_root(spark)
     if "://" not in root and not root.startswith("/"):
         root = os.path.abspath(root)

@@ -1,5 +1,5 @@
 """Sources and sinks."""
 
-from flagloom.sources.io import preview, read_table, schema_table, sink_manifest, small_table, write_table
+from flagloom.sources.io import preview, read_table, sink_manifest, small_table, write_table
 
-__all__ = ["preview", "read_table", "schema_table", "sink_manifest", "small_table", "write_table"]
+__all__ = ["preview", "read_table", "sink_manifest", "small_table", "write_table"]

@@ -14,13 +14,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: How a null is written in CSV, apart from an empty text.
+NULL_TEXT = "\\N"
+
+
+def csv_options(null_text: str = NULL_TEXT) -> dict[str, str]:
+    """The options under which CSV text survives a round trip; the same on both sides."""
+    return {"quote": '"', "escape": '"', "nullValue": null_text,
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: StructType | str | None = None, infer: bool = False,
-               header: bool = True, corrupt_column: str | None = None) -> DataFrame:
+               header: bool = True, corrupt_column: str | None = None,
+               multi_line: bool = False, null_text: str = NULL_TEXT) -> DataFrame:
     """Read a table directory or file.
 
-    CSV is read with the options that survive quoted commas, doubled quotes
-    and embedded newlines (``multiLine``, ``escape='"'``). Give ``schema`` in
+    CSV is read as :func:`write_table` writes it: quoted commas, doubled
+    quotes, padded and empty texts come back as they were, ``null_text`` is
+    null. By default a file is split over tasks, and a quoted newline would end
+    its row; ``multi_line=True`` keeps newlines inside quotes, but then a file is
+    one task, so write many files. Give ``schema`` in
     production; ``infer=True`` costs an extra pass over the files. With
     ``corrupt_column`` malformed CSV rows are kept in that column instead of
     shifting values into the wrong fields.
@@ -35,8 +49,8 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
         if schema is not None:
             r = r.schema(schema)
         return r.load(path)
-    r = (spark.read.option("header", header).option("multiLine", True)
-         .option("escape", '"').option("quote", '"').option("mode", "PERMISSIVE"))
+    r = spark.read.option("header", header).option("mode", "PERMISSIVE").option("multiLine", multi_line)
+    r = r.options(**csv_options(null_text))
     if schema is not None:
         if corrupt_column:
             if isinstance(schema, str):
@@ -52,13 +66,14 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: Sequence[str] | None = None, num_files: int | None = None,
-                max_records_per_file: int | None = None) -> str:
+                max_records_per_file: int | None = None, null_text: str = NULL_TEXT) -> str:
     """Write ``df`` and return ``path``.
 
     ``num_files`` repartitions (a shuffle that keeps upstream parallelism)
     rather than ``coalesce`` (which would drag the whole upstream plan into
     that many tasks). ``max_records_per_file`` bounds file size without a
-    shuffle and is the better knob at scale.
+    shuffle and is the better knob at scale. In CSV a null is written as
+    ``null_text``; a text equal to it could not be told apart.
     """
     if num_files:
         df = df.repartition(num_files)
@@ -68,22 +83,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"').option("quote", '"')
+        w = w.option("header", True).options(**csv_options(null_text))
     w.format(fmt).save(path)
     return path
 
 
 def sink_manifest(spark: SparkSession, path: str, fmt: str = "parquet",
                   schema: StructType | str | None = None) -> DataFrame:
-    """One row per data file of a written set: name, size in bytes, rows.
+    """One row per data file of a written set: path, name, size in bytes, rows.
+
+    Files are told apart by path: the same name may be in several partition folders.
 
     Built from the reader's hidden ``_metadata`` column, so it is a
     distributed scan, not a driver-side directory walk.
     """
     df = read_table(spark, path, fmt, schema=schema)
-    return (df.select(F.col("_metadata.file_name").alias("file_name"),
+    return (df.select(F.col("_metadata.file_path").alias("file_path"),
+                      F.col("_metadata.file_name").alias("file_name"),
                       F.col("_metadata.file_size").alias("file_size"))
-              .groupBy("file_name", "file_size")
+              .groupBy("file_path", "file_name", "file_size")
               .agg(F.count(F.lit(1)).alias("rows")))
 
 
@@ -96,12 +114,6 @@ def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: StructTyp
     return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
-def schema_table(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """(ordinal, column, type) for each column of ``df``; bounded by the width."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return small_table(spark, rows, "ordinal int, column string, type string")
-
-
 def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] | None = None) -> DataFrame:
     """First ``n`` rows; with ``order_by`` the rows are defined (a top-k)."""
     if order_by:

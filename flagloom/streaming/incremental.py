@@ -20,13 +20,14 @@ from pyspark.sql.types import StructType
 
 from flagloom.plans import pipeline
 from flagloom.session import scratch_path
+from flagloom.sources.io import csv_options
 
 
 def read_catalog_stream(spark: SparkSession, source_dir: str, schema: StructType | str, fmt: str = "csv",
                         max_files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema)
     if fmt == "csv":
-        r = r.option("header", True).option("multiLine", True).option("escape", '"')
+        r = r.option("header", True).options(**csv_options())
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.format(fmt).load(source_dir)
@@ -37,7 +38,7 @@ def encode_stream(stream: DataFrame, spec: pipeline.CatalogSpec) -> tuple[pipeli
     if spec.genre_vocab is None or spec.rating_vocab is None or spec.country_vocab is None:
         raise ValueError("a streaming encode needs genre_vocab, rating_vocab and country_vocab")
     enc = pipeline.encode_catalog(stream, spec)
-    return enc, pipeline.feature_catalog(enc, spec, deduplicate=False)
+    return enc, pipeline.feature_catalog(enc, spec)
 
 
 def run_to_parquet(features: DataFrame, sink_dir: str, checkpoint: str | None = None,
@@ -54,8 +55,8 @@ def run_to_parquet(features: DataFrame, sink_dir: str, checkpoint: str | None =
 
 
 def fixed_vocabularies(spec: pipeline.CatalogSpec, batch: DataFrame) -> pipeline.CatalogSpec:
-    """Fill missing vocabularies of ``spec`` from a batch sample of the catalog
-    (one bounded scan), so the stream's schema is fixed before it starts."""
+    """Fill missing vocabularies of ``spec`` from a batch of the catalog (one
+    scan of all of it), so the stream's schema is fixed before it starts."""
     enc = pipeline.encode_catalog(batch, spec)
     return replace(spec, genre_vocab=list(enc.genre_flags.values()),
                    rating_vocab=list(enc.rating_flags.values()),

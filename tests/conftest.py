@@ -12,9 +12,10 @@ SF_SMALL = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from flagloom.session import get_spark
+    from flagloom.session import get_spark, use_local_checkpoints
 
     s = get_spark("local[*]", shuffle_partitions=8, app="flagloom-tests")
+    use_local_checkpoints(s)
     yield s
     s.stop()
 
