@@ -38,9 +38,9 @@ def safe_name_col(c: Column | str, keep_commas: bool = False) -> Column:
     """Column form of :func:`safe_name`; runs inside whole-stage codegen."""
     c = F.col(c) if isinstance(c, str) else c
     s = F.replace(F.trim(c), F.lit("&"), F.lit(AMPERSAND_WORD))
-    s = F.regexp_replace(s, "[ /-]", "_")
-    dropped = "[.',]" if not keep_commas else "[.']"
-    return F.regexp_replace(s, dropped, "")
+    for chars, to in ((UNDERSCORE_CHARS, "_"), (_dropped(keep_commas), "")):
+        s = F.translate(s, chars, to * len(chars))
+    return s
 
 
 def check_unique_names(names: Iterable[str], existing: Iterable[str] = ()) -> list[str]:

@@ -40,29 +40,30 @@ def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.fillna(0, subset=[c for c in cols if c in types])
 
 
-def replace_values(df: DataFrame, mapping: Mapping[str, str], subset: Sequence[str] | None = None) -> DataFrame:
-    """Whole-value replacement on string columns (all of them when no subset)."""
+def replace_values(df: DataFrame, mapping: Mapping[str, str | None], subset: Sequence[str] | None = None) -> DataFrame:
+    """Whole-value replacement on string columns (all of them when no subset).
+
+    A value mapped to ``None`` becomes null."""
     types = dict(df.dtypes)
     cols = [c for c in (subset or df.columns) if types.get(c) == "string"]
     if not cols or not mapping:
         return df
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return df.withColumns({c: F.coalesce(F.element_at(m, F.col(c)), F.col(c)) for c in cols})
+    m = F.create_map(*[F.lit(x).cast("string") for kv in mapping.items() for x in kv])
+    return df.withColumns({c: F.when(F.map_contains_key(m, F.col(c)), F.element_at(m, F.col(c))).otherwise(F.col(c))
+                           for c in cols})
 
 
 def map_values_table(df: DataFrame, col: str, mapping: DataFrame, key: str, value: str,
-                     out: str | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                     out: str | None = None) -> DataFrame:
     """Value mapping from a table (for maps too large to inline as literals).
 
-    The mapping's size is checked first (a bounded ``limit(n+1).count()``):
-    up to ``max_broadcast_rows`` rows it is broadcast, so a hot value in
-    ``df`` never meets a shuffle; beyond that it is a shuffle join, where
-    AQE's skew-join handling splits a hot value's partition.
+    A plain left join: the engine broadcasts the mapping if its bytes are under
+    the session's threshold, else shuffles, where a hot value's partition is
+    split at run time. A duplicated key maps to its smallest value; a key that
+    maps to null, or is not in the table, leaves the value as it is.
     """
-    # one value per key (the smallest, so a duplicated key maps deterministically)
     m = mapping.groupBy(F.col(key).alias("_mk")).agg(F.min(value).alias("_mv"))
-    small = mapping.select(key).limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    joined = df.join(F.broadcast(m) if small else m, F.col(col) == F.col("_mk"), "left")
+    joined = df.join(m, F.col(col) == F.col("_mk"), "left")
     return joined.withColumn(out or col, F.coalesce(F.col("_mv"), F.col(col))).drop("_mk", "_mv")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,26 +25,21 @@ def dup_report(df: DataFrame, keys: Sequence[str], total: str = "total_rows",
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Keep one row per ``keys``: the first in ``order_by`` ('-col' = descending).
-
-    Implemented as an aggregate, ``min``/``max`` over a struct that starts with
-    the ordering columns, so the survivor is defined (remaining columns break
-    any tie) and each map task already keeps a single row per key before the
-    shuffle: a key repeated across a third of the table costs one row per
-    task, not one reducer holding a third of the data.
+    """Keep one row per ``keys``: the first in ``order_by`` ('-col' = descending;
+    nulls first ascending, last descending).
+
+    The remaining columns, in their order, break ties, so the survivor is
+    defined; columns of types without an order take no part in that. Planned as
+    ``row_number() = 1`` with a map-side group limit: a key repeated across a
+    third of the table costs one row per task before the shuffle, and columns
+    that a later step does not need are not carried as ties of a struct.
     """
-    desc = [o.startswith("-") for o in order_by]
-    types = dict(df.dtypes)
-    if any(desc) and not all(desc):
-        raise ValueError("order_by must be all ascending or all descending")
-    order_cols = [o.lstrip("-") for o in order_by]
-    rest = [c for c in df.columns if c not in order_cols and c not in keys]
-    packed = F.struct(*[F.col(c) for c in order_cols + rest])
-    pick = F.max if all(desc) and desc else F.min
-    # A 64-bit hash of the text keys leads the grouping key: sorts then decide
-    # on the hash prefix instead of comparing long texts (near-copies share
-    # long prefixes). The keys themselves stay in the group, so it is exact.
-    text_keys = [k for k in keys if types[k] == "string"]
-    lead = [F.xxhash64(*text_keys).alias("_h")] if text_keys else []
-    out = df.groupBy(*lead, *keys).agg(pick(packed).alias("_keep"))
-    return out.select(*[F.col(k) if k in keys else F.col(f"_keep.{k}").alias(k) for k in df.columns])
+    named = [o.removeprefix("-") for o in order_by]
+    order = [F.col(c).desc() if o.startswith("-") else F.col(c).asc() for o, c in zip(order_by, named)]
+    order += [F.col(c).asc() for c, t in df.dtypes
+              if c not in named and c not in keys and not any(x in t for x in ("map<", "variant", "interval"))]
+    # a hash of the text keys leads: sorts decide on it before comparing long texts
+    texts = [k for k in keys if dict(df.dtypes)[k] == "string"]
+    lead = [F.xxhash64(*texts)] if texts else []
+    w = Window.partitionBy(*lead, *keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")

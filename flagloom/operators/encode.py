@@ -1,10 +1,9 @@
 """Encoding operators: categorical and delimited columns <-> flag columns.
 
 Flags are added in ONE projection (``withColumns``), never a ``withColumn``
-loop, so the analyzer runs once however wide the vocabulary is. Vocabularies
-discovered from data are computed with a distributed ``groupBy`` and only the
-bounded, capped list of distinct values reaches the driver (it has to: it
-becomes the schema).
+loop, so the analyzer runs once however wide the vocabulary is. Only the wide
+forms need a vocabulary on the driver (it becomes the schema); counting and
+ranking work on the long form, where a vocabulary stays a DataFrame.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ from pyspark.sql import functions as F
 from flagloom.functions.names import check_unique_names, safe_name
 from flagloom.functions.scalars import as_flag_int, first_token, split_tokens
 
-DEFAULT_MAX_VALUES = 1000
-
 
 def _cast_flag(c: Column, as_type: str) -> Column:
     return c if as_type == "boolean" else c.cast("int")
@@ -79,29 +76,22 @@ def vocabulary(df: DataFrame, col: str, sep: str | None = None, trim: bool = Tru
               .groupBy(value).agg(F.count(F.lit(1)).alias(count)))
 
 
-def vocabulary_list(df: DataFrame, col: str, sep: str | None = None, trim: bool = True,
-                    max_values: int = DEFAULT_MAX_VALUES) -> list[str]:
-    """Sorted distinct values, capped: more than ``max_values`` is an error.
+def vocabulary_list(df: DataFrame, col: str, sep: str | None = None, trim: bool = True) -> list[str]:
+    """Sorted distinct values of a column that is a dictionary by definition.
 
-    The cap keeps the driver-side list (and the resulting schema width)
-    bounded whatever the data size.
+    They become column names, so they come to the driver. A column of unknown
+    size stays a DataFrame: use :func:`vocabulary`.
     """
-    rows = (vocabulary(df, col, sep, trim).select("value").orderBy("value")
-            .limit(max_values + 1).collect())
-    if len(rows) > max_values:
-        raise ValueError(f"{col!r} has more than {max_values} distinct values; "
-                         "pass vocab= or raise max_values")
-    return [r[0] for r in rows]
+    return sorted(r[0] for r in vocabulary(df, col, sep, trim).select("value").collect())
 
 
 def vocabulary_lists(df: DataFrame, sources: Mapping[str, tuple[str, str | None]],
-                     max_values: int = DEFAULT_MAX_VALUES, trim: bool = True) -> dict[str, list[str]]:
-    """Several vocabularies in ONE scan: ``{name: (column, sep or None)}``
+                     trim: bool = True) -> dict[str, list[str]]:
+    """Several dictionaries in ONE scan: ``{name: (column, sep or None)}``
     (``sep=None`` for a single-valued column; array columns are used as is).
 
     Values of all columns are tagged with their source and de-duplicated in one
-    aggregate; a per-source ``row_number() <= max_values + 1`` (a window group
-    limit, applied map-side before the shuffle) bounds what reaches the driver.
+    aggregate (each map task combines its own first).
     """
     def tag(name: str):
         return lambda v: F.struct(F.lit(name).alias("src"), v.alias("value"))
@@ -119,22 +109,13 @@ def vocabulary_lists(df: DataFrame, sources: Mapping[str, tuple[str, str | None]
         vals = F.coalesce(vals, F.array().cast("array<string>"))
         arrays.append(F.transform(vals, tag(name)))
     tagged = df.select(F.explode(F.concat(*arrays)).alias("x")).select("x.*")
-    distinct = tagged.where(F.col("value").isNotNull()).distinct()
-    from flagloom.operators.rank import top_n_per_group  # local: rank imports reshape only
-    capped = top_n_per_group(distinct, ["src"], ["value"], max_values + 1)
     out: dict[str, list[str]] = {name: [] for name in sources}
-    for r in capped.collect():
+    for r in tagged.where(F.col("value").isNotNull()).distinct().collect():
         out[r["src"]].append(r["value"])
-    for name, vals in out.items():
-        if len(vals) > max_values:
-            raise ValueError(f"{name!r} has more than {max_values} distinct values; "
-                             "pass a vocabulary or raise max_values")
-        vals.sort()
-    return out
+    return {name: sorted(vals) for name, vals in out.items()}
 
 
-def one_hot(df: DataFrame, col: str, vocab: Sequence[str] | None = None,
-            max_values: int = DEFAULT_MAX_VALUES, as_type: str = "boolean",
+def one_hot(df: DataFrame, col: str, vocab: Sequence[str] | None = None, as_type: str = "boolean",
             prefix: str = "", keep_commas: bool = True,
             names: Mapping[str, str] | None = None, drop_source: bool = False) -> DataFrame:
     """One flag per distinct value of a single-valued column.
@@ -143,7 +124,7 @@ def one_hot(df: DataFrame, col: str, vocab: Sequence[str] | None = None,
     deterministic). A null cell sets no flag.
     """
     if vocab is None:
-        vocab = vocabulary_list(df, col, max_values=max_values)
+        vocab = vocabulary_list(df, col)
     flag_names = _flag_names(df, vocab, names, prefix, keep_commas=keep_commas)
     c = F.col(col)
     flags = {n: _cast_flag(F.coalesce(c == F.lit(v), F.lit(False)), as_type)
@@ -174,17 +155,14 @@ def decode_one_hot(df: DataFrame, flags: Mapping[str, str], out: str, default: s
 
 
 def row_flag_count(df: DataFrame, cols: Sequence[str], out: str, null_as_zero: bool = True) -> DataFrame:
-    """Row-wise number of set flags.
+    """Row-wise number of set flags (0 for no flags at all), in one array
+    expression however many there are.
 
     ``null_as_zero=False`` makes the count null when any flag is null.
     """
+    if not cols:
+        return df.withColumn(out, F.lit(0))
     types = dict(df.dtypes)
-    terms = []
-    for c in cols:
-        v = as_flag_int(F.col(c), types[c])
-        v = F.when(v == 1, F.lit(1)).when(v.isNull(), F.lit(None)).otherwise(F.lit(0))
-        terms.append(F.coalesce(v, F.lit(0)) if null_as_zero else v)
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return df.withColumn(out, total if terms else F.lit(0))
+    flags = F.array(*[as_flag_int(F.col(c), types[c]) for c in cols])
+    n = F.size(F.filter(flags, lambda v: v == 1))
+    return df.withColumn(out, n if null_as_zero else F.when(~F.exists(flags, lambda v: v.isNull()), n))

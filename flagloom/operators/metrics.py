@@ -33,15 +33,16 @@ def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "pre
 def confusion_matrix(df: DataFrame, classes, label: str = "label",
                      prediction: str = "prediction", prefix: str = "pred_") -> DataFrame:
     """Wide matrix: one row per label, one column ``pred_<class>`` per
-    predicted class.
+    predicted class, and ``pred_other`` for predictions that are null or not in
+    ``classes``, so a row's columns add up to its label's rows.
 
-    ``classes`` is given (a bounded list), so the pivot needs no extra job to
-    discover its values; counts are a partial + final aggregate.
+    ``classes`` is given (a bounded list); counts are a partial + final aggregate.
     """
-    wide = df.groupBy(label).pivot(prediction, list(classes)).count().na.fill(0)
-    names = {str(c): prefix + (str(int(c)) if float(c).is_integer() else str(c).replace(".", "_"))
-             for c in classes}
-    return wide.select(label, *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
+    p = F.col(prediction)
+    names = [prefix + (str(int(c)) if float(c).is_integer() else str(c).replace(".", "_")) for c in classes]
+    other = ~F.coalesce(p.isin(list(classes)), F.lit(False))
+    return df.groupBy(label).agg(*[F.count_if(p == F.lit(c)).alias(n) for c, n in zip(classes, names)],
+                                 F.count_if(other).alias(prefix + "other"))
 
 
 def _q(name: str) -> str:
@@ -114,7 +115,9 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
         return F.struct(name.alias("class"), p.cast("double").alias("precision"),
                         rc.cast("double").alias("recall"), f.cast("double").alias("f1"), n.alias("support"))
 
-    per = row(F.col("class").cast("int").cast("string"), F.col("precision"), F.col("recall"), F.col("f1"))
+    c = F.col("class")
+    name = F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    per = row(name, F.col("precision"), F.col("recall"), F.col("f1"))
     summary = F.array(
         row(F.lit("accuracy"), F.lit(None), F.lit(None), _safe_div(F.col("tp"), n)),
         row(F.lit("macro avg"), F.col("macro_precision"), F.col("macro_recall"), F.col("macro_f1")),

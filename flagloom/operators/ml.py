@@ -1,11 +1,12 @@
 """Clustering and classification on tables with Spark ML.
 
-Fits are iterative, so their input is persisted (memory, spilling to disk)
-for the duration of the fit; a lost executor only recomputes its partitions
-from lineage. Reproducibility: Spark's KMeans, forests and ``randomSplit``
-depend on the partitioning even with a fixed seed, so fits repartition their
-input by a key to a fixed number of partitions first, and ``hash_split``
-assigns train/test by a hash of the key, independent of partitioning.
+Fits are iterative, so their input is persisted (memory, then executor disks)
+for the duration of the fit; a lost executor recomputes its partitions from
+lineage. Where the input is dear to derive, write it first
+(``pipeline.write_stage``) and fit from the files. Spark's KMeans and
+forests depend on the partitioning even with a fixed seed: a result holds for
+one stated layout (``key`` and ``partitions``) only. ``hash_split`` assigns
+train/test by a hash of the key, independent of partitioning.
 """
 
 from __future__ import annotations
@@ -46,12 +47,13 @@ def vector_values(c: str | Column) -> Column:
 
 
 def _fit_input(df: DataFrame, key: str | None, partitions: int | None) -> DataFrame:
-    """Fixed layout (hash of the key into the session's shuffle partition
-    count, sorted inside) so a fit is repeatable, then persisted for the
-    iterations. The count follows the cluster's setting, not a constant."""
+    """The layout the caller states: rows dealt by ``key`` to ``partitions`` and
+    ordered by it, so that equal data is fitted equally under any session
+    setting. Without both, the input's own layout stays."""
+    if (key is None) != (partitions is None):
+        raise ValueError("a layout is a key and a number of partitions")
     if key is not None:
-        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, key).sortWithinPartitions(key)
+        df = df.repartition(partitions, key).sortWithinPartitions(key)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -69,19 +71,24 @@ def assign_clusters(model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
-def hash_bucket(key: str | Column, seed: int, buckets: int = 100) -> Column:
-    """Stable bucket in [0, buckets) from md5(seed|key): same on any layout."""
+HASH_RANGE = 1 << 32
+
+
+def hash_bucket(key: str | Column, seed: int) -> Column:
+    """Stable number in [0, 2^32) from md5(seed|key): same on any layout.
+
+    All null keys have one number, that of the seed alone."""
     k = (F.col(key) if isinstance(key, str) else key).cast("string")
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), k))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(buckets)
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
 
 
 def hash_split(df: DataFrame, key: str, train_fraction: float = 0.8, seed: int = 42,
                bucket: str = "bucket", out: str = "split", labels=("train", "test")) -> DataFrame:
-    """Tag every row train/test by its key's hash bucket (percent scale)."""
-    cut = int(round(train_fraction * 100))
-    b = hash_bucket(key, seed)
-    return df.withColumn(bucket, b).withColumn(
+    """Tag every row train/test by its key's 32-bit hash against ``train_fraction``
+    of the range; rows with a null key all fall on one side."""
+    cut = train_fraction * HASH_RANGE
+    return df.withColumn(bucket, hash_bucket(key, seed)).withColumn(
         out, F.when(F.col(bucket) < cut, F.lit(labels[0])).otherwise(F.lit(labels[1])))
 
 

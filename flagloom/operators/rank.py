@@ -34,27 +34,20 @@ def top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
     return df.orderBy(*[_order(o) for o in order]).limit(k)
 
 
-# Spark trims each group map-side (WindowGroupLimit) only up to this n; see
-# spark.sql.optimizer.windowGroupLimitThreshold.
-GROUP_LIMIT_THRESHOLD = 1000
-SALT_BUCKETS = 64
-
-
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int = 1,
                     rank_col: str | None = None, salt_buckets: int | None = None) -> DataFrame:
     """Rows ranked 1..n inside each group of ``keys`` (row_number, so no ties).
 
-    Up to ``GROUP_LIMIT_THRESHOLD`` Spark plans a map-side group limit, so a
-    hot group never reaches one task whole. Beyond it (or with
-    ``salt_buckets``) the ranking runs in two phases: first inside
+    Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000) Spark plans
+    a map-side group limit, so a hot group never reaches one task whole. For a
+    larger n over hot groups pass ``salt_buckets``, say a few times the
+    cluster's cores: the ranking then runs in two phases, first inside
     (keys, salt), keeping n rows per bucket, then inside keys; a hot group's
-    last task then sees at most n x buckets rows. ``order`` must be a total
+    last task sees at most n x buckets rows. ``order`` must be a total
     order (add tie-break columns) for the two phases to agree.
     """
     spec = [_order(o) for o in order]
     rc = rank_col or "_rank"
-    if salt_buckets is None and n > GROUP_LIMIT_THRESHOLD:
-        salt_buckets = SALT_BUCKETS
     if salt_buckets:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
         df = df.withColumn("_salt", salt)

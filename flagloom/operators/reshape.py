@@ -68,11 +68,6 @@ def cooccurrence_arrays(df: DataFrame, left: str, right: str, left_key: str = "l
               .select(left_key, F.explode(F.array_distinct(F.col(right))).alias(right_key)))
 
 
-def transpose_row(df: DataFrame, key: str = "name", value: str = "value") -> DataFrame:
-    """A one-row (or per-id) wide aggregate -> (name, value) rows."""
-    return df.unpivot([], df.columns, key, value)
-
-
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], key: str = "variable",
          value: str = "value") -> DataFrame:
     """Measures per group -> long (id..., key, value)."""
