@@ -52,18 +52,9 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver table as a DataFrame. The handle (file listing + footer
-    schema, not data) is reused per session, as a metastore table would be,
-    so queries do not re-list the same files."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _TABLES:
-        _TABLES[key] = io.read_table(spark, path)
-    return _TABLES[key]
+    """The driver table as a DataFrame, listed anew: rows appended since are seen."""
+    return io.read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def rnd(expr: str, digits: int) -> str:
@@ -125,22 +116,49 @@ PART_SCHEMA = ("p_partkey bigint, p_name string, p_brand string, p_type string,
                "p_size int, p_retailprice double")
 
 
-@query("csv_roundtrip", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+HARD_TEXT_SQL = ("CASE p_partkey % 7 WHEN 0 THEN ' padded ' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'say \"hi\", ok' "
+                 "WHEN 4 THEN 'one' || chr(10) || 'two' WHEN 5 THEN ' N/A ' ELSE p_name END")
+
+
+@query("csv_roundtrip", f"SELECT p_partkey, {HARD_TEXT_SQL} AS p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def csv_roundtrip(spark, sf_dir):
-    """Write ``part`` as CSV under the shared checkpoint folder, read it back
+    """Write ``part`` as CSV under the shared checkpoint folder, its names made
+    padded, empty, null, quoted or of two lines, and read it back
     with an explicit schema (no inference pass)."""
-    path = io.write_table(table(spark, sf_dir, "part"), scratch_path(spark, "csv"), fmt="csv",
-                          max_records_per_file=1_000_000)
-    return io.read_table(spark, path, fmt="csv", schema=PART_SCHEMA)
+    k = F.col("p_partkey") % 7
+    hard = (F.when(k == 0, " padded ").when(k == 1, "").when(k == 2, None).when(k == 3, 'say "hi", ok')
+            .when(k == 4, "one\ntwo").when(k == 5, " N/A ").otherwise(F.col("p_name")))
+    path = io.write_table(table(spark, sf_dir, "part").withColumn("p_name", hard), scratch_path(spark, "csv"),
+                          fmt="csv", max_records_per_file=1_000_000)
+    return io.read_table(spark, path, fmt="csv", schema=PART_SCHEMA, multi_line=True)
+
 
+@query("csv_inferred", """
+SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part
+""")
+def csv_inferred(spark, sf_dir):
+    """CSV read with inferred types (SRC-1): the smallest that fit, so keys come back as int."""
+    path = io.write_table(table(spark, sf_dir, "part"), scratch_path(spark, "csv"), fmt="csv")
+    return io.read_table(spark, path, fmt="csv", infer=True)
 
-@query("sink_manifest")
+
+@query("csv_n_files", "SELECT CAST(3 AS BIGINT) AS n_files, count(*) AS n_rows FROM part")
+def csv_n_files(spark, sf_dir):
+    """A chosen number of files (SNK-2), counted from what was written."""
+    path = io.write_table(table(spark, sf_dir, "part"), scratch_path(spark, "csv"), fmt="csv", num_files=3)
+    files = io.sink_manifest(spark, path, "csv", PART_SCHEMA)
+    return files.agg(F.count("*").alias("n_files"), F.sum("rows").alias("n_rows"))
+
+
+@query("sink_manifest", "SELECT p_type, true AS has_files, count(*) AS n_rows FROM part GROUP BY p_type")
 def sink_manifest(spark, sf_dir):
-    """Files of a written set with their sizes and row counts (rows-only check:
-    file names are unique per run)."""
+    """Files of a set written in partition folders: for each folder, whether it
+    has files and the rows they hold together."""
     path = io.write_table(table(spark, sf_dir, "part"), scratch_path(spark, "manifest"),
-                          max_records_per_file=500)
-    return io.sink_manifest(spark, path)
+                          partition_by=["p_type"], max_records_per_file=5_000_000)
+    files = io.sink_manifest(spark, path)
+    return (files.groupBy(F.regexp_extract("file_path", "/p_type=([^/]+)/", 1).alias("p_type"))
+            .agg((F.count("*") >= 1).alias("has_files"), F.sum("rows").alias("n_rows")))
 
 
 @query("column_profile", """
@@ -354,6 +372,19 @@ def value_map(spark, sf_dir):
     return clean.replace_values(o, {"1-URGENT": "urgent"})
 
 
+@query("value_map_table", """
+SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%-%' THEN lower(substring(o_orderpriority, 3)) ELSE o_orderpriority END
+  AS o_orderpriority FROM orders
+""")
+def value_map_table(spark, sf_dir):
+    """Values mapped by a table that the data give (CLN-4), the join chosen by its bytes."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    names = (o.where(F.col("o_orderpriority").contains("-"))
+             .select(F.col("o_orderpriority").alias("code"), F.lower(F.substring("o_orderpriority", 3, 100)).alias("name"))
+             .distinct())
+    return clean.map_values_table(o, "o_orderpriority", names, "code", "name")
+
+
 @query("bool_to_int", """
 WITH p AS (SELECT p_partkey,
   CASE p_size % 5 WHEN 0 THEN 'true' WHEN 1 THEN ' FALSE ' WHEN 2 THEN '7' WHEN 3 THEN 'x' ELSE NULL END AS txt,
@@ -616,6 +647,17 @@ def decoded_value_counts(spark, sf_dir):
 FLAG_COUNT_TAGS = ["small", "red", "ring", "widget", "hot", "gear"]
 
 
+@query("flag_count_strict", """
+SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size > 10 AS INTEGER) + CAST(p_type = 'PROMO' AS INTEGER) END AS n
+FROM part
+""")
+def flag_count_strict(spark, sf_dir):
+    """Flag sum that is null when any flag is (``null_as_zero=False``)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_type") == "PROMO").alias("promo"),
+                                            F.when(F.col("p_size") % 5 != 0, F.col("p_size") > 10).alias("big"))
+    return encode.row_flag_count(p, ["promo", "big"], "n", null_as_zero=False).select("p_partkey", "n")
+
+
 @query("flag_count", f"""
 WITH p AS (SELECT p_partkey, {' + '.join(f'CAST({_tag_sql(t)} AS INTEGER)' for t in FLAG_COUNT_TAGS)} AS n_tags FROM part)
 SELECT p_partkey, n_tags,
@@ -804,14 +846,14 @@ def group_means(spark, sf_dir):
 
 
 @query("group_means_embeddings", f"""
-SELECT label, {rnd('avg(embedding[1])', 4)} AS avg_e0, {rnd('avg(embedding[2])', 4)} AS avg_e1,
-       {rnd('avg(embedding[3])', 4)} AS avg_e2
-FROM embeddings GROUP BY label
+WITH x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)
+SELECT label, CAST(i - 1 AS INTEGER) AS position, {rnd('avg(v)', 4)} AS avg_value FROM x GROUP BY label, i
 """)
 def group_means_embeddings(spark, sf_dir):
+    """Mean of every dimension of the vectors per label, in long form."""
     e = table(spark, sf_dir, "embeddings")
-    e = e.select("label", *[F.get("embedding", i).alias(f"e{i}") for i in range(3)])
-    return agg.group_means(e, ["label"], ["e0", "e1", "e2"], digits=4)
+    e = e.select("label", F.posexplode("embedding").alias("position", "value"))
+    return agg.group_means(e, ["label", "position"], ["value"], digits=4)
 
 
 @query("min_max", """
@@ -823,7 +865,7 @@ def min_max(spark, sf_dir):
     return agg.min_max(o, "yr", "start_year", "end_year")
 
 
-TWO_WAY_TAGS = ADJECTIVES + ["purple"]
+TWO_WAY_TAGS = ALL_TAGS + ["purple"]
 
 
 @query("two_way_pct_by_flag", f"""
@@ -914,7 +956,7 @@ def top5_flag_totals(spark, sf_dir):
 def _top3_sql(joined: bool) -> str:
     means = "\nUNION ALL ".join(
         f"SELECT p_type, '{t}' AS feature, avg(CAST({_tag_sql(t)} AS INTEGER)) AS value FROM part GROUP BY p_type"
-        for t in ADJECTIVES)
+        for t in ALL_TAGS)
     ranked = (f"WITH m AS ({means}), r AS (SELECT p_type, feature, value, "
               "CAST(row_number() OVER (PARTITION BY p_type ORDER BY value DESC, feature) AS INTEGER) AS rank FROM m) ")
     if joined:
@@ -922,20 +964,20 @@ def _top3_sql(joined: bool) -> str:
     return ranked + f"SELECT p_type, rank, feature, {rnd('value', 4)} AS value FROM r WHERE rank <= 3"
 
 
-def _adjective_means(spark, sf_dir):
-    return agg.group_means(_tag_flags(spark, sf_dir, ADJECTIVES), ["p_type"], ADJECTIVES)
+def _tag_means(spark, sf_dir):
+    return agg.group_means(_tag_flags(spark, sf_dir, ALL_TAGS), ["p_type"], ALL_TAGS)
 
 
 @query("top3_features_per_group", _top3_sql(False))
 def top3_features_per_group(spark, sf_dir):
-    top = rank.top_n_measures(_adjective_means(spark, sf_dir), ["p_type"], [f"avg_{a}" for a in ADJECTIVES],
+    top = rank.top_n_measures(_tag_means(spark, sf_dir), ["p_type"], [f"avg_{a}" for a in ALL_TAGS],
                               n=3, strip_prefix="avg_")
     return top.withColumn("value", F.round("value", 4))
 
 
 @query("top3_features_joined", _top3_sql(True))
 def top3_features_joined(spark, sf_dir):
-    return rank.top_n_measures(_adjective_means(spark, sf_dir), ["p_type"], [f"avg_{a}" for a in ADJECTIVES],
+    return rank.top_n_measures(_tag_means(spark, sf_dir), ["p_type"], [f"avg_{a}" for a in ALL_TAGS],
                                n=3, joined="top_features", strip_prefix="avg_")
 
 
@@ -971,10 +1013,16 @@ def _model_frame(spark, sf_dir):
     return clean.bool_to_int(p, NOUNS).drop("p_name")
 
 
+#: The stated layout of the fits below: their results hold for it only.
+FIT_PARTITIONS = 8
+
+
 def _clustered(spark, sf_dir, k):
+    """The model frame with its cluster, written once: fits and scores read the files."""
     p = ml.assemble(_model_frame(spark, sf_dir), MODEL_FEATURES, "features")
-    model = ml.fit_kmeans(p, k=k, seed=SEED, key="p_partkey")
-    return ml.assign_clusters(model, p).withColumn("cluster", F.col("cluster").cast("double"))
+    model = ml.fit_kmeans(p, k=k, seed=SEED, key="p_partkey", partitions=FIT_PARTITIONS)
+    out = ml.assign_clusters(model, p).withColumn("cluster", F.col("cluster").cast("double"))
+    return pipeline.write_stage(out, scratch_path(spark, "clustered"))
 
 
 @query("feature_vectors", """
@@ -988,26 +1036,56 @@ def feature_vectors(spark, sf_dir):
     return v.select("p_partkey", ml.vector_values("vec").alias("features"))
 
 
-@query("kmeans_assign")
-def kmeans_assign(spark, sf_dir):
-    """Embeddings clustered with k=4, seed 42 (rows-only: assignments depend
-    on the fit; invariants are tested)."""
+@query("feature_vectors_keep", """
+SELECT p_partkey, [CASE WHEN p_size > 25 THEN CAST('nan' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END, p_retailprice] AS features
+FROM part
+""")
+def feature_vectors_keep(spark, sf_dir):
+    """Vectors that keep rows with a null feature, as NaN (``handle_invalid="keep"``)."""
+    p = table(spark, sf_dir, "part").withColumn("size", F.when(F.col("p_size") <= 25, F.col("p_size")))
+    return ml.assemble(p, ["size", "p_retailprice"], "vec", "keep").select("p_partkey", ml.vector_values("vec").alias("features"))
+
+
+def _embedding_clusters(spark, sf_dir, k):
     e = ml.array_features(table(spark, sf_dir, "embeddings"), "embedding")
-    model = ml.fit_kmeans(e, k=4, seed=SEED, key="vec_id")
-    return ml.assign_clusters(model, e).select("vec_id", "cluster")
+    model = ml.fit_kmeans(e, k=k, seed=SEED, key="vec_id", partitions=FIT_PARTITIONS)
+    return model, ml.assign_clusters(model, e)
 
 
-@query("kmeans_sizes")
+@query("kmeans_assign", "SELECT vec_id, true AS at_nearest_centre FROM embeddings")
+def kmeans_assign(spark, sf_dir):
+    """Embeddings clustered with k=4, seed 42: whether each row's assigned
+    centre is its nearest (the centres are k literal vectors)."""
+    model, out = _embedding_clusters(spark, sf_dir, 4)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    v = ml.vector_values("features")
+    gaps = F.transform(centres, lambda c: F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)),
+                                                      F.lit(0.0), lambda s, x: s + x))
+    own = F.element_at(F.col("gaps"), F.col("cluster") + 1)
+    return (out.select("vec_id", "cluster", gaps.alias("gaps"))
+            .select("vec_id", (own <= F.array_min("gaps") * (1 + 1e-9)).alias("at_nearest_centre")))
+
+
+@query("kmeans_sizes", "SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_clusters, true AS ids_in_range FROM embeddings")
 def kmeans_sizes(spark, sf_dir):
-    e = ml.array_features(table(spark, sf_dir, "embeddings"), "embedding")
-    model = ml.fit_kmeans(e, k=3, seed=SEED, key="vec_id")
-    return agg.count_by(ml.assign_clusters(model, e), ["cluster"], "count")
+    """Sizes of three clusters, folded into their total, number and range of ids."""
+    sizes = agg.count_by(_embedding_clusters(spark, sf_dir, 3)[1], ["cluster"], "count")
+    return sizes.agg(F.sum("count").alias("n_rows"), F.count("*").alias("n_clusters"),
+                     F.bool_and(F.col("cluster").between(0, 2)).alias("ids_in_range"))
 
 
-@query("cluster_profile")
+@query("cluster_profile", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, {rnd(f'avg(CAST({e} AS DOUBLE))', 4)} AS overall_mean FROM part"
+    for c, e in [("p_size", "p_size"), ("p_retailprice", "p_retailprice"),
+                 *((t, f"CAST({_tag_sql(t)} AS INTEGER)") for t in NOUNS)]))
 def cluster_profile(spark, sf_dir):
-    """Mean of every feature per KMeans cluster (ML-5)."""
-    return agg.group_means(_clustered(spark, sf_dir, 4), ["cluster"], MODEL_FEATURES, digits=4)
+    """Mean of every feature per KMeans cluster (ML-5); weighted by the
+    clusters' sizes the means give back the overall mean."""
+    rows = _clustered(spark, sf_dir, 4)
+    profile = agg.group_means(rows, ["cluster"], MODEL_FEATURES).join(agg.count_by(rows, ["cluster"], "n"), "cluster")
+    overall = profile.agg(*[(F.sum(F.col(f"avg_{c}") * F.col("n")) / F.sum("n")).alias(c) for c in MODEL_FEATURES])
+    return reshape.melt(overall, [], MODEL_FEATURES, "feature", "overall_mean").withColumn(
+        "overall_mean", F.round("overall_mean", 4))
 
 
 PROFILE_MEANS = {"minutes": "p_size * 4", "seasons": "p_size % 4", "year": "1990 + p_partkey % 31"}
@@ -1037,30 +1115,43 @@ def cluster_description(spark, sf_dir):
                                 [f"avg_{t}" for t in NOUNS], year_cut=2005)
 
 
-@query("hash_split", """
-WITH b AS (SELECT o_orderkey, CAST(('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS bucket
-           FROM orders)
-SELECT o_orderkey, bucket, CASE WHEN bucket < 80 THEN 'train' ELSE 'test' END AS split FROM b
+HASH_SQL = "CAST(('0x' || substr(md5('42|' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT)"
+TEST_SQL = HASH_SQL.format(key="p_partkey") + " >= 0.8 * 4294967296"
+
+
+@query("hash_split", f"""
+WITH b AS (SELECT o_orderkey, {HASH_SQL.format(key='o_orderkey')} AS bucket FROM orders)
+SELECT o_orderkey, bucket, CASE WHEN bucket < 0.8 * 4294967296 THEN 'train' ELSE 'test' END AS split FROM b
 """)
 def hash_split(spark, sf_dir):
     return ml.hash_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.8, SEED)
 
 
-@query("rf_cluster_label")
+def _forest_pipeline(train):
+    return ml.fit_forest_pipeline(train, MODEL_FEATURES, "cluster", trees=20, seed=SEED, key="p_partkey",
+                                  partitions=FIT_PARTITIONS)
+
+
+def _known(label, k):
+    """Whether a prediction is one of the classes 0 .. k-1."""
+    return (F.col(label).isNotNull() & F.col(label).isin([float(i) for i in range(k)])).alias("known_class")
+
+
+@query("rf_cluster_label", f"SELECT p_partkey, true AS known_class FROM part WHERE {TEST_SQL}")
 def rf_cluster_label(spark, sf_dir):
     """Forest pipeline (assembler + 20 trees, seed 42) predicting the KMeans
-    cluster; trained on the hash-split train rows, scored on the test rows."""
+    cluster; trained on the hash-split train rows: one prediction, of a class
+    that exists, for each test row."""
     train, test = ml.split_frames(_clustered(spark, sf_dir, 4), "p_partkey", 0.8, SEED)
-    model = ml.fit_forest_pipeline(train, MODEL_FEATURES, "cluster", trees=20, seed=SEED, key="p_partkey")
-    return model.transform(test).select("p_partkey", "cluster", "prediction")
+    return _forest_pipeline(train).transform(test).select("p_partkey", _known("prediction", 4))
 
 
-@query("rf_fit_all")
+@query("rf_fit_all", "SELECT p_partkey, true AS known_class FROM part")
 def rf_fit_all(spark, sf_dir):
     """Forest with default size fitted and scored on all rows (k=3 clusters)."""
     data = _clustered(spark, sf_dir, 3)
-    model = ml.fit_forest(data, "cluster", "features", seed=SEED, key="p_partkey")
-    return model.transform(data).select("p_partkey", "cluster", "prediction")
+    model = ml.fit_forest(data, "cluster", "features", seed=SEED, key="p_partkey", partitions=FIT_PARTITIONS)
+    return model.transform(data).select("p_partkey", _known("prediction", 3))
 
 
 def _binary_frame(spark, sf_dir):
@@ -1071,26 +1162,48 @@ def _binary_frame(spark, sf_dir):
 
 
 def _rf_binary_predictions(spark, sf_dir):
-    train, test = ml.split_frames(_binary_frame(spark, sf_dir), "p_partkey", 0.8, SEED)
-    model = ml.fit_forest(train, "label", "features", trees=50, seed=SEED, key="p_partkey")
+    data = pipeline.write_stage(_binary_frame(spark, sf_dir), scratch_path(spark, "binary"))
+    train, test = ml.split_frames(data, "p_partkey", 0.8, SEED)
+    model = ml.fit_forest(train, "label", "features", trees=50, seed=SEED, key="p_partkey", partitions=FIT_PARTITIONS)
     return model.transform(test).select("p_partkey", "label", "prediction")
 
 
-@query("rf_binary")
+@query("rf_binary", f"""
+SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, true AS known_class
+FROM part WHERE {TEST_SQL}
+""")
 def rf_binary(spark, sf_dir):
-    return _rf_binary_predictions(spark, sf_dir)
+    return _rf_binary_predictions(spark, sf_dir).select("p_partkey", "label", _known("prediction", 2))
 
 
-@query("rf_metrics")
+@query("rf_metrics", "SELECT unnest(['accuracy', 'weighted_precision', 'weighted_recall', 'weighted_f1']) AS metric, true AS agrees")
 def rf_metrics(spark, sf_dir):
-    return metrics.classification_metrics(_rf_binary_predictions(spark, sf_dir), digits=6)
-
-
-@query("feature_importance")
+    """The one-pass metrics of the forest against the textbook formulas on the
+    same prediction pairs, one class at a time."""
+    pairs = pipeline.write_stage(_rf_binary_predictions(spark, sf_dir), scratch_path(spark, "pairs"))
+    ours = metrics.classification_metrics(pairs)
+    names = ours.columns
+    hit = (F.col("label") == F.col("prediction")).cast("int")
+    parts = []
+    for c in (0.0, 1.0):
+        is_label, is_guess = (F.col("label") == c).cast("int"), (F.col("prediction") == c).cast("int")
+        both = F.sum(is_label * is_guess)
+        p, r = F.coalesce(F.try_divide(both, F.sum(is_guess)), F.lit(0.0)), F.coalesce(F.try_divide(both, F.sum(is_label)), F.lit(0.0))
+        parts.append((F.avg(is_label), p, r, F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))))
+    plain = pairs.agg(F.avg(hit).alias("accuracy"), *[sum((w[0] * w[i] for w in parts), F.lit(0.0)).alias(n)
+                                                     for i, n in enumerate(names[1:], 1)])
+    both = (reshape.melt(ours, [], names, "metric", "a").join(reshape.melt(plain, [], names, "metric", "b"), "metric"))
+    return both.select("metric", (F.abs(F.col("a") - F.col("b")) < 1e-9).alias("agrees"))
+
+
+@query("feature_importance", "SELECT unnest([" + ", ".join(f"'{c}'" for c in MODEL_FEATURES)
+       + "]) AS feature, true AS in_range, 1.0::DOUBLE AS total")
 def feature_importance(spark, sf_dir):
+    """One importance per feature, each within 0 and 1, together 1."""
     train, _ = ml.split_frames(_clustered(spark, sf_dir, 4), "p_partkey", 0.8, SEED)
-    model = ml.fit_forest_pipeline(train, MODEL_FEATURES, "cluster", trees=20, seed=SEED, key="p_partkey")
-    return ml.feature_importances(spark, model, MODEL_FEATURES, digits=4)
+    found = ml.feature_importances(spark, _forest_pipeline(train), MODEL_FEATURES, digits=9)
+    total = found.select(F.round(F.sum("importance"), 6)).scalar()
+    return found.select("feature", F.col("importance").between(0, 1).alias("in_range"), total.alias("total"))
 
 
 # Rule-based predictions, so the metrics have an exact oracle.
@@ -1136,6 +1249,7 @@ def confusion_counts(spark, sf_dir):
 
 @query("confusion_matrix", PRED_SQL + " SELECT label, " + ", ".join(
     f"CAST(count(*) FILTER (WHERE prediction = {c}.0) AS BIGINT) AS pred_{c}" for c in range(6))
+    + ", CAST(count(*) FILTER (WHERE prediction IS NULL OR prediction NOT IN (0, 1, 2, 3, 4, 5)) AS BIGINT) AS pred_other"
     + " FROM p GROUP BY label")
 def confusion_matrix(spark, sf_dir):
     """Wide confusion matrix: one row per label, one column per class (ML-14)."""
@@ -1221,10 +1335,9 @@ def raw_catalog(spark, sf_dir):
     )
 
 
-def _catalog_features(spark, sf_dir):
-    enc = pipeline.encode_catalog(raw_catalog(spark, sf_dir), CATALOG_SPEC)
-    feat = pipeline.feature_catalog(enc, CATALOG_SPEC)
-    return enc, encode.row_flag_count(feat, list(enc.genre_flags), "n_genres")
+def _catalog_rows(spark, sf_dir):
+    raw = pipeline.dedupe_catalog(raw_catalog(spark, sf_dir), CATALOG_SPEC)
+    return pipeline.catalog_rows(raw, CATALOG_SPEC)
 
 
 def _features_sql(source: str) -> str:
@@ -1258,8 +1371,22 @@ FROM g
 
 @query("catalog_features", _features_sql("dd"))
 def catalog_features(spark, sf_dir):
-    """Stages 1 + 2 end to end: raw catalog -> flags -> de-duplicated features."""
-    _, feat = _catalog_features(spark, sf_dir)
+    """Raw catalog -> de-duplicated rows -> features, in the long form."""
+    rows = _catalog_rows(spark, sf_dir).withColumn("n_genres", F.size("genres"))
+    return rows.select("show_id", "movie", "tv_show", *pipeline.FEATURE_COLUMNS, "n_genres")
+
+
+def _wide_features(spark, sf_dir):
+    enc = pipeline.encode_catalog(pipeline.dedupe_catalog(raw_catalog(spark, sf_dir), CATALOG_SPEC), CATALOG_SPEC)
+    return enc, pipeline.feature_catalog(enc, CATALOG_SPEC)
+
+
+@query("catalog_features_wide", _features_sql("dd"))
+def catalog_features_wide(spark, sf_dir):
+    """The same features through flag columns, handed off as typed Parquet."""
+    enc, feat = _wide_features(spark, sf_dir)
+    feat = encode.row_flag_count(feat, list(enc.genre_flags), "n_genres")
+    feat = pipeline.write_stage(feat, scratch_path(spark, "features"))
     return feat.select("show_id", "movie", "tv_show", *pipeline.FEATURE_COLUMNS, "n_genres")
 
 
@@ -1271,8 +1398,7 @@ cnt AS (SELECT country, genre, count(*) AS count FROM c2 GROUP BY country, genre
 SELECT country, genre, count FROM cnt QUALIFY row_number() OVER (PARTITION BY country ORDER BY count DESC, genre) = 1
 """)
 def catalog_top_genre_per_country(spark, sf_dir):
-    enc, feat = _catalog_features(spark, sf_dir)
-    return pipeline.top_genre_per_country(feat, enc.country_flags, enc.genre_flags)
+    return pipeline.top_genre_per_country(_catalog_rows(spark, sf_dir))
 
 
 @query("catalog_type_share_by_country", f"""
@@ -1286,8 +1412,7 @@ SELECT country, movie_count, tvshow_count,
 FROM a
 """)
 def catalog_type_share_by_country(spark, sf_dir):
-    enc, feat = _catalog_features(spark, sf_dir)
-    return pipeline.type_share_by_country(feat, enc.country_flags)
+    return pipeline.type_share_by_country(_catalog_rows(spark, sf_dir))
 
 
 @query("catalog_rating_share", f"""
@@ -1296,18 +1421,22 @@ c AS (SELECT coalesce(rating, 'Not_Found') AS rating, count(*) AS count FROM dd
 SELECT rating, count, {rnd('count / (SELECT sum(count) FROM c) * 100', 3)} AS percentage FROM c
 """)
 def catalog_rating_share(spark, sf_dir):
-    _, feat = _catalog_features(spark, sf_dir)
-    return pipeline.rating_share(feat)
+    return pipeline.rating_share(_catalog_rows(spark, sf_dir))
 
 
-@query("catalog_clusters")
+@query("catalog_clusters", f"""
+WITH {RAW_CATALOG_SQL} SELECT count(*) AS n_rows, true AS ids_in_range FROM dd
+""")
 def catalog_clusters(spark, sf_dir):
-    """Stage 3 + KMeans (k=4, seed 42) on the catalog features: cluster sizes."""
-    enc, feat = _catalog_features(spark, sf_dir)
+    """Stage 3 + KMeans (k=4, seed 42) on the written catalog features: the
+    cluster sizes, folded into their total and range of ids."""
+    enc, feat = _wide_features(spark, sf_dir)
     cols = [MOVIE_COL, TV_COL, *enc.genre_flags, "duration_min", "seasons_num", "country_count", "release_year"]
-    x = pipeline.model_input(feat, cols, CATALOG_SPEC)
-    model = ml.fit_kmeans(x, k=4, seed=SEED, key="show_id")
-    return agg.count_by(ml.assign_clusters(model, x), ["cluster"], "count")
+    x = pipeline.write_stage(pipeline.model_input(feat, cols, CATALOG_SPEC).select("show_id", "features"),
+                             scratch_path(spark, "model-input"))
+    model = ml.fit_kmeans(x, k=4, seed=SEED, key="show_id", partitions=FIT_PARTITIONS)
+    sizes = agg.count_by(ml.assign_clusters(model, x), ["cluster"], "count")
+    return sizes.agg(F.sum("count").alias("n_rows"), F.bool_and(F.col("cluster").between(0, 3)).alias("ids_in_range"))
 
 
 MOVIE_COL, TV_COL = pipeline.MOVIE_FLAG, pipeline.TV_FLAG
@@ -1329,7 +1458,7 @@ def stream_catalog_features(spark, sf_dir):
     back. Same features as ``catalog_features`` without the de-duplication."""
     raw = raw_catalog(spark, sf_dir)
     spec = streaming.fixed_vocabularies(CATALOG_SPEC, raw)
-    src = io.write_table(raw, scratch_path(spark, "stream-src"), fmt="csv", max_records_per_file=5000)
+    src = io.write_table(raw, scratch_path(spark, "stream-src"), fmt="csv", max_records_per_file=5_000_000)
     stream = streaming.read_catalog_stream(spark, src, RAW_CATALOG_SCHEMA, max_files_per_trigger=1000)
     enc, feat = streaming.encode_stream(stream, spec)
     feat = encode.row_flag_count(feat, list(enc.genre_flags), "n_genres")
@@ -1377,15 +1506,13 @@ def lineitem_top_parts_per_supplier(spark, sf_dir):
     return rank.top_n_per_group(per, ["l_suppkey"], ["-qty", "l_partkey"], 3)
 
 
-@query("lineitem_first_line_per_order", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem
-QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, l_partkey NULLS FIRST,
-                                                   l_quantity NULLS FIRST, l_returnflag NULLS FIRST) = 1
+@query("lineitem_first_line_per_order", f"""
+SELECT {', '.join(LINEITEM_COLS)} FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, {', '.join(
+    f'{c} NULLS FIRST' for c in LINEITEM_COLS if c not in ('l_orderkey', 'l_linenumber'))}) = 1
 """)
 def lineitem_first_line_per_order(spark, sf_dir):
-    """One row per order, the lowest line number (DDP-3 on a numeric key).
+    """One whole row per order, the lowest line number (DDP-3 on a numeric key).
     Line numbers repeat inside an order in this data, so the operator's
     tie-break (the remaining columns in order) decides, as the SQL states."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
-                                                 "l_returnflag")
-    return dedupe.dedupe(li, ["l_orderkey"], ["l_linenumber"])
+    return dedupe.dedupe(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber"])

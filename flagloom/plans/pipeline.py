@@ -1,17 +1,20 @@
-"""The catalog analysis as three composable stages.
-
-Stage 1 (encode): type indicators, genre multi-hot, rating one-hot, country
-clean-up and multi-hot. Stage 2 (features): de-duplication, 0/1 flags,
-rating label rebuilt from its flags, duration / seasons, length class, origin
-class, decade, country count and class. Stage 3 (model input): text date ->
-year with a default, safe year cast, zero-filled numeric features, vector.
-Reports (top genre per country, type share per country, rating share) are
-compositions of the same operators.
-
-Stages hand off as DataFrames; ``write_stage`` persists one as Parquet (typed,
-column-pruned on re-read) when lineage should be cut between stages.
-Vocabularies are parameters; when omitted they are discovered with a bounded,
-capped distinct (they become column names, so they must be small).
+"""The catalog analysis as composable stages.
+
+Raw rows are de-duplicated first (``dedupe_catalog``), so nothing derived is
+carried through that shuffle. ``catalog_rows`` is the long form: type
+indicators, countries and genres as arrays, and the features (rating label,
+duration / seasons, length class, origin class, decade, country count and
+class). Reports (top genre per country, type share per country, rating share)
+explode those arrays and need no vocabulary.
+
+The wide form is for models: ``encode_catalog`` turns genres, ratings and
+countries into flag columns, ``feature_catalog`` derives the same features
+from the flags, ``model_input`` parses the text date, casts the year, fills
+zeros and assembles the vector. Its vocabularies are parameters; a missing one
+is taken to be a dictionary and read from the data.
+
+``write_stage`` persists a stage as Parquet (typed, column-pruned on re-read)
+when lineage should be cut between stages.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flagloom.functions.names import safe_name
-from flagloom.functions.scalars import TEXT_DATE_FORMAT, split_tokens, try_int
+from flagloom.functions.scalars import TEXT_DATE_FORMAT, pct, split_tokens, try_int
 from flagloom.operators import aggregate as agg
 from flagloom.operators import clean, dedupe, derive, encode, rank, reshape
 from flagloom.sources import io
@@ -57,7 +60,6 @@ class CatalogSpec:
     genre_prefix: str = ""
     rating_prefix: str = ""
     country_prefix: str = ""
-    max_values: int = 1000
     date_format: str = TEXT_DATE_FORMAT
 
 
@@ -75,18 +77,58 @@ def _names(values: Sequence[str], prefix: str, keep_commas: bool = False) -> dic
     return {prefix + safe_name(v, keep_commas=keep_commas): v for v in values}
 
 
+def dedupe_catalog(raw: DataFrame, spec: CatalogSpec = CatalogSpec(),
+                   keys: Sequence[str] | None = None) -> DataFrame:
+    """One raw row per (title, release year) or ``keys``: the one with the smallest id."""
+    return dedupe.dedupe(raw, list(keys or [spec.title_col, spec.release_col]), [spec.id_col])
+
+
+def _country_tokens(spec: CatalogSpec):
+    """Countries split on the real separator, mapped as whole names, distinct."""
+    toks = split_tokens(spec.country_col, spec.country_sep)
+    if spec.country_map:
+        m = F.create_map(*[F.lit(x) for kv in spec.country_map.items() for x in kv])
+        toks = F.transform(toks, lambda t: F.coalesce(F.element_at(m, t), t))
+    return F.array_distinct(toks)
+
+
+def _scalar_features(df: DataFrame, spec: CatalogSpec, movie_null: str | None, tv_null: str | None) -> DataFrame:
+    """Duration / seasons, length class, origin, decade and the country class, from 0/1 type columns."""
+    s = spec
+    movie, tv = F.col(MOVIE_FLAG) == 1, F.col(TV_FLAG) == 1
+    df = derive.extract_number(df, s.duration_col, derive.MINUTES_PATTERN, "duration_min", when=movie)
+    df = derive.extract_number(df, s.duration_col, derive.SEASONS_PATTERN, "seasons_num", when=tv)
+    df = derive.length_class(df, "content_length_category", movie, "duration_min", tv, "seasons_num",
+                             movie_null=movie_null, tv_null=tv_null)
+    return df.withColumns({
+        "content_origin": derive.missing_class(s.director_col),
+        "release_decade": derive.decade_label(try_int(s.release_col)),
+        "multi_country_production": derive.count_class("country_count"),
+    })
+
+
+def catalog_rows(raw: DataFrame, spec: CatalogSpec = CatalogSpec(), movie_null: str | None = None,
+                 tv_null: str | None = None) -> DataFrame:
+    """The long form: raw rows with 0/1 type columns, ``countries`` and ``genres``
+    as arrays of distinct names (a null cell has none) and every feature."""
+    s = spec
+    none = F.array().cast("array<string>")
+    df = encode.indicator(raw, s.type_col, {MOVIE_FLAG: MOVIE, TV_FLAG: TV_SHOW}).withColumns({
+        "countries": F.coalesce(_country_tokens(s), none),
+        "genres": F.coalesce(F.array_distinct(split_tokens(s.genre_col, s.genre_sep)), none),
+        "rating": F.coalesce(F.col(s.rating_col), F.lit(RATING_DEFAULT)),
+    })
+    df = df.withColumn("country_count", F.size("countries"))
+    return _scalar_features(df, s, movie_null, tv_null)
+
+
 def encode_catalog(raw: DataFrame, spec: CatalogSpec = CatalogSpec()) -> Encoded:
-    """Stage 1. Missing values stay null (no sentinel text that would turn
+    """The wide form. Missing values stay null (no sentinel text that would turn
     into a flag of its own); a null cell sets no flag."""
     s = spec
     df = encode.indicator(raw, s.type_col, {MOVIE_FLAG: MOVIE, TV_FLAG: TV_SHOW})
 
-    # countries: split on the real separator, map whole names (kept as an array)
-    m = F.create_map(*[F.lit(x) for kv in s.country_map.items() for x in kv]) if s.country_map else None
-    toks = split_tokens(s.country_col, s.country_sep)
-    if m is not None:
-        toks = F.transform(toks, lambda t: F.coalesce(F.element_at(m, t), t))
-    df = df.withColumn("_countries", F.array_distinct(toks))
+    df = df.withColumn("_countries", _country_tokens(s))
 
     wanted = {}
     if s.genre_vocab is None:
@@ -95,7 +137,7 @@ def encode_catalog(raw: DataFrame, spec: CatalogSpec = CatalogSpec()) -> Encoded
         wanted["rating"] = (s.rating_col, None)
     if s.country_vocab is None:
         wanted["country"] = ("_countries", None)
-    found = encode.vocabulary_lists(df, wanted, max_values=s.max_values) if wanted else {}
+    found = encode.vocabulary_lists(df, wanted) if wanted else {}
     genre_vocab = list(s.genre_vocab) if s.genre_vocab is not None else found["genre"]
     rating_vocab = list(s.rating_vocab) if s.rating_vocab is not None else found["rating"]
     country_vocab = list(s.country_vocab) if s.country_vocab is not None else found["country"]
@@ -117,32 +159,13 @@ FEATURE_COLUMNS = ["rating", "duration_min", "seasons_num", "content_length_cate
                    "content_origin", "release_decade", "country_count", "multi_country_production"]
 
 
-def feature_catalog(enc: Encoded, spec: CatalogSpec = CatalogSpec(), dedupe_keys: Sequence[str] | None = None,
-                    movie_null: str | None = None, tv_null: str | None = None,
-                    deduplicate: bool = True) -> DataFrame:
-    """Stage 2: one row per (title, release year), flags as 0/1, features.
-
-    ``deduplicate=False`` keeps every row (the row-wise part of the stage,
-    e.g. for a stream, where de-duplication is a downstream batch step).
-    """
-    s = spec
-    df = enc.df
-    if deduplicate:
-        keys = list(dedupe_keys or [s.title_col, s.release_col])
-        df = dedupe.dedupe(df, keys, [s.id_col])
-    df = clean.bool_to_int(df, [*enc.genre_flags, *enc.rating_flags])
+def feature_catalog(enc: Encoded, spec: CatalogSpec = CatalogSpec(), movie_null: str | None = None,
+                    tv_null: str | None = None) -> DataFrame:
+    """Flags as 0/1, the rating label rebuilt from its flags, and the features; row by row."""
+    df = clean.bool_to_int(enc.df, [*enc.genre_flags, *enc.rating_flags])
     df = encode.decode_one_hot(df, enc.rating_flags, "rating", default=RATING_DEFAULT)
-    movie, tv = F.col(MOVIE_FLAG) == 1, F.col(TV_FLAG) == 1
-    df = derive.extract_number(df, s.duration_col, derive.MINUTES_PATTERN, "duration_min", when=movie)
-    df = derive.extract_number(df, s.duration_col, derive.SEASONS_PATTERN, "seasons_num", when=tv)
-    df = derive.length_class(df, "content_length_category", movie, "duration_min", tv, "seasons_num",
-                             movie_null=movie_null, tv_null=tv_null)
     df = encode.row_flag_count(df, list(enc.country_flags), "country_count")
-    return df.withColumns({
-        "content_origin": derive.missing_class(s.director_col),
-        "release_decade": derive.decade_label(try_int(s.release_col)),
-        "multi_country_production": derive.count_class("country_count"),
-    })
+    return _scalar_features(df, spec, movie_null, tv_null)
 
 
 def model_input(feat: DataFrame, feature_cols: Sequence[str], spec: CatalogSpec = CatalogSpec(),
@@ -170,22 +193,21 @@ def write_stage(df: DataFrame, path: str, max_records_per_file: int | None = 5_0
 
 # -- reports -------------------------------------------------------------------
 
-def top_genre_per_country(feat: DataFrame, country_flags: Mapping[str, str], genre_flags: Mapping[str, str],
-                          n: int = 1) -> DataFrame:
-    """(country, genre, count) of the most frequent genre(s) per country."""
-    pairs = reshape.cooccurrence(feat, list(country_flags), list(genre_flags), "country", "genre",
-                                 left_labels=dict(country_flags), right_labels=dict(genre_flags))
+def top_genre_per_country(rows: DataFrame, n: int = 1) -> DataFrame:
+    """(country, genre, count) of the most frequent genre(s) per country, from the long form."""
+    pairs = reshape.cooccurrence_arrays(rows, "countries", "genres", "country", "genre")
     counts = agg.count_by(pairs, ["country", "genre"], "count")
     return rank.top_n_per_group(counts, ["country"], ["-count", "genre"], n)
 
 
-def type_share_by_country(feat: DataFrame, country_flags: Mapping[str, str], digits: int = 1) -> DataFrame:
-    """Movies / TV shows per country and their percentages (absent countries kept)."""
-    return agg.two_way_pct_by_flag(feat, list(country_flags), MOVIE_FLAG, TV_FLAG, key="country",
-                                   a_count="movie_count", b_count="tvshow_count",
-                                   a_pct="movie_percentage", b_pct="tvshow_percentage",
-                                   digits=digits, labels=dict(country_flags))
+def type_share_by_country(rows: DataFrame, digits: int = 1) -> DataFrame:
+    """Movies / TV shows of every country and their percentages (null where it has neither)."""
+    each = rows.select(F.explode("countries").alias("country"), MOVIE_FLAG, TV_FLAG)
+    out = agg.group_sums(each, ["country"], {"movie_count": MOVIE_FLAG, "tvshow_count": TV_FLAG})
+    both = F.col("movie_count") + F.col("tvshow_count")
+    return out.withColumns({"movie_percentage": pct(F.col("movie_count"), both, digits),
+                            "tvshow_percentage": pct(F.col("tvshow_count"), both, digits)})
 
 
-def rating_share(feat: DataFrame, digits: int = 3) -> DataFrame:
-    return agg.share_of_total(feat, ["rating"], "count", "percentage", digits)
+def rating_share(rows: DataFrame, digits: int = 3) -> DataFrame:
+    return agg.share_of_total(rows, ["rating"], "count", "percentage", digits)

@@ -41,7 +41,7 @@ def test_encode_names_and_flags(raw):
 
 
 def test_features(raw):
-    enc = pipeline.encode_catalog(raw, SPEC)
+    enc = pipeline.encode_catalog(pipeline.dedupe_catalog(raw, SPEC), SPEC)
     feat = {r["show_id"]: r for r in pipeline.feature_catalog(enc, SPEC).collect()}
     assert set(feat) == {"s1", "s2", "s4", "s5", "s6"}   # s3 duplicates (A, 2014); lowest id survives
     s1, s2, s4, s5, s6 = (feat[k] for k in ("s1", "s2", "s4", "s5", "s6"))
@@ -64,21 +64,42 @@ def test_explicit_null_labels(raw):
     assert feat["s6"]["content_length_category"] == "Unknown"
 
 
+def test_long_form_equals_wide_form(raw):
+    clean = pipeline.dedupe_catalog(raw, SPEC)
+    cols = ["show_id", "movie", "tv_show", *pipeline.FEATURE_COLUMNS]
+    wide = pipeline.feature_catalog(pipeline.encode_catalog(clean, SPEC), SPEC)
+    long = pipeline.catalog_rows(clean, SPEC)
+    assert sorted(map(str, long.select(*cols).collect())) == sorted(map(str, wide.select(*cols).collect()))
+
+
+def test_two_thousand_countries(spark):
+    rows = [(f"s{i}", "Movie" if i % 2 else "TV Show", f"t{i}", None, f"c{i % 2000}, c{(i * 7) % 2000}", None, "2000",
+             "R", "90 min", "Dramas, Thrillers") for i in range(4000)]
+    df = pipeline.catalog_rows(spark.createDataFrame(rows, SCHEMA), SPEC)
+    assert pipeline.top_genre_per_country(df).count() == 2000
+    share = pipeline.type_share_by_country(df).collect()
+    assert len(share) == 2000 and sum(r["movie_count"] + r["tvshow_count"] for r in share) == df.selectExpr("sum(country_count)").first()[0]
+
+
+def test_rating_share_shuffles_no_flags(raw):
+    report = pipeline.rating_share(pipeline.catalog_rows(pipeline.dedupe_catalog(raw, SPEC), SPEC))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "Dramas" not in plan and "India" not in plan
+
+
 def test_reports(raw):
-    enc = pipeline.encode_catalog(raw, SPEC)
-    feat = pipeline.feature_catalog(enc, SPEC)
-    top = {r["country"]: (r["genre"], r["count"]) for r in
-           pipeline.top_genre_per_country(feat, enc.country_flags, enc.genre_flags).collect()}
+    rows = pipeline.catalog_rows(pipeline.dedupe_catalog(raw, SPEC), SPEC)
+    top = {r["country"]: (r["genre"], r["count"]) for r in pipeline.top_genre_per_country(rows).collect()}
     assert top["India"] == ("Docuseries", 1) and top["USA"] == ("Thrillers", 2)
-    share = {r["country"]: r for r in pipeline.type_share_by_country(feat, enc.country_flags).collect()}
+    share = {r["country"]: r for r in pipeline.type_share_by_country(rows).collect()}
     assert (share["India"]["movie_count"], share["India"]["tvshow_count"], share["India"]["movie_percentage"]) == (1, 1, 50.0)
     assert share["UK"]["movie_percentage"] is None       # only a title of neither type
-    r = {x["rating"]: x["percentage"] for x in pipeline.rating_share(feat).collect()}
+    r = {x["rating"]: x["percentage"] for x in pipeline.rating_share(rows).collect()}
     assert r["PG-13"] == 20.0
 
 
 def test_model_input_and_stage_handoff(spark, raw):
-    enc = pipeline.encode_catalog(raw, SPEC)
+    enc = pipeline.encode_catalog(pipeline.dedupe_catalog(raw, SPEC), SPEC)
     feat = pipeline.feature_catalog(enc, SPEC)
     written = pipeline.write_stage(feat, scratch_path(spark, "stage2"))
     assert written.count() == 5
@@ -89,12 +110,10 @@ def test_model_input_and_stage_handoff(spark, raw):
     assert len(x["s1"]["features"]) == len(cols)
 
 
-def test_vocabulary_lists_one_scan_and_cap(spark, raw):
+def test_vocabulary_lists_one_scan(spark, raw):
     v = encode.vocabulary_lists(raw, {"g": ("listed_in", ","), "r": ("rating", None)})
     assert v["g"] == ["Crime TV Shows", "Docuseries", "Dramas", "Thrillers"]
     assert v["r"] == ["84 min", "PG-13", "R", "TV-MA", "TV-Y7-FV"]
-    with pytest.raises(ValueError):
-        encode.vocabulary_lists(raw, {"r": ("rating", None)}, max_values=3)
 
 
 def test_collide_fixture_raises(spark):
