@@ -11,8 +11,9 @@ edges are grouped by segment into a lattice. A fold with Spark's higher-order
   order of merges), so the fold removes, again and again, the one boundary inside the best
   edge whose two halves stand.
 
-The segments that occur most often are sent to all tasks (their number is
-bounded); the ids of the rest come to their documents by joins.
+The segments that occur most often are read by every task from the shared
+folder (their number is bounded); the ids of the rest come to their documents
+by joins.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm.common import Words, mix, settle, shuffle_partitions, slices, windows_hash
+from flagloom.llm.common import Words, mix, settle, shared_fs, shuffle_partitions, slices, windows_hash
+from flagloom.session import scratch_path
 
 #: Longest segment that is folded in Spark, in characters: a boundary set is one long.
 FOLDED = 62
@@ -153,13 +156,10 @@ def encode_segments(segments: DataFrame, model: PieceModel) -> DataFrame:
     """``(segment, n, ids)`` for distinct ``segment`` rows of 1 to 62 characters."""
     longest = max(map(len, model.table))
     size = F.length("segment")
-    spans = F.flatten(F.transform(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(size - i, F.lit(longest))),
-                              lambda k: F.struct(i.alias("i"), (i + k).alias("j")))))
-    edges = (segments.select("segment", "n", F.explode(spans).alias("e"))
-             .select("segment", "n", F.col("e.i").alias("i"), F.col("e.j").alias("j"),
-                     F.substring("segment", F.col("e.i") + 1, F.col("e.j") - F.col("e.i")).alias("piece")))
+    edges = (segments.select("segment", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+             .select("segment", "n", "i", F.explode(F.sequence(F.lit(1), F.least(size - F.col("i"), F.lit(longest)))).alias("k"))
+             .select("segment", "n", "i", (F.col("i") + F.col("k")).alias("j"),
+                     F.substring("segment", F.col("i") + 1, F.col("k")).alias("piece")))
     # bounded by the vocabulary, so it may be broadcast
     pieces = F.broadcast(piece_table(segments.sparkSession, model))
     byte_ids = F.array(*[F.lit(i) for i in model.byte_ids])
@@ -167,61 +167,69 @@ def encode_segments(segments: DataFrame, model: PieceModel) -> DataFrame:
     spelled = F.transform(F.sequence(F.lit(1), F.octet_length("piece")),
                           lambda k: F.element_at(byte_ids, F.conv(F.hex(F.substring(raw, k, 1)), 16, 10).cast("int") + 1))
     known = F.col("id").isNotNull()
+    inner = _bit(F.col("j")) - _bit(F.col("i") + 1)
+    ends = _bit(F.col("i")).bitwiseOR(_bit(F.col("j")))
     edges = (edges.join(pieces, "piece", "left").where(known | (F.col("j") - F.col("i") == 1))
              .select("segment", "n", F.struct(
-                 (-F.coalesce("score", F.lit(model.unknown_score))).alias("cost"), "i", "j",
-                 F.when(known, F.array("id")).otherwise(spelled).alias("ids")).alias("edge")))
+                 (-F.coalesce("score", F.lit(model.unknown_score))).alias("cost"), "i", "j", ends.alias("ends"),
+                 inner.alias("inner"), F.when(known, F.array("id")).otherwise(spelled).alias("ids")).alias("edge")))
     lattice = edges.groupBy("segment", "n").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    path = _viterbi_bounds() if model.unigram else _merge_bounds()
-    # edges are sorted by cost: bring the path's into text order first
-    ordered = F.array_sort(F.transform(F.filter("edges", lambda e: _stands(F.col("bounds"), e["i"], e["j"], 0)),
-                                       lambda e: F.struct(e["i"].alias("i"), e["ids"].alias("ids"))))
-    ids = F.flatten(F.transform(ordered, lambda e: e["ids"]))
-    return lattice.withColumn("bounds", path).select("segment", "n", ids.alias("ids"))
+    ids = _let(F.col("edges"), lambda found: (_viterbi_bounds if model.unigram else _merge_bounds)(
+        found, lambda bounds: _path_ids(found, bounds)))
+    return lattice.select("segment", "n", ids.alias("ids"))
 
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda's variable is never
+    expanded, as a column named in many places may be."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def _path_ids(edges: Column, bounds: Column) -> Column:
+    """Ids of the edges whose ends stand with nothing between them, in text order."""
+    path = F.filter(edges, lambda e: bounds.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"])
+    ordered = F.array_sort(F.transform(path, lambda e: F.struct(e["i"].alias("i"), e["ids"].alias("ids"))))
+    return F.flatten(F.transform(ordered, lambda e: e["ids"]))
 
-def _stands(bounds: Column, i: Column, j: Column, inside: int) -> Column:
-    """Whether i and j are boundaries with ``inside`` others between them."""
-    between = _bit(j) - _bit(i + 1)
-    return ((bounds.bitwiseAND(_bit(i)) != 0) & (bounds.bitwiseAND(_bit(j)) != 0)
-            & (F.bit_count(bounds.bitwiseAND(between)) == inside))
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def _merge_bounds() -> Column:
-    """Boundaries left by BPE merges, as bits: every step merges at the edge of
+def _merge_bounds(edges: Column, use) -> Column:
+    """``use`` of the boundaries left by BPE merges, as bits: every step merges at the edge of
     least cost (ties: the leftmost) that spans exactly two standing pieces."""
     size = F.length("segment")
-    every = _bit(size + 1) - F.lit(1)
+    spans = F.transform(F.filter(edges, lambda e: e["inner"] != 0),
+                        lambda e: F.struct(e["ends"].alias("ends"), e["inner"].alias("inner")))
 
-    def merge(bounds: Column, _: Column) -> Column:
-        best = F.try_element_at(F.filter("edges", lambda e: _stands(bounds, e["i"], e["j"], 1)), F.lit(1))
-        gone = bounds.bitwiseAND(_bit(best["j"]) - _bit(best["i"] + 1))
-        return F.coalesce(bounds.bitwiseXOR(gone), bounds)
+    def fold(spans: Column) -> Column:
+        def merge(bounds: Column, _: Column) -> Column:
+            best = F.try_element_at(F.filter(spans, lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"])
+                                             & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)), F.lit(1))
+            return F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["inner"])), bounds)
 
-    return F.when(size == 1, every).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), every, merge))
+        # a merge takes one boundary and one edge
+        steps = F.slice(F.sequence(F.lit(1), size), 1, F.least(size - 1, F.size(spans)))
+        return F.aggregate(steps, _bit(size + 1) - F.lit(1), merge, use)
 
+    return _let(spans, fold)
 
-def _viterbi_bounds() -> Column:
-    """Boundaries of the path of least total cost, as bits. Ties go to the
-    longer last piece, as the first found wins and edges come in text order."""
+
+def _viterbi_bounds(edges: Column, use) -> Column:
+    """``use`` of the boundaries of the path of least total cost, as bits. Ties
+    go to the longer last piece."""
     start = F.struct(F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("bounds"))
-    by_place = F.array_sort(F.transform("edges", lambda e: F.struct(e["j"].alias("j"), e["i"].alias("i"), e["cost"].alias("cost"))))
 
     def step(best: Column, j: Column) -> Column:
-        ending = F.filter(by_place, lambda e: e["j"] == j)
-        paths = F.transform(ending, lambda e: F.struct(
+        paths = F.transform(F.filter(edges, lambda e: e["j"] == j), lambda e: F.struct(
             (F.element_at(best, e["i"] + 1)["cost"] + e["cost"]).alias("cost"), e["i"].alias("i"),
             F.element_at(best, e["i"] + 1)["bounds"].bitwiseOR(_bit(j)).alias("bounds")))
-        least = F.element_at(F.array_sort(paths), 1)
-        return F.concat(best, F.array(F.struct(least["cost"].alias("cost"), least["bounds"].alias("bounds"))))
+        return F.concat(best, F.transform(F.slice(F.array_sort(paths), 1, 1), lambda p: F.struct(
+            p["cost"].alias("cost"), p["bounds"].alias("bounds"))))
 
     return F.aggregate(F.sequence(F.lit(1), F.length("segment")), F.array(start), step,
-                       lambda best: F.element_at(best, -1)["bounds"])
+                       lambda best: _let(F.element_at(best, -1)["bounds"], use))
 
 
 def encode_long(segment: str, model: PieceModel, table: dict[str, int]) -> list[int]:
@@ -303,8 +311,20 @@ def _segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
     return mix(windows_hash(data.astype(np.uint64) + np.uint64(1), start, end))
 
 
-def _common_table(common: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of segments with the offsets and values of their ids."""
+_READ: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _common_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the segments written at ``path`` with the offsets and
+    values of their ids; a worker process keeps the last one it read."""
+    if path not in _READ:
+        _READ.clear()
+        files, name = shared_fs(path)
+        _READ[path] = _sorted_ids(pq.read_table(name, filesystem=files, columns=["segment", "ids"]))
+    return _READ[path]
+
+
+def _sorted_ids(common: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not common.num_rows:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
     text = common.column("segment").combine_chunks().cast(pa.large_binary())
@@ -325,7 +345,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     """One row per row of ``docs``: ``id_col``, ``n_tokens``, ``ids`` and ``lossless``
     (whether decoding gives the text back).
 
-    ``common_segments`` bounds the segments sent to every task. A null or empty
+    ``common_segments`` bounds the segments that every task holds. A null or empty
     text has no ids (lossless: null, true); the mark U+2581 in a text decodes as
     a space; characters without a piece are spelled in bytes. Segments of more
     than 62 characters take the same rule inside the task. Repeated rows give
@@ -345,12 +365,14 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             break
         least = s["least"]
     often = F.col("n") >= (least if least is not None else (1 << 62))
-    common = spark.sparkContext.broadcast(_common_table(book.where(often).select("segment", "ids").toArrow()))
+    # every task reads this bounded table from the shared folder; it never passes the driver
+    common = scratch_path(spark, "piece-common")
+    book.where(often).select("segment", "ids").write.parquet(common)
     table, cuts = model.table, model.cuts
     longer = spark.sparkContext.broadcast((model, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, offsets, values = common.value
+        hashes, offsets, values = _common_table(common)
         own, pieces = longer.value
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "_text"):

@@ -19,12 +19,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm.common import settle, slices
+from flagloom.llm.common import settle, shared_fs, slices
 from flagloom.session import scratch_path
 
 _MAGIC = b"\x1f\x8b\x08"
@@ -35,10 +34,6 @@ _DATE = "2000-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def record_id(page_id: int | None, sha1: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{sha1}')}>"
 
@@ -104,7 +99,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, records_n
             for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to"))):
                 page_id, url, html, refers_to = (x.as_py() for x in row)
                 if out is None:
-                    files, name = _open(path)
+                    files, name = shared_fs(path)
                     files.create_dir(name.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(name, compression=None)
                 member = make_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to)
@@ -146,7 +141,7 @@ def _starts_record(data: bytes) -> bool:
 
 def read_members(path: str, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
     """``(offset, record)`` of every gzip member with a record that starts in ``[start, stop)``."""
-    files, name = _open(path)
+    files, name = shared_fs(path)
     with files.open_input_file(name) as f:
         size = f.size()
         view = _Range(f, start, size)

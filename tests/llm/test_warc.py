@@ -50,7 +50,7 @@ def test_every_record_is_a_member_of_its_own(spark):
     files = warc.write_warc(df, scratch_path(spark, "warc-test"))
     seen = 0
     for f in files.collect():
-        whole = gzip.decompress(warc._open(f["path"])[0].open_input_file(warc._open(f["path"])[1]).read())
+        whole = gzip.decompress(warc.shared_fs(f["path"])[0].open_input_file(warc.shared_fs(f["path"])[1]).read())
         parts = [r for _, r in warc.read_members(f["path"], 0, f["bytes"])]
         assert b"".join(parts) == whole and len(parts) == f["records"]
         for p in parts:
