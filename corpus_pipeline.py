@@ -6,6 +6,8 @@ again; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,17 @@ from flagloom.llm.common import read, settle
 from flagloom.llm.queries import PIECE_MODEL
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs``, whose own columns called ``names`` keep out of its way and come back."""
+    clash = {c: f"_own_{c}" for c in docs.columns if c in names}
+    done = work(docs.withColumnsRenamed(clash))
+    return done.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the rated documents among ``docs``; rejected documents go."""
     model = quality.fit(docs, quality.grades_of_labels(read(spark, sf_dir, "labels")))
-    return quality.grade(docs, model).where("accepted").select(*docs.columns)
+    return _aside(docs, ("expected_grade", "tail_prob", "accepted"), lambda d: quality.grade(d, model).where("accepted"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +37,12 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has are cut out of the later ones."""
     cut = substring.cut_repeats(docs, window=50)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once for each pass of its source's blocks; none is dropped."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return _aside(docs, ("mix_pass", "mix_order", "mix_weight"), mixing.mix_sources)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

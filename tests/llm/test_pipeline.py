@@ -106,6 +106,16 @@ def test_stages_and_run_match_brute_force(spark, folder):
     assert sorted((r["doc_id"], list(r["ids"])) for r in cp.run(spark, folder).collect()) == ids
 
 
+def test_clashing_columns_come_through(spark, folder):
+    docs = cp.read(spark, folder, "documents").limit(30).withColumns(
+        {c: F.lit(f"own {c}") for c in ("accepted", "mix_pass", "n_words", "fingerprint", "simhash", "tokens", "_starts")})
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns
+        assert {r["accepted"] for r in got.collect()} == {"own accepted"} == {r["accepted"] for r in docs.collect()}
+        assert {r["mix_pass"] for r in got.collect()} == {"own mix_pass"}
+
+
 def test_empty_tables(spark, folder, tmp_path):
     for t in ("documents", "labels"):
         cp.read(spark, folder, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
