@@ -58,11 +58,6 @@ class PieceModel:
         joined = {c for p in self.table if len(p) > 1 for c in p}
         return [c for c in (*range(32), 127) if chr(c) not in joined]
 
-    @property
-    def pattern(self) -> str:
-        cut = "".join(f"\\x{c:02x}" for c in self.cuts)
-        return f" *[^ {cut}]+| +|[{cut}]" if cut else " *[^ ]+| +"
-
     @property
     def byte_ids(self) -> list[int]:
         found = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == _BYTE}
@@ -141,10 +136,23 @@ def _prepared(text: Column) -> Column:
 
 
 def segment_counts(docs: DataFrame, text_col: str, model: PieceModel) -> DataFrame:
-    """``(segment, n)`` of all texts, without the segments too long to be folded."""
-    found = F.regexp_extract_all(_prepared(F.col(text_col)), F.lit(model.pattern), F.lit(0))
-    return (docs.where(F.col(text_col).isNotNull()).select(F.explode(found).alias("segment"))
-            .where(F.length("segment") <= FOLDED).groupBy("segment").agg(F.count("*").alias("n")))
+    """``(segment, n)`` of all texts, without the segments too long to be folded.
+    Each slice of texts counts its own before the rows are grouped."""
+    cuts = model.cuts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_ready"):
+            found = _Segments(batch.column("_ready"), cuts)
+            _, first, n = np.unique(found.hashes(), return_index=True, return_counts=True)
+            raw = found.data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(found.start[first].tolist(), found.end[first].tolist())]
+            short = np.array([len(w) <= FOLDED for w in words], bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for w in words if len(w) <= FOLDED], pa.string()), pa.array(n[short], pa.int64())],
+                ["segment", "n"])
+
+    ready = docs.where(F.length(text_col) > 0).select(_prepared(F.col(text_col)).alias("_ready"))
+    return ready.mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
@@ -162,34 +170,41 @@ def encode_segments(segments: DataFrame, model: PieceModel) -> DataFrame:
                      F.substring("segment", F.col("i") + 1, F.col("k")).alias("piece")))
     # bounded by the vocabulary, so it may be broadcast
     pieces = F.broadcast(piece_table(segments.sparkSession, model))
-    byte_ids = F.array(*[F.lit(i) for i in model.byte_ids])
-    raw = F.encode("piece", "UTF-8")
-    spelled = F.transform(F.sequence(F.lit(1), F.octet_length("piece")),
-                          lambda k: F.element_at(byte_ids, F.conv(F.hex(F.substring(raw, k, 1)), 16, 10).cast("int") + 1))
     known = F.col("id").isNotNull()
-    inner = _bit(F.col("j")) - _bit(F.col("i") + 1)
-    ends = _bit(F.col("i")).bitwiseOR(_bit(F.col("j")))
     edges = (edges.join(pieces, "piece", "left").where(known | (F.col("j") - F.col("i") == 1))
-             .select("segment", "n", F.struct(
-                 (-F.coalesce("score", F.lit(model.unknown_score))).alias("cost"), "i", "j", ends.alias("ends"),
-                 inner.alias("inner"), F.when(known, F.array("id")).otherwise(spelled).alias("ids")).alias("edge")))
+             .select("segment", "n", F.struct((-F.coalesce("score", F.lit(model.unknown_score))).alias("cost"),
+                                              "i", "j", "id").alias("edge")))
     lattice = edges.groupBy("segment", "n").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    ids = _let(F.col("edges"), lambda found: (_viterbi_bounds if model.unigram else _merge_bounds)(
-        found, lambda bounds: _path_ids(found, bounds)))
+    byte_ids = F.array(*[F.lit(i) for i in model.byte_ids])
+    ids = _let(_masked(F.col("edges")), lambda found: (_viterbi_bounds if model.unigram else _merge_bounds)(
+        found, lambda bounds: _path_ids(found, bounds, byte_ids)))
     return lattice.select("segment", "n", ids.alias("ids"))
 
 
+def _masked(edges: Column) -> Column:
+    """Edges with the bits of their two ends and of the boundaries between."""
+    return F.transform(edges, lambda e: F.struct(
+        e["cost"].alias("cost"), e["i"].alias("i"), e["j"].alias("j"), e["id"].alias("id"),
+        _bit(e["i"]).bitwiseOR(_bit(e["j"])).alias("ends"), (_bit(e["j"]) - _bit(e["i"] + 1)).alias("inner")))
+
+
 def _let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once: a lambda's variable is never
     expanded, as a column named in many places may be."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _path_ids(edges: Column, bounds: Column) -> Column:
-    """Ids of the edges whose ends stand with nothing between them, in text order."""
+def _path_ids(edges: Column, bounds: Column, byte_ids: Column) -> Column:
+    """Ids of the edges whose ends stand with nothing between them, in text
+    order; a character without a piece is spelled in bytes."""
+    def spelled(i: Column) -> Column:
+        raw = F.hex(F.encode(F.substring("segment", i + 1, F.lit(1)), "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.element_at(
+            byte_ids, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + 1))
+
     path = F.filter(edges, lambda e: bounds.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"])
-    ordered = F.array_sort(F.transform(path, lambda e: F.struct(e["i"].alias("i"), e["ids"].alias("ids"))))
-    return F.flatten(F.transform(ordered, lambda e: e["ids"]))
+    ordered = F.array_sort(F.transform(path, lambda e: F.struct(e["i"].alias("i"), e["id"].alias("id"))))
+    return F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled(e["i"]))))
 
 
 def _bit(i: Column) -> Column:
@@ -307,10 +322,6 @@ class _Segments(Words):
         self.first = np.searchsorted(self.start, self.offsets)
 
 
-def _segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(windows_hash(data.astype(np.uint64) + np.uint64(1), start, end))
-
-
 _READ: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -329,7 +340,12 @@ def _sorted_ids(common: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
     text = common.column("segment").combine_chunks().cast(pa.large_binary())
     offs = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
-    hashes = _segment_hashes(np.frombuffer(text.buffers()[2], np.uint8), offs[:-1], offs[1:])
+    data, hashes = np.frombuffer(text.buffers()[2], np.uint8), []
+    for a in range(0, len(text), 1 << 16):  # a few bytes each: the hash's arrays are many times their size
+        o = offs[a:a + (1 << 16) + 1]
+        part = data[o[0]:o[-1]].astype(np.uint64) + np.uint64(1)
+        hashes.append(mix(windows_hash(part, o[:-1] - o[0], o[1:] - o[0])))
+    hashes = np.concatenate(hashes)
     ids = common.column("ids").combine_chunks()
     each = np.diff(np.asarray(ids.offsets, dtype=np.int64))
     values = ids.flatten().to_numpy().astype(np.uint32)
@@ -380,7 +396,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             rare: list[list[str]] = [[] for _ in range(batch.num_rows)]
             extra: list[list[int]] = [[] for _ in range(batch.num_rows)]
             packed = []
-            which, example, place = np.unique(_segment_hashes(found.data, found.start, found.end),
+            which, example, place = np.unique(found.hashes(),
                                               return_index=True, return_inverse=True)
             at = np.minimum(np.searchsorted(hashes, which), max(len(hashes) - 1, 0))
             hit = hashes[at] == which if len(hashes) else np.zeros(len(which), bool)
@@ -432,8 +448,11 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
                     longs, parts, begin = iter(more.as_py()), [], 0
                     for hole, text in zip(np.flatnonzero(ids == _HOLE).tolist(), rare):
                         parts.append(ids[begin:hole])
-                        parts.append(np.array([next(longs) for _ in range(next(longs))] if text == "" else book_of[text],
-                                              np.uint32))
+                        if text == "":
+                            have = [next(longs) for _ in range(next(longs))]
+                        else:  # two segments of one hash in a slice would leave one out of the book
+                            have = book_of.get(text) or encode_long(text, *longer.value)
+                        parts.append(np.array(have, np.uint32))
                         begin = hole + 1
                     ids = np.concatenate([*parts, ids[begin:]])
                 out.append(ids)
