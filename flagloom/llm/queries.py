@@ -37,8 +37,8 @@ def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     mark = (F.col("conv_id") * 7 + F.col("turn") * 3) % 20
     n = F.col("conv_id") % 4
     label = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
-    name = F.when(n == 0, "summarise").when(n == 1, "translate").when(n == 2, "search").otherwise("browse")
-    tool = F.when(F.col("conv_id") % 12 == 3, name).otherwise(F.when(n == 3, "search").otherwise(name))
+    tool = (F.when(n == 0, "summarise").when(n == 1, "translate")
+            .when((n == 2) | (F.col("conv_id") % 12 != 3), "search").otherwise("browse"))
     quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
     value = F.when(F.col("text").isNull(), F.lit("null")).otherwise(quoted)
     main = F.when(tool == "search", F.lit("query")).otherwise(F.lit("text"))
@@ -130,6 +130,48 @@ QUERIES: dict[str, Query] = {
     "op10_order_minhash": op10_order_minhash,
 }
 
+#: The same traffic and its exchanges; in canonical JSON the side parameter's name comes before the main one's.
+_OP2 = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, (conv_id * 7 + turn * 3) % 20 AS mark, conv_id % 4 AS n FROM conversations),
+a AS (SELECT conv_id, 'call-' || conv_id || '-' || turn AS call_id, turn AS seq, text, mark,
+        CASE WHEN n = 0 THEN 'summarise' WHEN n = 1 THEN 'translate' WHEN n = 2 OR conv_id % 12 <> 3 THEN 'search' ELSE 'browse' END AS tool,
+        CASE WHEN turn > 2 AND (conv_id + turn) % 5 <> 0 THEN 'call-' || conv_id || '-' || (turn - 2) END AS parent_id
+      FROM c WHERE role = 'assistant'),
+b AS (SELECT *, CASE WHEN tool = 'search' THEN 'query' ELSE 'text' END AS main,
+        CASE WHEN mark = 1 THEN '"limit":"ten"' WHEN mark = 2 THEN '"depth":2' WHEN tool = 'search' THEN '"limit":' || seq
+             WHEN tool = 'summarise' THEN '"ratio":0.' || regexp_replace(CAST(seq + 1 AS VARCHAR), '0+$', '')
+             ELSE '"formal":true' END AS side FROM a),
+j AS (SELECT *, CASE WHEN mark <> 4 THEN '{' || side || CASE WHEN mark = 3 THEN ''
+        ELSE ',"' || main || '":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') END || '}' END AS args,
+      CASE WHEN mark = 4 OR tool = 'browse' THEN [] ELSE list_sort(list_filter([
+        CASE WHEN mark = 3 THEN 'missing:' || main END,
+        CASE WHEN mark IN (1, 2) AND tool = 'summarise' THEN 'missing:ratio' END,
+        CASE WHEN mark = 1 AND tool = 'search' THEN 'type:limit' END,
+        CASE WHEN mark <> 3 AND text IS NULL THEN 'type:' || main END,
+        CASE WHEN mark = 1 AND tool <> 'search' THEN 'unknown:limit' END,
+        CASE WHEN mark = 2 THEN 'unknown:depth' END], lambda x: x IS NOT NULL)) END AS errors FROM b),
+up AS (SELECT j.conv_id, j.call_id, p.call_id AS up FROM j LEFT JOIN j p ON p.conv_id = j.conv_id AND p.call_id = j.parent_id),
+lv AS (SELECT conv_id, call_id, 0 AS level FROM up WHERE up IS NULL
+       UNION ALL SELECT up.conv_id, up.call_id, lv.level + 1 FROM up JOIN lv ON lv.conv_id = up.conv_id AND lv.call_id = up.up),
+r AS (SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) || CASE WHEN mark = 5 THEN 'x' ELSE '' END AS call_id, turn, text
+      FROM c WHERE role = 'user' AND turn > 0),
+g AS (SELECT conv_id, call_id, count(*) AS n_results, min(turn) AS seq, arg_min(text, turn) AS content FROM r GROUP BY 1, 2),
+x AS (SELECT j.conv_id, j.call_id, j.seq, j.tool, CAST(lv.level AS BIGINT) AS level, coalesce(g.n_results, 0) AS n_results,
+        CASE WHEN parent_id IS NOT NULL AND lv.level = 0 THEN 'unknown_parent' WHEN args IS NULL THEN 'bad_json'
+             WHEN tool = 'browse' THEN 'unknown_tool' WHEN len(errors) > 0 THEN 'invalid' WHEN g.conv_id IS NULL THEN 'no_result'
+             ELSE 'ok' END AS status, errors, args, parent_id, content
+      FROM j JOIN lv ON lv.conv_id = j.conv_id AND lv.call_id = j.call_id
+      LEFT JOIN g ON g.conv_id = j.conv_id AND g.call_id = j.call_id
+      UNION ALL
+      SELECT g.conv_id, g.call_id, g.seq, NULL, NULL, g.n_results, 'orphan_result', [], NULL, NULL, content
+      FROM g ANTI JOIN j ON j.conv_id = g.conv_id AND j.call_id = g.call_id)
+SELECT conv_id, call_id, seq, tool, level, n_results, status, errors,
+  '{"arguments":' || coalesce(args, 'null') || ',"call_id":' || to_json(call_id) || ',"conv_id":' || conv_id || ',"parent_id":'
+  || coalesce(CAST(to_json(parent_id) AS VARCHAR), 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null')
+  || ',"tool":' || coalesce(CAST(to_json(tool) AS VARCHAR), 'null') || '}' AS record
+FROM x
+"""
+
 #: Windows as joined texts; chr(31) is no separator, so words are cut by the contract's pattern.
 _OP7 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -159,6 +201,7 @@ FROM d LEFT JOIN m ON m.sha = d.sha AND m.n = d.n
 """
 
 ORACLE: dict[str, str] = {
+    "op2_tool_calls": _OP2,
     "op7_substring_dedup": _OP7,
     "op8_warc": _OP8,
 }
