@@ -25,12 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm.common import Words, mix, settle, shared_fs, shuffle_partitions, slices, windows_hash
+from flagloom.llm.common import Words, as_binary, mix, settle, shared_fs, shuffle_partitions, slices, windows_hash
 from flagloom.session import scratch_path
 
 #: Longest segment that is folded in Spark, in characters: a boundary set is one long.
@@ -322,40 +323,38 @@ class _Segments(Words):
         self.first = np.searchsorted(self.start, self.offsets)
 
 
-_READ: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_READ: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def _common_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the segments written at ``path`` with the offsets and
-    values of their ids; a worker process keeps the last one it read."""
+def _common_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the segments written at ``path``, where their ids begin
+    and how many there are, and the ids with a hole's mark after the last; a worker process keeps the last it read.
+
+    Read piece by piece: the Arrow form is many times the size of these arrays."""
     if path not in _READ:
         _READ.clear()
         files, name = shared_fs(path)
-        _READ[path] = _sorted_ids(pq.read_table(name, filesystem=files, columns=["segment", "ids"]))
+        hashes, each, values = [], [], [np.zeros(0, np.uint32)]
+        for info in sorted(files.get_file_info(pafs.FileSelector(name)), key=lambda f: f.path):
+            if info.base_name.endswith(".parquet"):
+                with files.open_input_file(info.path) as f:
+                    for batch in pq.ParquetFile(f).iter_batches(1 << 16, columns=["segment", "ids"]):
+                        text = as_binary(batch.column("segment"))
+                        o = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+                        part = np.frombuffer(text.buffers()[2], np.uint8)[o[0]:o[-1]].astype(np.uint64) + np.uint64(1)
+                        hashes.append(mix(windows_hash(part, o[:-1] - o[0], o[1:] - o[0])))
+                        ids = batch.column("ids")
+                        each.append(np.diff(np.asarray(ids.offsets, dtype=np.int64)).astype(np.uint16))
+                        values.append(ids.flatten().to_numpy().astype(np.uint32))
+        hashes, each = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((hashes, np.uint64), (each, np.uint16)))
+        values = np.concatenate([*values, np.array([_HOLE], np.uint32)])
+        order = np.argsort(hashes)
+        begins = np.cumsum(each, dtype=np.int64) - each
+        _READ[path] = hashes[order], begins[order].astype(np.uint32), each[order], values
+        pa.default_memory_pool().release_unused()
     return _READ[path]
 
 
-def _sorted_ids(common: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not common.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-    text = common.column("segment").combine_chunks().cast(pa.large_binary())
-    offs = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
-    data, hashes = np.frombuffer(text.buffers()[2], np.uint8), []
-    for a in range(0, len(text), 1 << 16):  # a few bytes each: the hash's arrays are many times their size
-        o = offs[a:a + (1 << 16) + 1]
-        part = data[o[0]:o[-1]].astype(np.uint64) + np.uint64(1)
-        hashes.append(mix(windows_hash(part, o[:-1] - o[0], o[1:] - o[0])))
-    hashes = np.concatenate(hashes)
-    ids = common.column("ids").combine_chunks()
-    each = np.diff(np.asarray(ids.offsets, dtype=np.int64))
-    values = ids.flatten().to_numpy().astype(np.uint32)
-    order = np.argsort(hashes)
-    begin = (np.cumsum(each) - each)[order]
-    each = each[order]
-    at = np.repeat(begin - (np.cumsum(each) - each), each) + np.arange(each.sum())
-    return hashes[order], np.concatenate(([0], np.cumsum(each))), values[at]
-
-
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
            common_segments: int = 1 << 21) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_tokens``, ``ids`` and ``lossless``
@@ -388,10 +387,10 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     longer = spark.sparkContext.broadcast((model, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, offsets, values = _common_table(common)
+        hashes, begin_of, count_of, store = _common_table(common)
         own, pieces = longer.value
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_ready"):
             found = _Segments(batch.column("_ready"), cuts)
             rare: list[list[str]] = [[] for _ in range(batch.num_rows)]
             extra: list[list[int]] = [[] for _ in range(batch.num_rows)]
@@ -400,10 +399,9 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
                                               return_index=True, return_inverse=True)
             at = np.minimum(np.searchsorted(hashes, which), max(len(hashes) - 1, 0))
             hit = hashes[at] == which if len(hashes) else np.zeros(len(which), bool)
-            first = np.where(hit, offsets[at], len(values))
-            count = np.where(hit, offsets[np.minimum(at + 1, len(offsets) - 1)] - offsets[at], 1) if len(hashes) \
-                else np.ones(len(which), np.int64)
-            store = np.append(values, np.uint32(_HOLE))
+            first = np.full(len(which), len(store) - 1, np.int64)
+            count = np.ones(len(which), np.int64)
+            first[hit], count[hit] = begin_of[at[hit]], count_of[at[hit]]
             count, first = count[place], first[place]
             begins = np.concatenate(([0], np.cumsum(count)))
             tokens = store[np.repeat(first - begins[:-1], count) + np.arange(begins[-1])]
@@ -425,9 +423,9 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     kind = rows.schema["_id"].dataType.simpleString()
     sent = (rows.withColumn("_ready", F.coalesce(_prepared(F.col("_text")), F.lit("")))
             .withColumn("_sum", F.xxhash64("_text")).where("_text IS NOT NULL")
-            .mapInArrow(run, f"_id {kind}, _tag long, _ids binary, _rare array<string>, _long array<int>, _sum long"))
+            .drop("_text").mapInArrow(run, f"_id {kind}, _tag long, _ids binary, _rare array<string>, _long array<int>, _sum long"))
     placed = sent.repartition(shuffle_partitions(spark), "_tag")
-    wanted = placed.select("_tag", F.explode(F.array_distinct("_rare")).alias("segment")).where("segment <> ''").distinct()
+    wanted = placed.select("_tag", F.explode(F.array_distinct("_rare")).alias("segment")).where("segment <> ''")
     fetched = (wanted.join(book.where(~often).select("segment", "ids"), "segment")
                .groupBy("_tag").agg(F.collect_list(F.struct("segment", "ids")).alias("_found")))
     names = list(model.pieces)
