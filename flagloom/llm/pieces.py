@@ -425,7 +425,16 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             .withColumn("_sum", F.xxhash64("_text")).where("_text IS NOT NULL")
             .drop("_text").mapInArrow(run, f"_id {kind}, _tag long, _ids binary, _rare array<string>, _long array<int>, _sum long"))
     placed = sent.repartition(shuffle_partitions(spark), "_tag")
-    wanted = placed.select("_tag", F.explode(F.array_distinct("_rare")).alias("segment")).where("segment <> ''")
+
+    def rare_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(t, w) for t, ws in zip(batch.column("_tag").to_pylist(), batch.column("_rare").to_pylist())
+                     for w in set(ws) if w]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int64()),
+                                              pa.array([w for _, w in found], pa.string())], ["_tag", "segment"])
+
+    # takes every column of ``placed``, so that its shuffle is made once and read twice
+    wanted = placed.mapInArrow(rare_segments, "_tag long, segment string")
     fetched = (wanted.join(book.where(~often).select("segment", "ids"), "segment")
                .groupBy("_tag").agg(F.collect_list(F.struct("segment", "ids")).alias("_found")))
     names = list(model.pieces)
