@@ -356,7 +356,7 @@ def _common_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
-           common_segments: int = 1 << 21) -> DataFrame:
+           common_segments: int = 1 << 20) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_tokens``, ``ids`` and ``lossless``
     (whether decoding gives the text back).
 
