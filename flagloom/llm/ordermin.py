@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from flagloom.llm.common import mix, settle, shuffle_partitions
 
 _SPACING = np.uint64(0x9E3779B97F4A7C15)
+#: Bits cut off a k-mer's hash: one number for texts of every length, so that a
+#: k-mer has the same hash in each of them.
+_CUT = 7
 #: Hash values of one text that are compared at once.
 _CELLS = 1 << 16
 
@@ -41,6 +44,23 @@ def _kmer_hashes(points: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def _by_hash(base: np.ndarray) -> np.ndarray:
+    """Places of the hashes (``_CUT`` bits short) in their order, equal ones by place."""
+    bits = max(_CUT, (len(base) - 1).bit_length())
+    # one plain sort of values that carry their place instead of their lowest bits
+    packed = base >> np.uint64(bits - _CUT)
+    packed <<= np.uint64(bits)
+    packed |= np.arange(len(base), dtype=np.uint64)
+    packed.sort()
+    top = packed >> np.uint64(bits)
+    packed &= np.uint64((1 << bits) - 1)
+    place = packed.view(np.int64)
+    twin = np.flatnonzero(top[1:] == top[:-1])
+    if (base[place[twin]] != base[place[twin + 1]]).any():  # unequal hashes that differ in the lowest bits only
+        return np.argsort(base, kind="stable")
+    return place
+
+
 def signature(points: np.ndarray, k: int = 6, picks: int = 2, sketches: int = 32) -> np.ndarray:
     """``sketches`` 32-bit tuple hashes of one text given as code points.
 
@@ -53,25 +73,20 @@ def signature(points: np.ndarray, k: int = 6, picks: int = 2, sketches: int = 32
     k = min(k, size)
     n = size - k + 1
     base = _kmer_hashes(points, k)
+    base >>= np.uint64(_CUT)
     # occurrence numbers: equal k-mers side by side, in text order
-    bits = np.uint64(max(1, (n - 1).bit_length()))
-    place = np.arange(n, dtype=np.uint64)
-    packed = base >> bits
-    packed <<= bits
-    packed |= place
-    packed.sort()
-    same = packed >> bits
-    packed &= (np.uint64(1) << bits) - np.uint64(1)
+    place = _by_hash(base)
+    same = base[place]
     repeat = np.flatnonzero(same[1:] == same[:-1]) + 1
     if len(repeat):
         starts = np.arange(n)
         starts[repeat] = 0
         number = repeat - np.maximum.accumulate(starts)[repeat]
         same[repeat] = mix(same[repeat] + number.astype(np.uint64) * _SPACING)
-    # the sorted hash is short of the bits that held the place; a product spreads the rest
+    # the top bits of the hash are cut off; a product spreads the rest
     same *= _SPACING
     numbered = np.empty(n, np.uint64)
-    numbered[packed.view(np.int64)] = same
+    numbered[place] = same
     few = min(picks, n)
     narrow = (numbered >> np.uint64(32)).astype(np.uint32)
     factor, shift = _functions(sketches)

@@ -1,6 +1,7 @@
 """Order MinHash against a plain restatement, and its edited texts against slicing."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 
@@ -78,3 +79,39 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert ordermin.order_minhash(df.limit(0)).count() == 0
     one = ordermin.order_minhash(spark.createDataFrame([(1, "abcdef", "")], SCHEMA)).first()
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1.0
+
+
+def plain_likeness(a, b, k, picks, sketches):
+    """Order MinHash by its definition: numbered k-mers ranked by a keyed digest, the picked ones in text order."""
+    def picked(text):
+        seen, numbered = Counter(), []
+        for i in range(len(text) - k + 1):
+            numbered.append((text[i:i + k], seen[text[i:i + k]]))
+            seen[text[i:i + k]] += 1
+        out = []
+        for s in range(sketches):
+            rank = [hashlib.blake2b(repr(x).encode(), digest_size=8, key=bytes([s])).digest() for x in numbered]
+            least = sorted(range(len(rank)), key=rank.__getitem__)[:picks]
+            out.append([numbered[i] for i in sorted(least)])
+        return out
+
+    return sum(x == y for x, y in zip(picked(a), picked(b))) / sketches
+
+
+def test_likeness_does_not_follow_the_length():
+    rng = np.random.default_rng(5)
+    text = "".join(map(chr, rng.integers(97, 123, 1200))) + "the same words, the same words again. " * 4
+    ours = lambda a, b: ordermin.likeness(*(ordermin.signature(ordermin._points(x), 6, 2, 200) for x in (a, b)))
+    # numbers of 6-mers just below, at and above powers of two, and longer texts cut across one
+    for a, b in ((1024, 1025), (512, 513), (128, 129), (64, 65), (127, 130), (1020, 1030), (1300, 900), (700, 400)):
+        a, b = text[:a + 5], text[:b + 5]
+        assert abs(ours(a, b) - plain_likeness(a, b, 6, 2, 200)) < 0.15
+        if len(a) < len(b):
+            assert ours(a, b) > 0.8
+    changed = text[:1024] + "Q" + text[1025:1030]
+    assert ours(text[:1029], changed) > 0.9
+
+
+def test_equal_top_bits_do_not_mix_up_kmers():
+    base = np.array([5, 4, 5, 4, 1 << 40, 5] + [9] * 300 + [8], np.uint64)
+    assert ordermin._by_hash(base).tolist() == np.argsort(base, kind="stable").tolist()
