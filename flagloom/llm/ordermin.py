@@ -166,7 +166,8 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The texts are dealt once by ranges of the id; each task walks its rows in
     order and holds two texts. What the walk cannot see is the text after a
     task's last row: first and last rows travel with the results to a table
-    in the shared folder and are matched there, two rows a task.
+    in the shared folder and are matched there, two rows a task, by the task's
+    number; one task ranks these numbers and sees no text.
     """
     spark = docs.sparkSession
     how = _Pairing(k, picks, sketches)
@@ -205,12 +206,13 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield made()
 
     done = settle(rows.mapInArrow(walk, walked), "order-minhash")
-    # at most two rows for each task of the walk, ordered by the task's range
-    ends = done.where("edge IS NOT NULL").groupBy("part").agg(
-        F.max(F.when(F.col("edge") == "first", F.struct("_text"))).alias("head"),
-        F.max(F.when(F.col("edge") == "last", F.struct("_id", "_text"))).alias("tail"))
+    # at most two rows for each task of the walk; only the tasks' numbers are put in one order
+    tails = done.where("edge = 'last'").select("part", F.struct("_id", "_text").alias("tail"))
+    heads = done.where("edge = 'first'").select(F.col("part").alias("after"), F.struct("_text").alias("next"))
     by_range = Window.orderBy("part")
-    closed = ends.select("tail", F.coalesce(F.lead("head").over(by_range), F.first("head").over(by_range)).alias("next"))
+    after = F.coalesce(F.lead("part").over(by_range), F.first("part").over(by_range)).alias("after")
+    closed = (tails.join(done.where("edge = 'last'").select("part", after), "part")
+              .join(heads, "after").select("tail", "next"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -115,3 +115,15 @@ def test_likeness_does_not_follow_the_length():
 def test_equal_top_bits_do_not_mix_up_kmers():
     base = np.array([5, 4, 5, 4, 1 << 40, 5] + [9] * 300 + [8], np.uint64)
     assert ordermin._by_hash(base).tolist() == np.argsort(base, kind="stable").tolist()
+
+
+def test_no_text_in_the_order_of_tasks(spark):
+    rows = [(i, f"text {i} " * 20, "") for i in range(50)]
+    plan = ordermin.order_minhash(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    at = next(i for i, x in enumerate(lines) if "Window [" in x)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    below = [x for x in lines[at + 1:] if x.strip()]
+    stop = next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-")) <= depth), len(below))
+    assert below[:stop] and any("Project [part#" in x for x in below[:stop])
+    assert not any("Project" in x and "_text" in x for x in below[:stop])
