@@ -6,7 +6,8 @@ holds nodes by the distance to their centre, inner nodes put their children
 back, leaves are visited in the order they come out. How many leaves a query
 visits is calibrated: exact neighbours of some calibration queries are found by
 brute force over the whole index, and the number of visits is widened until
-they cover the wanted share.
+they cover the wanted share. A query whose leaves do not hold enough rows goes
+on to further leaves until they do.
 
 Vectors and queries meet by leaf, in blocks of bounded size on either side, so
 a leaf that holds a third of all rows is many tasks. Each block gives a
@@ -96,14 +97,16 @@ def descend(tree: Tree, x: np.ndarray) -> np.ndarray:
     return tree.leaf[at]
 
 
-def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
-    """The first ``visits`` leaves out of the priority queue."""
-    heap, out = [(0.0, 0)], []
-    while heap and len(out) < visits:
+def best_bins(tree: Tree, q: np.ndarray, visits: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+    """The first ``visits`` leaves out of the priority queue, and as many more as
+    it takes until they hold ``least`` of the ``rows`` (a count for each leaf)."""
+    heap, out, held = [(0.0, 0)], [], 0
+    while heap and (len(out) < visits or held < least):
         _, node = heapq.heappop(heap)
         kids = tree.children[node]
         if not len(kids):
             out.append(int(tree.leaf[node]))
+            held += int(rows[out[-1]]) if rows is not None else 0
             continue
         gap = tree.centres[kids] - q
         for d, kid in zip((gap * gap).sum(axis=1).tolist(), kids.tolist()):
@@ -182,6 +185,11 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                                                  ["leaf", "vec_id", "vec"])
 
     index = settle(vectors.mapInArrow(place, "leaf int, vec_id long, vec array<double>"), "ann-index")
+    # one row per leaf, whose number the sample bounds
+    sizes = settle(index.groupBy("leaf").agg(F.count("*").alias("n")), "ann-sizes")
+    held = np.zeros(tree.leaves, np.int64)
+    for r in sizes.collect():
+        held[r["leaf"]] = r["n"]
     queries = index.where(F.col("vec_id") % every == 0)
     visits = _calibrate(tree, index, queries.orderBy(by_hash, "vec_id").limit(calibration), k, recall)
 
@@ -189,7 +197,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                found = [best_bins(tree, q, visits) for q in _matrix(part.column("vec"))]
+                found = [best_bins(tree, q, visits, held, k + 1) for q in _matrix(part.column("vec"))]
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(found).astype(np.int32)), part.column("vec_id").take(take),
@@ -197,7 +205,6 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     visiting = queries.select("vec_id", "vec").mapInArrow(bins, "leaf int, query_id long, qvec array<double>")
     # one row per leaf: as many blocks as its rows and its queries need
-    sizes = index.groupBy("leaf").agg(F.count("*").alias("n"))
     asked = visiting.groupBy("leaf").agg(F.count("*").alias("m"))
     blocks = F.broadcast(settle(
         sizes.join(asked, "leaf").select("leaf", F.ceil(F.col("n") / _ROWS).cast("int").alias("row_blocks"),

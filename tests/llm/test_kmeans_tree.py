@@ -79,3 +79,28 @@ def test_no_vectors_no_queries(spark):
     assert kmtree.search(df).count() == 0
     assert kmtree.search(df.limit(0)).count() == 0
     assert kmtree.search(spark.createDataFrame([(100, [1.0], "")], SCHEMA)).count() == 0
+
+
+def test_isolated_queries_beside_a_big_group_of_copies(spark):
+    # the copies' neighbours are in their own leaf, so the calibrated number of leaves is 1
+    x = np.vstack([np.ones((4000, 4)), np.eye(4) * 50, -np.eye(4) * [[70], [80], [90], [100]]])
+    ids = np.concatenate([np.arange(1, 4001), [5000, 5001, 5010, 5011, 5012, 5013, 5014, 5015]])
+    got = answers(kmtree.search(frame(spark, x, ids), every=10, leaf_rows=30))
+    at = {int(i): p for p, i in enumerate(ids)}
+    assert set(got) == {i for i in at if i % 10 == 0}
+    for q, found in got.items():
+        assert [r for r, _, _ in found] == list(range(1, 11))
+        assert q not in {v for _, v, _ in found}
+        for _, v, s in found:
+            assert abs(s - np.sqrt(((x[at[q]] - x[at[v]]) ** 2).sum())) < 1e-12
+
+
+def test_leaves_past_the_visits_until_enough_rows():
+    x = np.vstack([np.zeros((50, 2)), [[10.0, 0.0]], [[11.0, 0.0]], [[30.0, 0.0]]])
+    tree = kmtree.fit_tree(x, branch=4, leaf_rows=5)
+    rows = np.bincount(kmtree.descend(tree, x), minlength=tree.leaves)
+    order = kmtree.best_bins(tree, x[50], tree.leaves)
+    assert kmtree.best_bins(tree, x[50], 1, rows, 1) == order[:1]
+    assert kmtree.best_bins(tree, x[50], 1, rows, 2) == order[:2]
+    assert kmtree.best_bins(tree, x[50], 1, rows, 11) == order[:3]
+    assert kmtree.best_bins(tree, x[50], 1, rows, 54) == order  # fewer rows than asked for: every leaf
