@@ -3,7 +3,8 @@
 A source with a share ``p`` of all words gets a weight in proportion to
 ``p ** exponent``: 1 keeps the natural shares, 0 makes all sources equal. The
 exponent is bisected to the smallest that respects a repetition limit, or to
-the one whose weights have a target entropy, whichever is larger. A source's
+the one whose weights have a target entropy, whichever is larger; it goes above
+1 where the natural shares have more entropy than the target. A source's
 budget is its weight's part of the total; it is realised as whole passes over
 its blocks (permutations, one a pass) and a last pass that stops where the
 budget is met.
@@ -16,6 +17,8 @@ spread like any other.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,21 @@ def _bisect(shares: DataFrame, passes: Column, low: float = 0.0, high: float = 1
     return high
 
 
+def _beyond_one(shares: DataFrame, met: Column, within: Column) -> float:
+    """The smallest exponent above 1 at which ``met`` is true, or 1 if ``within``
+    (false from some exponent on) is not true there."""
+    low, high = 1.0, 2.0
+    while True:
+        at = shares.select("p", F.lit(high).alias("x")).agg(met.alias("met"), within.alias("within")).first()
+        if at["met"]:
+            break
+        if not at["within"]:
+            return 1.0
+        low, high = high, 2 * high
+    found = _bisect(shares, met, low, high)
+    return found if shares.select("p", F.lit(found).alias("x")).agg(within.alias("ok")).first()["ok"] else 1.0
+
+
 def mixing_weights(shares: DataFrame, max_repeats: float = 4.0, entropy: float | None = None,
                    budget: int | None = None) -> DataFrame:
     """``shares`` with ``weight``, ``exponent`` and ``budget`` (words) of every source that has words.
@@ -62,29 +80,38 @@ def mixing_weights(shares: DataFrame, max_repeats: float = 4.0, entropy: float |
     source gets a whole pass. Then the limit bounds the exponent from below;
     with a stated budget that cannot respect the limit even at exponent 1, the
     sources' budgets are cut to the limit. A target below the natural shares'
-    entropy leaves these (exponent 1); ``None`` goes as far as the limit.
+    entropy takes an exponent above 1; if none meets it within the limit (as
+    with sources of equal size) the natural shares stay (exponent 1). ``None``
+    goes as far as the limit.
     """
     shares = shares.where("tokens > 0")
-    total = shares.agg(F.sum("tokens"), F.max("tokens"), F.count("*")).first()
+    total = shares.agg(F.sum("tokens"), F.max("tokens"), F.count("*")).first()  # words, of the largest, sources
     if not total[0]:
         return shares.select("*", *(F.lit(None).cast("double").alias(c) for c in ("weight", "exponent")),
                              F.lit(None).cast("long").alias("budget"))
-    p = shares.select((F.col("tokens") / F.lit(total[0])).alias("p"))
+    # shares in parts of the largest, whose powers stay 1
+    p = shares.select((F.col("tokens") / F.lit(total[1])).alias("p"))
     p = settle(p, "mixing-shares")
     power = F.pow("p", F.col("x"))
     # passes of a source: weight * budget / tokens
     if budget is None:
-        most = F.max(power / F.col("p")) / F.min(power / F.col("p"))
+        most = F.try_divide(F.max(power / F.col("p")), F.min(power / F.col("p")))
     else:
-        most = F.max(power / F.col("p")) / F.sum(power) * F.lit(budget / total[0])
-    exponent = _bisect(p, most <= max_repeats * (1 + 1e-9))
+        most = F.max(power / F.col("p")) / F.sum(power) * F.lit(budget / total[1])
+    within = most <= max_repeats * (1 + 1e-9)
+    exponent = _bisect(p, within)
     if entropy is not None and total[2] > 1:
         spread = F.log(F.sum(power)) - F.sum(power * F.log(power)) / F.sum(power)
-        least = _bisect(p, spread <= entropy * F.log(F.lit(float(total[2]))))
+        met = spread <= entropy * F.log(F.lit(float(total[2])))
+        least = _bisect(p, met)
         exponent = max(exponent, least)
+        # above 1 the entropy falls towards that of the largest sources alone
+        largest = p.where("p = 1").count()
+        if least == 1.0 and math.log(largest) < entropy * math.log(total[2]):
+            exponent = _beyond_one(p, met, within)
     norm = p.agg(F.sum(F.pow("p", F.lit(exponent))), F.min(F.pow("p", F.lit(exponent - 1)))).first()
-    amount = float(budget) if budget is not None else total[0] * norm[0] / norm[1]
-    weight = F.pow(F.col("tokens") / F.lit(total[0]), F.lit(exponent)) / F.lit(norm[0])
+    amount = float(budget) if budget is not None else total[1] * norm[0] / norm[1]
+    weight = F.pow(F.col("tokens") / F.lit(total[1]), F.lit(exponent)) / F.lit(norm[0])
     words = F.least(F.round(weight * amount), F.floor(F.col("tokens") * F.lit(float(max_repeats))))
     return shares.select("*", weight.alias("weight"), F.lit(exponent).alias("exponent"),
                          words.cast("long").alias("budget"))
@@ -127,7 +154,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     input would not fill ``least_blocks``; a budget is met to within one block.
     A row appears once for each pass that takes its block. With ``budget``
     ``None`` every row appears at least once: the largest source passes once,
-    smaller ones up to ``max_repeats`` times, so nothing is lost. Rows without a
+    smaller ones up to ``max_repeats`` times (the other way round at an exponent
+    above 1), so nothing is lost. Rows without a
     word weigh nothing: they appear in the passes that take their block; those
     of a source without any word appear once with weight 0. Null is a source;
     repeated rows stay repeated; columns of these three names are replaced;

@@ -102,3 +102,42 @@ def test_passes_are_different_permutations(spark):
 def test_no_python_on_the_plan(spark):
     plan = mixing.mix_sources(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+EVEN = {"a": 1000, "b": 960, "c": 900, None: 800}
+
+
+def even(spark, tokens):
+    rows = [(i, s, "w " * 10, "") for s, n in tokens.items() for i in range(n // 10)]
+    return spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], SCHEMA)
+
+
+@pytest.mark.parametrize("budget", [None, 1500])
+def test_nearly_even_sources_meet_the_target(spark, budget):
+    d = even(spark, EVEN)
+    w = {r["source"]: r for r in mixing.mixing_weights(mixing.source_shares(d), 20.0, 0.9, budget).collect()}
+    low, high = 1.0, 100.0
+    for _ in range(100):
+        x = (low + high) / 2
+        p = [n ** x / sum(m ** x for m in EVEN.values()) for n in EVEN.values()]
+        low, high = (low, x) if -sum(v * math.log(v) for v in p) <= 0.9 * math.log(4) else (x, high)
+    assert high > 2
+    for v, (s, n) in zip(p, EVEN.items()):
+        assert w[s]["exponent"] == pytest.approx(high, abs=1e-5)
+        assert w[s]["weight"] == pytest.approx(v, abs=1e-6)
+        assert w[s]["budget"] <= n * 20 + 1
+        if budget is None:
+            assert w[s]["budget"] >= n - 1
+    if budget:
+        assert sum(r["budget"] for r in w.values()) == pytest.approx(budget, abs=2)
+    else:
+        got = mixing.mix_sources(d, max_repeats=20.0, entropy=0.9, least_blocks=64)
+        assert got.select("doc_id").distinct().count() == d.count() and got.count() > d.count()
+
+
+@pytest.mark.parametrize("tokens, max_repeats, budget", [(EVEN, 1.1, None), (EVEN, 1.0, 3660), (dict.fromkeys("abcd", 500), 4.0, None),
+                                                         (dict.fromkeys("abcdefghijklmnopqrst", 500) | {"z": 400}, 4.0, 2000)])
+def test_target_out_of_reach_leaves_the_natural_shares(spark, tokens, max_repeats, budget):
+    shares = mixing.source_shares(even(spark, tokens))
+    w = mixing.mixing_weights(shares, max_repeats, 0.9, budget).collect()
+    assert {r["exponent"] for r in w} == {1.0}
