@@ -37,7 +37,7 @@ class Model:
     moves: np.ndarray  # language x language
     start: np.ndarray
     lexicon: np.ndarray  # sorted word hashes
-    members: np.ndarray  # bit set of languages for each
+    members: np.ndarray  # set of languages for each, as one number
 
 
 def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
@@ -51,6 +51,15 @@ def _lexicon_set(hashes: np.ndarray, lexicon: np.ndarray, members: np.ndarray) -
     return np.where(lexicon[at] == hashes, members[at], 0).astype(np.uint64)
 
 
+def _set_code(sets: np.ndarray) -> np.ndarray:
+    """One number for each row of 64-bit words: a single word is its own number, further
+    words are hashed into it; the empty set has 0."""
+    code = sets[:, 0].copy()
+    for i in range(1, sets.shape[1]):
+        code ^= mix(sets[:, i] * np.uint64(2 * i + 1))
+    return code
+
+
 def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
     """Buckets of each word: six affixes and the lexicon set (one array each),
     then the trigrams' buckets and the word each belongs to."""
@@ -181,12 +190,12 @@ def learn(texts: list[str], langs_of: list[str], rounds: int = 30, segment: int
     hashes = words.hashes()
     vocab, example, word = np.unique(hashes, return_index=True, return_inverse=True)
     counts = np.stack([np.bincount(word[label == j], minlength=len(vocab)) for j in range(k)])
-    members = np.zeros(len(vocab), np.uint64)
+    sets = np.zeros((len(vocab), -(-k // 64)), np.uint64)
     for j in range(k):
         top = np.lexsort((vocab, -counts[j]))[:lexicon_size]
         top = top[counts[j][top] >= 3]
-        if j < 64:
-            members[top] |= np.uint64(1 << j)
+        sets[top, j // 64] |= np.uint64(1 << j % 64)
+    members = _set_code(sets)
     feats = word_features(words.data, words.start[example], words.end[example], members)
     # mixed sequences: shuffle stretches of words
     rng = np.random.default_rng(7)

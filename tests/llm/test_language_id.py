@@ -101,3 +101,14 @@ def test_held_out_accuracy(spark):
     lang = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang")
     right, n = got.join(lang, "doc_id").selectExpr("sum(int(lang = lang_pred))", "count(*)").first()
     assert n > 100 and right / n > 0.97
+
+
+def test_every_language_has_its_lexicon_feature():
+    langs = [f"l{j:03d}" for j in range(130)]
+    own = [f"w{j:03d}q" for j in range(130)]
+    model = crf.learn([f"{w} {w} {w} shared shared shared" for w in own], langs, rounds=1)
+    assert len(model.lexicon) == 131  # each language's own word and the shared one
+    known = crf._lexicon_set(crf.Words(pa.array([" ".join([*own, "shared", "other"])])).hashes(), model.lexicon, model.members)
+    assert known[-1] == 0 and (known[:-1] > 0).all() and len(set(known[:-1].tolist())) == 131
+    one = np.arange(5, dtype=np.uint64)
+    assert crf._set_code(one[:, None]).tolist() == one.tolist()  # up to 64 languages: the set itself
