@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from flagloom.session import scratch_path
@@ -65,6 +66,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
             start = stop
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by ``column`` (a long without nulls)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(column).to_numpy(zero_copy_only=False)
+        start = int(np.searchsorted(keys != keys[-1], False)) if keys[0] != keys[-1] else 0
+        if start or (held and held[-1].column(column)[-1].as_py() != keys[0]):
+            ready = [*held, batch.slice(0, start)] if start else held
+            yield pa.Table.from_batches(ready).combine_chunks()
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a column of texts, as byte offsets.
 
@@ -74,14 +92,16 @@ class Words:
 
     _SEP = np.zeros(256, bool)
     _SEP[[0x20, *range(0x09, 0x0E)]] = True
+    _LOWER = np.arange(256, dtype=np.uint8)
+    _LOWER[0x41:0x5B] += 32
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lower: bool = False):
         col = as_binary(texts)
         n = len(col)
         offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + n + 1]
         raw = col.buffers()[2]
         data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-        self.data = data[offs[0]:offs[-1]]
+        self.data = self._LOWER[data[offs[0]:offs[-1]]] if lower else data[offs[0]:offs[-1]]
         self.offsets = offs - offs[0]
         word = ~self._SEP[self.data]
         size = len(word)
@@ -106,6 +126,24 @@ class Words:
             return np.zeros(0, np.uint64)
         return mix(windows_hash(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end, seed))
 
+    def dictionary(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, and which of them each word is."""
+        if not len(self):
+            return [], np.zeros(0, np.int32)
+        bounds = np.concatenate(([0], np.cumsum(self.end - self.start)))
+        packed = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(self), [None, pa.py_buffer(bounds), pa.py_buffer(self.data[~self._SEP[self.data]])])
+        found = packed.dictionary_encode()
+        _, bounds, raw = found.dictionary.buffers()
+        raw, ends = raw.to_pybytes(), np.frombuffer(bounds, np.int64)[:len(found.dictionary) + 1].tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])], found.indices.to_numpy()
+
+    def identities(self, seed: int = 0) -> np.ndarray:
+        """XXH64 of every word: as :meth:`hashes`, without structured words that collide."""
+        names, which = self.dictionary()
+        digest = xxhash.xxh64_intdigest
+        return np.array([digest(w, seed) for w in names], np.uint64)[which]
+
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
 

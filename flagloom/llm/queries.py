@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm import crf, kmtree, mixing, ordermin, pieces, quality, simhash, substring, toolcalls, warc
+from flagloom.llm import (chosenpath, collocations, crf, kmtree, mixing, ordermin, pieces, quality, simhash, substring, toolcalls, vptree, warc)
 from flagloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,21 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.order_minhash(read(spark, sf_dir, "documents"))
 
 
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document (5-word shingles, Jaccard similarity 0.85)."""
+    return chosenpath.near_duplicates(read(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
+def op12_vptree_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of every embedding of 64 components after five rounds, in exact integers."""
+    return vptree.cluster(read(spark, sf_dir, "embeddings"), size=64, k=40, rounds=5, scale=256, salt="2")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best surviving phrases of two or three words of every language."""
+    return collocations.mine(read(spark, sf_dir, "documents"), top=2000, least=10, absorb=50)
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_tool_calls": op2_tool_calls,
@@ -128,6 +143,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_order_minhash": op10_order_minhash,
+    "op11_chosen_path": op11_chosen_path,
+    "op12_vptree_kmeans": op12_vptree_kmeans,
+    "op13_collocations": op13_collocations,
 }
 
 #: The same traffic and its exchanges; in canonical JSON the side parameter's name comes before the main one's.
@@ -200,8 +218,78 @@ SELECT d.page_id, d.n AS payload_bytes, d.sha AS payload_digest,
 FROM d LEFT JOIN m ON m.sha = d.sha AND m.n = d.n
 """
 
+#: Pairs by a shared shingle (every linked pair has one), components by walking the links from every document.
+_OP11 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+      FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS reached FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT d, min(reached) AS component_id FROM r GROUP BY d)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.d = w.doc_id
+"""
+
+
+def _op12(size: int = 64, k: int = 40, rounds: int = 5, scale: int = 256, salt: str = "2") -> str:
+    """Rounds of assignment to the nearest centroid and exact floored means, one after the other."""
+    parts = [f"""kept AS (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
+      WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+v AS (SELECT r, d, CAST(floor({scale} * CAST(e[d] AS DOUBLE)) AS HUGEINT) AS x
+      FROM (SELECT r, e, unnest(generate_series(1, {size})) AS d FROM kept)),
+c0 AS (SELECT rank AS c, d, x FROM v JOIN (SELECT r, row_number() OVER (ORDER BY sha256('{salt}:' || vec_id)) - 1 AS rank
+      FROM kept) USING (r) WHERE rank < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT r, min(dist * {k} + c) AS best FROM (SELECT r, c, sum((v.x - m.x) * (v.x - m.x)) AS dist
+      FROM v JOIN c{i} m ON m.d = v.d GROUP BY r, c) GROUP BY r),
+b{i} AS (SELECT r, best % {k} AS c, (best - best % {k}) // {k} AS dist FROM a{i})""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (SELECT c, d, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM v JOIN b{i} USING (r) GROUP BY c, d),
+c{i + 1} AS (SELECT c{i}.c, c{i}.d, coalesce((s - ((s % n) + n) % n) // n, c{i}.x) AS x
+      FROM c{i} LEFT JOIN m{i} m ON m.c = c{i}.c AND m.d = c{i}.d)""")
+    return f"""WITH {", ".join(p + "" for p in parts)},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS sha FROM c{rounds} GROUP BY c),
+t AS (SELECT c, sum(dist) AS inertia FROM b{rounds} GROUP BY c)
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance, CAST(t.inertia AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(inertia) FROM t) AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM b{rounds} b JOIN kept USING (r) JOIN h ON h.c = b.c JOIN t ON t.c = b.c"""
+
+
+#: Every phrase of two and three words counted, then scored, dropped and ranked.
+_OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+q AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+e AS (SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM q),
+o AS (SELECT lang, w, lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM e WINDOW x AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT lang, phrase, CAST(count(*) AS HUGEINT) AS f FROM (
+      SELECT lang, w AS phrase FROM o UNION ALL SELECT lang, w || ' ' || w2 FROM o WHERE w2 IS NOT NULL
+      UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3 FROM o WHERE w3 IS NOT NULL) GROUP BY lang, phrase),
+t AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM o GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE f >= 10 AND phrase LIKE '% %'),
+x AS (SELECT lang, phrase, a, w, 1 AS k, w[1] AS first, array_to_string(w[2:], ' ') AS rest FROM c
+      UNION ALL SELECT lang, phrase, a, w, 2, array_to_string(w[1:2], ' '), w[3] FROM c WHERE len(w) = 3),
+k AS (SELECT x.*, l.f AS l, r.f AS r, (1000000 * a * a) // (l.f * r.f) AS score FROM x
+      JOIN f l ON l.lang = x.lang AND l.phrase = x.first JOIN f r ON r.lang = x.lang AND r.phrase = x.rest),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT DISTINCT s.lang, s.phrase FROM b s JOIN (
+      SELECT lang, a, array_to_string(w[1:2], ' ') AS part FROM b WHERE len(w) = 3
+      UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM b WHERE len(w) = 3) g
+      ON g.lang = s.lang AND g.part = s.phrase WHERE len(s.w) = 2 AND 100 * g.a >= 50 * s.a),
+d AS (SELECT b.* FROM b ANTI JOIN i ON i.lang = b.lang AND i.phrase = b.phrase)
+SELECT d.lang, CAST(row_number() OVER (PARTITION BY d.lang ORDER BY score DESC, a DESC, encode(phrase)) AS BIGINT) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM d JOIN t ON t.lang = d.lang QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op2_tool_calls": _OP2,
     "op7_substring_dedup": _OP7,
     "op8_warc": _OP8,
+    "op11_chosen_path": _OP11,
+    "op12_vptree_kmeans": _op12(),
+    "op13_collocations": _OP13,
 }
