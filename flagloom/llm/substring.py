@@ -133,7 +133,7 @@ def _probes(window: int, buckets: int):
             doc = np.repeat(np.arange(len(counts)), many)
             pos = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
             start = words.first[doc] + pos
-            key = mix(windows_hash(words.hashes(), start, start + block))
+            key = mix(windows_hash(words.identities(), start, start + block))
             if pack.add(key, np.zeros(len(key), np.uint8), who, doc, pos):
                 yield from pack.flush()
         yield from pack.flush()
@@ -178,9 +178,9 @@ def _windows(window: int, buckets: int):
             np.add.at(edge, high[ok] + 1, -1)
             start = np.flatnonzero(np.cumsum(edge) > 0)
             doc = np.searchsorted(words.first, start, side="right") - 1
-            base = words.hashes()
+            base = words.identities()
             key = mix(windows_hash(base, start, start + window))
-            more = mix(windows_hash(words.hashes(1), start, start + window, 1)).astype(np.uint32)
+            more = mix(windows_hash(words.identities(1), start, start + window, 1)).astype(np.uint32)
             if pack.add(key, more, who, doc, start - words.first[doc]):
                 yield from pack.flush()
         yield from pack.flush()
