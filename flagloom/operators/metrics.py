@@ -127,3 +127,17 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     if digits is not None:
         out = out.withColumns({m: F.round(m, digits) for m in ("precision", "recall", "f1")})
     return out
+
+
+def learning_facts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """One row: ``rows``, ``accuracy``, ``largest_share`` (of the labels, what a constant
+    prediction reaches at best) and ``margin``, four standard deviations of a share
+    of that many rows at most. A model has learned something if its accuracy on rows
+    it has not seen is above ``largest_share + margin``. Null labels count as a class."""
+    counts = confusion_counts(df, label, prediction)
+    per = counts.groupBy(label).agg(F.sum("n").alias("n"), F.sum(
+        F.when(F.col(label).eqNullSafe(F.col(prediction)), F.col("n")).otherwise(0)).alias("hit"))
+    total = F.sum("n")
+    return per.agg(total.alias("rows"), _safe_div(F.sum("hit"), total).alias("accuracy"),
+                   _safe_div(F.max("n"), total).alias("largest_share"),
+                   F.try_divide(F.lit(2.0), F.sqrt(total)).alias("margin"))

@@ -1013,14 +1013,15 @@ def _model_frame(spark, sf_dir):
     return clean.bool_to_int(p, NOUNS).drop("p_name")
 
 
-#: The stated layout of the fits below: their results hold for it only.
-FIT_PARTITIONS = 8
+#: The stated layout of the fits below: their results hold for it only, and a
+#: larger table has as many more tasks.
+FIT_ROWS = 50_000
 
 
 def _clustered(spark, sf_dir, k):
     """The model frame with its cluster, written once: fits and scores read the files."""
     p = ml.assemble(_model_frame(spark, sf_dir), MODEL_FEATURES, "features")
-    model = ml.fit_kmeans(p, k=k, seed=SEED, key="p_partkey", partitions=FIT_PARTITIONS)
+    model = ml.fit_kmeans(p, k=k, seed=SEED, key="p_partkey", rows_per_partition=FIT_ROWS)
     out = ml.assign_clusters(model, p).withColumn("cluster", F.col("cluster").cast("double"))
     return pipeline.write_stage(out, scratch_path(spark, "clustered"))
 
@@ -1048,7 +1049,7 @@ def feature_vectors_keep(spark, sf_dir):
 
 def _embedding_clusters(spark, sf_dir, k):
     e = ml.array_features(table(spark, sf_dir, "embeddings"), "embedding")
-    model = ml.fit_kmeans(e, k=k, seed=SEED, key="vec_id", partitions=FIT_PARTITIONS)
+    model = ml.fit_kmeans(e, k=k, seed=SEED, key="vec_id", rows_per_partition=FIT_ROWS)
     return model, ml.assign_clusters(model, e)
 
 
@@ -1129,7 +1130,7 @@ def hash_split(spark, sf_dir):
 
 def _forest_pipeline(train):
     return ml.fit_forest_pipeline(train, MODEL_FEATURES, "cluster", trees=20, seed=SEED, key="p_partkey",
-                                  partitions=FIT_PARTITIONS)
+                                  rows_per_partition=FIT_ROWS)
 
 
 def _known(label, k):
@@ -1137,50 +1138,83 @@ def _known(label, k):
     return (F.col(label).isNotNull() & F.col(label).isin([float(i) for i in range(k)])).alias("known_class")
 
 
-@query("rf_cluster_label", f"SELECT p_partkey, true AS known_class FROM part WHERE {TEST_SQL}")
+def _learned(pairs, chance):
+    """Whether a model beats every constant prediction on ``pairs``, and one fitted on
+    labels drawn anew does not on ``chance``: two rows that reach the driver."""
+    own, drawn = (metrics.learning_facts(p).first() for p in (pairs, chance))
+    return {"learned": F.lit(own["accuracy"] > own["largest_share"] + own["margin"]),
+            "chance_without_labels": F.lit(drawn["accuracy"] <= drawn["largest_share"] + drawn["margin"])}
+
+
+LEARNED_SQL = "true AS known_class, true AS learned, true AS chance_without_labels"
+
+
+@query("rf_cluster_label", f"SELECT p_partkey, {LEARNED_SQL} FROM part WHERE {TEST_SQL}")
 def rf_cluster_label(spark, sf_dir):
     """Forest pipeline (assembler + 20 trees, seed 42) predicting the KMeans
-    cluster; trained on the hash-split train rows: one prediction, of a class
-    that exists, for each test row."""
-    train, test = ml.split_frames(_clustered(spark, sf_dir, 4), "p_partkey", 0.8, SEED)
-    return _forest_pipeline(train).transform(test).select("p_partkey", _known("prediction", 4))
+    cluster, trained on the hash-split train rows: one prediction, of a class
+    that exists, for each test row. The held-out accuracy is above the largest
+    cluster's share; the same fit on labels drawn anew is not."""
+    data = _clustered(spark, sf_dir, 4)
 
+    def scored(rows):
+        train, test = ml.split_frames(rows, "p_partkey", 0.8, SEED)
+        out = _forest_pipeline(train).transform(test).select("p_partkey", F.col("cluster").alias("label"), "prediction")
+        return pipeline.write_stage(out, scratch_path(spark, "scored"))
 
-@query("rf_fit_all", "SELECT p_partkey, true AS known_class FROM part")
+    pairs = scored(data)
+    facts = _learned(pairs, scored(ml.redraw_labels(data, "cluster", "p_partkey", SEED + 1)))
+    return pairs.select("p_partkey", _known("prediction", 4)).withColumns(facts)
+
+
+@query("rf_fit_all", f"SELECT p_partkey, {LEARNED_SQL} FROM part")
 def rf_fit_all(spark, sf_dir):
-    """Forest with default size fitted and scored on all rows (k=3 clusters)."""
+    """Forest with default size fitted and scored on all rows (k=3 clusters). The
+    fit on labels drawn anew is measured on the labels of another draw."""
     data = _clustered(spark, sf_dir, 3)
-    model = ml.fit_forest(data, "cluster", "features", seed=SEED, key="p_partkey", partitions=FIT_PARTITIONS)
-    return model.transform(data).select("p_partkey", _known("prediction", 3))
+
+    def scored(rows, against):
+        model = ml.fit_forest(rows, "cluster", "features", seed=SEED, key="p_partkey", rows_per_partition=FIT_ROWS)
+        out = model.transform(against).select("p_partkey", F.col("cluster").alias("label"), "prediction")
+        return pipeline.write_stage(out, scratch_path(spark, "scored"))
+
+    pairs = scored(data, data)
+    draws = [ml.redraw_labels(data, "cluster", "p_partkey", SEED + i) for i in (1, 2)]
+    return pairs.select("p_partkey", _known("prediction", 3)).withColumns(_learned(pairs, scored(*draws)))
 
 
 def _binary_frame(spark, sf_dir):
-    p = encode.indicator(_model_frame(spark, sf_dir), "p_type", {"movie": "ECONOMY"})
-    p = p.withColumn("label", derive.label_from_flag("movie"))
-    # the label's source column (p_type / movie) is not among the features
-    return ml.assemble(p, MODEL_FEATURES, "features")
+    """Numeric features of the catalog and whether a title is a movie; the flags of
+    its type are not among the features."""
+    enc, feat = _wide_features(spark, sf_dir)
+    cols = [*enc.genre_flags, "duration_min", "seasons_num", "country_count", "release_year"]
+    feat = feat.withColumn("label", derive.label_from_flag(MOVIE_COL))
+    return pipeline.model_input(feat, cols, CATALOG_SPEC).select("show_id", "label", "features")
 
 
-def _rf_binary_predictions(spark, sf_dir):
-    data = pipeline.write_stage(_binary_frame(spark, sf_dir), scratch_path(spark, "binary"))
-    train, test = ml.split_frames(data, "p_partkey", 0.8, SEED)
-    model = ml.fit_forest(train, "label", "features", trees=50, seed=SEED, key="p_partkey", partitions=FIT_PARTITIONS)
-    return model.transform(test).select("p_partkey", "label", "prediction")
+def _rf_binary_predictions(spark, sf_dir, data=None):
+    if data is None:
+        data = pipeline.write_stage(_binary_frame(spark, sf_dir), scratch_path(spark, "binary"))
+    train, test = ml.split_frames(data, "show_id", 0.8, SEED)
+    model = ml.fit_forest(train, "label", "features", trees=50, seed=SEED, key="show_id", rows_per_partition=FIT_ROWS)
+    return pipeline.write_stage(model.transform(test).select("show_id", "label", "prediction"),
+                                scratch_path(spark, "scored"))
 
 
-@query("rf_binary", f"""
-SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, true AS known_class
-FROM part WHERE {TEST_SQL}
-""")
 def rf_binary(spark, sf_dir):
-    return _rf_binary_predictions(spark, sf_dir).select("p_partkey", "label", _known("prediction", 2))
+    """Forest of 50 trees that tells movies from other titles, on held-out titles,
+    and the same fit on labels drawn anew."""
+    data = pipeline.write_stage(_binary_frame(spark, sf_dir), scratch_path(spark, "binary"))
+    pairs = _rf_binary_predictions(spark, sf_dir, data)
+    facts = _learned(pairs, _rf_binary_predictions(spark, sf_dir, ml.redraw_labels(data, "label", "show_id", SEED + 1)))
+    return pairs.select("show_id", "label", _known("prediction", 2)).withColumns(facts)
 
 
 @query("rf_metrics", "SELECT unnest(['accuracy', 'weighted_precision', 'weighted_recall', 'weighted_f1']) AS metric, true AS agrees")
 def rf_metrics(spark, sf_dir):
     """The one-pass metrics of the forest against the textbook formulas on the
     same prediction pairs, one class at a time."""
-    pairs = pipeline.write_stage(_rf_binary_predictions(spark, sf_dir), scratch_path(spark, "pairs"))
+    pairs = _rf_binary_predictions(spark, sf_dir)
     ours = metrics.classification_metrics(pairs)
     names = ours.columns
     hit = (F.col("label") == F.col("prediction")).cast("int")
@@ -1434,13 +1468,19 @@ def catalog_clusters(spark, sf_dir):
     cols = [MOVIE_COL, TV_COL, *enc.genre_flags, "duration_min", "seasons_num", "country_count", "release_year"]
     x = pipeline.write_stage(pipeline.model_input(feat, cols, CATALOG_SPEC).select("show_id", "features"),
                              scratch_path(spark, "model-input"))
-    model = ml.fit_kmeans(x, k=4, seed=SEED, key="show_id", partitions=FIT_PARTITIONS)
+    model = ml.fit_kmeans(x, k=4, seed=SEED, key="show_id", rows_per_partition=FIT_ROWS)
     sizes = agg.count_by(ml.assign_clusters(model, x), ["cluster"], "count")
     return sizes.agg(F.sum("count").alias("n_rows"), F.bool_and(F.col("cluster").between(0, 3)).alias("ids_in_range"))
 
 
 MOVIE_COL, TV_COL = pipeline.MOVIE_FLAG, pipeline.TV_FLAG
 
+query("rf_binary", f"""
+WITH {RAW_CATALOG_SQL}
+SELECT show_id, CASE WHEN type = 'Movie' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, {LEARNED_SQL}
+FROM dd WHERE {HASH_SQL.format(key='show_id')} >= 0.8 * 4294967296
+""")(rf_binary)
+
 
 # --------------------------------------------------------------------------
 # Streaming: the row-wise stages on files arriving in a directory
@@ -1516,3 +1556,6 @@ def lineitem_first_line_per_order(spark, sf_dir):
     Line numbers repeat inside an order in this data, so the operator's
     tie-break (the remaining columns in order) decides, as the SQL states."""
     return dedupe.dedupe(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber"])
+
+
+from flagloom.plans import files as _files  # noqa: E402,F401  registers the queries on files and layouts

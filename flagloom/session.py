@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -75,11 +75,22 @@ def use_local_checkpoints(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique sub-folder of the shared checkpoint root.
+    """A fresh, unique sub-folder of the shared checkpoint root, as a full address.
 
-    Whoever owns that root cleans it: results may still be read from the folder
+    A root without a scheme is one of the cluster's default file system, as Spark
+    itself reads it; with the scheme, tasks that open files by themselves find the
+    same folder. Whoever owns that root cleans it: results may still be read from the folder
     after the query that made it returns."""
     root = checkpoint_root(spark)
-    if "://" not in root and not root.startswith("/"):
-        root = os.path.abspath(root)
+    if not re.match(r"[A-Za-z][\w+.-]*:/", root):
+        root = _qualified(spark, root)
     return f"{root}/flagloom-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of the default file system."""
+    sc = _context(spark)
+    if sc is None:  # Connect: the server resolves the address, and no task opens it by itself
+        return path
+    full = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return full.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(full).toString()
