@@ -21,7 +21,9 @@ same probability, so ``(1 - threshold) ** trees`` and a little for deeper
 nodes). Members are first compared by all their tokens, with a margin that a
 linked pair misses with a chance of 1e-9 at most; only those that may have a
 partner in the node go on. Their texts are shingled again and compared as
-full sets, which decides every link.
+full sets, which decides every link. Most other texts stay where they are: a
+table of at most ``2 ** 20`` numbers of texts in demand leaves them out before
+the texts are dealt.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ from flagloom.llm.components import connected_components
 
 _SPREAD = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PAIRS = 1 << 16
+_NUMBERS = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -94,7 +97,7 @@ def _sift(percent: int, tokens: int, trees: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "cell"):
-            cell, tree, met, n, group = (t.column(c).to_numpy() for c in ("cell", "tree", "met", "n", "joined"))
+            cell, tree, met, n, group = (t.column(c).to_numpy() for c in ("cell", "tree", "met", "n", "part"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(cell), tokens)
             active, left, shift = np.zeros(len(cell), bool), np.arange(len(cell)), 0
             while True:
@@ -153,7 +156,7 @@ def _confirm(shingle: int, percent: int):
             a_side, b_side = [], []
             for a, b in zip(cuts, cuts[1:]):
                 # a text met by a clash of two rows' hashes does not have its class's set
-                rows = list({names[r]: r for r in range(a, b) if _digest(found[r]) == names[r]}.values())
+                rows = sorted({names[r]: r for r in range(a, b) if _digest(found[r]) == names[r]}.values(), key=names.__getitem__)
                 if len(rows) < 2:
                     continue
                 links, loose = _linked([found[r] for r in rows], percent), np.ones(len(rows), bool)
@@ -191,7 +194,7 @@ def _token(i) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    percent: int = 85, trees: int = 10, tokens: int = 64, node_rows: int = 1024,
+                    percent: int = 85, trees: int = 10, tokens: int = 64, node_rows: int = 2048,
                     branches: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles`` (set size),
     ``component_id`` (the smallest id reachable over links of at least
@@ -249,48 +252,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = out.unionByName(f)
         return out
 
-    small = union(leaves)
-    blocks = None
+    # cells of members to compare; members of one part of a cell are not compared there
+    alone = F.xxhash64("digest").alias("part")
+    cells = union(leaves).select(F.col("node").alias("cell"), "digest", "tree", alone)
+    top = leaves[0].select("digest", "tree")
     if dense:
         # half a node's rows a block, so that two blocks make a small node
-        count = F.ceil(F.col("size") * 2 / node_rows).cast("int")
-        blocks = (union(dense).withColumn("blocks", count)
+        blocks = (union(dense).withColumn("blocks", F.ceil(F.col("size") * 2 / node_rows).cast("int"))
                   .withColumn("own", F.pmod(F.xxhash64("digest", "node"), F.col("blocks")).cast("int")))
-        blocks = settle(blocks, "path-blocks")
-        small = small.unionByName(blocks.select("digest", "tree", F.xxhash64("node", "own", "own").alias("node"),
-                                                "size", "depth"))
+        blocks = settle(blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "path-blocks")
+        cell = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+        cells = cells.unionByName(blocks.select(cell.alias("cell"), "digest", "tree", F.when(
+            F.col("own") == F.col("other"), F.xxhash64("digest")).otherwise(F.col("own")).alias("part")))
+        top = top.unionByName(blocks.where("depth = 0 AND own = other").select("digest", "tree"))
     # trees in which a class's first node is compared as a whole: its members have met there
-    top = [f.select("digest", "tree") for f in (leaves[0], *([blocks.where("depth = 0")] if dense else []))]
-    met = settle(union(top).groupBy("digest").agg(F.bit_or(F.call_function(
+    met = settle(top.groupBy("digest").agg(F.bit_or(F.call_function(
         "shiftleft", F.lit(1).cast("long"), F.col("tree"))).alias("met")), "path-met")
 
-    def compare(cells: DataFrame, joined: DataFrame | None) -> DataFrame:
-        """Links within ``cells`` (cell, digest, tree) but for pairs that ``joined`` has in one component."""
-        known = classes.select("digest", "sig", "n", "tag").join(met, "digest", "left")
-        if joined is None:
-            known = known.withColumn("joined", F.xxhash64("digest"))
-        else:
-            known = (known.join(joined, known["digest"] == joined["node"], "left")
-                     .withColumn("joined", F.xxhash64(F.coalesce("root", "digest"))))
-        members = (cells.join(known, "digest")
-                   .select("cell", "digest", "tree", F.coalesce("met", F.lit(0).cast("long")).alias("met"), "n", "joined", "sig")
-                   .repartition(parts, "cell").sortWithinPartitions("cell"))
-        active = settle(members.mapInArrow(_sift(percent, tokens, trees), "cell long, digest binary"), "path-active")
-        wanted = active.select("digest").distinct().join(classes.select("digest", F.col("tag").alias("_tag")), "digest")
-        texts = settle(rows.select("_tag", "_text").join(wanted, "_tag").groupBy("digest")
-                       .agg(F.first("_text").alias("text")), "path-texts")
-        whole = active.join(texts, "digest").repartition(parts, "cell").sortWithinPartitions("cell")
-        return settle(whole.mapInArrow(_confirm(shingle, percent), "a binary, b binary"), "path-links")
-
-    links = compare(small.select(F.col("node").alias("cell"), "digest", "tree"), None)
+    members = (cells.join(classes.select("digest", "sig", "n"), "digest").join(met, "digest", "left")
+               .select("cell", "digest", "tree", F.coalesce("met", F.lit(0).cast("long")).alias("met"), "n", "part", "sig")
+               .repartition(parts, "cell").sortWithinPartitions("cell"))
+    active = settle(members.mapInArrow(_sift(percent, tokens, trees), "cell long, digest binary"), "path-active")
+    wanted = settle(active.select("digest").distinct()
+                    .join(classes.select("digest", F.col("tag").alias("_tag")), "digest"), "path-wanted")
+    demand = F.broadcast(wanted.select(_number(F.col("_tag")).alias("_number")).distinct())  # of _NUMBERS rows at most
+    texts = settle(rows.select("_tag", "_text", _number(F.col("_tag")).alias("_number")).join(demand, "_number", "left_semi")
+                   .join(wanted, "_tag").groupBy("digest").agg(F.first("_text").alias("text")), "path-texts")
+    whole = active.join(texts, "digest").repartition(parts, "cell").sortWithinPartitions("cell")
+    links = settle(whole.mapInArrow(_confirm(shingle, percent), "a binary, b binary"), "path-links")
     roots = connected_components(links)
-    if dense:
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        across = (blocks.withColumn("other", other).where("own != other")
-                  .select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-                          "digest", "tree"))
-        links = links.unionByName(compare(across, roots))
-        roots = connected_components(links)
     named = settle(classes.select("digest", "first_id").join(roots, F.col("digest") == F.col("node"), "left")
                    .select("digest", "first_id", F.coalesce("root", "digest").alias("root")), "path-roots")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -301,6 +291,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
+def _number(tag) -> F.Column:
+    return F.pmod(tag, F.lit(_NUMBERS)).cast("int")
+
+
 def _sized(dealt: DataFrame) -> DataFrame:
     """Rows of nodes with two members or more, with the node's ``size``."""
     sizes = dealt.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
