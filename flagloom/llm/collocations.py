@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from flagloom.llm.common import Words, mix, settle, slices
 
-_SLICE = 4_000_000
+_ROWS = 1 << 16
 _SPREAD = mix(np.arange(901, 905, dtype=np.uint64)) | np.uint64(1)
 _SALTS = 16
 
@@ -55,7 +55,7 @@ class PieceWords(Words):
 
     def joined(self) -> np.ndarray:
         """Whether each word but the last is in one piece with the next."""
-        hard = np.concatenate(([0], np.cumsum(self._HARD[self.data])))
+        hard = np.concatenate(([0], np.cumsum(self._HARD[self.data], dtype=np.int32)))
         return (hard[self.start[1:]] == hard[self.end[:-1]]) & (self.text_of[1:] == self.text_of[:-1])
 
 
@@ -114,7 +114,7 @@ def _counted(words: int, bits: int, prefixes=None, suffixes=None):
     filters (broadcasts) know the first and the last ``words - 1`` words of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _SLICE):
+        for batch in slices(batches, "text"):
             found = PieceWords(batch.column("text"))
             if len(found) < words:
                 continue
@@ -139,12 +139,13 @@ def _counted(words: int, bits: int, prefixes=None, suffixes=None):
                 keep = (_in(prefixes.value, _keys(of_lang, each[:-1]), bits)
                         & _in(suffixes.value, _keys(of_lang, each[1:]), bits))
                 own, n, parts = own[keep], n[keep], [p[keep] for p in parts]
-            table = pa.array(names, pa.large_binary())
-            texts = [table.take(pa.array(p)) for p in parts]
-            phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if words > 1 else texts[0]
-            yield pa.RecordBatch.from_arrays(
-                [langs.dictionary.take(pa.array(own)), phrase.cast(pa.large_string()).cast(pa.string()),
-                 pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+            table = pa.array(names, pa.binary())
+            for a in range(0, len(n), _ROWS):
+                texts = [table.take(pa.array(p[a:a + _ROWS])) for p in parts]
+                phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.binary())) if words > 1 else texts[0]
+                yield pa.RecordBatch.from_arrays(
+                    [langs.dictionary.take(pa.array(own[a:a + _ROWS])), phrase.cast(pa.string()),
+                     pa.array(n[a:a + _ROWS], pa.int64())], ["lang", "phrase", "n"])
 
     return run
 
