@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from flagloom.session import scratch_path
 
@@ -35,14 +37,37 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def shared_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """Arrow's file system for a full address (``file:``, ``hdfs:``, ``s3:`` ...) or a plain path."""
-    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+    """Arrow's file system for a full address (``file:``, ``hdfs:``, ``s3:`` ...)."""
+    if path.startswith("file:/"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    return pafs.FileSystem.from_uri(path)
+
+
+def parquet_batches(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of the files of a folder on the shared file system; none where there is no folder."""
+    files, name = shared_fs(path)
+    for info in sorted(files.get_file_info(pafs.FileSelector(name, allow_not_found=True)), key=lambda f: f.path):
+        if info.base_name.endswith(".parquet"):
+            with files.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(1 << 16, columns=columns)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def first_ids(rows: DataFrame, group: str, ident: str, most: int, salts: int = 64) -> DataFrame:
+    """At most ``most`` rows (``group``, ``ident``) of every group, least hashes of the id
+    first. Ranked inside salted parts of each group before the group itself, so that
+    no task holds a group whole."""
+    salt = F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(salts))
+    for part in ([group, "_salt"], [group]):
+        order = Window.partitionBy(*part).orderBy(F.xxhash64(ident), F.col(ident))
+        rows = (rows.withColumn("_salt", salt).withColumn("_n", F.row_number().over(order))
+                .where(F.col("_n") <= most).drop("_n", "_salt"))
+    return rows
+
+
 def as_binary(column: pa.Array) -> pa.Array:
     """A string column as large_binary without nulls (null becomes empty)."""
     out = column.cast(pa.large_binary())
@@ -131,12 +156,7 @@ class Words:
         if not len(self):
             return [], np.zeros(0, np.int32)
         bounds = np.concatenate(([0], np.cumsum(self.end - self.start)))
-        packed = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(self), [None, pa.py_buffer(bounds), pa.py_buffer(self.data[~self._SEP[self.data]])])
-        found = packed.dictionary_encode()
-        _, bounds, raw = found.dictionary.buffers()
-        raw, ends = raw.to_pybytes(), np.frombuffer(bounds, np.int64)[:len(found.dictionary) + 1].tolist()
-        return [raw[a:b] for a, b in zip(ends, ends[1:])], found.indices.to_numpy()
+        return distinct_parts(bounds, self.data[~self._SEP[self.data]])
 
     def identities(self, seed: int = 0) -> np.ndarray:
         """XXH64 of every word: as :meth:`hashes`, without structured words that collide."""
@@ -148,6 +168,16 @@ class Words:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
 
 
+def distinct_parts(bounds: np.ndarray, data: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct ``data[bounds[i]:bounds[i + 1]]``, and which of them each is."""
+    packed = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    found = packed.dictionary_encode()
+    _, ends, raw = found.dictionary.buffers()
+    raw, ends = raw.to_pybytes(), np.frombuffer(ends, np.int64)[:len(found.dictionary) + 1].tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:])], found.indices.to_numpy()
+
+
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

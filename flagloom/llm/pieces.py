@@ -8,12 +8,20 @@ edges are grouped by segment into a lattice. A fold with Spark's higher-order
 
 * a unigram model takes the Viterbi path of greatest total score;
 * a BPE model's own ids are not a path of greatest total (its scores are the
-  order of merges), so the fold removes, again and again, the one boundary inside the best
-  edge whose two halves stand.
+  order of merges), so the fold goes through the edges by their merges' order
+  and removes the one boundary inside each whose two halves stand. Where a
+  segment has a piece that may come about later than its own place in that order
+  (see :attr:`PieceModel.late`), the best such edge is looked for again after
+  every merge.
+
+Boundaries of a segment are bits of one long, or of an array of longs where it
+has 62 characters or more; the fold is the same.
 
 The segments that occur most often are read by every task from the shared
-folder (their number is bounded); the ids of the rest come to their documents
-by joins.
+folder (their number is bounded). A task leaves a hole for each other one; the
+distinct segments that a task's share of the texts lacks meet their ids by a
+join, and whoever fills the holes of that share reads its own few from the
+shared folder. The encoded rows themselves are written once and never move.
 """
 
 from __future__ import annotations
@@ -25,18 +33,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagloom.llm.common import Words, as_binary, mix, settle, shared_fs, shuffle_partitions, slices, windows_hash
+from flagloom.llm.common import Words, distinct_parts, parquet_batches, settle, shuffle_partitions, slices
 from flagloom.session import scratch_path
 
-#: Longest segment that is folded in Spark, in characters: a boundary set is one long.
-FOLDED = 62
-_HOLE = 0xFFFFFFFF
+#: Boundaries in one long.
+_BITS = 62
+#: Spark's own seed of xxhash64.
+_SEED = 42
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
 
@@ -65,6 +74,27 @@ class PieceModel:
         unknown = self.kinds.index(_UNKNOWN) if _UNKNOWN in self.kinds else 0
         return [found.get(b, unknown) for b in range(256)]
 
+    @property
+    def late(self) -> list[int]:
+        """Pieces of a BPE model that merging makes of their own text, but not by one pass over
+        the edges in their merges' order.
+
+        Where a text has no edge of such a piece, one pass makes all merges: the inside
+        of an edge that no merge crosses is as if alone, so if it has not become two
+        pieces by the edge's own place, something crossed it and it never will."""
+        table, out = self.table, []
+        for p, own in table.items():
+            n = len(p)
+            spans = sorted((-self.scores[table[p[i:j]]], i, j) for i in range(n) for j in range(i + 2, n + 1) if p[i:j] in table)
+            bounds = (1 << (n + 1)) - 1
+            for _, i, j in spans:
+                ends, inner = (1 << i) | (1 << j), (1 << j) - (1 << (i + 1))
+                if bounds & ends == ends and (bounds & inner).bit_count() == 1:
+                    bounds &= ~inner
+            if n > 1 and bounds != 1 | (1 << n) and merged(p, self) == [own]:
+                out.append(own)
+        return out
+
     @property
     def unknown_score(self) -> float:
         return min(s for s, k in zip(self.scores, self.kinds) if k == _NORMAL) - 10.0
@@ -137,20 +167,15 @@ def _prepared(text: Column) -> Column:
 
 
 def segment_counts(docs: DataFrame, text_col: str, model: PieceModel) -> DataFrame:
-    """``(segment, n)`` of all texts, without the segments too long to be folded.
-    Each slice of texts counts its own before the rows are grouped."""
+    """``(segment, n)`` of all texts. Each slice of texts counts its own before the rows are grouped."""
     cuts = model.cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_ready"):
-            found = _Segments(batch.column("_ready"), cuts)
-            _, first, n = np.unique(found.hashes(), return_index=True, return_counts=True)
-            raw = found.data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(found.start[first].tolist(), found.end[first].tolist())]
-            short = np.array([len(w) <= FOLDED for w in words], bool)
+            names, which = _Segments(batch.column("_ready"), cuts).dictionary()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w in words if len(w) <= FOLDED], pa.string()), pa.array(n[short], pa.int64())],
-                ["segment", "n"])
+                [pa.array(names, pa.binary()).cast(pa.string()),
+                 pa.array(np.bincount(which, minlength=len(names)).astype(np.int64))], ["segment", "n"])
 
     ready = docs.where(F.length(text_col) > 0).select(_prepared(F.col(text_col)).alias("_ready"))
     return ready.mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
@@ -162,146 +187,196 @@ def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
 
 
 def encode_segments(segments: DataFrame, model: PieceModel) -> DataFrame:
-    """``(segment, n, ids)`` for distinct ``segment`` rows of 1 to 62 characters."""
+    """``(segment, n, ids)`` for distinct ``segment`` rows of one character and more."""
     longest = max(map(len, model.table))
     size = F.length("segment")
     edges = (segments.select("segment", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
              .select("segment", "n", "i", F.explode(F.sequence(F.lit(1), F.least(size - F.col("i"), F.lit(longest)))).alias("k"))
-             .select("segment", "n", "i", (F.col("i") + F.col("k")).alias("j"),
-                     F.substring("segment", F.col("i") + 1, F.col("k")).alias("piece")))
+             .select("segment", "n", "i", "k", F.substring("segment", F.col("i") + 1, F.col("k")).alias("piece")))
     # bounded by the vocabulary, so it may be broadcast
-    pieces = F.broadcast(piece_table(segments.sparkSession, model))
-    known = F.col("id").isNotNull()
-    edges = (edges.join(pieces, "piece", "left").where(known | (F.col("j") - F.col("i") == 1))
-             .select("segment", "n", F.struct((-F.coalesce("score", F.lit(model.unknown_score))).alias("cost"),
-                                              "i", "j", "id").alias("edge")))
-    lattice = edges.groupBy("segment", "n").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    pieces = piece_table(segments.sparkSession, model)
+    found = F.col("id").isNotNull() | (F.col("k") == 1)
     byte_ids = F.array(*[F.lit(i) for i in model.byte_ids])
-    ids = _let(_masked(F.col("edges")), lambda found: (_viterbi_bounds if model.unigram else _merge_bounds)(
-        found, lambda bounds: _path_ids(found, bounds, byte_ids)))
+    if model.unigram:
+        edges = edges.join(F.broadcast(pieces), "piece", "left").where(found)
+        edge = F.struct((F.col("i") + F.col("k")).alias("j"), "i",
+                        (-F.coalesce("score", F.lit(model.unknown_score))).alias("cost"), "id")
+        lattice = edges.groupBy("segment", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+        return lattice.select("segment", "n", _viterbi_ids(F.col("edges"), byte_ids).alias("ids"))
+    # place in the merges' order, start, length and id (0: none) in one long, so that the edges sort by themselves
+    order = {c: r for r, c in enumerate(sorted({-model.scores[i] for i in model.table.values()}))}
+    widths = {"k": longest.bit_length(), "id": len(model.pieces).bit_length(), "place": len(order).bit_length()}
+    widths["i"] = 63 - sum(widths.values())
+    places = segments.sparkSession.createDataFrame(
+        [(p, i + 1, order[-model.scores[i]]) for p, i in model.table.items()], "piece string, id int, place int")
+    alone = F.col("k") == 1
+    packed = F.when(alone, F.lit(len(order))).otherwise(F.col("place")).cast("long")
+    for name in ("i", "k", "id"):
+        packed = F.call_function("shiftleft", packed, F.lit(widths[name])).bitwiseOR(F.coalesce(F.col(name), F.lit(0)).cast("long"))
+    edges = edges.join(F.broadcast(places), "piece", "left").where(found)
+    lattice = edges.groupBy("segment", "n").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
+    late = model.late
+    ids = F.when(size < _BITS, _merged_ids(F.col("edges"), widths, late, byte_ids, _OneLong)).otherwise(
+        _merged_ids(F.col("edges"), widths, late, byte_ids, _ManyLongs))
     return lattice.select("segment", "n", ids.alias("ids"))
 
 
-def _masked(edges: Column) -> Column:
-    """Edges with the bits of their two ends and of the boundaries between."""
-    return F.transform(edges, lambda e: F.struct(
-        e["cost"].alias("cost"), e["i"].alias("i"), e["j"].alias("j"), e["id"].alias("id"),
-        _bit(e["i"]).bitwiseOR(_bit(e["j"])).alias("ends"), (_bit(e["j"]) - _bit(e["i"] + 1)).alias("inner")))
-
-
 def _let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once: a lambda's variable is never
     expanded, as a column named in many places may be."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _path_ids(edges: Column, bounds: Column, byte_ids: Column) -> Column:
-    """Ids of the edges whose ends stand with nothing between them, in text
-    order; a character without a piece is spelled in bytes."""
-    def spelled(i: Column) -> Column:
-        raw = F.hex(F.encode(F.substring("segment", i + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.element_at(
-            byte_ids, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + 1))
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
-    path = F.filter(edges, lambda e: bounds.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"])
-    ordered = F.array_sort(F.transform(path, lambda e: F.struct(e["i"].alias("i"), e["id"].alias("id"))))
-    return F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled(e["i"]))))
 
+class _OneLong:
+    """Boundaries of a segment of fewer than 62 characters; an edge carries the bits of its ends and those between."""
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    @staticmethod
+    def edge(i: Column, j: Column) -> list[Column]:
+        return [_bit(i).bitwiseOR(_bit(j)).alias("ends"), (_bit(j) - _bit(i + 1)).alias("inner")]
 
+    @staticmethod
+    def all() -> Column:
+        return _bit(F.length("segment") + 1) - F.lit(1)
 
-def _merge_bounds(edges: Column, use) -> Column:
-    """``use`` of the boundaries left by BPE merges, as bits: every step merges at the edge of
-    least cost (ties: the leftmost) that spans exactly two standing pieces."""
-    size = F.length("segment")
-    spans = F.transform(F.filter(edges, lambda e: e["inner"] != 0),
-                        lambda e: F.struct(e["ends"].alias("ends"), e["inner"].alias("inner")))
+    @staticmethod
+    def stands(bounds: Column, e: Column, halves: bool) -> Column:
+        """Whether the edge's ends are boundaries, with one between them (``halves``) or none."""
+        if not halves:
+            return bounds.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"]
+        return (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
 
-    def fold(spans: Column) -> Column:
-        def merge(bounds: Column, _: Column) -> Column:
-            best = F.try_element_at(F.filter(spans, lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"])
-                                             & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)), F.lit(1))
-            return F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["inner"])), bounds)
+    @staticmethod
+    def cleared(bounds: Column, e: Column) -> Column:
+        return bounds.bitwiseAND(F.bitwise_not(e["inner"]))
 
-        # a merge takes one boundary and one edge
-        steps = F.slice(F.sequence(F.lit(1), size), 1, F.least(size - 1, F.size(spans)))
-        return F.aggregate(steps, _bit(size + 1) - F.lit(1), merge, use)
 
-    return _let(spans, fold)
+class _ManyLongs:
+    """The same for longer segments: 62 boundaries in each long of an array."""
 
+    @staticmethod
+    def edge(i: Column, j: Column) -> list[Column]:
+        return [i.cast("int").alias("low"), j.cast("int").alias("high")]
 
-def _viterbi_bounds(edges: Column, use) -> Column:
-    """``use`` of the boundaries of the path of least total cost, as bits. Ties
-    go to the longer last piece."""
-    start = F.struct(F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("bounds"))
+    @staticmethod
+    def all() -> Column:
+        last = F.length("segment") + 1
+        return F.transform(F.sequence(F.lit(0), F.floor((last - 1) / _BITS).cast("int")),
+                           lambda w: _bit(F.least(last - w * _BITS, F.lit(_BITS))) - F.lit(1))
 
-    def step(best: Column, j: Column) -> Column:
-        paths = F.transform(F.filter(edges, lambda e: e["j"] == j), lambda e: F.struct(
-            (F.element_at(best, e["i"] + 1)["cost"] + e["cost"]).alias("cost"), e["i"].alias("i"),
-            F.element_at(best, e["i"] + 1)["bounds"].bitwiseOR(_bit(j)).alias("bounds")))
-        return F.concat(best, F.transform(F.slice(F.array_sort(paths), 1, 1), lambda p: F.struct(
-            p["cost"].alias("cost"), p["bounds"].alias("bounds"))))
+    @staticmethod
+    def _between(word: Column, e: Column) -> Column:
+        """Bits of a word's boundaries strictly inside the edge."""
+        clamp = lambda x: F.greatest(F.least(x - word * _BITS, F.lit(_BITS)), F.lit(0))
+        return _bit(clamp(e["high"])) - _bit(clamp(e["low"] + 1))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length("segment")), F.array(start), step,
-                       lambda best: _let(F.element_at(best, -1)["bounds"], use))
+    @staticmethod
+    def stands(bounds: Column, e: Column, halves: bool) -> Column:
+        word = lambda p: F.floor(p / _BITS).cast("int")
+        has = lambda p: F.element_at(bounds, word(p) + 1).bitwiseAND(_bit(p % _BITS)) != 0
+        inside = lambda w: F.bit_count(F.element_at(bounds, w + 1).bitwiseAND(_ManyLongs._between(w, e)))
+        # a piece is shorter than a word has bits, so its inside lies in two words at most
+        count = inside(word(e["low"])) + F.when(word(e["high"]) > word(e["low"]), inside(word(e["high"]))).otherwise(0)
+        return has(e["low"]) & has(e["high"]) & (count == (1 if halves else 0))
 
+    @staticmethod
+    def cleared(bounds: Column, e: Column) -> Column:
+        return F.transform(bounds, lambda x, w: x.bitwiseAND(F.bitwise_not(_ManyLongs._between(w, e))))
 
-def encode_long(segment: str, model: PieceModel, table: dict[str, int]) -> list[int]:
-    """Ids of one segment of any length, by the rule of the model's fold."""
-    n, byte_ids = len(segment), model.byte_ids
 
-    def spelled(c: str) -> list[int]:
-        return [byte_ids[b] for b in c.encode()]
+def _merged_ids(packed: Column, widths: dict[str, int], late: list[int], byte_ids: Column, sets) -> Column:
+    """Ids left by BPE merges: a merge takes an edge that spans exactly two standing pieces, the first
+    by place in the merges' order (ties: the leftmost)."""
+    low = lambda x, name: x.bitwiseAND(F.lit((1 << widths[name]) - 1).cast("long")).cast("int")
+    down = lambda x, bits: F.shiftright(x, bits)
 
-    if model.unigram:
-        longest, best = max(map(len, table)), [(0.0, -1)]
-        for j in range(1, n + 1):
-            least = None
-            for i in range(max(0, j - longest), j):
-                k = table.get(segment[i:j])
-                if k is None and j - i > 1:
-                    continue
-                cost = best[i][0] - (model.scores[k] if k is not None else model.unknown_score)
-                if least is None or cost < least[0]:
-                    least = cost, i
-            best.append(least)
-        cuts, j = [n], n
-        while j:
-            j = best[j][1]
-            cuts.append(j)
-        cuts.reverse()
-    else:
-        after, before, alive, heap = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n:
-                k = table.get(segment[i:after[j]])
-                if k is not None:
-                    heapq.heappush(heap, (-model.scores[k], i, j, after[j]))
-
-        for i in range(n):
+    def opened(x: Column) -> Column:
+        i = low(down(x, widths["id"] + widths["k"]), "i")
+        k = low(down(x, widths["id"]), "k")
+        return F.struct(*sets.edge(i, i + k), k.alias("k"), i.alias("i"), low(x, "id").alias("id"))
+
+    def fold(edges: Column) -> Column:
+        spans = F.filter(edges, lambda e: e["k"] > 1)
+        def merge(bounds: Column, _: Column) -> Column:
+            best = F.slice(F.filter(spans, lambda e: sets.stands(bounds, e, True)), 1, 1)
+            return F.aggregate(best, bounds, sets.cleared)
+
+        bounds = F.aggregate(spans, sets.all(), lambda b, e: F.when(sets.stands(b, e, True), sets.cleared(b, e)).otherwise(b))
+        if late:
+            any_late = F.exists(spans, lambda e: e["id"].isin([i + 1 for i in late]))
+            bounds = F.when(any_late, F.aggregate(F.sequence(F.lit(1), F.length("segment")), sets.all(), merge)).otherwise(bounds)
+        return _let(bounds, lambda b: _spelled(F.array_sort(F.transform(
+            F.filter(edges, lambda e: sets.stands(b, e, False)),
+            lambda e: F.struct(e["i"].alias("i"), F.when(e["id"] > 0, e["id"] - 1).alias("id")))), byte_ids))
+
+    return _let(F.transform(packed, opened), fold)
+
+
+def _spelled(path: Column, byte_ids: Column) -> Column:
+    """Ids of a path of (i, id); a character without a piece is spelled in bytes."""
+    def spell(i: Column) -> Column:
+        raw = F.hex(F.encode(F.substring("segment", i + 1, F.lit(1)), "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.element_at(
+            byte_ids, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + 1))
+
+    return F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spell(e["i"]))))
+
+
+def _viterbi_ids(edges: Column, byte_ids: Column) -> Column:
+    """Ids of the path of least total cost; edges are sorted by end and start. Ties
+    go to the longer last piece."""
+    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("id"))
+
+    def step(best: Column, e: Column) -> Column:
+        path = F.struct((F.element_at(best, e["i"] + 1)["cost"] + e["cost"]).alias("cost"), e["i"].alias("i"), e["id"].alias("id"))
+        return (F.when(F.size(best) <= e["j"], F.concat(best, F.array(path)))
+                .when(path["cost"] < F.element_at(best, -1)["cost"],
+                      F.concat(F.slice(best, 1, F.size(best) - 1), F.array(path))).otherwise(best))
+
+    def back(best: Column) -> Column:
+        def walk(at: Column, j: Column) -> Column:
+            last = F.element_at(best, j + 1)
+            return F.when(at["j"] == j, F.struct(last["i"].alias("j"), F.concat(
+                F.array(F.struct(last["i"].alias("i"), last["id"].alias("id"))), at["path"]).alias("path"))).otherwise(at)
+
+        end = F.struct(F.length("segment").alias("j"), F.array().cast("array<struct<i:int,id:int>>").alias("path"))
+        return F.aggregate(F.sequence(F.length("segment"), F.lit(1)), end, walk, lambda at: at["path"])
+
+    return _spelled(_let(F.aggregate(edges, F.array(start), step), back), byte_ids)
+
+
+def merged(segment: str, model: PieceModel) -> list[int]:
+    """Ids of one text by BPE merges, each looked up when its halves come to stand; for
+    :attr:`PieceModel.late`."""
+    n, table = len(segment), model.table
+    after, before, alive, heap = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n:
+            k = table.get(segment[i:after[j]])
+            if k is not None:
+                heapq.heappush(heap, (-model.scores[k], i, j, after[j]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, j, end = heapq.heappop(heap)
+        if alive[i] and j < n and alive[j] and after[i] == j and after[j] == end:
+            alive[j] = False
+            after[i] = end
+            if end < n:
+                before[end] = i
             offer(i)
-        while heap:
-            _, i, j, end = heapq.heappop(heap)
-            if alive[i] and j < n and alive[j] and after[i] == j and after[j] == end:
-                alive[j] = False
-                after[i] = end
-                if end < n:
-                    before[end] = i
-                offer(i)
-                if before[i] >= 0:
-                    offer(before[i])
-        cuts, i = [0], 0
-        while i < n:
-            i = after[i]
-            cuts.append(i)
-    out: list[int] = []
-    for a, b in zip(cuts, cuts[1:]):
-        k = table.get(segment[a:b])
-        out.extend([k] if k is not None else spelled(segment[a:b]))
+            if before[i] >= 0:
+                offer(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(table.get(segment[i:after[i]], -1))
+        i = after[i]
     return out
 
 
@@ -322,39 +397,62 @@ class _Segments(Words):
         self.end = np.append(self.start[1:], size)
         self.first = np.searchsorted(self.start, self.offsets)
 
+    def dictionary(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct segments, and which of them each segment is; segments leave nothing out."""
+        if not len(self):
+            return [], np.zeros(0, np.int32)
+        bounds = np.append(self.start, len(self.data)).astype(np.int64)
+        return distinct_parts(bounds, self.data)
+
 
 _READ: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+_SHARE: dict[str, dict[str, np.ndarray]] = {}
 
 
 def _common_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes of the segments written at ``path``, where their ids begin
-    and how many there are, and the ids with a hole's mark after the last; a worker process keeps the last it read.
+    and how many there are, and the ids with a zero after the last; a worker process keeps the last it read.
 
     Read piece by piece: the Arrow form is many times the size of these arrays."""
     if path not in _READ:
         _READ.clear()
-        files, name = shared_fs(path)
-        hashes, each, values = [], [], [np.zeros(0, np.uint32)]
-        for info in sorted(files.get_file_info(pafs.FileSelector(name)), key=lambda f: f.path):
-            if info.base_name.endswith(".parquet"):
-                with files.open_input_file(info.path) as f:
-                    for batch in pq.ParquetFile(f).iter_batches(1 << 16, columns=["segment", "ids"]):
-                        text = as_binary(batch.column("segment"))
-                        o = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
-                        part = np.frombuffer(text.buffers()[2], np.uint8)[o[0]:o[-1]].astype(np.uint64) + np.uint64(1)
-                        hashes.append(mix(windows_hash(part, o[:-1] - o[0], o[1:] - o[0])))
-                        ids = batch.column("ids")
-                        each.append(np.diff(np.asarray(ids.offsets, dtype=np.int64)).astype(np.uint16))
-                        values.append(ids.flatten().to_numpy().astype(np.uint32))
-        hashes, each = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((hashes, np.uint64), (each, np.uint16)))
-        values = np.concatenate([*values, np.array([_HOLE], np.uint32)])
+        hashes, each, values = [], [], []
+        for batch in parquet_batches(path, ["hash", "ids"]):
+            hashes.append(batch.column("hash").to_numpy().view(np.uint64))
+            ids = batch.column("ids")
+            each.append(np.diff(np.asarray(ids.offsets, dtype=np.int64)).astype(np.uint32))
+            values.append(ids.flatten().to_numpy().astype(np.uint32))
+        hashes, each, values = (np.concatenate([np.zeros(0, t), *x]) for x, t in
+                                ((hashes, np.uint64), (each, np.uint32), (values, np.uint32)))
         order = np.argsort(hashes)
         begins = np.cumsum(each, dtype=np.int64) - each
-        _READ[path] = hashes[order], begins[order].astype(np.uint32), each[order], values
+        _READ[path] = hashes[order], begins[order], each[order], np.append(values, np.uint32(0))
         pa.default_memory_pool().release_unused()
     return _READ[path]
 
 
+def _share_table(path: str) -> dict[str, np.ndarray]:
+    """Ids of the segments of one share of the texts; a worker process keeps the last it read."""
+    if path not in _SHARE:
+        _SHARE.clear()
+        _SHARE[path] = {w: np.array(x, np.uint32) for batch in parquet_batches(path, ["segment", "ids"])
+                        for w, x in zip(batch.column("segment").to_pylist(), batch.column("ids").to_pylist())}
+    return _SHARE[path]
+
+
+def _common_segments(book: DataFrame, most: int) -> Column:
+    """Which rows of the book are common: those of the greatest counts, ``most`` at most."""
+    steps = (book.groupBy(F.floor(F.log2("n") * 4).alias("step"))
+             .agg(F.count("*").alias("segments"), F.min("n").alias("least")).orderBy(F.desc("step")).collect())
+    least, total = 1 << 62, 0
+    for s in steps:  # a few dozen rows: quarters of a doubling of the count
+        total += s["segments"]
+        if total > most:
+            break
+        least = s["least"]
+    return F.col("n") >= least
+
+
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
            common_segments: int = 1 << 20) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_tokens``, ``ids`` and ``lossless``
@@ -362,122 +460,91 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
 
     ``common_segments`` bounds the segments that every task holds. A null or empty
     text has no ids (lossless: null, true); the mark U+2581 in a text decodes as
-    a space; characters without a piece are spelled in bytes. Segments of more
-    than 62 characters take the same rule inside the task. Repeated rows give
-    repeated results, no rows none; other columns are ignored.
+    a space; characters without a piece are spelled in bytes. Segments of any
+    length go through the lattice. Repeated rows give repeated results, no rows
+    none; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
-                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("_tag"))
-    counted = segment_counts(rows, "_text", model)
-    book = settle(encode_segments(counted, model), "piece-segments")
-    steps = (book.groupBy(F.floor(F.log2("n") * 4).alias("step"))
-             .agg(F.count("*").alias("segments"), F.min("n").alias("least")).orderBy(F.desc("step")).collect())
-    least, total = None, 0
-    for s in steps:  # a few dozen rows: quarters of a doubling of the count
-        total += s["segments"]
-        if total > common_segments:
-            break
-        least = s["least"]
-    often = F.col("n") >= (least if least is not None else (1 << 62))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    book = settle(encode_segments(segment_counts(rows, "_text", model), model), "piece-segments")
+    often = _common_segments(book, common_segments)
     # every task reads this bounded table from the shared folder; it never passes the driver
-    common = scratch_path(spark, "piece-common")
-    book.where(often).select("segment", "ids").write.parquet(common)
-    table, cuts = model.table, model.cuts
-    longer = spark.sparkContext.broadcast((model, table))
+    common, shares = scratch_path(spark, "piece-common"), scratch_path(spark, "piece-shares")
+    book.where(often).select(F.xxhash64("segment").alias("hash"), "ids").write.parquet(common)
+    cuts = model.cuts
+    width = np.uint16 if len(model.pieces) < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, begin_of, count_of, store = _common_table(common)
-        own, pieces = longer.value
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze, share = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
         for batch in slices(batches, "_ready"):
             found = _Segments(batch.column("_ready"), cuts)
-            rare: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            extra: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            packed = []
-            which, example, place = np.unique(found.hashes(),
-                                              return_index=True, return_inverse=True)
+            names, place = found.dictionary()
+            which = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in names], np.uint64)
             at = np.minimum(np.searchsorted(hashes, which), max(len(hashes) - 1, 0))
             hit = hashes[at] == which if len(hashes) else np.zeros(len(which), bool)
-            first = np.full(len(which), len(store) - 1, np.int64)
-            count = np.ones(len(which), np.int64)
+            first, count = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
             first[hit], count[hit] = begin_of[at[hit]], count_of[at[hit]]
-            count, first = count[place], first[place]
+            count, first, missing = count[place], first[place], ~hit[place]
             begins = np.concatenate(([0], np.cumsum(count)))
-            tokens = store[np.repeat(first - begins[:-1], count) + np.arange(begins[-1])]
-            for s in np.flatnonzero(~hit[place]):
-                text = found.data[found.start[s]:found.end[s]].tobytes().decode()
-                doc = int(np.searchsorted(found.first, s, side="right")) - 1
-                rare[doc].append(text if len(text) <= FOLDED else "")
-                if len(text) > FOLDED:
-                    ids = encode_long(text, own, pieces)
-                    extra[doc].append(len(ids))
-                    extra[doc].extend(ids)
-            for a, b in zip(found.first[:-1], found.first[1:]):
-                packed.append(squeeze.compress(tokens[begins[a]:begins[b]].astype(np.uint32).tobytes()))
+            tokens = store[np.repeat(first - begins[:-1], count) + np.arange(begins[-1])].astype(width)
+            texts = [w.decode() for w in names]
+            packed, holes, rare = [], [], []
+            for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
+                packed.append(squeeze.compress(tokens[begins[a]:begins[b]].tobytes()))
+                gone = a + np.flatnonzero(missing[a:b])
+                # where ids are left out, as a number of the ids kept before
+                holes.append((begins[gone] - begins[a]).astype(np.int32))
+                rare.append([texts[x] for x in place[gone].tolist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_tag"), pa.array(packed, pa.binary()),
-                 pa.array(rare, pa.list_(pa.string())), pa.array(extra, pa.list_(pa.int32())),
-                 batch.column("_sum")], ["_id", "_tag", "_ids", "_rare", "_long", "_sum"])
+                [batch.column("_id"), pa.array([share] * batch.num_rows, pa.int32()), pa.array(packed, pa.binary()),
+                 pa.array(holes, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string())),
+                 batch.column("_sum")], ["_id", "_share", "_ids", "_holes", "_rare", "_sum"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    sent = (rows.withColumn("_ready", F.coalesce(_prepared(F.col("_text")), F.lit("")))
-            .withColumn("_sum", F.xxhash64("_text")).where("_text IS NOT NULL")
-            .drop("_text").mapInArrow(run, f"_id {kind}, _tag long, _ids binary, _rare array<string>, _long array<int>, _sum long"))
-    placed = sent.repartition(shuffle_partitions(spark), "_tag")
-
-    def rare_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(t, w) for t, ws in zip(batch.column("_tag").to_pylist(), batch.column("_rare").to_pylist())
-                     for w in set(ws) if w]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int64()),
-                                              pa.array([w for _, w in found], pa.string())], ["_tag", "segment"])
-
-    # takes every column of ``placed``, so that its shuffle is made once and read twice
-    wanted = placed.mapInArrow(rare_segments, "_tag long, segment string")
-    fetched = (wanted.join(book.where(~often).select("segment", "ids"), "segment")
-               .groupBy("_tag").agg(F.collect_list(F.struct("segment", "ids")).alias("_found")))
-    names = list(model.pieces)
-    texts = [bytes([int(p[3:5], 16)]) if k == _BYTE else p.encode() if k in (_NORMAL, _USER) else
-             " ⁇ ".encode() if k == _UNKNOWN else b"" for p, k in zip(names, model.kinds)]
-    spelling = spark.sparkContext.broadcast(texts)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        words = spelling.value
+    sent = settle(rows.where("_text IS NOT NULL")
+                  .select("_id", _prepared(F.col("_text")).alias("_ready"), F.xxhash64("_text").alias("_sum"))
+                  .mapInArrow(run, f"_id {kind}, _share int, _ids binary, _holes array<int>, _rare array<string>, _sum long"),
+                  "piece-rows")
+    # a share is what one task encoded: no more than its texts' own segments
+    (sent.select("_share", F.explode("_rare").alias("segment")).distinct()
+     .join(book.where(~often).select("segment", "ids"), "segment")
+     .repartition(shuffle_partitions(spark), "_share").write.partitionBy("_share").parquet(shares))
+    spelling = spark.sparkContext.broadcast(_spellings(model))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, words = zstandard.ZstdDecompressor(), spelling.value
         for batch in slices(batches, "_ids"):
-            out, sums = [], []
-            for packed, rare, more, found in zip(*(batch.column(c) for c in ("_ids", "_rare", "_long", "_found"))):
-                ids = np.frombuffer(expand.decompress(packed.as_py()), np.uint32)
+            out, same = [], []
+            for share, packed, holes, rare, total in zip(*(batch.column(c) for c in ("_share", "_ids", "_holes", "_rare", "_sum"))):
+                ids = np.frombuffer(expand.decompress(packed.as_py()), width).astype(np.int32)
                 rare = rare.as_py()
                 if rare:
-                    book_of = {x["segment"]: x["ids"] for x in found.as_py() or ()}
-                    longs, parts, begin = iter(more.as_py()), [], 0
-                    for hole, text in zip(np.flatnonzero(ids == _HOLE).tolist(), rare):
-                        parts.append(ids[begin:hole])
-                        if text == "":
-                            have = [next(longs) for _ in range(next(longs))]
-                        else:  # two segments of one hash in a slice would leave one out of the book
-                            have = book_of.get(text) or encode_long(text, *longer.value)
-                        parts.append(np.array(have, np.uint32))
-                        begin = hole + 1
-                    ids = np.concatenate([*parts, ids[begin:]])
+                    own = _share_table(f"{shares}/_share={share.as_py()}")
+                    parts, begin = [], 0
+                    for hole, text in zip(holes.as_py(), rare):
+                        parts.extend((ids[begin:hole], own[text]))
+                        begin = hole
+                    ids = np.concatenate([*parts, ids[begin:]]).astype(np.int32)
                 out.append(ids)
-                sums.append(_decode_bytes(ids, words).decode("utf-8", "replace"))
+                decoded = _decode_bytes(ids, words).decode("utf-8", "replace").encode()
+                same.append(xxhash.xxh64_intdigest(decoded, _SEED) == total.as_py() & ((1 << 64) - 1))
             lengths = np.array([len(x) for x in out])
-            flat = pa.array(np.concatenate(out).astype(np.int32) if out else [], pa.int32())
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(lengths.astype(np.int64)), ids,
-                                              pa.array(sums, pa.string()), batch.column("_sum")],
-                                             ["_id", "n_tokens", "ids", "_decoded", "_sum"])
+                                              pa.array(same, pa.bool_())], ["_id", "n_tokens", "ids", "lossless"])
 
-    done = (placed.join(fetched, "_tag", "left").select("_id", "_ids", "_rare", "_long", "_found", "_sum")
-            .mapInArrow(merge, f"_id {kind}, n_tokens long, ids array<int>, _decoded string, _sum long"))
+    done = sent.mapInArrow(fill, f"_id {kind}, n_tokens long, ids array<int>, lossless boolean")
     empty = rows.where("_text IS NULL").select(
         F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("ids"),
         F.lit(None).cast("boolean").alias("lossless"))
-    return (done.select(F.col("_id").alias(id_col), "n_tokens", "ids",
-                        (F.xxhash64("_decoded") == F.col("_sum")).alias("lossless")).unionByName(empty))
+    return done.select(F.col("_id").alias(id_col), "n_tokens", "ids", "lossless").unionByName(empty)
+
+
+def _spellings(model: PieceModel) -> list[bytes]:
+    return [bytes([int(p[3:5], 16)]) if k == _BYTE else p.encode() if k in (_NORMAL, _USER) else
+            " ⁇ ".encode() if k == _UNKNOWN else b"" for p, k in zip(model.pieces, model.kinds)]
 
 
 def _decode_bytes(ids: np.ndarray, words: list[bytes]) -> bytes:
@@ -489,9 +556,7 @@ def decode(encoded: DataFrame, model: PieceModel, ids_col: str = "ids", to_col:
     replaced). A null list gives null, an empty one the empty text; an id out of
     the table is an error; broken byte runs become U+FFFD."""
     names = [c for c in encoded.columns if c != to_col]
-    texts = encoded.sparkSession.sparkContext.broadcast(
-        [bytes([int(p[3:5], 16)]) if k == _BYTE else p.encode() if k in (_NORMAL, _USER) else
-         " ⁇ ".encode() if k == _UNKNOWN else b"" for p, k in zip(model.pieces, model.kinds)])
+    texts = encoded.sparkSession.sparkContext.broadcast(_spellings(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

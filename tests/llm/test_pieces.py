@@ -30,6 +30,7 @@ def texts():
     words = ["the", "antidisestablishment", "é", "漢字", "😀", "naïve", "x", "...", "\r\n", "\t", "a1b2", "  ", "▁"]
     rows = [(1, None), (2, ""), (3, " "), (4, "\n"), (5, "  lead and trail  "), (5, "same id"), (6, "a" * 400 + " b"),
             (7, "é" * 100 + "\x00\x7f;\r"), (None, "no id"), (8, "no id"), (9, " " * 90)]
+    rows += [(400 + n, "a" + " " * n + "b" + " " * n) for n in (15, 16, 17, 32, 40)]
     rows += [(20 + i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 60)))) for i in range(40)]
     return rows + [(99, "long words here, again and again. " * 4000)]
 
@@ -84,34 +85,88 @@ def test_viterbi_takes_the_greatest_total(spark):
         assert "".join(parts) == r["segment"]
         best = min(cost(p, model) for p in segmentations(r["segment"], table))
         assert cost(parts, model) == pytest.approx(best)
-        long = [model.pieces[i] for i in pieces.encode_long(r["segment"], model, table)]
-        assert cost([chr(spelled[p]) if p in spelled else p for p in long], model) == pytest.approx(best)
+
+
+def test_viterbi_of_long_segments(spark):
+    model = toy()
+    table, rng = model.table, random.Random(6)
+    segments = ["".join(rng.choice("abcx") for _ in range(n)) for n in (61, 62, 63, 300)]
+    spelled = {f"<0x{b:02X}>": b for b in range(256)}
+    df = spark.createDataFrame([(s, 1) for s in segments], "segment string, n long")
+    for r in pieces.encode_segments(df, model).collect():
+        s, best = r["segment"], [0.0]
+        for j in range(1, len(s) + 1):
+            best.append(min(best[i] + cost([s[i:j]], model) for i in range(max(0, j - 5), j) if s[i:j] in table or j - i == 1))
+        parts = [chr(spelled[p]) if p in spelled else p for p in (model.pieces[i] for i in r["ids"])]
+        assert "".join(parts) == s and cost(parts, model) == pytest.approx(best[-1])
+
+
+def pair_by_pair(segment, model):
+    table, parts = model.table, list(segment)
+    while True:
+        pairs = [(-model.scores[table[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in table]
+        if not pairs:
+            return [i for p in parts for i in ([table[p]] if p in table else [model.byte_ids[x] for x in p.encode()])]
+        _, i = min(pairs)
+        parts[i:i + 2] = ["".join(parts[i:i + 2])]
 
 
 def test_merges_match_pair_by_pair_restatement(spark):
-    model = toy(unigram=False)
-    table, rng = model.table, random.Random(2)
-    segments = {"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 20))) for _ in range(150)}
+    model, rng = toy(unigram=False), random.Random(2)
+    assert model.late  # pieces of any order: each merge is looked for anew where one of these is
+    segments = {"".join(rng.choice("abc é") for _ in range(rng.randrange(1, 20))) for _ in range(150)}
+    segments |= {"".join(rng.choice("abc") for _ in range(n)) for n in (60, 61, 62, 63, 64, 130)}
+    df = spark.createDataFrame([(s, 1) for s in segments], "segment string, n long")
+    for r in pieces.encode_segments(df, model).collect():
+        assert list(r["ids"]) == pair_by_pair(r["segment"], model), r["segment"]
+
+
+def learned(seed):
+    """A BPE model whose pieces are merges in the order in which they were learned."""
+    rng = random.Random(seed)
+    words = [list(" " + "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))) for _ in range(60)]
+    merges = []
+    for _ in range(25):
+        pairs = sorted((a + b) for w in words for a, b in zip(w, w[1:]) if a + b not in merges)
+        if not pairs:
+            break
+        best = max(set(pairs), key=lambda p: (pairs.count(p), p))
+        merges.append(best)
+        for w in words:
+            i = 0
+            while i + 1 < len(w):
+                if w[i] + w[i + 1] == best:
+                    w[i:i + 2] = [best]
+                i += 1
+    names = ["<unk>"] + [f"<0x{b:02X}>" for b in range(256)] + list(" abcd") + merges
+    scores = [0.0] * 257 + [-1000.0 - i for i in range(5)] + [-float(i) for i in range(len(merges))]
+    return pieces.PieceModel(names, scores, [2] + [6] * 256 + [1] * (len(names) - 257), False)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_pass_merges_as_pair_by_pair(spark, seed):
+    model, rng = learned(seed), random.Random(seed)
+    assert not model.late
+    segments = {" " + "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 30))) for _ in range(120)}
+    segments |= {"".join(rng.choice("abcd") for _ in range(n)) for n in (61, 62, 63, 124, 125, 700)}
     df = spark.createDataFrame([(s, 1) for s in segments], "segment string, n long")
     for r in pieces.encode_segments(df, model).collect():
-        parts = list(r["segment"])
-        while True:
-            pairs = [(-model.scores[table[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in table]
-            if not pairs:
-                break
-            _, i = min(pairs)
-            parts[i:i + 2] = ["".join(parts[i:i + 2])]
-        want = [table[p] if p in table else model.byte_ids[ord(p)] for p in parts]
-        assert list(r["ids"]) == want == pieces.encode_long(r["segment"], model, table)
+        assert list(r["ids"]) == pair_by_pair(r["segment"], model), r["segment"]
+
+
+def test_late_pieces_of_the_public_model(bpe):
+    assert bpe.late == [bpe.table[" " * 16]]
+    assert pieces.merged(" the", bpe) == [bpe.table[" the"]]
 
 
 def test_no_segment_is_crossed(spark, bpe):
     rows = [(i, t) for i, t in texts() if t]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for r in pieces.segment_counts(df, "text", bpe).collect():
-        s = r["segment"]
-        assert len(s) <= pieces.FOLDED and " " not in s.lstrip(" ")
-        assert len(s) == 1 or not any(ord(c) in bpe.cuts for c in s)
+    counts = {r["segment"]: r["n"] for r in pieces.segment_counts(df, "text", bpe).collect()}
+    for s in counts:
+        assert " " not in s.lstrip(" ") and (len(s) == 1 or not any(ord(c) in bpe.cuts for c in s))
+    assert sum(len(s) * n for s, n in counts.items()) == sum(len(t) + 1 for _, t in rows)
+    assert max(map(len, counts)) > 400
 
 
 def test_other_models_are_refused():
