@@ -9,31 +9,38 @@ around a hit are compared by 96-bit hashes, and runs of equal windows are the
 maximal exact repeats. A window's words go if the same words also start a
 window in a document with a smaller id.
 
-Probes travel packed, a few bytes each, to hash buckets (as many as the
-session has shuffle partitions); a bucket is a pair of sorted arrays in one
-task. A passage of a third of all documents fills one entry per document and
-position, which is at most the share of one position among a document's words.
-The anchor probe may hit by chance (32 bits within a bucket): the window
-comparison decides.
+The rows are dealt to shares of a bounded number of bytes and written once;
+neither texts nor positions move after that. A share sends each of its
+distinct runs once, however often it has it, packed to a few bytes, to hash
+buckets, and gets back those that are hits; it then sends each distinct window
+around its hits once, with the least and greatest id it has it in, and gets
+back the least id of all where that outranks one of its own. So a passage of a
+third of all documents is one entry a share, and a bucket holds a few million
+distinct entries: the buckets' number follows the bytes of the texts. The
+anchor probe may hit by chance (32 bits within a bucket): the window comparison
+decides.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from flagloom.llm.common import Words, shuffle_partitions, slices, windows_hash, mix
+from flagloom.llm.common import Words, mix, parquet_batches, shuffle_partitions, slices, windows_hash
+from flagloom.session import scratch_path
 
 _FLUSH = 2 << 20
 _LAST = np.iinfo(np.int64).max
-_PACKED = T.StructType([T.StructField("bucket", T.IntegerType())]
-                       + [T.StructField(c, T.BinaryType()) for c in ("key", "more", "pos", "docs", "runs")])
+#: Bytes of text in a share, and in the runs of a bucket, on average.
+_SHARE_BYTES, _BUCKET_BYTES = 32 << 20, 32 << 20
+_RUNS = "bucket int, share int, key binary, marks binary"
+_WINDOWS = "bucket int, share int, key binary, more binary, low binary, high binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -46,67 +53,6 @@ def _unplanes(b: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
-class _Packer:
-    """Gathers (hash, document, position) entries and emits one row per bucket and flush."""
-
-    def __init__(self, buckets: int, wide: bool):
-        self.buckets, self.wide, self.size, self.docs = buckets, wide, 0, 0
-        self.parts: list[tuple] = []
-
-    def add(self, key: np.ndarray, more: np.ndarray, who: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bool:
-        """``who`` is an (n, 2) array of (tag, id); ``doc`` says which each entry is of, in order."""
-        if len(key):
-            self.parts.append((key, more, who, doc.astype(np.uint32) + np.uint32(self.docs), pos.astype(np.uint32)))
-            self.size += len(key)
-            self.docs += len(who)
-        return self.size >= _FLUSH
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        key, more, who, doc, pos = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts, self.size, self.docs = [], 0, 0
-        at = ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(
-            np.uint16 if self.buckets <= 65536 else np.uint32)
-        order = np.argsort(at, kind="stable")
-        ends = np.cumsum(np.bincount(at, minlength=self.buckets)).tolist()
-        rows, begin = [], 0
-        for bucket, end in enumerate(ends):
-            if end > begin:
-                pick = order[begin:end]
-                begin = end
-                of = doc[pick]
-                new = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                docs = who[of[new]]
-                runs = np.diff(np.append(new, len(pick))).astype(np.uint32)
-                k = key[pick]
-                rows.append((bucket, (k if self.wide else k.astype(np.uint32)).tobytes(),
-                             more[pick].tobytes() if self.wide else b"",
-                             _planes(pos[pick]), _planes(docs if self.wide else docs[:, 0].copy()), _planes(runs)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))],
-            _PACKED.names)
-
-
-def _unpack(table: pa.Table, wide: bool):
-    """Entries of a bucket: key, more, document number, position, and the documents."""
-    key, more, pos, who, runs = [], [], [], [], []
-    for r in table.select(_PACKED.names[1:]).to_pylist():
-        key.append(np.frombuffer(r["key"], np.uint64 if wide else np.uint32))
-        more.append(np.frombuffer(r["more"], np.uint32))
-        pos.append(_unplanes(r["pos"], "u4"))
-        d = _unplanes(r["docs"], "i8") if not wide else _unplanes_pairs(r["docs"])
-        who.append(d)
-        runs.append(_unplanes(r["runs"], "u4"))
-    who = np.concatenate(who)
-    number = np.repeat(np.arange(len(who), dtype=np.uint32), np.concatenate(runs))
-    return np.concatenate(key), np.concatenate(more), number, np.concatenate(pos), who
-
-
-def _unplanes_pairs(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(16, -1).T).view("i8").reshape(-1, 2)
-
-
 def _group_starts(*keys: np.ndarray) -> np.ndarray:
     new = np.zeros(len(keys[0]), bool)
     new[:1] = True
@@ -115,150 +61,241 @@ def _group_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _batch_docs(batch: pa.RecordBatch) -> np.ndarray:
-    tag = batch.column("_tag").to_numpy(zero_copy_only=False)
-    ident = batch.column("_id").cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
-    return np.stack([tag, ident], axis=1)
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _probes(window: int, buckets: int):
-    block = window // 2
+def _by_bucket(at: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(bucket, its entries) of entries in the order of their buckets."""
+    cuts = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at)).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(at[a]), slice(a, b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = _Packer(buckets, wide=False)
-        for batch in slices(batches, "_text"):
-            words, who = Words(batch.column("_text")), _batch_docs(batch)
-            counts = np.diff(words.first)
-            many = np.where(counts >= window, counts - block + 1, 0)
-            doc = np.repeat(np.arange(len(counts)), many)
-            pos = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-            start = words.first[doc] + pos
-            key = mix(windows_hash(words.identities(), start, start + block))
-            if pack.add(key, np.zeros(len(key), np.uint8), who, doc, pos):
-                yield from pack.flush()
-        yield from pack.flush()
 
-    return run
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(zip(*rows) if rows else [()] * len(names), types)],
+                                      list(names))
 
 
-def _anchor_hits(window: int):
-    block = window // 2
+def _idents(batch: pa.RecordBatch) -> np.ndarray:
+    """Ids as numbers; a null one is larger than all."""
+    return batch.column("_id").cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
-    def run(table: pa.Table) -> pa.Table:
-        key, _, number, pos, who = _unpack(table, wide=False)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        starts = _group_starts(key)
-        tag = who[number[order]]
-        some = np.maximum.reduceat(pos[order] % block == 0, starts)
-        hit = some & (np.minimum.reduceat(tag, starts) != np.maximum.reduceat(tag, starts))
-        pick = order[np.repeat(hit, np.diff(np.append(starts, len(key))))]
-        return pa.table({"_tag": who[number[pick]], "_at": pos[pick].astype(np.int32)})
 
-    return run
+def _by_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of one share each."""
+    for batch in batches:
+        share = batch.column("_share").to_numpy(zero_copy_only=False)
+        for _, part in _by_bucket(share):
+            yield batch.slice(part.start, part.stop - part.start)
 
 
-def _windows(window: int, buckets: int):
+def _block_runs(words: Words, window: int, identities: np.ndarray):
+    """Text, position and key of every block-length run of texts that have a window."""
     block = window // 2
+    counts = np.diff(words.first)
+    many = np.where(counts >= window, counts - block + 1, 0)
+    doc = np.repeat(np.arange(len(counts)), many)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    start = words.first[doc] + pos
+    return doc, pos, mix(windows_hash(identities, start, start + block))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = _Packer(buckets, wide=True)
-        for batch in slices(batches, "_text"):
-            words, who = Words(batch.column("_text")), _batch_docs(batch)
-            hits = batch.column("_hits")
-            hits = hits.slice(0)  # offsets below are those of this slice
-            at = hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            each = np.diff(np.asarray(hits.offsets, dtype=np.int64))
-            doc = np.repeat(np.arange(len(each)), each)
-            edge = np.zeros(len(words) + 2, np.int64)
-            low = words.first[doc] + np.maximum(at + block - window, 0)
-            high = np.minimum(words.first[doc] + at, words.first[doc + 1] - window)
-            ok = low <= high
-            np.add.at(edge, low[ok], 1)
-            np.add.at(edge, high[ok] + 1, -1)
-            start = np.flatnonzero(np.cumsum(edge) > 0)
-            doc = np.searchsorted(words.first, start, side="right") - 1
-            base = words.identities()
-            key = mix(windows_hash(base, start, start + window))
-            more = mix(windows_hash(words.identities(1), start, start + window, 1)).astype(np.uint32)
-            if pack.add(key, more, who, doc, start - words.first[doc]):
-                yield from pack.flush()
-        yield from pack.flush()
-
-    return run
-
-
-def _repeated(parts: int):
-    """Windows whose words also start in a document with a smaller id, packed
-    for the ``parts`` parts that the documents' tags are dealt to."""
 
-    def run(table: pa.Table) -> pa.Table:
-        key, more, number, pos, who = _unpack(table, wide=True)
-        order = np.lexsort((more, key))
-        starts = _group_starts(key[order], more[order])
-        ident = who[number[order], 1]
-        least = np.repeat(np.minimum.reduceat(ident, starts), np.diff(np.append(starts, len(order))))
-        pick = order[ident > least]
-        tag, at = who[number[pick], 0], pos[pick]
-        part = tag % parts
-        order = np.lexsort((at, tag, part))
-        part, tag, at = part[order], tag[order], at[order]
-        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
-        rows = []
-        for a, b in zip(cuts, cuts[1:]):
-            new = _group_starts(tag[a:b])
-            runs = np.diff(np.append(new, b - a)).astype(np.uint32)
-            rows.append((int(part[a]), _planes(tag[a:b][new]), _planes(runs), _planes(at[a:b])))
-        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 4, _GONE_TYPES)], _GONE)
+class _Gathered:
+    """Entries of one share until they are sent: arrays side by side."""
 
-    return run
+    def __init__(self):
+        self.parts, self.size, self.share = [], 0, None
 
+    def add(self, *arrays: np.ndarray) -> bool:
+        self.parts.append(arrays)
+        self.size += len(arrays[0])
+        return self.size >= _FLUSH
 
-_GONE = ["part", "tags", "runs", "starts"]
-_GONE_TYPES = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate(c) for c in zip(*self.parts)]
+        self.parts, self.size = [], 0
+        return out
 
 
-def _gathered(window: int):
-    """One row per document: the removed stretches of words as (first, end) pairs."""
+def _sent(window: int, buckets: int, entries, packed, schema: str):
+    """One row per bucket and flush with a share's entries: ``entries(batch)`` gives a batch's,
+    ``packed(share, arrays)`` the rows of a flush."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.select(_GONE[1:]).to_pylist()
-        runs = np.concatenate([_unplanes(r["runs"], "u4") for r in rows])
-        tag = np.repeat(np.concatenate([_unplanes(r["tags"], "i8") for r in rows]), runs)
-        at = np.concatenate([_unplanes(r["starts"], "u4") for r in rows]).astype(np.int64)
-        order = np.lexsort((at, tag))
-        tag, at = tag[order], at[order]
-        docs = _group_starts(tag)
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + window)
-        first = np.flatnonzero(fresh)
-        pairs = np.stack([at[first], at[np.append(first[1:], len(at)) - 1] + window], axis=1).astype(np.uint32)
-        cuts = np.append(np.searchsorted(first, docs), len(first))
-        return pa.table({"_tag": tag[docs], "_gone": pa.array([pairs[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
-                                                              pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Gathered()
+        for batch in slices(_by_share(batches), "_text"):
+            share = batch.column("_share")[0].as_py()
+            if held.size and held.share != share:
+                yield _batch(packed(held.share, *held.take()), schema)
+            held.share = share
+            found = entries(batch, share)
+            if len(found[0]) and held.add(*found):
+                yield _batch(packed(share, *held.take()), schema)
+        if held.size:
+            yield _batch(packed(held.share, *held.take()), schema)
 
     return run
 
 
-def _cut(keep: list[str]):
+def _runs(window: int, buckets: int):
+    """Every distinct run of a flush: key and two marks: whether it is a reference block somewhere, and
+    whether several documents of the flush have it (a document is never in two flushes)."""
+    block, numbers = window // 2, count()
+
+    def entries(batch: pa.RecordBatch, share: int):
+        words = Words(batch.column("_text"))
+        doc, pos, key = _block_runs(words, window, words.identities())
+        own = next(numbers) * np.int64(1 << 32) + doc  # tells the documents of a task apart
+        return key, own, (pos % block == 0).astype(np.uint8)
+
+    def packed(share: int, key, own, marks) -> list[tuple]:
+        order = np.argsort(key)
+        starts = _group_starts(key[order])
+        own, marks = own[order], np.maximum.reduceat(marks[order], starts)
+        marks |= (np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)).astype(np.uint8) << 1
+        key = key[order][starts]
+        at = _bucket(key, buckets)  # in the order of the keys
+        return [(bucket, share, key[x].astype(np.uint32).tobytes(),
+                 np.packbits(np.stack([marks[x] & 1, marks[x] >> 1])).tobytes()) for bucket, x in _by_bucket(at)]
+
+    return _sent(window, buckets, entries, packed, _RUNS)
+
+
+def _hits(table: pa.Table) -> pa.Table:
+    """The runs of a bucket that are a reference block of one document and occur in another, for every share that has them."""
+    rows = table.to_pylist()
+    key = [np.frombuffer(r["key"], np.uint32) for r in rows]
+    sizes = [len(k) for k in key]
+    marks = [np.unpackbits(np.frombuffer(r["marks"], np.uint8), count=2 * n).reshape(2, n) for r, n in zip(rows, sizes)]
+    key = np.concatenate(key)
+    aligned, several = np.concatenate(marks, axis=1)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(key, kind="stable")
+    starts = _group_starts(key[order])
+    times = np.diff(np.append(starts, len(key)))
+    hit = np.maximum.reduceat(aligned[order], starts).astype(bool)
+    hit &= (times > 1) | np.maximum.reduceat(several[order], starts).astype(bool)
+    pick = order[np.repeat(hit, times)]
+    share = np.array([r["share"] for r in rows], np.int32)[row[pick]]
+    pick = pick[np.argsort(share, kind="stable")]
+    share = np.sort(share)
+    high = np.uint64(rows[0]["bucket"])
+    return pa.Table.from_batches([_batch([(s, (high << np.uint64(32) | np.unique(key[pick[x]]).astype(np.uint64)).tobytes())
+                                          for s, x in _by_bucket(share)], "_share int, key binary")])
+
+
+_HELD: dict[tuple, tuple] = {}
+
+
+def _answers(path: str, share: int, columns: list[str], dtypes: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """What came back for a share, sorted by its first column; a worker process keeps the last it read of each kind."""
+    at, kind = f"{path}/_share={share}", tuple(columns)
+    if _HELD.get(kind, ("",))[0] != at:
+        parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in dtypes]
+        for batch in parquet_batches(at, columns):
+            for have, c, t in zip(parts, columns, dtypes):
+                have.extend(np.frombuffer(x, t) for x in batch.column(c).to_pylist())
+        arrays = [np.concatenate(x) for x in parts]
+        order = np.argsort(arrays[0], kind="stable")
+        _HELD[kind] = at, tuple(x[order] for x in arrays)
+    return _HELD[kind][1]
+
+
+def _near_hits(batch: pa.RecordBatch, share: int, words: Words, window: int, buckets: int, path: str):
+    """Start, text and both hashes of every window that holds a run that is a hit."""
+    block, base = window // 2, words.identities()
+    doc, pos, key = _block_runs(words, window, base)
+    (hits,) = _answers(path, share, ["key"], ("u8",))
+    short = (_bucket(key, buckets).astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+    at = np.minimum(np.searchsorted(hits, short), max(len(hits) - 1, 0))
+    hit = np.flatnonzero(hits[at] == short) if len(hits) else np.zeros(0, np.int64)
+    doc, pos = doc[hit], pos[hit]
+    edge = np.zeros(len(words) + 2, np.int64)
+    low = words.first[doc] + np.maximum(pos + block - window, 0)
+    high = np.minimum(words.first[doc] + pos, words.first[doc + 1] - window)
+    ok = low <= high
+    np.add.at(edge, low[ok], 1)
+    np.add.at(edge, high[ok] + 1, -1)
+    start = np.flatnonzero(np.cumsum(edge) > 0)
+    doc = np.searchsorted(words.first, start, side="right") - 1
+    key = mix(windows_hash(base, start, start + window))
+    more = mix(windows_hash(words.identities(1), start, start + window, 1)).astype(np.uint32) if len(start) else np.zeros(0, np.uint32)
+    return start, doc, key, more
+
+
+def _window_ids(window: int, buckets: int, hits: str):
+    """Every distinct window around a share's hits, with the least and the greatest id that has it there."""
+
+    def entries(batch: pa.RecordBatch, share: int):
+        _, doc, key, more = _near_hits(batch, share, Words(batch.column("_text")), window, buckets, hits)
+        ident = _idents(batch)[doc]
+        return key, more, ident
+
+    def packed(share: int, key, more, ident) -> list[tuple]:
+        order = np.lexsort((more, key))
+        key, more, ident = key[order], more[order], ident[order]
+        starts = _group_starts(key, more)
+        low, high = np.minimum.reduceat(ident, starts), np.maximum.reduceat(ident, starts)
+        key, more = key[starts], more[starts]
+        return [(bucket, share, key[x].tobytes(), more[x].tobytes(), _planes(low[x]), _planes(high[x]))
+                for bucket, x in _by_bucket(_bucket(key, buckets))]
+
+    return _sent(window, buckets, entries, packed, _WINDOWS)
+
+
+def _outranked(table: pa.Table) -> pa.Table:
+    """The least id of all for every window of a bucket, for the shares where it outranks one of their own."""
+    rows = table.to_pylist()
+    key = [np.frombuffer(r["key"], np.uint64) for r in rows]
+    row = np.repeat(np.arange(len(rows)), [len(k) for k in key])
+    key, more = np.concatenate(key), np.concatenate([np.frombuffer(r["more"], np.uint32) for r in rows])
+    low, high = (np.concatenate([_unplanes(r[c], "i8") for r in rows]) for c in ("low", "high"))
+    order = np.lexsort((more, key))
+    starts = _group_starts(key[order], more[order])
+    least = np.repeat(np.minimum.reduceat(low[order], starts), np.diff(np.append(starts, len(order))))
+    pick = order[least < high[order]]
+    least = least[least < high[order]]
+    share = np.array([r["share"] for r in rows], np.int32)[row[pick]]
+    by = np.argsort(share, kind="stable")
+    share, pick, least = share[by], pick[by], least[by]
+    return pa.Table.from_batches([_batch([(s, key[pick[x]].tobytes(), more[pick[x]].tobytes(), least[x].tobytes())
+                                          for s, x in _by_bucket(share)], "_share int, key binary, more binary, least binary")])
+
+
+def _removed(batch: pa.RecordBatch, words: Words, window: int, buckets: int, hits: str, ranks: str) -> np.ndarray:
+    """Which words of a batch lie in a window that a smaller id has, too."""
+    share = batch.column("_share")[0].as_py()
+    keys, mores, leasts = _answers(ranks, share, ["key", "more", "least"], ("u8", "u4", "i8"))
+    edge = np.zeros(len(words) + 1, np.int64)
+    if len(keys):
+        start, doc, key, more = _near_hits(batch, share, words, window, buckets, hits)
+        ident = _idents(batch)[doc]
+        at, end = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+        gone = np.zeros(len(start), bool)
+        while (live := np.flatnonzero(at < end)).size:  # a step for each answer of one key: one, but for chance
+            gone[live] |= (mores[at[live]] == more[live]) & (leasts[at[live]] < ident[live])
+            at[live] += 1
+        np.add.at(edge, start[gone], 1)
+        np.add.at(edge, start[gone] + window, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _cut(keep: list[str], window: int, buckets: int, hits: str, ranks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(_by_share(batches), "_text"):
             words = Words(batch.column("_text"))
+            stay = ~_removed(batch, words, window, buckets, hits, ranks)
             total, removed, kept = [], [], []
-            for i, found in enumerate(batch.column("_gone").to_pylist()):
+            for i in range(batch.num_rows):
                 a, b = words.first[i], words.first[i + 1]
-                n = int(b - a)
-                stay = np.ones(n, bool)
-                if found:
-                    for first, end in np.frombuffer(found, np.uint32).reshape(-1, 2).tolist():
-                        stay[first:end] = False
-                data = words.text(i)
-                shift = words.offsets[i]
-                text = b" ".join([data[s:e] for s, e in zip((words.start[a:b][stay] - shift).tolist(),
-                                                            (words.end[a:b][stay] - shift).tolist())])
-                total.append(n)
-                removed.append(n - int(stay.sum()))
-                kept.append(text)
+                own, data, shift = stay[a:b], words.text(i), words.offsets[i]
+                total.append(int(b - a))
+                removed.append(int(b - a) - int(own.sum()))
+                kept.append(b" ".join([data[s:e] for s, e in zip((words.start[a:b][own] - shift).tolist(),
+                                                                 (words.end[a:b][own] - shift).tolist())]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string()),
@@ -269,7 +306,7 @@ def _cut(keep: list[str]):
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50,
-                 buckets: int | None = None) -> DataFrame:
+                 share_bytes: int = _SHARE_BYTES, bucket_bytes: int = _BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``_id``, ``_text``, ``_rest`` (its other
     columns), ``n_words``, ``n_removed``, ``kept_text`` (the kept words joined by
     one space) and ``kept_sha256``.
@@ -277,31 +314,39 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``window`` is even. Only a smaller id outranks: repeated rows and rows of
     one id never remove each other's words. A null id counts as larger than
     every id. Null, empty and short texts (fewer words than the window) keep
-    all their words; no rows give none. ``id_col`` is an integer column.
+    all their words; no rows give none. ``id_col`` is an integer column. Texts of
+    any length are taken whole; shares and buckets have about ``share_bytes`` and
+    ``bucket_bytes`` of text, and at least one long text.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    buckets = buckets or n
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
-                       F.struct(*rest, F.lit(0).alias("_")).alias("_rest"),
-                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("_tag"))
-    hits = (rows.select("_id", "_tag", "_text").mapInArrow(_probes(window, buckets), _PACKED)
-            .groupBy("bucket").applyInArrow(_anchor_hits(window), "_tag long, _at int")
-            .groupBy("_tag").agg(F.collect_set("_at").alias("_hits")))
-    # dealt once by row; the probes' answer and the removals both come to it
-    placed = rows.repartition(n, "_tag")
-    repeats = (placed.join(hits, "_tag").select("_id", "_tag", "_text", "_rest", "_hits")
-               .mapInArrow(_windows(window, buckets), _PACKED)
-               .groupBy("bucket").applyInArrow(_repeated(n), "part int, tags binary, runs binary, starts binary")
-               .groupBy("part").applyInArrow(_gathered(window), "_tag long, _gone binary"))
+                       F.struct(*rest, F.lit(0).alias("_")).alias("_rest"))
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    shares, buckets = (max(n, -(-size // most)) for most in (share_bytes, bucket_bytes))
+    # dealt by row, repeated rows too, and written once
+    deal = F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(shares)).cast("int")
+    path, hits, ranks = (scratch_path(spark, f"substring-{x}") for x in ("rows", "hits", "ranks"))
+    dealt = rows.withColumn("_share", deal).repartition(shares, "_share").sortWithinPartitions("_share")
+    dealt.write.parquet(path)
+    placed = spark.read.schema(dealt.schema).parquet(path)
+    texts = placed.select("_share", "_id", "_text").where("_text IS NOT NULL")
+
+    def back(answers: DataFrame, to: str) -> None:
+        answers.repartition(n, "_share").write.partitionBy("_share").parquet(to)
+
+    back(texts.mapInArrow(_runs(window, buckets), _RUNS).repartition(buckets, "bucket").groupBy("bucket")
+         .applyInArrow(_hits, "_share int, key binary"), hits)
+    back(texts.mapInArrow(_window_ids(window, buckets, hits), _WINDOWS).repartition(buckets, "bucket").groupBy("bucket")
+         .applyInArrow(_outranked, "_share int, key binary, more binary, least binary"), ranks)
     keep = ["_id", "_text", "_rest"]
     schema = rows.select(*keep).schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
-    return placed.join(repeats, "_tag", "left").select(*keep, "_gone").mapInArrow(_cut(keep), schema)
+    return placed.select("_share", *keep).mapInArrow(_cut(keep, window, buckets, hits, ranks), schema)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:

@@ -72,3 +72,15 @@ def test_empty_table_and_odd_window(spark):
     assert substring.drop_repeats(df).count() == 0
     with pytest.raises(ValueError):
         substring.drop_repeats(df, window=5)
+
+
+@pytest.mark.parametrize("size", [1024, 4096, 8192])
+def test_structured_words_are_told_apart(spark, size):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo powers of two."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    other = one.translate(str.maketrans("ab", "ba"))
+    common = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([*common, one, *common])), (2, " ".join([*common, other, *common])), (3, " ".join([*common, one, *common]))]
+    df = spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)
+    got = substring.drop_repeats(df, window=50).select("_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 50)
