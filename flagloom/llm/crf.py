@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flagloom.llm.common import Words, mix, slices, windows_hash
+from flagloom.llm.common import Words, first_ids, mix, slices, windows_hash
 
 _BITS = 16
 _SALT = np.uint64(8)
@@ -157,10 +157,8 @@ def probabilities(words: Words, model: Model) -> np.ndarray:
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
     """``(text, lang)`` of at most ``per_lang`` labelled ids of every language,
     least hashes first: the documented bound on what the fit sees."""
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    ids = (docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, lang_col).distinct()
-           .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
-           .select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")))
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, lang_col).distinct()
+    ids = first_ids(labelled, lang_col, id_col, per_lang).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("text"))
     # the ids are at most per_lang for each language, so they may be broadcast
     return (rows.join(F.broadcast(ids), ["_id", "_lang"]).where(F.col("text").isNotNull())

@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flagloom.llm.common import Words, mix, slices, windows_hash
+from flagloom.llm.common import Words, first_ids, mix, slices, windows_hash
 
 BITS = 18
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -77,10 +77,9 @@ class Model:
 def rated_sample(ratings: DataFrame, id_col: str, grade_col: str, per_grade: int) -> DataFrame:
     """At most ``per_grade`` rated ids of every grade, least hashes first: the
     documented bound on what the fit sees. Null ids and grades take no part."""
-    order = Window.partitionBy(grade_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    return (ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull())
-            .select(id_col, grade_col).distinct()
-            .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_grade).drop("_n"))
+    rated = (ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull())
+             .select(id_col, grade_col).distinct())
+    return first_ids(rated, grade_col, id_col, per_grade)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text",
