@@ -9,6 +9,11 @@ brute force over the whole index, and the number of visits is widened until
 they cover the wanted share. A query whose leaves do not hold enough rows goes
 on to further leaves until they do.
 
+The tree and all rough distances work on vectors scaled by a power of two (that
+of the table's largest component, or of a block's), so squares of the largest and
+smallest doubles neither overflow nor vanish; answers are ranked by the distance
+of the vectors themselves.
+
 Vectors and queries meet by leaf, in blocks of bounded size on either side, so
 a leaf that holds a third of all rows is many tasks. Each block gives a
 query's nearest few; a rank over those gives the answer.
@@ -32,11 +37,16 @@ _ROWS, _QUERIES = 8192, 1024
 
 @dataclass(frozen=True)
 class Tree:
-    """Node 0 is the root; ``children[i]`` is empty for a leaf, ``leaf[i]`` its number or -1."""
+    """Node 0 is the root; ``children[i]`` is empty for a leaf, ``leaf[i]`` its number or -1.
+    Centres, and the rows that meet them, are scaled by ``2 ** -exponent``."""
 
     centres: np.ndarray
     children: list[np.ndarray]
     leaf: np.ndarray
+    exponent: int = 0
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.ldexp(x, -self.exponent)
 
     @property
     def leaves(self) -> int:
@@ -61,8 +71,16 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
 
 
-def fit_tree(sample: np.ndarray, branch: int = 16, leaf_rows: int = 200, seed: int = 11) -> Tree:
+def _exponent(*parts: np.ndarray) -> int:
+    """The power of two just above the largest component."""
+    return int(np.frexp(max(np.abs(x).max(initial=0.0) for x in parts))[1])
+
+
+def fit_tree(sample: np.ndarray, branch: int = 16, leaf_rows: int = 200, seed: int = 11,
+             exponent: int | None = None) -> Tree:
     """Split by k-means until a node holds at most ``leaf_rows`` sample rows or one distinct vector."""
+    exponent = _exponent(sample) if exponent is None else exponent
+    sample = np.ldexp(sample, -exponent)
     rng = np.random.default_rng(seed)
     centres, children, leaf, queue = [sample.mean(axis=0)], [np.zeros(0, np.int64)], [-1], [(0, np.arange(len(sample)))]
     for node, rows in queue:
@@ -78,11 +96,12 @@ def fit_tree(sample: np.ndarray, branch: int = 16, leaf_rows: int = 200, seed: i
             children.append(np.zeros(0, np.int64))
             leaf.append(-1)
             queue.append((first + j, rows[near == j]))
-    return Tree(np.array(centres), children, np.array(leaf))
+    return Tree(np.array(centres), children, np.array(leaf), exponent)
 
 
 def descend(tree: Tree, x: np.ndarray) -> np.ndarray:
     """Leaf of every row."""
+    x = tree.scaled(x)
     at, moving = np.zeros(len(x), np.int64), np.arange(len(x))
     while len(moving):
         order = moving[np.argsort(at[moving], kind="stable")]
@@ -100,6 +119,7 @@ def descend(tree: Tree, x: np.ndarray) -> np.ndarray:
 def best_bins(tree: Tree, q: np.ndarray, visits: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
     """The first ``visits`` leaves out of the priority queue, and as many more as
     it takes until they hold ``least`` of the ``rows`` (a count for each leaf)."""
+    q = tree.scaled(q)
     heap, out, held = [(0.0, 0)], [], 0
     while heap and (len(out) < visits or held < least):
         _, node = heapq.heappop(heap)
@@ -119,24 +139,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; where squares would leave the range of doubles, of the
+    difference scaled by a power of two (infinite only if the distance itself is past the range)."""
+    with np.errstate(over="ignore", under="ignore"):
+        gap = x - q
+        exact = np.sqrt((gap * gap).sum(axis=1))
+        most = np.abs(gap).max(axis=1, initial=0.0)
+        for odd, by in ((most >= 1e140, 1), ((most > 0) & (most <= 1e-140), 0)):
+            odd = np.flatnonzero(odd)
+            if len(odd):  # halves of large ones cannot overflow
+                part = np.ldexp(x[odd], -1) - np.ldexp(q, -1) if by else gap[odd]
+                power = np.frexp(np.abs(part).max(axis=1))[1]
+                part = np.ldexp(part, -power[:, None])
+                exact[odd] = np.ldexp(np.sqrt((part * part).sum(axis=1)), power + by)
+    return exact
+
+
 def nearest_rows(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int):
     """The ``k`` nearest rows of ``x`` for each query, its own id left out, ties
     to smaller ids: (query place, row place, distance). Products sort out the
     far rows; the distance of those left is taken on the difference itself."""
-    norms, out = (x * x).sum(axis=1), []
+    power = -_exponent(x, q)
+    low, norms, out = np.ldexp(x, power), None, []
+    norms = (low * low).sum(axis=1)
     for a in range(0, len(q), 64):
-        part = q[a:a + 64]
-        rough = norms + (part * part).sum(axis=1)[:, None] - 2 * (part @ x.T)
-        rough[q_ids[a:a + 64, None] == x_ids] = np.inf
+        part = np.ldexp(q[a:a + 64], power)
+        rough = norms + (part * part).sum(axis=1)[:, None] - 2 * (part @ low.T)
+        other = q_ids[a:a + 64, None] != x_ids
+        rough[~other] = np.inf
         if x.shape[0] > k:
             bound = np.partition(rough, k - 1, axis=1)[:, k - 1]
-            bound = bound + 1e-9 * (np.abs(bound) + norms.max() + (part * part).sum(axis=1))
+            bound = np.where(np.isfinite(bound), bound + 1e-9 * (np.abs(bound) + norms.max() + (part * part).sum(axis=1)), np.inf)
         else:
-            bound = np.full(len(part), np.finfo(np.float64).max)
+            bound = np.full(len(part), np.inf)
         for i in range(len(part)):
-            near = np.flatnonzero((rough[i] <= bound[i]) & np.isfinite(rough[i]))
-            gap = x[near] - part[i]
-            exact = np.sqrt((gap * gap).sum(axis=1))
+            near = np.flatnonzero((rough[i] <= bound[i]) & other[i])
+            exact = distances(x[near], q[a + i])
             pick = np.lexsort((x_ids[near], exact))[:k]
             out.append((np.full(len(pick), a + i), near[pick], exact[pick]))
     if not out:
@@ -172,10 +211,11 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors = settle(clean_vectors(table, id_col, vec_col), "ann-vectors")
     by_hash = F.xxhash64("vec_id")
+    largest = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0]
     sample = vectors.orderBy(by_hash, "vec_id").limit(sample_rows).select("vec").toArrow()
     if not sample.num_rows:
         return empty
-    tree = fit_tree(_matrix(sample.column(0).combine_chunks()), branch, leaf_rows)
+    tree = fit_tree(_matrix(sample.column(0).combine_chunks()), branch, leaf_rows, exponent=int(np.frexp(largest)[1]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

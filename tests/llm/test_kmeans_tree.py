@@ -104,3 +104,29 @@ def test_leaves_past_the_visits_until_enough_rows():
     assert kmtree.best_bins(tree, x[50], 1, rows, 2) == order[:2]
     assert kmtree.best_bins(tree, x[50], 1, rows, 11) == order[:3]
     assert kmtree.best_bins(tree, x[50], 1, rows, 54) == order  # fewer rows than asked for: every leaf
+
+
+def test_largest_and_smallest_doubles(spark):
+    """Squares of these leave the range of doubles; every query is answered as by exact arithmetic."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 4)) * 10.0 ** rng.choice([-300, -162, -20, 0, 3, 160, 200, 300], size=400)[:, None]
+    got = answers(kmtree.search(frame(spark, x, np.arange(400)), every=50, leaf_rows=50, recall=1.0))
+    assert set(got) == set(range(0, 400, 50))
+    exact = [[Fraction(v) for v in row] for row in x.tolist()]
+    for q, found in got.items():
+        near = sorted((sum((a - b) ** 2 for a, b in zip(exact[q], exact[i])), i) for i in range(400) if i != q)[:10]
+        assert len(found) == 10
+        for (_, v, score), (d, i) in zip(found, near):
+            want = sum((a - b) ** 2 for a, b in zip(exact[q], exact[v]))
+            assert score == 0 if want == 0 else abs(Fraction(score) ** 2 / want - 1) < Fraction(1, 10 ** 12)
+            assert abs(want - d) <= d / 10 ** 9  # as near as the true one, however close the two
+
+
+def test_distances_past_the_range():
+    x = np.array([[1.7e308, 0.0], [5e-324, 0.0], [1e200, 1e200], [3e-200, 4e-200], [3.0, 4.0]])
+    got = kmtree.distances(x, np.array([0.0, 0.0]))
+    assert got.tolist() == [1.7e308, 5e-324, np.sqrt(2) * 1e200, 5e-200, 5.0] or np.allclose(
+        got / np.array([1.7e308, 5e-324, np.sqrt(2) * 1e200, 5e-200, 5.0]), 1, rtol=1e-15)
+    assert kmtree.distances(np.array([[1.7e308]]), np.array([-1.7e308])).tolist() == [np.inf]
