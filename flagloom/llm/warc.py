@@ -188,16 +188,19 @@ _RECORD = ("path string, offset long, record_type string, record_id string, url
            "page_id long, payload_digest string, payload binary")
 
 
-def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
+def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = 8 << 20, ranges_per_task: int = 1) -> DataFrame:
     """The records of the files listed in ``files`` (``path``, ``bytes``).
 
-    One task input is a range of ``range_bytes``; files, records and ranges
+    The files are cut into ranges of ``range_bytes``, and there is a task for every
+    ``ranges_per_task`` of them (their number is one aggregate over ``files``), so a
+    lost executor repeats no more than its own few. Files, records and ranges
     may have any size. ``payload`` is null for a revisit. ``payload_digest`` is
     bare lower-case hex, of the header.
     """
-    pieces = (files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)),
-                                                        F.lit(range_bytes).cast("long"))).alias("start"))
-              .repartition(max(1, spark.sparkContext.defaultParallelism)))
+    last = F.greatest(F.col("bytes") - 1, F.lit(0))
+    ranges = files.agg(F.sum(F.floor(last / range_bytes) + 1)).first()[0] or 1
+    pieces = (files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(range_bytes).cast("long"))).alias("start"))
+              .repartition(-(-ranges // ranges_per_task)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +255,9 @@ def page_digests(records: DataFrame) -> DataFrame:
                                      F.col("holder").alias("refers_to"))))
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 1000, range_bytes: int = 8 << 20) -> DataFrame:
+def round_trip(pages: DataFrame, least_bytes: int = 1000, range_bytes: int = 8 << 20,
+               ranges_per_task: int = 1) -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back, and digest every record."""
     spark = pages.sparkSession
     files = write_warc(pages, scratch_path(spark, "warc"), least_bytes)
-    return page_digests(read_warc(spark, files, range_bytes))
+    return page_digests(read_warc(spark, files, range_bytes, ranges_per_task))

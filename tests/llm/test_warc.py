@@ -36,11 +36,11 @@ def pages():
     return rows + [(200, "t", "x" * 999), (201, "t", "x" * 999), (202, "t", "y" * 1000), (203, "t", "y" * 1000)]
 
 
-@pytest.mark.parametrize("range_bytes", [97, 4096, 8 << 20])
-def test_round_trip_in_ranges_of_any_size(spark, range_bytes):
+@pytest.mark.parametrize("range_bytes,ranges_per_task", [(97, 100), (4096, 3), (8 << 20, 1)])
+def test_round_trip_in_ranges_of_any_size(spark, range_bytes, ranges_per_task):
     rows = pages()
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
-    got = warc.round_trip(df, range_bytes=range_bytes)
+    got = warc.round_trip(df, range_bytes=range_bytes, ranges_per_task=ranges_per_task)
     assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
 
@@ -83,3 +83,21 @@ def test_cut_off_file_is_an_error(tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_of_one_page_with_other_html(spark):
+    rows = [(1, "a", "x" * 1500), (1, "a", "y" * 1500), (1, "a", "x" * 1500), (2, "b", "y" * 1500), (2, "b", "z"), (2, "b", None)]
+    got = warc.round_trip(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_reading_tasks_follow_the_ranges(spark):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, "u", "".join(chr(rng.randrange(33, 120)) for _ in range(5000))) for i in range(40)],
+                               "page_id long, url string, html string")
+    files = warc.write_warc(df, scratch_path(spark, "warc-test"))
+    for size in (2000, 20000):
+        ranges = sum(-(-f["bytes"] // size) for f in files.collect())
+        read = warc.read_warc(spark, files, size)
+        assert read.rdd.getNumPartitions() == ranges and read.count() == 40
+    assert warc.read_warc(spark, files, 2000, 10).rdd.getNumPartitions() < ranges * 10
