@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
 The tree is fitted on a bounded sample; every vector is then indexed under the
-leaf it descends to. A query walks the tree best bin first: a priority queue
+leaf it descends to. Leaves that hold too many rows are split again, each from a
+bounded sample of its own in a task of its own, until none does (copies of one
+vector cannot be split; the tree's size has a bound of its own). A query walks the tree best bin first: a priority queue
 holds nodes by the distance to their centre, inner nodes put their children
 back, leaves are visited in the order they come out. How many leaves a query
 visits is calibrated: exact neighbours of some calibration queries are found by
@@ -22,6 +24,7 @@ query's nearest few; a rank over those gives the answer.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,14 +80,16 @@ def _exponent(*parts: np.ndarray) -> int:
 
 
 def fit_tree(sample: np.ndarray, branch: int = 16, leaf_rows: int = 200, seed: int = 11,
-             exponent: int | None = None) -> Tree:
-    """Split by k-means until a node holds at most ``leaf_rows`` sample rows or one distinct vector."""
+             exponent: int | None = None, once: bool = False) -> Tree:
+    """Split by k-means until a node holds at most ``leaf_rows`` sample rows or one distinct
+    vector, or (with ``once``) the root alone, however few its rows."""
     exponent = _exponent(sample) if exponent is None else exponent
     sample = np.ldexp(sample, -exponent)
     rng = np.random.default_rng(seed)
     centres, children, leaf, queue = [sample.mean(axis=0)], [np.zeros(0, np.int64)], [-1], [(0, np.arange(len(sample)))]
     for node, rows in queue:
-        parts = _kmeans(sample[rows], branch, rng) if len(rows) > leaf_rows else np.zeros((0, 0))
+        wanted = node == 0 if once else len(rows) > leaf_rows
+        parts = _kmeans(sample[rows], branch, rng) if wanted else np.zeros((0, 0))
         if len(parts) < 2:
             leaf[node] = max(leaf) + 1
             continue
@@ -116,24 +121,49 @@ def descend(tree: Tree, x: np.ndarray) -> np.ndarray:
     return tree.leaf[at]
 
 
-def best_bins(tree: Tree, q: np.ndarray, visits: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
-    """The first ``visits`` leaves out of the priority queue, and as many more as
-    it takes until they hold ``least`` of the ``rows`` (a count for each leaf)."""
+def bins(tree: Tree, q: np.ndarray) -> Iterator[int]:
+    """Leaves as they come out of the priority queue."""
     q = tree.scaled(q)
-    heap, out, held = [(0.0, 0)], [], 0
-    while heap and (len(out) < visits or held < least):
+    heap = [(0.0, 0)]
+    while heap:
         _, node = heapq.heappop(heap)
         kids = tree.children[node]
         if not len(kids):
-            out.append(int(tree.leaf[node]))
-            held += int(rows[out[-1]]) if rows is not None else 0
+            yield int(tree.leaf[node])
             continue
         gap = tree.centres[kids] - q
         for d, kid in zip((gap * gap).sum(axis=1).tolist(), kids.tolist()):
             heapq.heappush(heap, (d, kid))
+
+
+def best_bins(tree: Tree, q: np.ndarray, visits: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+    """The first ``visits`` leaves out of the priority queue, and as many more as
+    it takes until they hold ``least`` of the ``rows`` (a count for each leaf)."""
+    out, held = [], 0
+    for leaf in bins(tree, q):
+        out.append(leaf)
+        held += int(rows[leaf]) if rows is not None else 0
+        if len(out) >= visits and held >= least:
+            break
     return out
 
 
+def graft(tree: Tree, parts: dict[int, Tree]) -> Tree:
+    """``tree`` with leaves replaced by trees of their own; their leaves get new numbers."""
+    centres, children, leaf = [tree.centres], list(tree.children), [tree.leaf.copy()]
+    node_of = {int(n): i for i, n in enumerate(tree.leaf) if n >= 0}
+    nodes, leaves = len(tree.centres), tree.leaves
+    for number, part in sorted(parts.items()):
+        at = node_of[number]  # takes the place of the part's root
+        children[at] = part.children[0] + nodes - 1
+        leaf[0][at] = -1
+        children.extend(kids + nodes - 1 if len(kids) else kids for kids in part.children[1:])
+        centres.append(part.centres[1:])
+        leaf.append(np.where(part.leaf[1:] >= 0, part.leaf[1:] + leaves, -1))
+        nodes, leaves = nodes + len(part.centres) - 1, leaves + part.leaves
+    return Tree(np.concatenate(centres), children, np.concatenate(leaf), tree.exponent)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     n = len(column)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
@@ -198,12 +228,14 @@ def clean_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10,
            sample_rows: int = 20000, calibration: int = 128, recall: float = 0.97, branch: int = 16,
-           leaf_rows: int = 200) -> DataFrame:
+           leaf_rows: int = 200, most_rows: int = 8192, most_leaves: int = 1 << 17) -> DataFrame:
     """The ``k`` nearest rows found for every row whose id is divisible by ``every``.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (Euclidean
     distance in double precision). ``sample_rows`` bounds the tree's fit,
-    ``calibration`` the queries of the brute-force measurement. What takes no
+    ``calibration`` the queries of the brute-force measurement. Leaves of more than
+    ``most_rows`` rows are split until there are ``most_leaves`` leaves, which bounds
+    the tree that every task holds. What takes no
     part is listed at :func:`clean_vectors`; no vectors or no queries give no
     rows; a query with fewer than ``k`` candidates gets all of them.
     """
@@ -224,16 +256,29 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), *batch.columns],
                                                  ["leaf", "vec_id", "vec"])
 
-    index = settle(vectors.mapInArrow(place, "leaf int, vec_id long, vec array<double>"), "ann-index")
-    # one row per leaf, whose number the sample bounds
-    sizes = settle(index.groupBy("leaf").agg(F.count("*").alias("n")), "ann-sizes")
-    held = np.zeros(tree.leaves, np.int64)
-    for r in sizes.collect():
-        held[r["leaf"]] = r["n"]
+    schema = "leaf int, vec_id long, vec array<double>"
+    index = settle(vectors.mapInArrow(place, schema), "ann-index")
+    whole: set[int] = set()  # leaves that cannot be split
+    while True:
+        # one row per leaf, whose number is bounded
+        sizes = settle(index.groupBy("leaf").agg(F.count("*").alias("n")), "ann-sizes")
+        held = np.zeros(tree.leaves, np.int64)
+        for r in sizes.collect():
+            held[r["leaf"]] = r["n"]
+        large = [int(x) for x in np.argsort(-held) if held[x] > most_rows and x not in whole]
+        parts = _split(index, sizes, large, branch, tree.exponent, most_leaves - tree.leaves)
+        if not parts:
+            break
+        whole |= {x for x in large if x not in parts or parts[x].leaves == 1}
+        parts = {x: p for x, p in parts.items() if p.leaves > 1}
+        if not parts:
+            break
+        tree = graft(tree, parts)
+        index = settle(index.select("vec_id", "vec").mapInArrow(place, schema), "ann-index")
     queries = index.where(F.col("vec_id") % every == 0)
     visits = _calibrate(tree, index, queries.orderBy(by_hash, "vec_id").limit(calibration), k, recall)
 
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -243,7 +288,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                     [pa.array(np.concatenate(found).astype(np.int32)), part.column("vec_id").take(take),
                      part.column("vec").take(take)], ["leaf", "query_id", "qvec"])
 
-    visiting = queries.select("vec_id", "vec").mapInArrow(bins, "leaf int, query_id long, qvec array<double>")
+    visiting = queries.select("vec_id", "vec").mapInArrow(visited, "leaf int, query_id long, qvec array<double>")
     # one row per leaf: as many blocks as its rows and its queries need
     asked = visiting.groupBy("leaf").agg(F.count("*").alias("m"))
     blocks = F.broadcast(settle(
@@ -275,6 +320,25 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             .select("query_id", "rank", "vec_id", "score"))
 
 
+def _split(index: DataFrame, sizes: DataFrame, large: list[int], branch: int, exponent: int, room: int,
+           sample_rows: int = 4000) -> dict[int, Tree]:
+    """A tree of one level for each of the ``large`` leaves, the largest first and as many
+    as there is ``room`` for, fitted in a task of its own on about ``sample_rows`` of its rows."""
+    large = large[:max(0, room) // branch]
+    if not large:
+        return {}
+    named = F.broadcast(sizes.where(F.col("leaf").isin(large)))  # a row for each of a bounded number of leaves
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < F.lit(sample_rows * float(1 << 30)) / F.col("n")
+
+    def fit(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        part = fit_tree(_matrix(rows.column("vec").combine_chunks()), branch, exponent=exponent, once=True)
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([pickle.dumps(part)], pa.binary())})
+
+    found = (index.join(named, "leaf").where(drawn).select("leaf", "vec")
+             .groupBy("leaf").applyInArrow(fit, "leaf int, part binary").collect())
+    return {r["leaf"]: pickle.loads(r["part"]) for r in found}
+
+
 def _calibrate(tree: Tree, index: DataFrame, queries: DataFrame, k: int, recall: float) -> int:
     """Leaf visits at which best-bin-first covers ``recall`` of the exact
     neighbours of ``queries`` (a bounded number) over the whole index."""
@@ -299,6 +363,16 @@ def _calibrate(tree: Tree, index: DataFrame, queries: DataFrame, k: int, recall:
              .select("query_id", "leaf").collect())  # k rows for each calibration query
     if not exact:
         return 1
-    place = {int(i): {leaf: n for n, leaf in enumerate(best_bins(tree, v, tree.leaves), 1)} for i, v in zip(q_ids, q)}
-    needed = np.sort([place[r["query_id"]][r["leaf"]] for r in exact])
+    wanted: dict[int, list[int]] = {}
+    for r in exact:
+        wanted.setdefault(r["query_id"], []).append(r["leaf"])
+    needed = []
+    for i, v in zip(q_ids.tolist(), q):
+        missing = wanted.get(i, [])
+        for n, leaf in enumerate(bins(tree, v), 1):
+            needed.extend([n] * missing.count(leaf))
+            missing = [x for x in missing if x != leaf]
+            if not missing:
+                break
+    needed = np.sort(needed)
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])

@@ -1,6 +1,7 @@
 """Tree search: recall against brute force, exact scores, ties, defined cases."""
 
 import numpy as np
+import pyarrow as pa
 
 from flagloom.llm import kmtree
 
@@ -112,7 +113,8 @@ def test_largest_and_smallest_doubles(spark):
 
     rng = np.random.default_rng(9)
     x = rng.normal(size=(400, 4)) * 10.0 ** rng.choice([-300, -162, -20, 0, 3, 160, 200, 300], size=400)[:, None]
-    got = answers(kmtree.search(frame(spark, x, np.arange(400)), every=50, leaf_rows=50, recall=1.0))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = answers(kmtree.search(table, every=50, leaf_rows=50, recall=1.0))
     assert set(got) == set(range(0, 400, 50))
     exact = [[Fraction(v) for v in row] for row in x.tolist()]
     for q, found in got.items():
@@ -130,3 +132,59 @@ def test_distances_past_the_range():
     assert got.tolist() == [1.7e308, 5e-324, np.sqrt(2) * 1e200, 5e-200, 5.0] or np.allclose(
         got / np.array([1.7e308, 5e-324, np.sqrt(2) * 1e200, 5e-200, 5.0]), 1, rtol=1e-15)
     assert kmtree.distances(np.array([[1.7e308]]), np.array([-1.7e308])).tolist() == [np.inf]
+
+
+def test_large_leaves_are_split(spark):
+    """200,000 vectors under a tree of a small sample: no leaf keeps more rows than stated, but for copies."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 8)) * 6
+    x = np.vstack([centres[rng.integers(30, size=197_000)] + rng.normal(size=(197_000, 8)), np.full((3000, 8), 40.0)])
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(200_000), "embedding": list(x)}))
+    seen = {}
+    calibrate = kmtree._calibrate
+
+    def spy(tree, index, *rest):
+        seen["sizes"] = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+        seen["tree"] = tree
+        return calibrate(tree, index, *rest)
+
+    kmtree._calibrate = spy
+    try:
+        got = answers(kmtree.search(table, every=4000, sample_rows=600, leaf_rows=100, most_rows=1000))
+    finally:
+        kmtree._calibrate = calibrate
+    sizes = seen["sizes"]
+    assert sum(sizes.values()) == 200_000 and sum(n > 1000 for n in sizes.values()) == 1  # the 3,000 copies
+    assert seen["tree"].leaves > 200 and (kmtree.descend(seen["tree"], x[:500]) >= 0).all()
+    right = total = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        near = set(np.lexsort((np.arange(len(x)), d))[:10].tolist())
+        assert len(found) == 10
+        right, total = right + len(near & {v for _, v, _ in found}), total + 10
+    assert len(got) == 50 and right / total > 0.9
+
+
+def test_the_tree_keeps_its_bound(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5000, 3))
+    got = answers(kmtree.search(frame(spark, x, np.arange(5000)), every=1000, sample_rows=100, leaf_rows=50, most_rows=10,
+                                most_leaves=40))
+    assert len(got) == 5 and all(len(v) == 10 for v in got.values())
+
+
+def test_recall_of_the_registered_query(spark):
+    from flagloom.llm.queries import op9_kmeans_tree
+
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    got = answers(op9_kmeans_tree(spark, folder))
+    assert set(got) == {int(i) for i in ids if i % 100 == 0}
+    right = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        right += len(set(ids[np.lexsort((ids, d))[:10]].tolist()) & {v for _, v, _ in found})
+    assert right / (10 * len(got)) >= 0.95
