@@ -20,9 +20,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Tools of the exchanges that are read off the conversations.
-TOOL_SCHEMAS = [("search", "query", "string", True), ("search", "limit", "integer", False),
-                ("summarise", "text", "string", True), ("summarise", "ratio", "number", True),
-                ("translate", "text", "string", True), ("translate", "formal", "boolean", False)]
+TOOL_SCHEMAS = """SELECT * FROM VALUES
+  ('search', 'query', 'string', true), ('search', 'limit', 'integer', false),
+  ('summarise', 'text', 'string', true), ('summarise', 'ratio', 'number', true),
+  ('translate', 'text', 'string', true), ('translate', 'formal', 'boolean', false)
+  AS t (tool, param, type, required)"""
 
 
 def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,8 +63,7 @@ def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every exchange of the conversations, linked, ordered, checked and as canonical JSON."""
     calls, results = tool_traffic(read(spark, sf_dir, "conversations"))
-    schemas = spark.createDataFrame(TOOL_SCHEMAS, "tool string, param string, type string, required boolean")
-    return toolcalls.link_tool_calls(calls, results, schemas)
+    return toolcalls.link_tool_calls(calls, results, spark.sql(TOOL_SCHEMAS))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,13 +88,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model).select("doc_id", "expected_grade", "tail_prob", "accepted")
 
 
-#: The public tokenizer of the production query; pass another path to ``pieces.load_model``.
+#: The public tokenizer where the caller names no other.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
     """Piece ids of every document, and whether decoding gives the text back."""
-    return pieces.encode(read(spark, sf_dir, "documents"), pieces.load_model(PIECE_MODEL))
+    return pieces.encode(read(spark, sf_dir, "documents"), pieces.load_model(model))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
