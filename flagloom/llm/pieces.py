@@ -181,43 +181,44 @@ def segment_counts(docs: DataFrame, text_col: str, model: PieceModel) -> DataFra
     return ready.mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
-def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    rows = [(p, i, float(model.scores[i])) for p, i in model.table.items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
-
-
 def encode_segments(segments: DataFrame, model: PieceModel) -> DataFrame:
     """``(segment, n, ids)`` for distinct ``segment`` rows of one character and more."""
-    longest = max(map(len, model.table))
-    size = F.length("segment")
+    spark, table, size = segments.sparkSession, model.table, F.length("segment")
+    longest = max(map(len, table))
+    least = 1 if model.unigram else 2
+    # an empty substring, too, so that a segment without a known piece keeps a row
+    lengths = F.concat(F.when(F.col("i") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
+                       F.when(size - F.col("i") >= least, F.sequence(F.lit(least), F.least(size - F.col("i"), F.lit(longest))))
+                       .otherwise(F.array().cast("array<int>")))
     edges = (segments.select("segment", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
-             .select("segment", "n", "i", F.explode(F.sequence(F.lit(1), F.least(size - F.col("i"), F.lit(longest)))).alias("k"))
+             .select("segment", "n", "i", F.explode(lengths).alias("k"))
              .select("segment", "n", "i", "k", F.substring("segment", F.col("i") + 1, F.col("k")).alias("piece")))
-    # bounded by the vocabulary, so it may be broadcast
-    pieces = piece_table(segments.sparkSession, model)
-    found = F.col("id").isNotNull() | (F.col("k") == 1)
-    byte_ids = F.array(*[F.lit(i) for i in model.byte_ids])
+    letters = _letter_ids(model)
     if model.unigram:
-        edges = edges.join(F.broadcast(pieces), "piece", "left").where(found)
+        pieces = spark.createDataFrame([(p, i, float(model.scores[i])) for p, i in table.items()],
+                                       "piece string, id int, score double")
+        # bounded by the vocabulary, so it may be broadcast
+        edges = edges.join(F.broadcast(pieces), "piece", "left").where(
+            F.col("id").isNotNull() | (F.col("k") == 1))
         edge = F.struct((F.col("i") + F.col("k")).alias("j"), "i",
                         (-F.coalesce("score", F.lit(model.unknown_score))).alias("cost"), "id")
         lattice = edges.groupBy("segment", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-        return lattice.select("segment", "n", _viterbi_ids(F.col("edges"), byte_ids).alias("ids"))
-    # place in the merges' order, start, length and id (0: none) in one long, so that the edges sort by themselves
-    order = {c: r for r, c in enumerate(sorted({-model.scores[i] for i in model.table.values()}))}
+        return lattice.select("segment", "n", _viterbi_ids(F.col("edges"), letters).alias("ids"))
+    # place in the merges' order, start, length and id in one long, so that the edges sort by themselves
+    order = {c: r for r, c in enumerate(sorted({-model.scores[i] for i in table.values()}))}
     widths = {"k": longest.bit_length(), "id": len(model.pieces).bit_length(), "place": len(order).bit_length()}
     widths["i"] = 63 - sum(widths.values())
-    places = segments.sparkSession.createDataFrame(
-        [(p, i + 1, order[-model.scores[i]]) for p, i in model.table.items()], "piece string, id int, place int")
-    alone = F.col("k") == 1
-    packed = F.when(alone, F.lit(len(order))).otherwise(F.col("place")).cast("long")
+    places = spark.createDataFrame([("", 0, 0), *((p, i, order[-model.scores[i]]) for p, i in table.items() if len(p) > 1)],
+                                   "piece string, id int, place int")
+    packed = F.col("place").cast("long")
     for name in ("i", "k", "id"):
-        packed = F.call_function("shiftleft", packed, F.lit(widths[name])).bitwiseOR(F.coalesce(F.col(name), F.lit(0)).cast("long"))
-    edges = edges.join(F.broadcast(places), "piece", "left").where(found)
+        packed = F.call_function("shiftleft", packed, F.lit(widths[name])).bitwiseOR(F.col(name).cast("long"))
+    edges = edges.join(F.broadcast(places), "piece")
     lattice = edges.groupBy("segment", "n").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
     late = model.late
-    ids = F.when(size < _BITS, _merged_ids(F.col("edges"), widths, late, byte_ids, _OneLong)).otherwise(
-        _merged_ids(F.col("edges"), widths, late, byte_ids, _ManyLongs))
+    how = widths, late, min((len(model.pieces[i]) for i in late), default=0), letters
+    ids = F.when(size < _BITS, _merged_ids(F.col("edges"), *how, _OneLong(widths))).otherwise(
+        _merged_ids(F.col("edges"), *how, _ManyLongs(widths)))
     return lattice.select("segment", "n", ids.alias("ids"))
 
 
@@ -231,101 +232,157 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-class _OneLong:
-    """Boundaries of a segment of fewer than 62 characters; an edge carries the bits of its ends and those between."""
+def _constants(values) -> Column:
+    """A constant array: a text that is cut once, when the query is planned."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    @staticmethod
-    def edge(i: Column, j: Column) -> list[Column]:
-        return [_bit(i).bitwiseOR(_bit(j)).alias("ends"), (_bit(j) - _bit(i + 1)).alias("inner")]
 
-    @staticmethod
-    def all() -> Column:
+class _OneLong:
+    """Boundaries of a segment of fewer than 62 characters. The bits of an edge's ends
+    and of the boundaries between come out of tables by its start and length."""
+
+    def __init__(self, widths: dict[str, int]):
+        edges = [(i, k) for i in range(1 << 6) for k in range(1 << widths["k"])]
+        real = lambda i, k: k > 0 and i + k < _BITS
+        self.shift, self.mask = widths["id"], len(edges) - 1
+        # what is no edge has ends that no segment has
+        self.ends = _constants((1 << i) | (1 << i + k) if real(i, k) else -1 for i, k in edges)
+        self.inner = _constants((1 << i + k) - (1 << i + 1) if real(i, k) else 0 for i, k in edges)
+
+    def opened(self, edges: Column) -> Column:
+        at = lambda x: F.shiftright(x, self.shift).bitwiseAND(F.lit(self.mask).cast("long")).cast("int")
+        return F.transform(edges, lambda x: F.struct(F.get(self.ends, at(x)).alias("ends"), F.get(self.inner, at(x)).alias("inner"),
+                                                     x.alias("x")))
+
+    def all(self) -> Column:
         return _bit(F.length("segment") + 1) - F.lit(1)
 
-    @staticmethod
-    def stands(bounds: Column, e: Column, halves: bool) -> Column:
-        """Whether the edge's ends are boundaries, with one between them (``halves``) or none."""
-        if not halves:
-            return bounds.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"]
+    def halves(self, bounds: Column, e: Column) -> Column:
+        """Whether the edge spans exactly two standing pieces."""
         return (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
 
-    @staticmethod
-    def cleared(bounds: Column, e: Column) -> Column:
+    def stands(self, bounds: Column, e: Column) -> Column:
+        return bounds.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"]
+
+    def cleared(self, bounds: Column, e: Column) -> Column:
         return bounds.bitwiseAND(F.bitwise_not(e["inner"]))
 
+    def alone(self, bounds: Column, i: Column) -> Column:
+        """Whether the character at ``i`` stands alone."""
+        return F.call_function("shiftright", bounds, i).bitwiseAND(F.lit(3).cast("long")) == 3
+
 
 class _ManyLongs:
     """The same for longer segments: 62 boundaries in each long of an array."""
 
-    @staticmethod
-    def edge(i: Column, j: Column) -> list[Column]:
-        return [i.cast("int").alias("low"), j.cast("int").alias("high")]
+    def __init__(self, widths: dict[str, int]):
+        self.widths = widths
+
+    def opened(self, edges: Column) -> Column:
+        i, k = (lambda x: _field(x, "i", self.widths)), (lambda x: _field(x, "k", self.widths))
+        return F.transform(F.filter(edges, lambda x: k(x) > 0),
+                           lambda x: F.struct(i(x).alias("low"), (i(x) + k(x)).alias("high"), x.alias("x")))
 
-    @staticmethod
-    def all() -> Column:
+    def all(self) -> Column:
         last = F.length("segment") + 1
         return F.transform(F.sequence(F.lit(0), F.floor((last - 1) / _BITS).cast("int")),
                            lambda w: _bit(F.least(last - w * _BITS, F.lit(_BITS))) - F.lit(1))
 
-    @staticmethod
-    def _between(word: Column, e: Column) -> Column:
+    def _between(self, word: Column, e: Column) -> Column:
         """Bits of a word's boundaries strictly inside the edge."""
         clamp = lambda x: F.greatest(F.least(x - word * _BITS, F.lit(_BITS)), F.lit(0))
         return _bit(clamp(e["high"])) - _bit(clamp(e["low"] + 1))
 
-    @staticmethod
-    def stands(bounds: Column, e: Column, halves: bool) -> Column:
+    def _has(self, bounds: Column, p: Column) -> Column:
+        return F.get(bounds, F.floor(p / _BITS).cast("int")).bitwiseAND(_bit(p % _BITS)) != 0
+
+    def _inside(self, bounds: Column, e: Column) -> Column:
+        """Boundaries inside an edge that both ends of stand; a piece is shorter than a word has bits, so
+        its inside lies in two words at most."""
         word = lambda p: F.floor(p / _BITS).cast("int")
-        has = lambda p: F.element_at(bounds, word(p) + 1).bitwiseAND(_bit(p % _BITS)) != 0
-        inside = lambda w: F.bit_count(F.element_at(bounds, w + 1).bitwiseAND(_ManyLongs._between(w, e)))
-        # a piece is shorter than a word has bits, so its inside lies in two words at most
-        count = inside(word(e["low"])) + F.when(word(e["high"]) > word(e["low"]), inside(word(e["high"]))).otherwise(0)
-        return has(e["low"]) & has(e["high"]) & (count == (1 if halves else 0))
+        part = lambda w: F.bit_count(F.get(bounds, w).bitwiseAND(self._between(w, e)))
+        count = part(word(e["low"])) + F.when(word(e["high"]) > word(e["low"]), part(word(e["high"]))).otherwise(0)
+        return F.when(self._has(bounds, e["low"]) & self._has(bounds, e["high"]), count).otherwise(-1)
+
+    def halves(self, bounds: Column, e: Column) -> Column:
+        return self._inside(bounds, e) == 1
 
-    @staticmethod
-    def cleared(bounds: Column, e: Column) -> Column:
-        return F.transform(bounds, lambda x, w: x.bitwiseAND(F.bitwise_not(_ManyLongs._between(w, e))))
+    def stands(self, bounds: Column, e: Column) -> Column:
+        return self._inside(bounds, e) == 0
 
+    def cleared(self, bounds: Column, e: Column) -> Column:
+        return F.transform(bounds, lambda x, w: x.bitwiseAND(F.bitwise_not(self._between(w, e))))
 
-def _merged_ids(packed: Column, widths: dict[str, int], late: list[int], byte_ids: Column, sets) -> Column:
+    def alone(self, bounds: Column, i: Column) -> Column:
+        return self._has(bounds, i) & self._has(bounds, i + 1)
+
+
+def _field(x: Column, name: str, widths: dict[str, int]) -> Column:
+    """A field of a packed edge: place, i, k, id from the high bits to the low ones."""
+    below = {"i": widths["k"] + widths["id"], "k": widths["id"], "id": 0}[name]
+    return F.shiftright(x, below).bitwiseAND(F.lit((1 << widths[name]) - 1).cast("long")).cast("int")
+
+
+def _merged_ids(packed: Column, widths: dict[str, int], late: list[int], shortest_late: int, letters: _Letters, sets) -> Column:
     """Ids left by BPE merges: a merge takes an edge that spans exactly two standing pieces, the first
     by place in the merges' order (ties: the leftmost)."""
-    low = lambda x, name: x.bitwiseAND(F.lit((1 << widths[name]) - 1).cast("long")).cast("int")
-    down = lambda x, bits: F.shiftright(x, bits)
-
-    def opened(x: Column) -> Column:
-        i = low(down(x, widths["id"] + widths["k"]), "i")
-        k = low(down(x, widths["id"]), "k")
-        return F.struct(*sets.edge(i, i + k), k.alias("k"), i.alias("i"), low(x, "id").alias("id"))
+    size, bits = F.length("segment"), widths["id"]
+    none = (1 << bits) - 1  # no id: a character that stands alone
 
     def fold(edges: Column) -> Column:
-        spans = F.filter(edges, lambda e: e["k"] > 1)
         def merge(bounds: Column, _: Column) -> Column:
-            best = F.slice(F.filter(spans, lambda e: sets.stands(bounds, e, True)), 1, 1)
+            best = F.slice(F.filter(edges, lambda e: sets.halves(bounds, e)), 1, 1)
             return F.aggregate(best, bounds, sets.cleared)
 
-        bounds = F.aggregate(spans, sets.all(), lambda b, e: F.when(sets.stands(b, e, True), sets.cleared(b, e)).otherwise(b))
+        bounds = F.aggregate(edges, sets.all(), lambda b, e: F.when(sets.halves(b, e), sets.cleared(b, e)).otherwise(b))
         if late:
-            any_late = F.exists(spans, lambda e: e["id"].isin([i + 1 for i in late]))
-            bounds = F.when(any_late, F.aggregate(F.sequence(F.lit(1), F.length("segment")), sets.all(), merge)).otherwise(bounds)
-        return _let(bounds, lambda b: _spelled(F.array_sort(F.transform(
-            F.filter(edges, lambda e: sets.stands(b, e, False)),
-            lambda e: F.struct(e["i"].alias("i"), F.when(e["id"] > 0, e["id"] - 1).alias("id")))), byte_ids))
+            any_late = F.exists(edges, lambda e: _field(e["x"], "id", widths).isin(late))
+            bounds = F.when((size >= shortest_late) & any_late,
+                            F.aggregate(F.sequence(F.lit(1), size), sets.all(), merge)).otherwise(bounds)
+        start = lambda i: F.shiftleft(i.cast("long"), bits)
+        path = lambda b: F.sort_array(F.concat(
+            F.transform(F.filter(edges, lambda e: sets.stands(b, e)), lambda e: start(_field(e["x"], "i", widths)).bitwiseOR(
+                _field(e["x"], "id", widths).cast("long"))),
+            F.transform(F.filter(F.sequence(F.lit(0), size - 1), lambda i: sets.alone(b, i)),
+                        lambda i: start(i).bitwiseOR(F.lit(none).cast("long")))))
+        return _let(bounds, lambda b: _let(path(b), named))
+
+    def named(path: Column) -> Column:
+        own = lambda p: p.bitwiseAND(F.lit(none).cast("long")).cast("int")
+        at = lambda p: F.shiftright(p, bits).cast("int")
+        known = F.transform(path, lambda p: F.when(own(p) < none, own(p)).otherwise(letters.of(at(p))))
+        spelled = F.flatten(F.transform(path, lambda p: F.when(own(p) < none, F.array(own(p))).otherwise(letters.spelled(at(p)))))
+        return _let(known, lambda ids: F.when(F.exists(ids, lambda x: x < 0), spelled).otherwise(ids))
+
+    return _let(sets.opened(packed), fold)
 
-    return _let(F.transform(packed, opened), fold)
 
+@dataclass(frozen=True)
+class _Letters:
+    """Ids of single characters of a segment: by code point, or by its bytes."""
+
+    ids: Column
+    byte_ids: Column
 
-def _spelled(path: Column, byte_ids: Column) -> Column:
-    """Ids of a path of (i, id); a character without a piece is spelled in bytes."""
-    def spell(i: Column) -> Column:
+    def of(self, i: Column) -> Column:
+        """The id of the character at ``i``, -1 if it has none."""
+        return F.coalesce(F.get(self.ids, F.ascii(F.substring("segment", i + 1, F.lit(1)))), F.lit(-1)).cast("int")
+
+    def spelled(self, i: Column) -> Column:
+        """Its id, or the ids of its bytes."""
         raw = F.hex(F.encode(F.substring("segment", i + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.element_at(
-            byte_ids, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + 1))
+        return F.when(self.of(i) >= 0, F.array(self.of(i))).otherwise(
+            F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.element_at(
+                self.byte_ids, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + 1)))
+
 
-    return F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spell(e["i"]))))
+def _letter_ids(model: PieceModel) -> _Letters:
+    own = {ord(p): i for p, i in model.table.items() if len(p) == 1}
+    return _Letters(_constants(own.get(c, -1) for c in range(max(own, default=0) + 1)),
+                    F.array(*[F.lit(i) for i in model.byte_ids]))
 
 
-def _viterbi_ids(edges: Column, byte_ids: Column) -> Column:
+def _viterbi_ids(edges: Column, letters: _Letters) -> Column:
     """Ids of the path of least total cost; edges are sorted by end and start. Ties
     go to the longer last piece."""
     start = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("id"))
@@ -345,7 +402,8 @@ def _viterbi_ids(edges: Column, byte_ids: Column) -> Column:
         end = F.struct(F.length("segment").alias("j"), F.array().cast("array<struct<i:int,id:int>>").alias("path"))
         return F.aggregate(F.sequence(F.length("segment"), F.lit(1)), end, walk, lambda at: at["path"])
 
-    return _spelled(_let(F.aggregate(edges, F.array(start), step), back), byte_ids)
+    path = _let(F.aggregate(edges, F.array(start), step), back)
+    return F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(letters.spelled(e["i"]))))
 
 
 def merged(segment: str, model: PieceModel) -> list[int]:
@@ -507,7 +565,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
                   .mapInArrow(run, f"_id {kind}, _share int, _ids binary, _holes array<int>, _rare array<string>, _sum long"),
                   "piece-rows")
     # a share is what one task encoded: no more than its texts' own segments
-    (sent.select("_share", F.explode("_rare").alias("segment")).distinct()
+    (sent.select("_share", F.explode(F.array_distinct("_rare")).alias("segment"))
      .join(book.where(~often).select("segment", "ids"), "segment")
      .repartition(shuffle_partitions(spark), "_share").write.partitionBy("_share").parquet(shares))
     spelling = spark.sparkContext.broadcast(_spellings(model))
