@@ -84,8 +84,8 @@ def test_components_equal_all_pairs(spark, how):
 def test_dense_nodes_are_compared_in_blocks(spark):
     """A hundred near copies share nearly every token; no branching splits them."""
     rng = random.Random(8)
-    base = [f"w{i}" for i in range(60)]
-    rows = [(i, " ".join(edited(rng, base, rng.randrange(1, 4)))) for i in range(120)]
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(rng, base, rng.randrange(1, 6)))) for i in range(120)]
     want = brute(rows)
     assert len({r[2] for r in want}) > 1 and max(sum(r[2] == c[2] for r in want) for c in want) > 20
     assert run(spark, rows, node_rows=16) == want
