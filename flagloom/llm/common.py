@@ -89,6 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
             stop = min(n, max(stop, start + 1))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # worker processes live on between tasks
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:

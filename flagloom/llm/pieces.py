@@ -171,6 +171,7 @@ def segment_counts(docs: DataFrame, text_col: str, model: PieceModel) -> DataFra
     cuts = model.cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _HELD.clear()  # tables of an earlier query
         for batch in slices(batches, "_ready"):
             names, which = _Segments(batch.column("_ready"), cuts).dictionary()
             yield pa.RecordBatch.from_arrays(
@@ -267,6 +268,10 @@ class _OneLong:
     def cleared(self, bounds: Column, e: Column) -> Column:
         return bounds.bitwiseAND(F.bitwise_not(e["inner"]))
 
+    def pieces(self, bounds: Column) -> Column:
+        """How many pieces stand."""
+        return F.bit_count(bounds) - 1
+
     def alone(self, bounds: Column, i: Column) -> Column:
         """Whether the character at ``i`` stands alone."""
         return F.call_function("shiftright", bounds, i).bitwiseAND(F.lit(3).cast("long")) == 3
@@ -313,6 +318,9 @@ class _ManyLongs:
     def cleared(self, bounds: Column, e: Column) -> Column:
         return F.transform(bounds, lambda x, w: x.bitwiseAND(F.bitwise_not(self._between(w, e))))
 
+    def pieces(self, bounds: Column) -> Column:
+        return F.aggregate(bounds, F.lit(-1), lambda n, x: n + F.bit_count(x))
+
     def alone(self, bounds: Column, i: Column) -> Column:
         return self._has(bounds, i) & self._has(bounds, i + 1)
 
@@ -340,15 +348,18 @@ def _merged_ids(packed: Column, widths: dict[str, int], late: list[int], shortes
             bounds = F.when((size >= shortest_late) & any_late,
                             F.aggregate(F.sequence(F.lit(1), size), sets.all(), merge)).otherwise(bounds)
         start = lambda i: F.shiftleft(i.cast("long"), bits)
-        path = lambda b: F.sort_array(F.concat(
-            F.transform(F.filter(edges, lambda e: sets.stands(b, e)), lambda e: start(_field(e["x"], "i", widths)).bitwiseOR(
-                _field(e["x"], "id", widths).cast("long"))),
-            F.transform(F.filter(F.sequence(F.lit(0), size - 1), lambda i: sets.alone(b, i)),
-                        lambda i: start(i).bitwiseOR(F.lit(none).cast("long")))))
-        return _let(bounds, lambda b: _let(path(b), named))
+        found = lambda b: F.transform(F.filter(edges, lambda e: sets.stands(b, e)), lambda e: start(
+            _field(e["x"], "i", widths)).bitwiseOR(_field(e["x"], "id", widths).cast("long")))
+        letters_alone = lambda b: F.transform(F.filter(F.sequence(F.lit(0), size - 1), lambda i: sets.alone(b, i)),
+                                              lambda i: start(i).bitwiseOR(F.lit(none).cast("long")))
+        return _let(bounds, lambda b: _let(found(b), lambda f: F.when(
+            F.size(f) == sets.pieces(b), F.transform(F.sort_array(f), own)).otherwise(
+            _let(F.sort_array(F.concat(f, letters_alone(b))), named))))
+
+    def own(p: Column) -> Column:
+        return p.bitwiseAND(F.lit(none).cast("long")).cast("int")
 
     def named(path: Column) -> Column:
-        own = lambda p: p.bitwiseAND(F.lit(none).cast("long")).cast("int")
         at = lambda p: F.shiftright(p, bits).cast("int")
         known = F.transform(path, lambda p: F.when(own(p) < none, own(p)).otherwise(letters.of(at(p))))
         spelled = F.flatten(F.transform(path, lambda p: F.when(own(p) < none, F.array(own(p))).otherwise(letters.spelled(at(p)))))
@@ -463,39 +474,57 @@ class _Segments(Words):
         return distinct_parts(bounds, self.data)
 
 
-_READ: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-_SHARE: dict[str, dict[str, np.ndarray]] = {}
-
-
-def _common_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the segments written at ``path``, where their ids begin
-    and how many there are, and the ids with a zero after the last; a worker process keeps the last it read.
-
-    Read piece by piece: the Arrow form is many times the size of these arrays."""
-    if path not in _READ:
-        _READ.clear()
-        hashes, each, values = [], [], []
+@dataclass(frozen=True)
+class _Ids:
+    """Ids of segments by the segments' hashes: sorted hashes, where their ids begin, how many they are."""
+
+    hashes: np.ndarray
+    begins: np.ndarray
+    counts: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def read(cls, path: str) -> _Ids:
+        """Piece by piece: the Arrow form is many times the size of these arrays."""
+        hashes, each, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         for batch in parquet_batches(path, ["hash", "ids"]):
             hashes.append(batch.column("hash").to_numpy().view(np.uint64))
             ids = batch.column("ids")
             each.append(np.diff(np.asarray(ids.offsets, dtype=np.int64)).astype(np.uint32))
             values.append(ids.flatten().to_numpy().astype(np.uint32))
-        hashes, each, values = (np.concatenate([np.zeros(0, t), *x]) for x, t in
-                                ((hashes, np.uint64), (each, np.uint32), (values, np.uint32)))
+        each, hashes, values = np.concatenate(each), np.concatenate(hashes), np.concatenate([*values, np.zeros(1, np.uint32)])
         order = np.argsort(hashes)
         begins = np.cumsum(each, dtype=np.int64) - each
-        _READ[path] = hashes[order], begins[order], each[order], np.append(values, np.uint32(0))
         pa.default_memory_pool().release_unused()
-    return _READ[path]
+        return cls(hashes[order], begins[order], each[order], values)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which hashes are here, where their ids begin and how many they are (none for those that are not)."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        hit = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        first, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        first[hit], count[hit] = self.begins[at[hit]], self.counts[at[hit]]
+        return hit, first, count
+
+    def laid_out(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids one after the other, and where each segment's begin (and the last ends)."""
+        begins = np.concatenate(([0], np.cumsum(count)))
+        return self.values[np.repeat(first - begins[:-1], count) + np.arange(begins[-1])], begins
+
+
+_HELD: dict[str, tuple[str, _Ids]] = {}
+
+
+def _held(kind: str, path: str) -> _Ids:
+    """The table at ``path``; a worker process keeps the last it read of each kind."""
+    if _HELD.get(kind, ("",))[0] != path:
+        _HELD.pop(kind, None)
+        _HELD[kind] = path, _Ids.read(path)
+    return _HELD[kind][1]
 
 
-def _share_table(path: str) -> dict[str, np.ndarray]:
-    """Ids of the segments of one share of the texts; a worker process keeps the last it read."""
-    if path not in _SHARE:
-        _SHARE.clear()
-        _SHARE[path] = {w: np.array(x, np.uint32) for batch in parquet_batches(path, ["segment", "ids"])
-                        for w, x in zip(batch.column("segment").to_pylist(), batch.column("ids").to_pylist())}
-    return _SHARE[path]
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, _SEED) for w in words], np.uint64)
 
 
 def _common_segments(book: DataFrame, most: int) -> Column:
@@ -533,27 +562,20 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     width = np.uint16 if len(model.pieces) < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, begin_of, count_of, store = _common_table(common)
-        squeeze, share = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        book_of, squeeze, share = _held("common", common), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
         for batch in slices(batches, "_ready"):
             found = _Segments(batch.column("_ready"), cuts)
             names, place = found.dictionary()
-            which = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in names], np.uint64)
-            at = np.minimum(np.searchsorted(hashes, which), max(len(hashes) - 1, 0))
-            hit = hashes[at] == which if len(hashes) else np.zeros(len(which), bool)
-            first, count = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-            first[hit], count[hit] = begin_of[at[hit]], count_of[at[hit]]
-            count, first, missing = count[place], first[place], ~hit[place]
-            begins = np.concatenate(([0], np.cumsum(count)))
-            tokens = store[np.repeat(first - begins[:-1], count) + np.arange(begins[-1])].astype(width)
-            texts = [w.decode() for w in names]
+            hit, first, count = book_of.places(_hashed(names))
+            tokens, begins = book_of.laid_out(first[place], count[place])
+            tokens, missing = tokens.astype(width), ~hit[place]
             packed, holes, rare = [], [], []
             for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
                 packed.append(squeeze.compress(tokens[begins[a]:begins[b]].tobytes()))
                 gone = a + np.flatnonzero(missing[a:b])
                 # where ids are left out, as a number of the ids kept before
                 holes.append((begins[gone] - begins[a]).astype(np.int32))
-                rare.append([texts[x] for x in place[gone].tolist()])
+                rare.append([names[x].decode() for x in place[gone].tolist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array([share] * batch.num_rows, pa.int32()), pa.array(packed, pa.binary()),
                  pa.array(holes, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string())),
@@ -567,6 +589,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     # a share is what one task encoded: no more than its texts' own segments
     (sent.select("_share", F.explode(F.array_distinct("_rare")).alias("segment"))
      .join(book.where(~often).select("segment", "ids"), "segment")
+     .select("_share", F.xxhash64("segment").alias("hash"), "ids")
      .repartition(shuffle_partitions(spark), "_share").write.partitionBy("_share").parquet(shares))
     spelling = spark.sparkContext.broadcast(_spellings(model))
 
@@ -578,12 +601,12 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
                 ids = np.frombuffer(expand.decompress(packed.as_py()), width).astype(np.int32)
                 rare = rare.as_py()
                 if rare:
-                    own = _share_table(f"{shares}/_share={share.as_py()}")
-                    parts, begin = [], 0
-                    for hole, text in zip(holes.as_py(), rare):
-                        parts.extend((ids[begin:hole], own[text]))
-                        begin = hole
-                    ids = np.concatenate([*parts, ids[begin:]]).astype(np.int32)
+                    own = _held("share", f"{shares}/_share={share.as_py()}")
+                    hit, first, count = own.places(_hashed([w.encode() for w in rare]))
+                    if not hit.all():
+                        raise ValueError("a segment of the texts is not in the book: the texts changed between two reads")
+                    more, begins = own.laid_out(first, count)
+                    ids = np.insert(ids, np.repeat(holes.as_py(), count), more.astype(np.int32))
                 out.append(ids)
                 decoded = _decode_bytes(ids, words).decode("utf-8", "replace").encode()
                 same.append(xxhash.xxh64_intdigest(decoded, _SEED) == total.as_py() & ((1 << 64) - 1))
