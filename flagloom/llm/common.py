@@ -23,8 +23,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back.
+def settle(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back (``compression``: the
+    files' codec, where it is not the session's).
 
     Cuts the lineage at a point every executor can reach, so a lost executor
     never repeats what lies before it; the cluster's owner of
@@ -32,7 +33,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -494,7 +494,7 @@ class _Ids:
             values.append(ids.flatten().to_numpy().astype(np.uint32))
         each, hashes, values = np.concatenate(each), np.concatenate(hashes), np.concatenate([*values, np.zeros(1, np.uint32)])
         order = np.argsort(hashes)
-        begins = np.cumsum(each, dtype=np.int64) - each
+        begins = (np.cumsum(each, dtype=np.int64) - each).astype(np.uint32)  # of a bounded table
         pa.default_memory_pool().release_unused()
         return cls(hashes[order], begins[order], each[order], values)
 
@@ -541,7 +541,7 @@ def _common_segments(book: DataFrame, most: int) -> Column:
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
-           common_segments: int = 1 << 20) -> DataFrame:
+           common_segments: int = 1 << 21) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_tokens``, ``ids`` and ``lossless``
     (whether decoding gives the text back).
 
@@ -553,11 +553,11 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    book = settle(encode_segments(segment_counts(rows, "_text", model), model), "piece-segments")
+    book = settle(encode_segments(segment_counts(rows, "_text", model), model), "piece-segments", "zstd")
     often = _common_segments(book, common_segments)
     # every task reads this bounded table from the shared folder; it never passes the driver
     common, shares = scratch_path(spark, "piece-common"), scratch_path(spark, "piece-shares")
-    book.where(often).select(F.xxhash64("segment").alias("hash"), "ids").write.parquet(common)
+    book.where(often).select(F.xxhash64("segment").alias("hash"), "ids").write.parquet(common, compression="zstd")
     cuts = model.cuts
     width = np.uint16 if len(model.pieces) < 1 << 16 else np.uint32
 
@@ -585,12 +585,12 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     sent = settle(rows.where("_text IS NOT NULL")
                   .select("_id", _prepared(F.col("_text")).alias("_ready"), F.xxhash64("_text").alias("_sum"))
                   .mapInArrow(run, f"_id {kind}, _share int, _ids binary, _holes array<int>, _rare array<string>, _sum long"),
-                  "piece-rows")
+                  "piece-rows", "zstd")
     # a share is what one task encoded: no more than its texts' own segments
     (sent.select("_share", F.explode(F.array_distinct("_rare")).alias("segment"))
      .join(book.where(~often).select("segment", "ids"), "segment")
      .select("_share", F.xxhash64("segment").alias("hash"), "ids")
-     .repartition(shuffle_partitions(spark), "_share").write.partitionBy("_share").parquet(shares))
+     .repartition(shuffle_partitions(spark), "_share").write.partitionBy("_share").parquet(shares, compression="zstd"))
     spelling = spark.sparkContext.broadcast(_spellings(model))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
