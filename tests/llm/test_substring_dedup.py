@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from flagloom.llm import substring
@@ -84,3 +86,40 @@ def test_structured_words_are_told_apart(spark, size):
     df = spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)
     got = substring.drop_repeats(df, window=50).select("_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 50)
+
+
+def hot_rows():
+    """A third of the documents share one run of 25 words, many times each; some share whole windows."""
+    rng = random.Random(11)
+    run = [f"hot{i}" for i in range(25)]
+    rows = []
+    for i in range(90):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+        if i % 3 == 0:
+            for _ in range(4):
+                at = rng.randrange(len(words))
+                words[at:at] = run * (2 if i % 9 == 0 else 1)
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_a_hot_run_is_one_entry_a_share():
+    rows = hot_rows()
+    batch = pa.RecordBatch.from_pydict({"_share": pa.array([3] * len(rows), pa.int32()), "_id": [i for i, _ in rows],
+                                        "_text": [t for _, t in rows]})
+    keys = []
+    for out in substring._runs(50, 7)(iter([batch, batch])):
+        for r in out.to_pylist():
+            assert r["share"] == 3 and 0 <= r["bucket"] < 7
+            own = np.frombuffer(r["key"], np.uint32)
+            assert len(set(own.tolist())) == len(own)
+            keys.append((r["bucket"], own))
+    assert len(keys) <= 7  # one flush: each run of both batches once, however often it occurs
+
+
+def test_hot_runs_over_many_shares_and_buckets(spark):
+    rows = hot_rows() + [(200, None), (None, " ".join(f"hot{i}" for i in range(25)) * 3)]
+    df = spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)
+    for how in ({}, {"share_bytes": 2000, "bucket_bytes": 1000}):
+        got = substring.drop_repeats(df, window=50, **how).select("_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows, 50)
