@@ -18,10 +18,11 @@ Boundaries of a segment are bits of one long, or of an array of longs where it
 has 62 characters or more; the fold is the same.
 
 The segments that occur most often are read by every task from the shared
-folder (their number is bounded). A task leaves a hole for each other one; the
-distinct segments that a task's share of the texts lacks meet their ids by a
-join, and whoever fills the holes of that share reads its own few from the
-shared folder. The encoded rows themselves are written once and never move.
+folder (their number is bounded). The others are gathered with the shares of
+the texts (so many rows of a file) that have them, go through the lattice,
+and come back to a folder for each share, which the tasks that encode the share
+read. So texts are read three times (to count, to find what the common segments
+lack, to encode) and neither texts nor encoded rows ever move.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flagloom.llm.common import Words, distinct_parts, parquet_batches, settle, shuffle_partitions, slices
@@ -182,8 +182,9 @@ def segment_counts(docs: DataFrame, text_col: str, model: PieceModel) -> DataFra
     return ready.mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
-def encode_segments(segments: DataFrame, model: PieceModel) -> DataFrame:
-    """``(segment, n, ids)`` for distinct ``segment`` rows of one character and more."""
+def encode_segments(segments: DataFrame, model: PieceModel, keep: str = "n") -> DataFrame:
+    """``(segment, keep, ids)`` for distinct ``segment`` rows of one character and more; ``keep`` is
+    a column that comes along."""
     spark, table, size = segments.sparkSession, model.table, F.length("segment")
     longest = max(map(len, table))
     least = 1 if model.unigram else 2
@@ -191,9 +192,9 @@ def encode_segments(segments: DataFrame, model: PieceModel) -> DataFrame:
     lengths = F.concat(F.when(F.col("i") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
                        F.when(size - F.col("i") >= least, F.sequence(F.lit(least), F.least(size - F.col("i"), F.lit(longest))))
                        .otherwise(F.array().cast("array<int>")))
-    edges = (segments.select("segment", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
-             .select("segment", "n", "i", F.explode(lengths).alias("k"))
-             .select("segment", "n", "i", "k", F.substring("segment", F.col("i") + 1, F.col("k")).alias("piece")))
+    edges = (segments.select("segment", keep, F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+             .select("segment", keep, "i", F.explode(lengths).alias("k"))
+             .select("segment", keep, "i", "k", F.substring("segment", F.col("i") + 1, F.col("k")).alias("piece")))
     letters = _letter_ids(model)
     if model.unigram:
         pieces = spark.createDataFrame([(p, i, float(model.scores[i])) for p, i in table.items()],
@@ -203,8 +204,8 @@ def encode_segments(segments: DataFrame, model: PieceModel) -> DataFrame:
             F.col("id").isNotNull() | (F.col("k") == 1))
         edge = F.struct((F.col("i") + F.col("k")).alias("j"), "i",
                         (-F.coalesce("score", F.lit(model.unknown_score))).alias("cost"), "id")
-        lattice = edges.groupBy("segment", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-        return lattice.select("segment", "n", _viterbi_ids(F.col("edges"), letters).alias("ids"))
+        lattice = edges.groupBy("segment", keep).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+        return lattice.select("segment", keep, _viterbi_ids(F.col("edges"), letters).alias("ids"))
     # place in the merges' order, start, length and id in one long, so that the edges sort by themselves
     order = {c: r for r, c in enumerate(sorted({-model.scores[i] for i in table.values()}))}
     widths = {"k": longest.bit_length(), "id": len(model.pieces).bit_length(), "place": len(order).bit_length()}
@@ -215,12 +216,12 @@ def encode_segments(segments: DataFrame, model: PieceModel) -> DataFrame:
     for name in ("i", "k", "id"):
         packed = F.call_function("shiftleft", packed, F.lit(widths[name])).bitwiseOR(F.col(name).cast("long"))
     edges = edges.join(F.broadcast(places), "piece")
-    lattice = edges.groupBy("segment", "n").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
+    lattice = edges.groupBy("segment", keep).agg(F.sort_array(F.collect_list(packed)).alias("edges"))
     late = model.late
     how = widths, late, min((len(model.pieces[i]) for i in late), default=0), letters
     ids = F.when(size < _BITS, _merged_ids(F.col("edges"), *how, _OneLong(widths))).otherwise(
         _merged_ids(F.col("edges"), *how, _ManyLongs(widths)))
-    return lattice.select("segment", "n", ids.alias("ids"))
+    return lattice.select("segment", keep, ids.alias("ids"))
 
 
 def _let(value: Column, use) -> Column:
@@ -506,11 +507,6 @@ class _Ids:
         first[hit], count[hit] = self.begins[at[hit]], self.counts[at[hit]]
         return hit, first, count
 
-    def laid_out(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids one after the other, and where each segment's begin (and the last ends)."""
-        begins = np.concatenate(([0], np.cumsum(count)))
-        return self.values[np.repeat(first - begins[:-1], count) + np.arange(begins[-1])], begins
-
 
 _HELD: dict[str, tuple[str, _Ids]] = {}
 
@@ -527,9 +523,9 @@ def _hashed(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, _SEED) for w in words], np.uint64)
 
 
-def _common_segments(book: DataFrame, most: int) -> Column:
-    """Which rows of the book are common: those of the greatest counts, ``most`` at most."""
-    steps = (book.groupBy(F.floor(F.log2("n") * 4).alias("step"))
+def _common_segments(counts: DataFrame, most: int) -> Column:
+    """Which rows are common: those of the greatest counts, ``most`` at most."""
+    steps = (counts.groupBy(F.floor(F.log2("n") * 4).alias("step"))
              .agg(F.count("*").alias("segments"), F.min("n").alias("least")).orderBy(F.desc("step")).collect())
     least, total = 1 << 62, 0
     for s in steps:  # a few dozen rows: quarters of a doubling of the count
@@ -540,83 +536,103 @@ def _common_segments(book: DataFrame, most: int) -> Column:
     return F.col("n") >= least
 
 
+def _by_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of one share each."""
+    for batch in batches:
+        if batch.num_rows:
+            share = batch.column("_share").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(share)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)
+
+
+def _has_places(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` has a place in a Parquet file."""
+    try:
+        return "_metadata" not in docs.columns and len(docs.select("_metadata.file_path", "_metadata.row_index").columns) == 2
+    except AnalysisException:
+        return False
+
+
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text",
-           common_segments: int = 1 << 21) -> DataFrame:
+           common_segments: int = 1 << 20, share_rows: int = 1 << 14) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_tokens``, ``ids`` and ``lossless``
     (whether decoding gives the text back).
 
-    ``common_segments`` bounds the segments that every task holds. A null or empty
+    ``common_segments`` bounds the segments that every task holds, ``share_rows`` the rows
+    whose other segments it holds. Rows of Parquet files are known by their places in
+    them; other frames are written first. A null or empty
     text has no ids (lossless: null, true); the mark U+2581 in a text decodes as
     a space; characters without a piece are spelled in bytes. Segments of any
     length go through the lattice. Repeated rows give repeated results, no rows
     none; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    book = settle(encode_segments(segment_counts(rows, "_text", model), model), "piece-segments", "zstd")
-    often = _common_segments(book, common_segments)
+    own = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text")]
+    if not _has_places(docs):
+        docs = settle(docs.select(*own), "piece-texts")
+        own = [F.col("_id"), F.col("_text")]
+    place_of = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / share_rows))
+    rows = docs.select(*own, F.pmod(place_of, F.lit((1 << 31) - 1)).cast("int").alias("_share"))
+    counts = settle(segment_counts(rows, "_text", model), "piece-counts", "zstd")
+    often = _common_segments(counts, common_segments)
     # every task reads this bounded table from the shared folder; it never passes the driver
     common, shares = scratch_path(spark, "piece-common"), scratch_path(spark, "piece-shares")
-    book.where(often).select(F.xxhash64("segment").alias("hash"), "ids").write.parquet(common, compression="zstd")
+    hashed = F.xxhash64("segment").alias("hash")
+    encode_segments(counts.where(often), model).select(hashed, "ids").write.parquet(common, compression="zstd")
     cuts = model.cuts
-    width = np.uint16 if len(model.pieces) < 1 << 16 else np.uint32
+    ready = rows.where("_text IS NOT NULL").select("_share", "_id", _prepared(F.col("_text")).alias("_ready"),
+                                                   F.xxhash64("_text").alias("_sum"))
+
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = _held("common", common)
+        for batch in slices(_by_share(batches), "_ready"):
+            share = batch.column("_share")[0].as_py()
+            names, _ = _Segments(batch.column("_ready"), cuts).dictionary()
+            hit, _, _ = book.places(_hashed(names))
+            gone = [names[x] for x in np.flatnonzero(~hit).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.binary()).cast(pa.string()),
+                                              pa.array([share] * len(gone), pa.int32())], ["segment", "share"])
+
+    # a rare segment is in fewer shares than the least count of a common one
+    rare = (ready.mapInArrow(lacking, "segment string, share int")
+            .groupBy("segment").agg(F.sort_array(F.collect_set("share")).alias("shares")))
+    (encode_segments(rare, model, "shares").select(hashed, "ids", F.explode("shares").alias("_share"))
+     .repartition(shuffle_partitions(spark), "_share").write.partitionBy("_share").parquet(shares, compression="zstd"))
+    spelling = spark.sparkContext.broadcast(_spellings(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book_of, squeeze, share = _held("common", common), zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
-        for batch in slices(batches, "_ready"):
+        book, words = _held("common", common), spelling.value
+        for batch in slices(_by_share(batches), "_ready"):
+            own = _held("share", f"{shares}/_share={batch.column('_share')[0].as_py()}")
             found = _Segments(batch.column("_ready"), cuts)
             names, place = found.dictionary()
-            hit, first, count = book_of.places(_hashed(names))
-            tokens, begins = book_of.laid_out(first[place], count[place])
-            tokens, missing = tokens.astype(width), ~hit[place]
-            packed, holes, rare = [], [], []
-            for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
-                packed.append(squeeze.compress(tokens[begins[a]:begins[b]].tobytes()))
-                gone = a + np.flatnonzero(missing[a:b])
-                # where ids are left out, as a number of the ids kept before
-                holes.append((begins[gone] - begins[a]).astype(np.int32))
-                rare.append([names[x].decode() for x in place[gone].tolist()])
+            hashes = _hashed(names)
+            hit, first, count = book.places(hashes)
+            rest = np.flatnonzero(~hit)
+            more, at, size = own.places(hashes[rest])
+            if not more.all():
+                raise ValueError("a segment was in no earlier read of these texts: their files have changed")
+            # the share's own ids stand behind the common ones
+            first[rest], count[rest] = at + len(book.values), size
+            first, count = first[place], count[place]
+            begins = np.concatenate(([0], np.cumsum(count)))
+            index = np.repeat(first - begins[:-1], count) + np.arange(begins[-1])
+            tokens = np.empty(len(index), np.int32)
+            here = index < len(book.values)
+            tokens[here], tokens[~here] = book.values[index[here]], own.values[index[~here] - len(book.values)]
+            ends = begins[found.first]
+            same = []
+            for a, b, total in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("_sum").to_numpy().view(np.uint64).tolist()):
+                decoded = _decode_bytes(tokens[a:b], words).decode("utf-8", "replace").encode()
+                same.append(xxhash.xxh64_intdigest(decoded, _SEED) == total)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([share] * batch.num_rows, pa.int32()), pa.array(packed, pa.binary()),
-                 pa.array(holes, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string())),
-                 batch.column("_sum")], ["_id", "_share", "_ids", "_holes", "_rare", "_sum"])
+                [batch.column("_id"), pa.array(np.diff(ends).astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(tokens)), pa.array(same, pa.bool_())],
+                ["_id", "n_tokens", "ids", "lossless"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    sent = settle(rows.where("_text IS NOT NULL")
-                  .select("_id", _prepared(F.col("_text")).alias("_ready"), F.xxhash64("_text").alias("_sum"))
-                  .mapInArrow(run, f"_id {kind}, _share int, _ids binary, _holes array<int>, _rare array<string>, _sum long"),
-                  "piece-rows", "zstd")
-    # a share is what one task encoded: no more than its texts' own segments
-    (sent.select("_share", F.explode(F.array_distinct("_rare")).alias("segment"))
-     .join(book.where(~often).select("segment", "ids"), "segment")
-     .select("_share", F.xxhash64("segment").alias("hash"), "ids")
-     .repartition(shuffle_partitions(spark), "_share").write.partitionBy("_share").parquet(shares, compression="zstd"))
-    spelling = spark.sparkContext.broadcast(_spellings(model))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand, words = zstandard.ZstdDecompressor(), spelling.value
-        for batch in slices(batches, "_ids"):
-            out, same = [], []
-            for share, packed, holes, rare, total in zip(*(batch.column(c) for c in ("_share", "_ids", "_holes", "_rare", "_sum"))):
-                ids = np.frombuffer(expand.decompress(packed.as_py()), width).astype(np.int32)
-                rare = rare.as_py()
-                if rare:
-                    own = _held("share", f"{shares}/_share={share.as_py()}")
-                    hit, first, count = own.places(_hashed([w.encode() for w in rare]))
-                    if not hit.all():
-                        raise ValueError("a segment of the texts is not in the book: the texts changed between two reads")
-                    more, begins = own.laid_out(first, count)
-                    ids = np.insert(ids, np.repeat(holes.as_py(), count), more.astype(np.int32))
-                out.append(ids)
-                decoded = _decode_bytes(ids, words).decode("utf-8", "replace").encode()
-                same.append(xxhash.xxh64_intdigest(decoded, _SEED) == total.as_py() & ((1 << 64) - 1))
-            lengths = np.array([len(x) for x in out])
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(lengths.astype(np.int64)), ids,
-                                              pa.array(same, pa.bool_())], ["_id", "n_tokens", "ids", "lossless"])
-
-    done = sent.mapInArrow(fill, f"_id {kind}, n_tokens long, ids array<int>, lossless boolean")
+    done = ready.mapInArrow(run, f"_id {kind}, n_tokens long, ids array<int>, lossless boolean")
     empty = rows.where("_text IS NULL").select(
         F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("ids"),
         F.lit(None).cast("boolean").alias("lossless"))

@@ -50,6 +50,20 @@ def test_bpe_ids_equal_the_library(spark, bpe, common):
     assert have == sorted(want, key=str)
 
 
+def test_rows_of_files_are_known_by_their_places(spark, bpe, tmp_path):
+    """From files no text is written again; shares of few rows, more partitions, a filter and repeated rows change nothing."""
+    rows = [(i, t) for i, t in texts() if t is None or len(t) < 5000] * 2
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
+    df.repartition(3).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    assert pieces._has_places(read) and pieces._has_places(read.where("doc_id > 3").repartition(7))
+    assert not pieces._has_places(df) and not pieces._has_places(read.withColumn("_metadata", read.text))
+    want = sorted(map(str, pieces.encode(df, bpe, common_segments=20).collect()))
+    assert sorted(map(str, pieces.encode(read.repartition(5), bpe, common_segments=20, share_rows=7).collect())) == want
+    few = pieces.encode(read.where("doc_id > 3"), bpe, common_segments=0).coalesce(1)
+    assert few.count() == df.where("doc_id > 3").count()
+
+
 def test_decode_round_trip(spark, bpe):
     rows = [(i, t) for i, t in texts() if t is None or "▁" not in t]
     df = spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)
