@@ -371,14 +371,16 @@ def _merged_ids(packed: Column, widths: dict[str, int], late: list[int], shortes
 
 @dataclass(frozen=True)
 class _Letters:
-    """Ids of single characters of a segment: by code point, or by its bytes."""
+    """Ids of single characters of a segment: by the place in a text of all that have one, or by their bytes."""
 
+    text: Column
     ids: Column
     byte_ids: Column
 
     def of(self, i: Column) -> Column:
         """The id of the character at ``i``, -1 if it has none."""
-        return F.coalesce(F.get(self.ids, F.ascii(F.substring("segment", i + 1, F.lit(1)))), F.lit(-1)).cast("int")
+        place = F.call_function("instr", self.text, F.substring("segment", i + 1, F.lit(1)))
+        return F.coalesce(F.get(self.ids, place - 1), F.lit(-1)).cast("int")
 
     def spelled(self, i: Column) -> Column:
         """Its id, or the ids of its bytes."""
@@ -389,9 +391,8 @@ class _Letters:
 
 
 def _letter_ids(model: PieceModel) -> _Letters:
-    own = {ord(p): i for p, i in model.table.items() if len(p) == 1}
-    return _Letters(_constants(own.get(c, -1) for c in range(max(own, default=0) + 1)),
-                    F.array(*[F.lit(i) for i in model.byte_ids]))
+    own = {p: i for p, i in model.table.items() if len(p) == 1}
+    return _Letters(F.lit("".join(own)), _constants(own.values()), F.array(*[F.lit(i) for i in model.byte_ids]))
 
 
 def _viterbi_ids(edges: Column, letters: _Letters) -> Column:
