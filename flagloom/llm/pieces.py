@@ -596,7 +596,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
                                               pa.array([share] * len(gone), pa.int32())], ["segment", "share"])
 
     # a rare segment is in fewer shares than the least count of a common one
-    rare = (ready.mapInArrow(lacking, "segment string, share int")
+    rare = (ready.mapInArrow(lacking, "segment string, share int").repartition(shuffle_partitions(spark), "segment")
             .groupBy("segment").agg(F.sort_array(F.collect_set("share")).alias("shares")))
     (encode_segments(rare, model, "shares").select(hashed, "ids", F.explode("shares").alias("_share"))
      .repartition(shuffle_partitions(spark), "_share").write.partitionBy("_share").parquet(shares, compression="zstd"))
