@@ -95,8 +95,8 @@ def plain_loss(sets, y, weight, model, penalty):
     return total
 
 
-def brute_fit(sets, y, weight, size, penalty, rounds=4000, rate=0.02):
-    """Plain proximal gradient descent by numerical differences over thresholds and exact sums over texts."""
+def brute_fit(sets, y, weight, size, penalty, rounds=8000, rate=0.003):
+    """Plain proximal gradient descent with small steps and exact sums over texts."""
     x = np.zeros((len(sets), size))
     for i, s in enumerate(sets):
         x[i, s] = 1
