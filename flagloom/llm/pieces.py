@@ -195,7 +195,6 @@ def encode_segments(segments: DataFrame, model: PieceModel, keep: str = "n") ->
     edges = (segments.select("segment", keep, F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
              .select("segment", keep, "i", F.explode(lengths).alias("k"))
              .select("segment", keep, "i", "k", F.substring("segment", F.col("i") + 1, F.col("k")).alias("piece")))
-    letters = _letter_ids(model)
     if model.unigram:
         pieces = spark.createDataFrame([(p, i, float(model.scores[i])) for p, i in table.items()],
                                        "piece string, id int, score double")
@@ -205,7 +204,8 @@ def encode_segments(segments: DataFrame, model: PieceModel, keep: str = "n") ->
         edge = F.struct((F.col("i") + F.col("k")).alias("j"), "i",
                         (-F.coalesce("score", F.lit(model.unknown_score))).alias("cost"), "id")
         lattice = edges.groupBy("segment", keep).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-        return lattice.select("segment", keep, _viterbi_ids(F.col("edges"), letters).alias("ids"))
+        ids = _let(_letter_ids(model), lambda c: _viterbi_ids(F.col("edges"), _Letters(c)))
+        return lattice.select("segment", keep, ids.alias("ids"))
     # place in the merges' order, start, length and id in one long, so that the edges sort by themselves
     order = {c: r for r, c in enumerate(sorted({-model.scores[i] for i in table.values()}))}
     widths = {"k": longest.bit_length(), "id": len(model.pieces).bit_length(), "place": len(order).bit_length()}
@@ -218,9 +218,10 @@ def encode_segments(segments: DataFrame, model: PieceModel, keep: str = "n") ->
     edges = edges.join(F.broadcast(places), "piece")
     lattice = edges.groupBy("segment", keep).agg(F.sort_array(F.collect_list(packed)).alias("edges"))
     late = model.late
-    how = widths, late, min((len(model.pieces[i]) for i in late), default=0), letters
-    ids = F.when(size < _BITS, _merged_ids(F.col("edges"), *how, _OneLong(widths))).otherwise(
-        _merged_ids(F.col("edges"), *how, _ManyLongs(widths)))
+    how = widths, late, min((len(model.pieces[i]) for i in late), default=0)
+    ids = _let(_letter_ids(model), lambda c: F.when(
+        size < _BITS, _merged_ids(F.col("edges"), *how, _Letters(c), _OneLong(widths))).otherwise(
+        _merged_ids(F.col("edges"), *how, _Letters(c), _ManyLongs(widths))))
     return lattice.select("segment", keep, ids.alias("ids"))
 
 
@@ -234,26 +235,27 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def _constants(values) -> Column:
-    """A constant array: a text that is cut once, when the query is planned."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _constants(values, kind: str = "bigint") -> Column:
+    """A constant array: a text that is cut once, when the query is planned. The driver prints a plan
+    again and again, constants in full: a long one is named once, by :func:`_let`."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 class _OneLong:
     """Boundaries of a segment of fewer than 62 characters. The bits of an edge's ends
-    and of the boundaries between come out of tables by its start and length."""
+    and of the boundaries between come out of tables by its length, and move to its start."""
 
     def __init__(self, widths: dict[str, int]):
-        edges = [(i, k) for i in range(1 << 6) for k in range(1 << widths["k"])]
-        real = lambda i, k: k > 0 and i + k < _BITS
-        self.shift, self.mask = widths["id"], len(edges) - 1
-        # what is no edge has ends that no segment has
-        self.ends = _constants((1 << i) | (1 << i + k) if real(i, k) else -1 for i, k in edges)
-        self.inner = _constants((1 << i + k) - (1 << i + 1) if real(i, k) else 0 for i, k in edges)
+        lengths = range(1, min(1 << widths["k"], _BITS))
+        self.widths = widths
+        # what is no edge (length 0, at the start) has ends that no segment has
+        self.ends = _constants([-1, *(1 | 1 << k for k in lengths)])
+        self.inner = _constants([0, *((1 << k) - 2 for k in lengths)])
 
     def opened(self, edges: Column) -> Column:
-        at = lambda x: F.shiftright(x, self.shift).bitwiseAND(F.lit(self.mask).cast("long")).cast("int")
-        return F.transform(edges, lambda x: F.struct(F.get(self.ends, at(x)).alias("ends"), F.get(self.inner, at(x)).alias("inner"),
+        i, k = (lambda x: _field(x, "i", self.widths)), (lambda x: _field(x, "k", self.widths))
+        moved = lambda bits, x: F.call_function("shiftleft", F.get(bits, k(x)), i(x))
+        return F.transform(edges, lambda x: F.struct(moved(self.ends, x).alias("ends"), moved(self.inner, x).alias("inner"),
                                                      x.alias("x")))
 
     def all(self) -> Column:
@@ -371,28 +373,28 @@ def _merged_ids(packed: Column, widths: dict[str, int], late: list[int], shortes
 
 @dataclass(frozen=True)
 class _Letters:
-    """Ids of single characters of a segment: by the place in a text of all that have one, or by their bytes."""
+    """Ids of single characters of a segment: by the place in a text of all that have one, or by their
+    bytes (``constants``: what :func:`_letter_ids` gives)."""
 
-    text: Column
-    ids: Column
-    byte_ids: Column
+    constants: Column
 
     def of(self, i: Column) -> Column:
         """The id of the character at ``i``, -1 if it has none."""
-        place = F.call_function("instr", self.text, F.substring("segment", i + 1, F.lit(1)))
-        return F.coalesce(F.get(self.ids, place - 1), F.lit(-1)).cast("int")
+        place = F.call_function("instr", self.constants["text"], F.substring("segment", i + 1, F.lit(1)))
+        return F.coalesce(F.get(self.constants["ids"], place - 1), F.lit(-1))
 
     def spelled(self, i: Column) -> Column:
         """Its id, or the ids of its bytes."""
         raw = F.hex(F.encode(F.substring("segment", i + 1, F.lit(1)), "UTF-8"))
         return F.when(self.of(i) >= 0, F.array(self.of(i))).otherwise(
             F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.element_at(
-                self.byte_ids, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + 1)))
+                self.constants["byte_ids"], F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + 1)))
 
 
-def _letter_ids(model: PieceModel) -> _Letters:
+def _letter_ids(model: PieceModel) -> Column:
     own = {p: i for p, i in model.table.items() if len(p) == 1}
-    return _Letters(F.lit("".join(own)), _constants(own.values()), F.array(*[F.lit(i) for i in model.byte_ids]))
+    return F.struct(F.lit("".join(own)).alias("text"), _constants(own.values(), "int").alias("ids"),
+                    _constants(model.byte_ids, "int").alias("byte_ids"))
 
 
 def _viterbi_ids(edges: Column, letters: _Letters) -> Column:

@@ -194,3 +194,21 @@ def test_other_models_are_refused():
 def test_empty_table(spark, bpe):
     df = spark.createDataFrame([], SCHEMA)
     assert pieces.encode(df, bpe).count() == 0
+
+
+def test_the_plan_names_its_constants_once(spark, bpe):
+    """The driver prints the plan for every event, constants in full."""
+    letters = "".join(p for p in bpe.table if len(p) == 1)
+    df = spark.createDataFrame([(" word", 1)], "segment string, n long")
+    plan = pieces.encode_segments(df, bpe)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(letters) == 1 and len(plan) < 20_000 + 10 * len(letters)
+
+
+def test_bpe_of_segments_about_as_long_as_a_long_has_bits(spark, bpe):
+    rng = random.Random(12)
+    segments = [" " + "".join(rng.choice("etaoin漢é😀ß") if i % 7 == 0 else rng.choice("etaoinshr") for i in range(n - 1))
+                for n in (1, 2, 3, 17, 60, 61, 62, 63, 64, 125)]
+    df = spark.createDataFrame([(s, 1) for s in segments], "segment string, n long")
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    have = {r["segment"]: list(r["ids"]) for r in pieces.encode_segments(df, bpe).collect()}
+    assert have == {s: library.encode(s[1:]) or [bpe.table[" "]] for s in segments}
