@@ -306,7 +306,7 @@ def _cut(keep: list[str], window: int, buckets: int, hits: str, ranks: str):
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50,
-                 share_bytes: int = _SHARE_BYTES, bucket_bytes: int = _BUCKET_BYTES) -> DataFrame:
+                 share_bytes: int = _SHARE_BYTES, bucket_bytes: int = _BUCKET_BYTES, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``_id``, ``_text``, ``_rest`` (its other
     columns), ``n_words``, ``n_removed``, ``kept_text`` (the kept words joined by
     one space) and ``kept_sha256``.
@@ -316,7 +316,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every id. Null, empty and short texts (fewer words than the window) keep
     all their words; no rows give none. ``id_col`` is an integer column. Texts of
     any length are taken whole; shares and buckets have about ``share_bytes`` and
-    ``bucket_bytes`` of text, and at least one long text.
+    ``bucket_bytes`` of text, and at least one long text; ``buckets`` states the buckets' number instead.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
@@ -326,7 +326,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                        F.struct(*rest, F.lit(0).alias("_")).alias("_rest"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    shares, buckets = (max(n, -(-size // most)) for most in (share_bytes, bucket_bytes))
+    shares, by_size = (max(n, -(-size // most)) for most in (share_bytes, bucket_bytes))
+    buckets = by_size if buckets is None else buckets
     # dealt by row, repeated rows too, and written once
     deal = F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(shares)).cast("int")
     path, hits, ranks = (scratch_path(spark, f"substring-{x}") for x in ("rows", "hits", "ranks"))
